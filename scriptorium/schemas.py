@@ -1,0 +1,19 @@
+"""Table schemas shared by sources, operators and tests."""
+
+from __future__ import annotations
+
+DOCUMENTS = (
+    "path string, size bigint, mtime timestamp, ext string, title string, folder string, "
+    "stem string, url string, body string, indexed_at timestamp, dl bigint"
+)
+SNAPSHOT = (
+    "path string, size bigint, mtime timestamp, ext string, warning string, readable boolean"
+)
+POSTINGS = (
+    "term string, path string, ext string, field string, dl bigint, positions array<int>"
+)
+TAGS = "name string, name_key string, created_at timestamp"
+DOCUMENT_TAGS = "path string, name_key string"
+CLAUSES = (
+    "query_id bigint, slot int, alt int, kind string, value string, field string, negated boolean"
+)

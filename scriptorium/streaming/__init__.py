@@ -1,0 +1 @@
+"""Empty on purpose: indexing is a batch comparison of snapshots, there is no streaming surface to match."""

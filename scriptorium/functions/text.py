@@ -49,12 +49,12 @@ def _fold_table() -> tuple[str, str]:
         if not unicodedata.category(ch).startswith("L") or ch.lower() != ch:
             continue
         folded = ch.casefold()
-        folded = folded if len(folded) == 1 else ch
+        folded = folded if len(folded) == 1 and folded.lower() == folded else ch
         parts = unicodedata.normalize("NFD", folded)
         accented = len(parts) > 1 and all("\u0300" <= m <= "\u036f" for m in parts[1:])
         script = unicodedata.name(parts[0], "").split(" ")[0]
         if accented and script in ("LATIN", "GREEK", "CYRILLIC"):
-            folded = parts[0]
+            folded = parts[0].lower()
         if folded != ch:
             source.append(ch)
             target.append(folded)

@@ -1,0 +1,176 @@
+"""Many searches in one job.
+
+A clause table describes each query as required slots of alternatives plus excluded slots. Work is driven
+by the rarest part at both levels: a phrase by its rarest token, a query by its rarest required slot.
+Very common tokens and leaves are then only looked up for documents that are candidates already.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from scriptorium.functions.bm25 import term_score
+from scriptorium.functions.text import tokens
+from scriptorium.operators.filters import has_extension, in_subtree
+from scriptorium.operators.match import weight_column
+from scriptorium.operators.postings import shard_column
+from scriptorium.operators.query import FIELD_NAMES
+from scriptorium.operators.rank import top_k_per_query
+from scriptorium.plans.corpus import Corpus
+from scriptorium.session import shared_dir
+
+# A join on terms is spread over this many slices of the paths, so one common term is not one task.
+SLICES = 16
+
+
+def _check(clauses: DataFrame) -> None:
+    """Reject malformed clauses; looks at the clause table only."""
+    known = F.col("field").isNull() | F.lower("field").isin(*FIELD_NAMES)
+    bad = clauses.filter(~known | ~F.col("kind").isin("word", "phrase", "prefix")).limit(1).collect()
+    if bad:
+        raise ValueError(f"unsupported clause {bad[0].asDict()}")
+    negative = clauses.groupBy("query_id").agg(F.min("negated").alias("none")).filter("none").limit(1)
+    lone = negative.collect()
+    if lone:
+        raise ValueError(f"query {lone[0]['query_id']} excludes without requiring anything")
+
+
+def _prepared(clauses: DataFrame) -> DataFrame:
+    column = reduce(
+        lambda out, item: F.when(F.lower("field") == item[0], item[1]).otherwise(out),
+        FIELD_NAMES.items(),
+        F.lit(None).cast("string"),
+    )
+    split = clauses.select(
+        "query_id",
+        "slot",
+        "alt",
+        "negated",
+        tokens(F.col("value")).alias("toks"),
+        (F.col("kind") == "prefix").alias("is_prefix"),
+        column.alias("column"),
+    )
+    key = F.concat(
+        F.array_join("toks", " "),
+        F.when(F.col("is_prefix"), "*").otherwise(""),
+        F.lit("|"),
+        F.coalesce("column", F.lit("")),
+    )
+    return split.withColumn("leaf", F.when(F.size("toks") > 0, key))
+
+
+def _leaf_terms(leaves: DataFrame, post: DataFrame) -> DataFrame:
+    """``leaf, m, column, off, term``: every index term that may stand at each offset of a leaf."""
+    spread = leaves.select("leaf", "is_prefix", "column", F.size("toks").alias("m"), F.posexplode("toks").alias("off", "tok"))
+    open_end = F.col("is_prefix") & (F.col("off") == F.col("m") - 1)
+    exact = spread.filter(~open_end).select("leaf", "m", "column", "off", F.col("tok").alias("term"))
+    starts = spread.filter(open_end)
+    if starts.isEmpty():
+        return exact
+    vocabulary = post.select("term").distinct()
+    heads = vocabulary.select(
+        "term",
+        F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring("term", F.lit(1), n))).alias("tok"),
+    )
+    opened = starts.join(heads, "tok").select("leaf", "m", "column", "off", "term")
+    return exact.unionByName(opened)
+
+
+def _sliced(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+
+
+def leaf_hits(corpus: Corpus, leaves: DataFrame) -> DataFrame:
+    """``leaf, path, ext, dl, f`` for every document that holds a leaf."""
+    by = ["term", "slice"]
+    terms = _leaf_terms(leaves, corpus.postings)
+    used = terms.select("term").distinct()
+    if corpus.shards:
+        used = used.withColumn("shard", shard_column(F.col("term"), corpus.shards))
+        by = ["shard", *by]
+    path_slice = F.pmod(F.crc32(F.encode("path", "UTF-8")), F.lit(SLICES)).cast("int")
+    post = corpus.postings.withColumn("slice", path_slice).join(_sliced(used), by, "left_semi")
+
+    rows_per_term = post.groupBy("term").agg(F.count("*").alias("n"))
+    rows_per_offset = terms.join(rows_per_term, "term").groupBy("leaf", "m", "off").agg(F.sum("n").alias("n"))
+    rarest = (
+        rows_per_offset.groupBy("leaf", "m")
+        .agg(F.count("*").alias("offsets"), F.min_by("off", F.struct("n", "off")).alias("off"))
+        .filter(F.col("offsets") == F.col("m"))
+        .select("leaf", "off")
+    )
+    anchor = _sliced(terms.join(rarest, ["leaf", "off"]))
+    placed = post.join(anchor, ["term", "slice"]).filter(
+        F.col("column").isNull() | (F.col("column") == F.col("field"))
+    )
+    starts = placed.select(
+        "leaf", "m", "off", "path", "ext", "dl", "field", F.explode("positions").alias("pos")
+    ).select("leaf", "m", F.col("off").alias("anchor"), "path", "ext", "dl", "field", (F.col("pos") - F.col("off")).alias("start"))
+    single = starts.filter(F.col("m") == 1).drop("m", "anchor")
+    others = (
+        starts.filter(F.col("m") > 1)
+        .join(terms.select("leaf", "off", "term"), "leaf")
+        .filter(F.col("off") != F.col("anchor"))
+        .join(post.select("term", "path", "field", "positions"), ["term", "path", "field"])
+        .filter(F.array_contains("positions", F.col("start") + F.col("off")))
+    )
+    several = (
+        others.groupBy("leaf", "m", "path", "ext", "dl", "field", "start")
+        .agg(F.count("*").alias("found"))
+        .filter(F.col("found") == F.col("m") - 1)
+        .drop("m", "found")
+    )
+    found = single.unionByName(several)
+    return found.groupBy("leaf", "path", "ext", "dl").agg(F.sum(weight_column(F.col("field"))).alias("f"))
+
+
+def score_many(
+    corpus: Corpus, clauses: DataFrame, *, ext: str | None = None, under: str | None = None
+) -> DataFrame:
+    """Every match of every query: ``query_id, path, ext, score``."""
+    _check(clauses)
+    shared_dir(clauses.sparkSession)
+    prepared = _prepared(clauses)
+    leaves = prepared.filter(F.col("leaf").isNotNull()).select("leaf", "toks", "is_prefix", "column").distinct()
+    # Three later steps read the hits; the checkpoint keeps them in the shared folder.
+    hits = leaf_hits(corpus, leaves).checkpoint()
+    counts = hits.groupBy("leaf").agg(F.count("*").alias("n_with"))
+    counted = prepared.join(counts, "leaf", "left").select(
+        "query_id", "slot", "alt", "negated", "leaf", F.coalesce("n_with", F.lit(0)).alias("n_with")
+    )
+    slots = (
+        counted.filter(~F.col("negated"))
+        .groupBy("query_id", "slot")
+        .agg(F.sum("n_with").alias("n"))
+        .groupBy("query_id")
+        .agg(F.min_by("slot", F.struct("n", "slot")).alias("slot"), F.count("*").alias("required"))
+    )
+    driving = counted.filter(~F.col("negated")).join(slots, ["query_id", "slot"])
+    cand = driving.join(hits, "leaf").select("query_id", "required", "path", "ext", "dl").distinct()
+    looked_up = cand.join(counted, "query_id").join(hits.select("leaf", "path", "f"), ["leaf", "path"])
+    totals = corpus.stats.agg(
+        F.struct(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens")).alias("c")
+    ).scalar()
+    part = term_score(F.col("f"), F.col("dl"), F.col("n_with"), totals["docs"], totals["tokens"])
+    kept = F.when(~F.col("negated"), F.struct("slot", "alt", part.alias("part")))
+    # One row per clause of the query: the list is as short as the query.
+    judged = looked_up.groupBy("query_id", "path", "ext", "required").agg(
+        F.sort_array(F.collect_list(kept)).alias("parts"), F.max("negated").alias("excluded")
+    )
+    satisfied = F.size(F.array_distinct(F.transform("parts", lambda p: p["slot"])))
+    total: Column = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["part"])
+    matched = judged.filter(~F.col("excluded") & (satisfied == F.col("required")))
+    scored = matched.select("query_id", "path", "ext", (F.lit(0.0) - total).alias("score"))
+    if ext is not None:
+        scored = scored.filter(has_extension(F.col("ext"), ext))
+    if under is not None:
+        scored = scored.filter(in_subtree(F.col("path"), under))
+    return scored
+
+
+def search_many(corpus: Corpus, clauses: DataFrame, limit: int, **options) -> DataFrame:
+    """The best ``limit`` matches per query, ranked."""
+    return top_k_per_query(score_many(corpus, clauses, **options), limit)

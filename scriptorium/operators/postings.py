@@ -27,14 +27,14 @@ def postings(documents: DataFrame) -> DataFrame:
 
     sorted_docs = documents.select(
         "path", "ext", "dl", F.sort_array(F.concat(*[occurrences(f) for f in FIELDS])).alias("occ")
-    ).filter(F.size("occ") > 0)
+    )
 
     def is_first(i: Column) -> Column:
         here, before = F.get(F.col("occ"), i), F.get(F.col("occ"), i - 1)
         return (i == 0) | (here["term"] != before["term"]) | (here["field"] != before["field"])
 
     bounded = sorted_docs.withColumn(
-        "first", F.filter(F.sequence(F.lit(0), F.size("occ") - 1), is_first)
+        "first", F.filter(F.transform("occ", lambda o, i: i), is_first)
     )
 
     def group(start: Column, k: Column) -> Column:

@@ -94,8 +94,7 @@ def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The present state with bodies: low-quality documents are gone, Spanish ones have grown a line.
 
-    Documents of one source cannot be read, and files are counted as too large from 16 KiB of text on by
-    scaling their size, so that each outcome of a run occurs.
+    :func:`snapshot` marks the documents of one source as unreadable, so that this outcome occurs too.
     """
     docs = table(spark, sf_dir, "documents").join(
         table(spark, sf_dir, "labels").filter(F.col("quality") == 0).select("doc_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.catalog import sql
 from scriptorium.catalog.inputs import indexed, table
 from scriptorium.catalog.sql import leaf, matches_sql
-from scriptorium.operators.batch import score_many, search_many
+from scriptorium.plans.batch import score_many, search_many
 from scriptorium.operators.export import to_envelope
 from scriptorium.operators.filters import keep_tagged
 from scriptorium.operators.match import candidates, document_frequencies

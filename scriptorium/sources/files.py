@@ -30,13 +30,34 @@ def _reader(spark: SparkSession):
     return spark.read.format("binaryFile").option("recursiveFileLookup", True)
 
 
+def _empty_files(spark: SparkSession, loaded: DataFrame, root: str) -> DataFrame:
+    """Files without content, which the file sources leave out of their rows but not of their listing.
+
+    The listing that Spark already holds is turned into a dataset inside the JVM and reduced to the paths
+    the scan did not return. An empty file has no time of its own: its size says all there is to compare.
+    """
+    jvm = spark.sparkContext._jvm
+    names = spark._jsparkSession.createDataset(
+        jvm.java.util.Arrays.asList(loaded._jdf.inputFiles()), jvm.org.apache.spark.sql.Encoders.STRING()
+    )
+    listed = DataFrame(names.toDF(), spark).select(
+        F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))).alias("uri")
+    )
+    every = listed.select(_relative(F.col("uri"), root).alias("path"))
+    filled = loaded.select(_relative(F.col("path"), root).alias("path"))
+    return every.join(filled, "path", "left_anti").select(
+        "path", F.lit(0).cast("bigint").alias("size"), F.timestamp_seconds(F.lit(0)).alias("mtime")
+    )
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """List the indexable files below ``root``; no file is opened."""
-    listed = _reader(spark).load(root).select(
+    loaded = _reader(spark).load(root)
+    listed = loaded.select(
         _relative(F.col("path"), root).alias("path"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"),
-    )
+    ).unionByName(_empty_files(spark, loaded, root))
     name = base_name(F.col("path"))
     return listed.filter(~is_hidden(F.col("path")) & extension(name).isNotNull()).select(
         "path",
@@ -48,25 +69,24 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _load_named(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """Open the wanted files only, as long as their names are few enough to hand over."""
+    reader = _reader(spark)
+    names = [r["path"] for r in wanted.select("path").limit(NAMED_READ_LIMIT + 1).collect()]
+    if not names:
+        return reader.load(root).filter(F.lit(False))
+    if len(names) > NAMED_READ_LIMIT:
+        return reader.load(root)
+    base = root.rstrip("/")
+    return reader.load([base + "/" + re.sub(r"([\\*?\[\]{}])", r"\\\1", n) for n in names])
+
+
 def read_files(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
-    """Document rows for every readable file, or for the paths in ``wanted`` only.
+    """Document rows for every readable file with content, or for the paths in ``wanted`` only.
 
     Oversized files are excluded before their content is loaded (the length filter reaches the source).
     """
-    reader = _reader(spark)
-    if wanted is None:
-        loaded = reader.load(root)
-    else:
-        names = [r["path"] for r in wanted.select("path").limit(NAMED_READ_LIMIT + 1).collect()]
-        if not names:
-            loaded = reader.load(root).filter(F.lit(False))
-        elif len(names) <= NAMED_READ_LIMIT:
-            base = root.rstrip("/")
-            loaded = reader.load(
-                [base + "/" + re.sub(r"([\\*?\[\]{}])", r"\\\1", n) for n in names]
-            )
-        else:
-            loaded = reader.load(root)
+    loaded = _reader(spark).load(root) if wanted is None else _load_named(spark, root, wanted)
     rows = loaded.filter(F.col("length") <= MAX_FILE_BYTES).select(
         _relative(F.col("path"), root).alias("path"),
         F.col("length").alias("size"),
@@ -83,6 +103,12 @@ def read_files(spark: SparkSession, root: str, wanted: DataFrame | None = None)
     )
 
 
+def empty_documents(listing: DataFrame) -> DataFrame:
+    """Document rows of the listed files that have no content."""
+    empty = listing.filter(F.col("readable") & (F.col("size") == 0))
+    return build_documents(empty.select("path", "size", "mtime", "ext", F.lit("").alias("body")))
+
+
 def oversized(snapshot: DataFrame) -> DataFrame:
     """Files the size guard turns away, with the message recorded for each."""
     return snapshot.filter(F.col("readable") & (F.col("size") > MAX_FILE_BYTES)).select(

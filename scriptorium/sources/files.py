@@ -38,7 +38,8 @@ def _empty_files(spark: SparkSession, loaded: DataFrame, root: str) -> DataFrame
     """
     jvm = spark.sparkContext._jvm
     names = spark._jsparkSession.createDataset(
-        jvm.java.util.Arrays.asList(loaded._jdf.inputFiles()), jvm.org.apache.spark.sql.Encoders.STRING()
+        jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(loaded._jdf.inputFiles()),
+        jvm.org.apache.spark.sql.Encoders.STRING(),
     )
     listed = DataFrame(names.toDF(), spark).select(
         F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))).alias("uri")

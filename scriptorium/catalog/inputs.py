@@ -81,7 +81,7 @@ def indexed(spark: SparkSession, sf_dir: str) -> Corpus:
         assigned.write.mode("overwrite").parquet(f"{root}/document_tags")
         _BUILT[key] = (root, shards)
     root, shards = _BUILT[key]
-    tables = ("documents", "postings", "stats", "tags", "document_tags")
+    tables = ("documents", "postings", "stats", "tags", "document_tags", "terms")
     return Corpus(*[spark.read.parquet(f"{root}/{name}") for name in tables], shards)
 
 

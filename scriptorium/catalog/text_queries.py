@@ -12,7 +12,7 @@ from scriptorium.functions.headers import md_title, title_of, txt_title, txt_url
 from scriptorium.functions.names import base_name, extension, folder_of, is_hidden, name_warning, stem_of
 from scriptorium.functions.text import tokens
 from scriptorium.operators.postings import corpus_stats, document_lengths, postings, token_rows
-from scriptorium.plans.corpus import shard_count, write_documents
+from scriptorium.plans.corpus import shard_count, planned_bytes, write_documents
 from scriptorium.session import shared_dir
 from scriptorium.sources.files import oversized, scan_files
 
@@ -271,7 +271,7 @@ def src12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the document table and read one extension back; the filter prunes directories."""
     docs = corpus_view(spark, sf_dir)
     path = _scratch(spark, "sink") + "/" + sf_dir.strip("/").replace("/", "-")
-    write_documents(docs, path, shard_count(docs))
+    write_documents(docs, path, shard_count(planned_bytes(docs)))
     return (
         spark.read.parquet(path)
         .filter(F.col("ext") == "md")

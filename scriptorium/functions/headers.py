@@ -14,9 +14,15 @@ TITLE_KEYS = ("Title", "title")
 URL_KEYS = ("URL", "titleUrl")
 
 
-def _header_pairs(body: Column) -> Column:
-    keyed = F.filter(head_lines(body, TXT_HEAD), lambda line: F.contains(line, F.lit(":")))
-    return F.transform(
+# Lines worth a closer look; both tests are anchored, so long lines cost nothing.
+_KEYED = f"(?U)^{SPACE}*({'|'.join(TITLE_KEYS + URL_KEYS)}){SPACE}*:"
+_PLAIN = f"(?U)^{SPACE}*[^\\s\\x1c-\\x1f*-]"
+
+
+def _first_value(body: Column, keys: tuple[str, ...]) -> Column:
+    """The first non-empty value among the head lines, the first key taking precedence."""
+    keyed = F.filter(head_lines(body, TXT_HEAD), lambda line: line.rlike(_KEYED))
+    pairs = F.transform(
         keyed,
         lambda line: F.struct(
             strip(F.substring_index(line, ":", 1)).alias("key"),
@@ -24,8 +30,6 @@ def _header_pairs(body: Column) -> Column:
         ),
     )
 
-
-def _first_of(pairs: Column, keys: tuple[str, ...]) -> Column:
     def first(key: str) -> Column:
         found = F.filter(pairs, lambda p: (p["key"] == key) & (p["val"] != ""))
         return F.get(found, F.lit(0))["val"]
@@ -34,24 +38,23 @@ def _first_of(pairs: Column, keys: tuple[str, ...]) -> Column:
 
 
 def txt_title(body: Column) -> Column:
-    return _first_of(_header_pairs(body), TITLE_KEYS)
+    return _first_value(body, TITLE_KEYS)
 
 
 def txt_url(body: Column) -> Column:
-    return _first_of(_header_pairs(body), URL_KEYS)
+    return _first_value(body, URL_KEYS)
 
 
 def md_title(body: Column) -> Column:
     """The first non-empty heading, else the first plain line that is not a list item."""
     lines = head_lines(body, MD_HEAD)
     headings = F.transform(
-        lines, lambda line: strip(F.regexp_extract(line, f"(?U)^#{{1,6}}{SPACE}+(.*)", 1))
+        F.filter(lines, lambda line: line.startswith("#")),
+        lambda line: strip(F.regexp_extract(line, f"(?U)^#{{1,6}}{SPACE}+(.*)", 1)),
     )
     heading = F.get(F.filter(headings, lambda h: h != ""), F.lit(0))
-    plain = F.filter(
-        F.transform(lines, strip), lambda s: (s != "") & ~s.startswith("*") & ~s.startswith("-")
-    )
-    return F.coalesce(heading, F.get(plain, F.lit(0)))
+    plain = F.get(F.filter(lines, lambda line: line.rlike(_PLAIN)), F.lit(0))
+    return F.coalesce(heading, strip(plain))
 
 
 def title_of(body: Column, ext: Column, stem: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ FIELDS = tuple(WEIGHTS)
 
 # Whitespace and line boundaries as Unicode text processing sees them.
 SPACE = r"[\s\x1c-\x1f]"
+RARE_BREAKS = "\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029"
 LINE_BREAK = "[\n\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 # A token is a run of letters, numbers or private-use characters; combining marks never split one.
@@ -36,8 +37,13 @@ def unify_newlines(c: Column) -> Column:
 
 
 def head_lines(c: Column, n: int) -> Column:
-    """The first ``n`` lines as an array; the rest of the text is not split."""
-    return F.slice(F.split(c, LINE_BREAK, n + 1), 1, n)
+    """The first ``n`` lines as an array; the rest of the text is not split.
+
+    Rare line boundaries are looked for by byte search first, as the pattern is far slower.
+    """
+    rare = reduce(Column.__or__, [F.contains(c, F.lit(b)) for b in RARE_BREAKS])
+    lines = F.when(rare, F.split(c, LINE_BREAK, n + 1)).otherwise(F.split(c, "\n", n + 1))
+    return F.slice(lines, 1, n)
 
 
 @lru_cache(maxsize=1)
@@ -62,20 +68,27 @@ def _fold_table() -> tuple[str, str]:
 
 
 def fold(c: Column) -> Column:
-    """Lower-case and drop diacritics. Text that is pure ASCII skips the character table."""
+    """Lower-case and drop diacritics."""
     source, target = _fold_table()
-    lowered = F.lower(c)
-    full = F.regexp_replace(F.translate(lowered, source, target), MARKS, "")
-    return F.when(F.octet_length(c) == F.char_length(c), lowered).otherwise(full)
+    return F.regexp_replace(F.translate(F.lower(c), source, target), MARKS, "")
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
 
 
 def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(fold(c), F.lit(TOKEN), F.lit(0))
+    """Folded tokens. Pure ASCII text, by far the quicker case, needs no character table."""
+    plain = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    full = F.regexp_extract_all(fold(c), F.lit(TOKEN), F.lit(0))
+    return F.when(is_ascii(c), plain).otherwise(full)
 
 
 def token_count(c: Column) -> Column:
     """Same number as ``size(tokens(c))`` without building the array."""
-    return F.regexp_count(c, F.lit(RAW_TOKEN))
+    return F.when(is_ascii(c), F.regexp_count(c, F.lit("[A-Za-z0-9]+"))).otherwise(
+        F.regexp_count(c, F.lit(RAW_TOKEN))
+    )
 
 
 def query_tokens(value: str) -> list[str]:

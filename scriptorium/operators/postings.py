@@ -61,6 +61,11 @@ def document_lengths(documents: DataFrame) -> DataFrame:
     return documents.select("path", "dl")
 
 
+def term_counts(post: DataFrame) -> DataFrame:
+    """The vocabulary with the number of posting rows of each term."""
+    return post.groupBy("term").agg(F.count("*").alias("n"))
+
+
 def corpus_stats(documents: DataFrame) -> DataFrame:
     """One row: number of documents and of tokens."""
     return documents.agg(

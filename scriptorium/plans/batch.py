@@ -7,6 +7,7 @@ Very common tokens and leaves are then only looked up for documents that are can
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,10 +23,6 @@ from scriptorium.operators.rank import top_k_per_query
 from scriptorium.plans.corpus import Corpus
 from scriptorium.session import shared_dir
 
-# A join on terms is spread over this many slices of the paths, so one common term is not one task.
-SLICES = 16
-
-
 def _check(clauses: DataFrame) -> None:
     """Reject malformed clauses; looks at the clause table only."""
     known = F.col("field").isNull() | F.lower("field").isin(*FIELD_NAMES)
@@ -62,59 +59,69 @@ def _prepared(clauses: DataFrame) -> DataFrame:
     return split.withColumn("leaf", F.when(F.size("toks") > 0, key))
 
 
-def _leaf_terms(leaves: DataFrame, post: DataFrame) -> DataFrame:
-    """``leaf, m, column, off, term``: every index term that may stand at each offset of a leaf."""
-    spread = leaves.select("leaf", "is_prefix", "column", F.size("toks").alias("m"), F.posexplode("toks").alias("off", "tok"))
+def _leaf_terms(leaves: DataFrame, terms: DataFrame) -> DataFrame:
+    """``leaf, m, column, off, term, n``: the index terms that may stand at each offset of a leaf."""
+    spread = leaves.select(
+        "leaf", "is_prefix", "column", F.size("toks").alias("m"), F.posexplode("toks").alias("off", "tok")
+    )
     open_end = F.col("is_prefix") & (F.col("off") == F.col("m") - 1)
-    exact = spread.filter(~open_end).select("leaf", "m", "column", "off", F.col("tok").alias("term"))
+    columns = ("leaf", "m", "column", "off", "term", "n")
+    exact = spread.filter(~open_end).withColumnRenamed("tok", "term").join(terms, "term").select(*columns)
     starts = spread.filter(open_end)
-    if starts.isEmpty():
+    # As many lengths as the clauses hold; each term is cut to those only.
+    lengths = [r["n"] for r in starts.select(F.length("tok").alias("n")).distinct().collect()]
+    if not lengths:
         return exact
-    vocabulary = post.select("term").distinct()
-    heads = vocabulary.select(
-        "term",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring("term", F.lit(1), n))).alias("tok"),
-    )
-    opened = starts.join(heads, "tok").select("leaf", "m", "column", "off", "term")
-    return exact.unionByName(opened)
+    cuts = F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in sorted(lengths)])
+    heads = terms.select("term", "n", F.explode(cuts).alias("tok"))
+    return exact.unionByName(starts.join(heads, "tok").select(*columns))
 
 
-def _sliced(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+def _saved(frame: DataFrame) -> DataFrame:
+    """Write an intermediate table that several steps read to the shared folder.
+
+    Its size on disk then tells the planner whether it is small enough to be sent to every executor.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark)}/batch-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def leaf_hits(corpus: Corpus, leaves: DataFrame) -> DataFrame:
     """``leaf, path, ext, dl, f`` for every document that holds a leaf."""
-    by = ["term", "slice"]
-    terms = _leaf_terms(leaves, corpus.postings)
-    used = terms.select("term").distinct()
+    by = ["term"]
+    terms = _leaf_terms(leaves, corpus.terms)
     if corpus.shards:
-        used = used.withColumn("shard", shard_column(F.col("term"), corpus.shards))
-        by = ["shard", *by]
-    path_slice = F.pmod(F.crc32(F.encode("path", "UTF-8")), F.lit(SLICES)).cast("int")
-    post = corpus.postings.withColumn("slice", path_slice).join(_sliced(used), by, "left_semi")
-
-    rows_per_term = post.groupBy("term").agg(F.count("*").alias("n"))
-    rows_per_offset = terms.join(rows_per_term, "term").groupBy("leaf", "m", "off").agg(F.sum("n").alias("n"))
+        terms = terms.withColumn("shard", shard_column(F.col("term"), corpus.shards))
+        by = ["shard", "term"]
+    terms = _saved(terms)
     rarest = (
-        rows_per_offset.groupBy("leaf", "m")
+        terms.groupBy("leaf", "m", "off")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("leaf", "m")
         .agg(F.count("*").alias("offsets"), F.min_by("off", F.struct("n", "off")).alias("off"))
         .filter(F.col("offsets") == F.col("m"))
         .select("leaf", "off")
     )
-    anchor = _sliced(terms.join(rarest, ["leaf", "off"]))
-    placed = post.join(anchor, ["term", "slice"]).filter(
+    anchor = terms.join(rarest, ["leaf", "off"]).drop("n")
+    placed = corpus.postings.join(anchor, by).filter(
         F.col("column").isNull() | (F.col("column") == F.col("field"))
     )
     starts = placed.select(
-        "leaf", "m", "off", "path", "ext", "dl", "field", F.explode("positions").alias("pos")
-    ).select("leaf", "m", F.col("off").alias("anchor"), "path", "ext", "dl", "field", (F.col("pos") - F.col("off")).alias("start"))
+        "leaf", "m", F.col("off").alias("anchor"), "path", "ext", "dl", "field",
+        F.explode(F.transform("positions", lambda p: p - F.col("off"))).alias("start"),
+    )
     single = starts.filter(F.col("m") == 1).drop("m", "anchor")
+    later = terms.filter(F.col("m") > 1)
+    beside = corpus.postings.join(later.select(*by).distinct(), by, "left_semi").select(
+        "term", "path", "field", "positions"
+    )
     others = (
         starts.filter(F.col("m") > 1)
-        .join(terms.select("leaf", "off", "term"), "leaf")
+        .join(later.select("leaf", "off", "term"), "leaf")
         .filter(F.col("off") != F.col("anchor"))
-        .join(post.select("term", "path", "field", "positions"), ["term", "path", "field"])
+        .join(beside, ["term", "path", "field"])
         .filter(F.array_contains("positions", F.col("start") + F.col("off")))
     )
     several = (
@@ -132,11 +139,9 @@ def score_many(
 ) -> DataFrame:
     """Every match of every query: ``query_id, path, ext, score``."""
     _check(clauses)
-    shared_dir(clauses.sparkSession)
     prepared = _prepared(clauses)
     leaves = prepared.filter(F.col("leaf").isNotNull()).select("leaf", "toks", "is_prefix", "column").distinct()
-    # Three later steps read the hits; the checkpoint keeps them in the shared folder.
-    hits = leaf_hits(corpus, leaves).checkpoint()
+    hits = _saved(leaf_hits(corpus, leaves))
     counts = hits.groupBy("leaf").agg(F.count("*").alias("n_with"))
     counted = prepared.join(counts, "leaf", "left").select(
         "query_id", "slot", "alt", "negated", "leaf", F.coalesce("n_with", F.lit(0)).alias("n_with")

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators.postings import corpus_stats, path_shard, postings, shard_column
+from scriptorium.operators.postings import (
+    corpus_stats,
+    path_shard,
+    postings,
+    shard_column,
+    term_counts,
+)
 
 # One directory per this many bytes of text, within the bounds below.
 BYTES_PER_SHARD = 2 * 1024**3
-MIN_SHARDS, MAX_SHARDS = 4, 4096
+MIN_SHARDS, MAX_SHARDS = 8, 4096
+UNKNOWN_SIZE = 2**60
+MIN_FILE, MAX_FILE = 1 * 1024**2, 256 * 1024**2
 
 
 @dataclass(frozen=True)
@@ -21,6 +30,7 @@ class Corpus:
     stats: DataFrame
     tags: DataFrame
     document_tags: DataFrame
+    terms: DataFrame
     shards: int | None = None
 
 
@@ -36,20 +46,44 @@ def in_memory(
 ) -> Corpus:
     """A corpus that is tokenised as part of each query, for tables that are searched once."""
     no_tags, no_assignments = empty_tags(documents.sparkSession)
+    post = postings(documents)
     return Corpus(
         documents,
-        postings(documents),
+        post,
         corpus_stats(documents),
         no_tags if tags is None else tags,
         no_assignments if document_tags is None else document_tags,
+        term_counts(post),
     )
 
 
-def shard_count(documents: DataFrame) -> int:
-    total = documents.agg(F.sum("size").alias("b")).first()["b"] or 0
+def listed_bytes(listing: DataFrame) -> int:
+    return listing.agg(F.sum("size").alias("b")).first()["b"] or 0
+
+
+def planned_bytes(documents: DataFrame) -> int:
+    """Size of the input as the planner sees it, so that no text is read just to choose a layout."""
+    size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < UNKNOWN_SIZE else listed_bytes(documents)
+
+
+def shard_count(total: int) -> int:
     return max(MIN_SHARDS, min(MAX_SHARDS, -(-total // BYTES_PER_SHARD)))
 
 
+@contextmanager
+def file_size(spark: SparkSession, total: int):
+    """Size that adaptive execution aims at for each written file: one per core, within bounds."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name, None)
+    share = total // spark.sparkContext.defaultParallelism
+    spark.conf.set(name, str(max(MIN_FILE, min(MAX_FILE, share))))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def write_documents(documents: DataFrame, path: str, shards: int) -> None:
     """Partitioned by extension and by a hash of the path, sorted by path inside each file.
 
@@ -77,9 +111,12 @@ def write_postings(post: DataFrame, path: str, shards: int) -> None:
 def write_corpus(documents: DataFrame, root: str, shards: int | None = None) -> int:
     """Write documents, postings and statistics below ``root``; returns the shard count used."""
     spark = documents.sparkSession
-    count = shards or shard_count(documents)
-    write_documents(documents, f"{root}/documents", count)
-    stored = spark.read.parquet(f"{root}/documents")
-    write_postings(postings(stored), f"{root}/postings", count)
+    total = planned_bytes(documents)
+    count = shards or shard_count(total)
+    with file_size(spark, total):
+        write_documents(documents, f"{root}/documents", count)
+        stored = spark.read.parquet(f"{root}/documents")
+        write_postings(postings(stored), f"{root}/postings", count)
     corpus_stats(stored).coalesce(1).write.mode("overwrite").parquet(f"{root}/stats")
+    term_counts(spark.read.parquet(f"{root}/postings")).write.mode("overwrite").parquet(f"{root}/terms")
     return count

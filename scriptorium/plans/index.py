@@ -12,15 +12,23 @@ from scriptorium.operators import snapshot as snap
 from scriptorium.operators import tags as tag_ops
 from scriptorium.plans.batch import search_many
 from scriptorium.operators.filters import tag_key
-from scriptorium.operators.postings import corpus_stats, postings, update_postings
-from scriptorium.plans.corpus import Corpus, empty_tags, shard_count, write_documents, write_postings
+from scriptorium.operators.postings import corpus_stats, postings, term_counts, update_postings
+from scriptorium.plans.corpus import (
+    Corpus,
+    empty_tags,
+    file_size,
+    listed_bytes,
+    shard_count,
+    write_documents,
+    write_postings,
+)
 from scriptorium.plans.search import search
 from scriptorium.sources.files import empty_documents, read_files, scan_files
 
 RUN_COLUMNS = (
     "walked", "txt", "md", "unchanged", "upserted", "pruned", "unreadable", "kept", "never_indexed", "errors",
 )
-TABLES = ("documents", "postings", "stats", "tags", "document_tags")
+TABLES = ("documents", "postings", "stats", "tags", "document_tags", "terms")
 
 
 def run_row(stats: DataFrame, root: str, run_at: Column | None = None) -> DataFrame:
@@ -121,16 +129,18 @@ class Index:
         self, state: dict | None, root: str, listing: DataFrame, changes: DataFrame, whole: bool
     ) -> dict:
         paths = {n: self._fresh(n) for n in TABLES}
+        total = listed_bytes(listing)
         if whole:
             documents = read_files(self.spark, root)
             unreadable = listing.filter(~F.col("readable"))
             if not unreadable.isEmpty():
                 documents = documents.join(unreadable.select("path"), "path", "left_anti")
             documents = documents.unionByName(empty_documents(listing))
-            shards = shard_count(listing)
-            write_documents(documents, paths["documents"], shards)
-            stored = self.spark.read.parquet(paths["documents"])
-            write_postings(postings(stored), paths["postings"], shards)
+            shards = shard_count(total)
+            with file_size(self.spark, total):
+                write_documents(documents, paths["documents"], shards)
+                stored = self.spark.read.parquet(paths["documents"])
+                write_postings(postings(stored), paths["postings"], shards)
         else:
             shards = state["shards"]
             wanted = snap.with_status(changes, "upsert")
@@ -141,12 +151,14 @@ class Index:
             changed.write.parquet(staged)
             changed = self.spark.read.parquet(staged)
             old = self._read(state, "documents").drop("shard")
-            write_documents(snap.carry_over(old, changes, changed), paths["documents"], shards)
             touched = snap.with_status(changes, "upsert", "pruned")
             kept = self._read(state, "postings").drop("shard")
-            write_postings(update_postings(kept, touched, changed), paths["postings"], shards)
+            with file_size(self.spark, total):
+                write_documents(snap.carry_over(old, changes, changed), paths["documents"], shards)
+                write_postings(update_postings(kept, touched, changed), paths["postings"], shards)
             stored = self.spark.read.parquet(paths["documents"])
         corpus_stats(stored).coalesce(1).write.parquet(paths["stats"])
+        term_counts(self.spark.read.parquet(paths["postings"])).write.parquet(paths["terms"])
         if state:
             tags, assigned = self._read(state, "tags"), self._read(state, "document_tags")
         else:

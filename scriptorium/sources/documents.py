@@ -9,6 +9,8 @@ from scriptorium.functions.headers import title_of, url_of
 from scriptorium.functions.names import base_name, extension, folder_of, is_hidden, stem_of
 from scriptorium.functions.text import FIELDS, token_count, unify_newlines
 
+SPLIT_BYTES = 128 * 1024**2
+
 
 def build_documents(rows: DataFrame, indexed_at: Column | None = None) -> DataFrame:
     """``path, size, mtime, ext, body`` in, full document rows out. One projection, no shuffle."""
@@ -29,6 +31,17 @@ def build_documents(rows: DataFrame, indexed_at: Column | None = None) -> DataFr
     return titled.withColumn("dl", length.cast("bigint"))
 
 
+def spread(rows: DataFrame, key: Column) -> DataFrame:
+    """Distribute an input that is too small to be split into a task per core.
+
+    Never shuffles more than one read split per core; larger inputs are left as they were read.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores, key) if size < cores * SPLIT_BYTES else rows
+
+
 def documents_from_table(
     table: DataFrame,
     path: Column,
@@ -38,7 +51,7 @@ def documents_from_table(
 ) -> DataFrame:
     """Treat each table row as one file. Rows whose path is not indexable are left out."""
     body = unify_newlines(F.coalesce(text, F.lit("")))
-    rows = table.select(
+    rows = spread(table, path).select(
         path.alias("path"),
         F.octet_length(text).cast("bigint").alias("size"),
         mtime.cast("timestamp").alias("mtime"),

@@ -309,24 +309,25 @@ def absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
         "m0",
         ["true"],
         100,
-        "path, coalesce(names, []) AS tags",
+        "path, array_to_string(coalesce(names, []), ',') AS tags",
         more=", named AS (SELECT dt.path, list(t.name ORDER BY t.name_key) AS names FROM document_tags dt "
         "JOIN tags t USING (name_key) GROUP BY dt.path)",
     ).replace("FROM top JOIN docs USING (path)", "FROM top JOIN docs USING (path) LEFT JOIN named USING (path)"),
 )
 def hit_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search(indexed(spark, sf_dir), "the", limit=100, snippets=False)
-    return hits.select("path", "tags")
+    return hits.select("path", F.array_join("tags", ",").alias("tags"))
 
 
 @query(
     "jn5_agg2_tags_per_path",
-    f"WITH {sql.TAGS} SELECT dt.path, list(t.name ORDER BY t.name_key) AS tags FROM document_tags dt "
+    f"WITH {sql.TAGS} SELECT dt.path, array_to_string(list(t.name ORDER BY t.name_key), ',') AS tags FROM document_tags dt "
     "JOIN tags t USING (name_key) GROUP BY dt.path",
 )
 def tags_per_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = indexed(spark, sf_dir)
-    return tags_of(corpus.document_tags, corpus.tags, ["path"])
+    found = tags_of(corpus.document_tags, corpus.tags, ["path"])
+    return found.select("path", F.array_join("tags", ",").alias("tags"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,11 @@ from pyspark.sql import functions as F
 from scriptorium.functions.bm25 import term_score
 from scriptorium.functions.text import WEIGHTS
 from scriptorium.operators.postings import shard_of
-from scriptorium.operators.query import ButNot, Leaf, Node, leaves_of, truth
+from scriptorium.operators.query import AllOf, ButNot, Leaf, Node, leaves_of, truth
+
+# Leaving out rows pays from this many on, and needs at most this many paths at every executor.
+MIN_SAVED = 100_000
+MAX_GUARD = 200_000
 
 
 def weight_column(field: Column) -> Column:
@@ -28,6 +33,82 @@ def distinct_leaves(tree: Node) -> list[Leaf]:
     return list(dict.fromkeys(leaf for leaf in leaves_of(tree) if leaf.tokens))
 
 
+@dataclass(frozen=True)
+class Guard:
+    """A word every match must contain, and the leaves whose rows matter only beside it."""
+
+    word: str
+    free: tuple[Leaf, ...]
+
+
+def word_counts(terms: DataFrame, leaves: list[Leaf]) -> dict[str, dict]:
+    """Vocabulary rows of the exact words in a query; as many rows as the query has words."""
+    words = sorted({t for leaf in leaves for t in exact_tokens(leaf)})
+    rows = terms.filter(F.col("term").isin(words)).collect() if words else []
+    return {r["term"]: r.asDict() for r in rows}
+
+
+def exact_tokens(leaf: Leaf) -> tuple[str, ...]:
+    return leaf.tokens[:-1] if leaf.is_prefix else leaf.tokens
+
+
+def known_frequency(leaf: Leaf, counts: dict[str, dict]) -> int | None:
+    """Documents with the leaf, where the vocabulary tells: for single words."""
+    if len(leaf.tokens) != 1 or leaf.is_prefix:
+        return None
+    column = "n_docs" if leaf.column is None else f"n_{leaf.column}"
+    return counts.get(leaf.tokens[0], {}).get(column, 0)
+
+
+def _required(node: Node) -> list[Leaf]:
+    if isinstance(node, Leaf):
+        return [node]
+    if isinstance(node, ButNot):
+        return _required(node.keep)
+    return [leaf for p in node.parts for leaf in _required(p)] if isinstance(node, AllOf) else []
+
+
+def choose_guard(tree: Node, counts: dict[str, dict]) -> Guard | None:
+    """The rarest required word, if much more common rows can be left out by it.
+
+    Frequencies stay exact: words have theirs from the vocabulary, a phrase that contains the guard only
+    occurs beside it, and all other leaves keep every row.
+    """
+    words = {t for leaf in _required(tree) for t in exact_tokens(leaf)}
+    if not words:
+        return None
+
+    def rows(t: str) -> int:
+        return counts.get(t, {}).get("n", 0)
+
+    guard = min(sorted(words), key=rows)
+    bound = [
+        leaf
+        for leaf in distinct_leaves(tree)
+        if known_frequency(leaf, counts) is not None or guard in exact_tokens(leaf)
+    ]
+    free = tuple(leaf for leaf in distinct_leaves(tree) if leaf not in bound)
+    kept = {t for leaf in free for t in exact_tokens(leaf)} | {guard}
+    saved = sum(rows(t) for t in {t for leaf in bound for t in exact_tokens(leaf)} - kept)
+    worth = saved >= MIN_SAVED and saved > 2 * rows(guard) and rows(guard) <= MAX_GUARD
+    return Guard(guard, free) if worth else None
+
+
+def _beside(rows: DataFrame, post: DataFrame, guard: Guard, shards: int | None) -> DataFrame:
+    """Drop rows of bound leaves in documents without the guard, before anything is shuffled."""
+    word = post.filter((F.col("term") == guard.word) & F.col("lead"))
+    if shards:
+        word = word.filter(F.col("shard") == shard_of(guard.word, shards))
+    # At most MAX_GUARD paths, by the vocabulary's count.
+    word = F.broadcast(word.select("path", F.lit(True).alias("_beside")))
+    keep = F.col("_beside").isNotNull()
+    for leaf in guard.free:
+        for k, token in enumerate(leaf.tokens):
+            last = k == len(leaf.tokens) - 1
+            keep = keep | _term_test(F.col("term"), token, leaf.is_prefix and last)
+    return rows.join(word, "path", "left").filter(keep).drop("_beside")
+
+
 def leaf_rows(post: DataFrame, leaves: list[Leaf], shards: int | None = None) -> DataFrame:
     """Only the posting rows some leaf can use. Both conditions reach the Parquet scan."""
     exact, starts = set(), set()
@@ -69,7 +150,9 @@ def _phrase_count(leaf: Leaf) -> Column:
     return reduce(Column.__add__, [in_field(f) for f in leaf.columns])
 
 
-def candidates(post: DataFrame, tree: Node, shards: int | None = None) -> DataFrame:
+def candidates(
+    post: DataFrame, tree: Node, shards: int | None = None, guard: Guard | None = None
+) -> DataFrame:
     """``path, ext, dl`` and one weighted frequency ``f<i>`` per distinct leaf.
 
     Documents without any leaf are absent: a legal query needs a positive leaf.
@@ -90,7 +173,10 @@ def candidates(post: DataFrame, tree: Node, shards: int | None = None) -> DataFr
             reduce(Column.__or__, phrase_tests), F.struct("term", "field", "positions")
         )
         aggregates.append(F.collect_list(row).alias("occ"))
-    grouped = leaf_rows(post, leaves, shards).groupBy("path", "ext", "dl").agg(*aggregates)
+    rows = leaf_rows(post, leaves, shards)
+    if guard is not None:
+        rows = _beside(rows, post, guard, shards)
+    grouped = rows.groupBy("path", "ext", "dl").agg(*aggregates)
     return grouped.select(
         "path",
         "ext",
@@ -134,30 +220,43 @@ def _counted(node: Node, gates: list[Node]) -> list[tuple[Leaf, list[Node]]]:
 
 
 def score(
-    cand: DataFrame, tree: Node, stats: DataFrame, with_active: bool = False
+    cand: DataFrame,
+    tree: Node,
+    stats: DataFrame,
+    with_active: bool = False,
+    known: dict[Leaf, int] | None = None,
 ) -> DataFrame:
     """Matching documents with their score (lower is better).
 
-    Frequencies and corpus statistics are scalar subqueries over all candidates, so later filters never
-    change them. ``with_active`` adds which distinct leaves counted, for snippets.
+    Corpus statistics, and frequencies that are not ``known`` already, are scalar subqueries over all
+    candidates, so later filters never change them. ``with_active`` adds which distinct leaves counted,
+    for snippets.
     """
     leaves = distinct_leaves(tree)
     if not leaves:
         none = cand.select("path", "ext", F.lit(0.0).alias("score"))
         return none.withColumn("active", F.array().cast("array<boolean>")) if with_active else none
-    freq = document_frequencies(cand)
-    freq = freq.select(F.struct(*freq.columns).alias("n")).scalar()
+    known = known or {}
     totals = stats.agg(
         F.struct(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens")).alias("c")
     ).scalar()
-    hits = cand.filter(matches(tree, leaves))
+    hits = cand.filter(matches(tree, leaves)).withColumn("_total", totals)
+    if any(leaf not in known for leaf in leaves):
+        # All leaf columns are counted, which keeps the shuffle below identical to the one of the hits.
+        freq = document_frequencies(cand)
+        freq = freq.select(F.struct(*freq.columns).alias("n")).scalar()
+        hits = hits.withColumn("_with", freq)
     active: list[Column] = [F.lit(False)] * len(leaves)
     total = F.lit(0.0)
     for leaf, gates in _counted(tree, []):
         i = leaves.index(leaf)
         gate = _all([matches(g, leaves) for g in gates] + [F.col(f"f{i}") > 0])
         part = term_score(
-            F.col(f"f{i}"), F.col("dl"), freq[f"f{i}"], totals["docs"], totals["tokens"]
+            F.col(f"f{i}"),
+            F.col("dl"),
+            F.lit(known[leaf]) if leaf in known else F.col(f"_with.f{i}"),
+            F.col("_total.docs"),
+            F.col("_total.tokens"),
         )
         total = total + F.when(gate, part).otherwise(F.lit(0.0))
         active[i] = active[i] | gate

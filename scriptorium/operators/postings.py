@@ -13,6 +13,8 @@ from scriptorium.functions.text import FIELDS, tokens
 def postings(documents: DataFrame) -> DataFrame:
     """One row per (term, document, field) with the sorted token positions.
 
+    ``lead`` marks the first row of each (term, document), so documents can be counted without grouping.
+
     Grouping happens inside each document row, so nothing is shuffled here and the rows that a writer
     later shuffles are already combined. ``dl`` rides along so that scoring never joins for it.
     """
@@ -41,14 +43,16 @@ def postings(documents: DataFrame) -> DataFrame:
         stop = F.coalesce(F.get(F.col("first"), k + 1), F.size("occ"))
         run = F.slice(F.col("occ"), start + 1, stop - start)
         head = F.get(F.col("occ"), start)
+        before = F.get(F.col("occ"), start - 1)
         return F.struct(
             head["term"].alias("term"),
             head["field"].alias("field"),
+            ((start == 0) | (head["term"] != before["term"])).alias("lead"),
             F.transform(run, lambda o: o["pos"]).alias("positions"),
         )
 
     grouped = bounded.select("path", "ext", "dl", F.explode(F.transform("first", group)).alias("g"))
-    return grouped.select("g.term", "path", "ext", "g.field", "dl", "g.positions")
+    return grouped.select("g.term", "path", "ext", "g.field", "dl", "g.lead", "g.positions")
 
 
 def token_rows(post: DataFrame) -> DataFrame:
@@ -62,8 +66,11 @@ def document_lengths(documents: DataFrame) -> DataFrame:
 
 
 def term_counts(post: DataFrame) -> DataFrame:
-    """The vocabulary with the number of posting rows of each term."""
-    return post.groupBy("term").agg(F.count("*").alias("n"))
+    """The vocabulary: posting rows, documents, and documents per field of each term."""
+    by_field = [F.count_if(F.col("field") == f).alias(f"n_{f}") for f in FIELDS]
+    return post.groupBy("term").agg(
+        F.count("*").alias("n"), F.count_if("lead").alias("n_docs"), *by_field
+    )
 
 
 def corpus_stats(documents: DataFrame) -> DataFrame:

@@ -117,11 +117,14 @@ def show_tags(tags: DataFrame, document_tags: DataFrame, path: str) -> DataFrame
     )
 
 
-def resolve_paths(wanted: DataFrame, documents: DataFrame, root: str | None = None) -> DataFrame:
+def resolve_paths(
+    wanted: DataFrame, documents: DataFrame, root: str | None = None, few: bool = False
+) -> DataFrame:
     """``given`` in, ``given, path, how`` out; ``path`` is NULL when nothing fits.
 
     Tried in order: the exact path, the path without regard to ASCII case, the absolute path under root.
-    Where several stored paths differ in case only, the smallest is taken.
+    Where several stored paths differ in case only, the smallest is taken. ``few`` says that ``wanted``
+    came from a list on the driver, so the documents are filtered in place instead of shuffled.
     """
     given = F.regexp_replace("given", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     asked = wanted.select("given").distinct().withColumn("_raw", given)
@@ -134,10 +137,15 @@ def resolve_paths(wanted: DataFrame, documents: DataFrame, root: str | None = No
     else:
         below = F.lit(None).cast("string")
     asked = asked.withColumn("_key", ascii_key(F.col("_raw"))).withColumn("_rel", below)
-    paths = documents.select("path")
-    exact = paths.withColumnRenamed("path", "_exact")
-    folded = paths.groupBy(ascii_key(F.col("path")).alias("_key")).agg(F.min("path").alias("_folded"))
-    absolute = paths.withColumnRenamed("path", "_absolute")
+    # Whatever fits does so up to ASCII case; one pass over the documents keeps those paths only.
+    keys = asked.select("_key").unionByName(asked.select(ascii_key(F.col("_rel")).alias("_key")))
+    keys = keys.filter(F.col("_key").isNotNull()).distinct()
+    near = documents.select("path", ascii_key(F.col("path")).alias("_key")).join(
+        F.broadcast(keys) if few else keys, "_key", "left_semi"
+    )
+    exact = near.select(F.col("path").alias("_exact"))
+    folded = near.groupBy("_key").agg(F.min("path").alias("_folded"))
+    absolute = near.select(F.col("path").alias("_absolute"))
     joined = (
         asked.join(exact, asked["_raw"] == exact["_exact"], "left")
         .join(folded, "_key", "left")
@@ -158,13 +166,14 @@ def select_paths(
     paths: DataFrame | None = None,
     under: str | None = None,
     root: str | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """Distinct stored paths named one by one and/or by subtree. Unknown paths are an error."""
     chosen = None
     if under is not None:
         chosen = documents.filter(in_subtree(F.col("path"), under)).select("path")
     if paths is not None:
-        resolved = resolve_paths(paths, documents, root)
+        resolved = resolve_paths(paths, documents, root, few)
         lost = [r["given"] for r in resolved.filter(F.col("path").isNull()).limit(5).collect()]
         if lost:
             raise ValueError(f"not in index: {', '.join(lost)}")

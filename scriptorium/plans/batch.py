@@ -159,10 +159,12 @@ def score_many(
     totals = corpus.stats.agg(
         F.struct(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens")).alias("c")
     ).scalar()
-    part = term_score(F.col("f"), F.col("dl"), F.col("n_with"), totals["docs"], totals["tokens"])
+    part = term_score(
+        F.col("f"), F.col("dl"), F.col("n_with"), F.col("_total.docs"), F.col("_total.tokens")
+    )
     kept = F.when(~F.col("negated"), F.struct("slot", "alt", part.alias("part")))
     # One row per clause of the query: the list is as short as the query.
-    judged = looked_up.groupBy("query_id", "path", "ext", "required").agg(
+    judged = looked_up.withColumn("_total", totals).groupBy("query_id", "path", "ext", "required").agg(
         F.sort_array(F.collect_list(kept)).alias("parts"), F.max("negated").alias("excluded")
     )
     satisfied = F.size(F.array_distinct(F.transform("parts", lambda p: p["slot"])))

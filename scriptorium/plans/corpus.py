@@ -108,6 +108,11 @@ def write_postings(post: DataFrame, path: str, shards: int) -> None:
     ).partitionBy("shard").parquet(path)
 
 
+def write_terms(post: DataFrame, path: str) -> None:
+    """The vocabulary in term order, so that looking up a few words reads a few pages."""
+    term_counts(post).sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+
+
 def write_corpus(documents: DataFrame, root: str, shards: int | None = None) -> int:
     """Write documents, postings and statistics below ``root``; returns the shard count used."""
     spark = documents.sparkSession
@@ -118,5 +123,5 @@ def write_corpus(documents: DataFrame, root: str, shards: int | None = None) ->
         stored = spark.read.parquet(f"{root}/documents")
         write_postings(postings(stored), f"{root}/postings", count)
     corpus_stats(stored).coalesce(1).write.mode("overwrite").parquet(f"{root}/stats")
-    term_counts(spark.read.parquet(f"{root}/postings")).write.mode("overwrite").parquet(f"{root}/terms")
+    write_terms(spark.read.parquet(f"{root}/postings"), f"{root}/terms")
     return count

@@ -12,7 +12,7 @@ from scriptorium.operators import snapshot as snap
 from scriptorium.operators import tags as tag_ops
 from scriptorium.plans.batch import search_many
 from scriptorium.operators.filters import tag_key
-from scriptorium.operators.postings import corpus_stats, postings, term_counts, update_postings
+from scriptorium.operators.postings import corpus_stats, postings, update_postings
 from scriptorium.plans.corpus import (
     Corpus,
     empty_tags,
@@ -21,6 +21,7 @@ from scriptorium.plans.corpus import (
     shard_count,
     write_documents,
     write_postings,
+    write_terms,
 )
 from scriptorium.plans.search import search
 from scriptorium.sources.files import empty_documents, read_files, scan_files
@@ -158,7 +159,7 @@ class Index:
                 write_postings(update_postings(kept, touched, changed), paths["postings"], shards)
             stored = self.spark.read.parquet(paths["documents"])
         corpus_stats(stored).coalesce(1).write.parquet(paths["stats"])
-        term_counts(self.spark.read.parquet(paths["postings"])).write.parquet(paths["terms"])
+        write_terms(self.spark.read.parquet(paths["postings"]), paths["terms"])
         if state:
             tags, assigned = self._read(state, "tags"), self._read(state, "document_tags")
         else:
@@ -221,7 +222,9 @@ class Index:
         if self._read(state, "tags").filter(F.col("name_key") == key).isEmpty():
             raise ValueError(f"tag not found: {name}")
         given = self.spark.createDataFrame([(p,) for p in paths], "given string") if paths else None
-        return key, tag_ops.select_paths(self._read(state, "documents"), given, under, state["root"])
+        return key, tag_ops.select_paths(
+            self._read(state, "documents"), given, under, state["root"], few=True
+        )
 
     def apply_tag(self, name: str, paths: list[str] = (), *, under: str | None = None) -> DataFrame:
         state = self._require()
@@ -240,7 +243,9 @@ class Index:
     def show_tags(self, path: str) -> DataFrame:
         state = self._require()
         given = self.spark.createDataFrame([(path,)], "given string")
-        chosen = tag_ops.select_paths(self._read(state, "documents"), given, None, state["root"])
+        chosen = tag_ops.select_paths(
+            self._read(state, "documents"), given, None, state["root"], few=True
+        )
         return tag_ops.show_tags(
             self._read(state, "tags"), self._read(state, "document_tags"), chosen.first()["path"]
         )

@@ -14,7 +14,14 @@ from scriptorium.operators.filters import (
     keep_tagged,
     require_known,
 )
-from scriptorium.operators.match import candidates, distinct_leaves, score
+from scriptorium.operators.match import (
+    candidates,
+    choose_guard,
+    distinct_leaves,
+    known_frequency,
+    score,
+    word_counts,
+)
 from scriptorium.operators.postings import path_shard
 from scriptorium.operators.query import Node, Tagged, all_of, separate, word
 from scriptorium.operators.rank import absolute_path, snippet_or_title, top_k
@@ -68,8 +75,15 @@ def score_matches(
         if with_active:
             rows = rows.withColumn("active", F.array().cast("array<boolean>"))
     else:
-        cand = candidates(corpus.postings, text, corpus.shards)
-        rows = score(cand, text, corpus.stats, with_active)
+        known, guard = {}, None
+        if corpus.shards:
+            leaves = distinct_leaves(text)
+            counts = word_counts(corpus.terms, leaves)
+            guard = choose_guard(text, counts)
+            known = {leaf: known_frequency(leaf, counts) for leaf in leaves}
+            known = {leaf: n for leaf, n in known.items() if n is not None}
+        cand = candidates(corpus.postings, text, corpus.shards, guard)
+        rows = score(cand, text, corpus.stats, with_active, known)
     return filtered(rows, corpus, tags, ext, under)
 
 
@@ -87,7 +101,7 @@ def search(
     """Ranked hits: ``rank, score, path, abs_path, title, ext, url, snippet, tags``.
 
     The top-k is found on paths and scores alone. Its rows (never more than ``limit``) are then joined to
-    the documents; where those are partitioned by ext and shard only the partitions holding a hit are read.
+    the documents; where those are partitioned by shard only the partitions holding a hit are read.
     """
     check_limit(limit)
     text, _ = split_query(corpus, query) if query is not None else (None, None)
@@ -96,9 +110,11 @@ def search(
         corpus, query, require_tags=require_tags, ext=ext, under=under, with_active=marked
     )
     best = top_k(scored, limit)
-    keys = ["ext", "path"]
+    keys = ["path"]
+    assigned = corpus.document_tags
     if corpus.shards and "shard" in corpus.documents.columns:
-        best = best.withColumn("shard", path_shard(F.col("path"), corpus.shards))
+        shard = path_shard(F.col("path"), corpus.shards)
+        best, assigned = best.withColumn("shard", shard), assigned.withColumn("shard", shard)
         keys.append("shard")
     best = F.broadcast(best)
     columns = [*best.columns]
@@ -109,9 +125,8 @@ def search(
         rows = rows.withColumn("snippet", snippet_or_title(F.col("snippet"), F.col("title")))
     else:
         rows = rows.withColumn("snippet", F.lit(""))
-    # Grouping by all hit columns keeps this broadcast identical to the one above, so it is reused.
-    assigned = corpus.document_tags.join(best, "path")
-    tagged = tags_of(assigned, corpus.tags, columns).select("path", "tags")
+    # The same keys and all hit columns keep this broadcast identical to the one above, so it is reused.
+    tagged = tags_of(assigned.join(best, keys), corpus.tags, columns).select("path", "tags")
     out = rows.join(tagged, "path", "left")
     return out.orderBy("rank").select(
         "rank",

@@ -7,10 +7,11 @@ import pytest
 from conftest import paths, write_tree
 
 import brute
+from scriptorium.operators import match
 from scriptorium.operators.export import to_envelope
 from scriptorium.operators.query import all_of, any_of, but_not, phrase, prefix, tag, word
 from scriptorium.plans.batch import score_many, search_many
-from scriptorium.plans.corpus import in_memory
+from scriptorium.plans.corpus import in_memory, write_postings, write_terms
 from scriptorium.plans.index import Index
 from scriptorium.plans.search import score_matches, search
 
@@ -147,6 +148,16 @@ def corpus_of(spark, docs):
     )
 
 
+def stored(spark, corpus, folder):
+    """The same corpus read back from disk, with sharded postings and a vocabulary."""
+    from dataclasses import replace
+
+    write_postings(corpus.postings, f"{folder}/postings", 4)
+    post = spark.read.parquet(f"{folder}/postings")
+    write_terms(post, f"{folder}/terms")
+    return replace(corpus, postings=post, terms=spark.read.parquet(f"{folder}/terms"), shards=4)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_random_trees_and_snippets(spark, seed):
     rng = random.Random(seed)
@@ -164,6 +175,38 @@ def test_random_trees_and_snippets(spark, seed):
         assert r["snippet"] == (want if want.strip() else r["title"]), (str(tree), by_path[r["path"]])
 
 
+@pytest.mark.parametrize("seed", range(10, 14))
+def test_guarded_evaluation_is_exact(spark, tmp_path, monkeypatch, seed):
+    """With the thresholds at zero every conjunction is evaluated beside its rarest word."""
+    monkeypatch.setattr(match, "MIN_SAVED", 0)
+    rng = random.Random(seed)
+    docs = random_docs(rng, 25)
+    corpus = stored(spark, corpus_of(spark, docs), tmp_path)
+    guarded = 0
+    for _ in range(2):
+        tree = all_of("d", random_leaf(rng), random_tree(rng, 1))
+        leaves = match.distinct_leaves(tree)
+        guarded += match.choose_guard(tree, match.word_counts(corpus.terms, leaves)) is not None
+        expected = brute.scores(docs, tree)
+        got = {r["path"]: r["score"] for r in score_matches(corpus, tree).collect()}
+        assert got.keys() == expected.keys(), str(tree)
+        for p, s in expected.items():
+            assert got[p] == pytest.approx(s, abs=1e-12), (str(tree), p)
+    print("guarded", guarded)
+
+
+def test_guard_choice():
+    counts = {t: {"n": n, "n_docs": n} for t, n in (("the", 10**6), ("of", 10**5), ("rare", 5))}
+    # The phrase without the guard needs all rows of "the", so nothing would be saved.
+    assert match.choose_guard(all_of("the", "rare", phrase("the of")), counts) is None
+    chosen = match.choose_guard(all_of("the", "rare", any_of("of", prefix("x"))), counts)
+    assert chosen.word == "rare" and chosen.free == (prefix("x"),)
+    assert match.choose_guard(phrase("the rare"), counts).word == "rare"
+    assert match.choose_guard(any_of("the", "rare"), counts) is None
+    assert match.choose_guard(but_not("rare", "the"), counts).free == ()
+    assert match.choose_guard(all_of("the", "of"), {**counts, "of": {"n": 10**6}}) is None
+
+
 def test_batch_equals_single_searches(spark):
     rng = random.Random(3)
     docs = random_docs(rng, 40)

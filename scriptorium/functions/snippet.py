@@ -77,13 +77,14 @@ def add_snippet(rows: DataFrame, leaves: list[Leaf], body: str = "body", out: st
         F.when(F.get(F.col("active"), F.lit(i)), _leaf_hits(leaf, i)).otherwise(none)
         for i, leaf in shown
     ]
-    base = base.withColumn("_hits", F.sort_array(F.concat(none, *found)))
-    base = base.withColumn(
-        "_starts",
-        F.filter(
-            F.col("_places"),
-            lambda i: (i == 0) | F.get(F.col("_gaps"), i).rlike("[.:][ \\t\\n\\r]+$"),
-        ),
+    base = base.withColumns(
+        {
+            "_hits": F.sort_array(F.concat(none, *found)),
+            "_starts": F.filter(
+                F.col("_places"),
+                lambda i: (i == 0) | F.get(F.col("_gaps"), i).rlike("[.:][ \\t\\n\\r]+$"),
+            ),
+        }
     )
 
     def choices(hit: Column, order: Column) -> Column:
@@ -103,27 +104,23 @@ def add_snippet(rows: DataFrame, leaves: list[Leaf], body: str = "body", out: st
             ),
         )
 
-    base = base.withColumn("_best", F.array_max(F.flatten(F.transform("_hits", choices))))
-    base = base.withColumn("_b", F.coalesce(F.col("_best.start"), F.lit(0)))
-    base = base.withColumn("_e", F.least(F.col("_b") + WINDOW, n))
+    best = F.array_max(F.flatten(F.transform("_hits", choices)))
+    base = base.withColumn("_b", F.coalesce(best["start"], F.lit(0)))
 
     def any_hit(test) -> Column:
         return F.exists(F.col("_hits"), test)
 
     # A match that begins before the window stays unmarked up to the end of its merged run.
-    base = base.withColumn(
-        "_muted",
-        F.when(
-            any_hit(lambda h: (h["off"] < F.col("_b")) & (h["last"] >= F.col("_b"))),
-            F.array_min(
-                F.filter(
-                    F.col("_places"),
-                    lambda p: (p >= F.col("_b"))
-                    & ~any_hit(lambda h: (h["off"] <= p) & (h["last"] > p)),
-                )
-            ),
-        ).otherwise(F.lit(-1)),
-    )
+    muted = F.when(
+        any_hit(lambda h: (h["off"] < F.col("_b")) & (h["last"] >= F.col("_b"))),
+        F.array_min(
+            F.filter(
+                F.col("_places"),
+                lambda p: (p >= F.col("_b")) & ~any_hit(lambda h: (h["off"] <= p) & (h["last"] > p)),
+            )
+        ),
+    ).otherwise(F.lit(-1))
+    base = base.withColumns({"_muted": muted, "_e": F.least(F.col("_b") + WINDOW, n)})
 
     def piece(p: Column) -> Column:
         opens = (

@@ -1,13 +1,12 @@
 """The best short window of a body, with matches marked.
 
-Works on the few rows that survive the top-k, so array functions over one row's tokens are enough.
+Works on the few rows that survive the top-k, so array functions over one row's tokens are enough. They are
+written as SQL text, which the planner parses at once; building them call by call takes longer than running them.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import RAW_TOKEN, tokens
@@ -19,128 +18,96 @@ OPEN, CLOSE, CUT = ">>", "<<", "…"
 FIRST_SENTENCE, SENTENCE = 120, 100
 FIRST_HIT, REPEAT_HIT = 1000, 1
 
-
-def _leaf_hits(leaf: Leaf, number: int) -> Column:
-    """Where a leaf starts in ``_terms``, as ``(off, leaf, last)`` structs."""
-    size = len(leaf.tokens)
-
-    def same(i: Column) -> Column:
-        tests = []
-        for k, token in enumerate(leaf.tokens):
-            term = F.get(F.col("_terms"), i + k)
-            is_start = leaf.is_prefix and k == size - 1
-            tests.append(F.startswith(term, F.lit(token)) if is_start else term == token)
-        return F.coalesce(reduce(Column.__and__, tests), F.lit(False))
-
-    places = F.filter(F.col("_places"), same)
-    return F.transform(
-        places,
-        lambda i: F.struct(
-            i.alias("off"), F.lit(number).alias("leaf"), (i + (size - 1)).alias("last")
-        ),
+_NO_HITS = "CAST(array() AS array<struct<off:int,leaf:int,last:int>>)"
+
+
+def _leaf_hits(leaf: Leaf, number: int) -> str:
+    """Where a leaf starts in ``_terms``, as ``(off, leaf, last)`` structs; empty unless it counts."""
+    tests = []
+    for k, token in enumerate(leaf.tokens):
+        term = f"get(_terms, i + {k})"
+        is_start = leaf.is_prefix and k == len(leaf.tokens) - 1
+        tests.append(f"startswith({term}, '{token}')" if is_start else f"{term} = '{token}'")
+    places = f"filter(_places, i -> {' AND '.join(tests)})"
+    size = len(leaf.tokens) - 1
+    found = f"transform({places}, i -> named_struct('off', i, 'leaf', {number}, 'last', i + {size}))"
+    return f"if(get(active, {number}), {found}, {_NO_HITS})"
+
+
+def _pool(leaves: int) -> str:
+    """Candidate windows with the hits inside, in the order they compete.
+
+    One starts at each hit, one at the sentence of each hit that does not begin it. Hits are sorted and at
+    most ``leaves`` share an offset, so a window's hits are a short slice.
+    """
+    at_hits = f"""transform(_hits, (x, k) -> named_struct(
+        'inside', filter(slice(_hits, greatest(k + 2 - {leaves}, 1), {leaves * (WINDOW + 1)}),
+                         h -> h.off >= x.off AND h.off < x.off + {WINDOW}),
+        'bonus', 0, 'nth', 2 * k, 'at', x.off))"""
+    at_sentences = f"""transform(_sentences, s -> named_struct(
+        'inside', filter(slice(_hits, size(filter(_hits, h -> h.off < s)) + 1, {leaves * WINDOW}),
+                         h -> h.off < s + {WINDOW}),
+        'bonus', if(s = 0, {FIRST_SENTENCE}, {SENTENCE}), 'nth', 2 * size(filter(_hits, h -> h.off <= s)) + 1,
+        'at', s))"""
+    return f"concat({at_hits}, if(size(_terms) > {WINDOW}, {at_sentences}, slice({at_sentences}, 1, 0)))"
+
+
+def _best_start() -> str:
+    """Start of the best candidate; windows that begin at a hit are shifted to have their hits in the middle."""
+    kinds = "size(array_distinct(transform(c.inside, h -> h.leaf)))"
+    points = f"{kinds} * {FIRST_HIT} + (size(c.inside) - {kinds}) * {REPEAT_HIT} + c.bonus"
+    first, last = "get(c.inside, 0).off", "element_at(c.inside, -1).last + 1"
+    half = f"CAST(({WINDOW} - ({last} - {first})) DIV 2 AS int)"
+    centred = f"greatest(least({first} - {half}, size(_terms) - {WINDOW}), 0)"
+    rated = f"""transform(_pool, c -> named_struct('points', {points}, 'order', -c.nth,
+        'start', if(c.nth % 2 = 0, {centred}, c.at)))"""
+    return f"coalesce(array_max({rated}).start, 0)"
+
+
+def _piece() -> str:
+    """One token of the window with what precedes it, and its markers."""
+    opens = (
+        "exists(_hits, h -> h.off = p) AND NOT exists(_hits, h -> h.off < p AND h.last >= p) AND p > _muted"
     )
-
-
-def _window_score(start: Column) -> Column:
-    inside = F.filter(F.col("_hits"), lambda h: (h["off"] >= start) & (h["off"] < start + WINDOW))
-    kinds = F.size(F.array_distinct(F.transform(inside, lambda h: h["leaf"])))
-    return kinds * FIRST_HIT + (F.size(inside) - kinds) * REPEAT_HIT
-
-
-def _centred(start: Column) -> Column:
-    """Shift a window so that its matches stand in the middle, without leaving the body."""
-    inside = F.filter(F.col("_hits"), lambda h: (h["off"] >= start) & (h["off"] < start + WINDOW))
-    first = F.get(inside, F.lit(0))["off"]
-    last = F.element_at(inside, -1)["last"] + 1
-    spare = F.lit(WINDOW) - (last - first)
-    half = F.when(spare >= 0, F.floor(spare / 2)).otherwise(F.ceil(spare / 2)).cast("int")
-    return F.greatest(F.least(first - half, F.size("_terms") - WINDOW), F.lit(0))
+    closes = (
+        "exists(_hits, h -> h.off <= p AND h.last >= p) AND p > _muted "
+        "AND NOT (exists(_hits, h -> h.off <= p AND h.last > p) AND p + 1 < _e)"
+    )
+    return f"""concat(if(p > _b OR p = 0, get(_gaps, p), ''), if({opens}, '{OPEN}', ''), get(_raw, p),
+        if({closes}, '{CLOSE}', ''))"""
 
 
 def add_snippet(rows: DataFrame, leaves: list[Leaf], body: str = "body", out: str = "snippet") -> DataFrame:
     """Add the snippet column. ``active`` says which of ``leaves`` count for each row."""
     keep = [c for c in rows.columns if c != out]
+    found = [_leaf_hits(leaf, i) for i, leaf in enumerate(leaves) if leaf.column in (None, "body")]
     base = rows.select(
         *keep,
         tokens(F.col(body)).alias("_terms"),
         F.regexp_extract_all(F.col(body), F.lit(RAW_TOKEN), F.lit(0)).alias("_raw"),
         F.split(F.col(body), RAW_TOKEN, -1).alias("_gaps"),
-    )
-    n = F.size("_terms")
-    base = base.withColumn(
-        "_places",
-        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
-    )
-    shown = [(i, leaf) for i, leaf in enumerate(leaves) if leaf.column in (None, "body")]
-    none = F.array().cast("array<struct<off:int,leaf:int,last:int>>")
-    found = [
-        F.when(F.get(F.col("active"), F.lit(i)), _leaf_hits(leaf, i)).otherwise(none)
-        for i, leaf in shown
-    ]
+    ).withColumn("_places", F.expr("transform(_terms, (t, i) -> i)"))
     base = base.withColumns(
         {
-            "_hits": F.sort_array(F.concat(none, *found)),
+            "_hits": F.expr(f"sort_array(concat({', '.join([_NO_HITS, *found])}))"),
             "_starts": F.filter(
-                F.col("_places"),
-                lambda i: (i == 0) | F.get(F.col("_gaps"), i).rlike("[.:][ \\t\\n\\r]+$"),
+                "_places", lambda i: (i == 0) | F.get("_gaps", i).rlike("[.:][ \\t\\n\\r]+$")
             ),
         }
     )
-
-    def choices(hit: Column, order: Column) -> Column:
-        sentence = F.array_max(F.filter(F.col("_starts"), lambda s: s <= hit["off"]))
-        usable = (n > WINDOW) & (sentence < hit["off"])
-        bonus = F.when(sentence == 0, FIRST_SENTENCE).otherwise(SENTENCE)
-        return F.array(
-            F.struct(
-                _window_score(hit["off"]).alias("score"),
-                (-order * 2).alias("rank"),
-                _centred(hit["off"]).alias("start"),
-            ),
-            F.struct(
-                F.when(usable, _window_score(sentence) + bonus).otherwise(F.lit(-1)).alias("score"),
-                (-order * 2 - 1).alias("rank"),
-                sentence.alias("start"),
-            ),
-        )
-
-    best = F.array_max(F.flatten(F.transform("_hits", choices)))
-    base = base.withColumn("_b", F.coalesce(best["start"], F.lit(0)))
-
-    def any_hit(test) -> Column:
-        return F.exists(F.col("_hits"), test)
-
+    sentence = "nullif(array_max(filter(_starts, s -> s <= x.off)), x.off)"
+    base = base.withColumn(
+        "_sentences", F.expr(f"array_compact(array_distinct(transform(_hits, x -> {sentence})))")
+    )
+    base = base.withColumn("_pool", F.expr(_pool(max(len(found), 1))))
+    base = base.withColumn("_b", F.expr(_best_start()))
     # A match that begins before the window stays unmarked up to the end of its merged run.
-    muted = F.when(
-        any_hit(lambda h: (h["off"] < F.col("_b")) & (h["last"] >= F.col("_b"))),
-        F.array_min(
-            F.filter(
-                F.col("_places"),
-                lambda p: (p >= F.col("_b")) & ~any_hit(lambda h: (h["off"] <= p) & (h["last"] > p)),
-            )
-        ),
-    ).otherwise(F.lit(-1))
-    base = base.withColumns({"_muted": muted, "_e": F.least(F.col("_b") + WINDOW, n)})
-
-    def piece(p: Column) -> Column:
-        opens = (
-            any_hit(lambda h: h["off"] == p)
-            & ~any_hit(lambda h: (h["off"] < p) & (h["last"] >= p))
-            & (p > F.col("_muted"))
-        )
-        covered = any_hit(lambda h: (h["off"] <= p) & (h["last"] >= p)) & (p > F.col("_muted"))
-        goes_on = any_hit(lambda h: (h["off"] <= p) & (h["last"] > p)) & (p + 1 < F.col("_e"))
-        return F.concat(
-            F.when((p > F.col("_b")) | (p == 0), F.get(F.col("_gaps"), p)).otherwise(F.lit("")),
-            F.when(opens, F.lit(OPEN)).otherwise(F.lit("")),
-            F.get(F.col("_raw"), p),
-            F.when(covered & ~goes_on, F.lit(CLOSE)).otherwise(F.lit("")),
-        )
-
-    window = F.filter(F.col("_places"), lambda p: (p >= F.col("_b")) & (p < F.col("_e")))
-    text = F.concat(
-        F.when(F.col("_b") > 0, F.lit(CUT)).otherwise(F.lit("")),
-        F.array_join(F.transform(window, piece), ""),
-        F.when(F.col("_e") < n, F.lit(CUT)).otherwise(F.element_at(F.col("_gaps"), -1)),
+    muted = """if(exists(_hits, h -> h.off < _b AND h.last >= _b),
+        array_min(filter(_places, p -> p >= _b AND NOT exists(_hits, h -> h.off <= p AND h.last > p))), -1)"""
+    base = base.withColumns(
+        {"_muted": F.expr(muted), "_e": F.expr(f"least(_b + {WINDOW}, size(_terms))")}
     )
-    return base.select(*keep, text.alias(out))
+    text = f"""concat(if(_b > 0, '{CUT}', ''),
+        array_join(transform(filter(_places, p -> p >= _b AND p < _e), p -> {_piece()}), ''),
+        if(_e < size(_terms), '{CUT}', element_at(_gaps, -1)))"""
+    return base.select(*keep, F.expr(text).alias(out))

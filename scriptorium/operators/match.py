@@ -15,7 +15,7 @@ from scriptorium.operators.query import AllOf, ButNot, Leaf, Node, leaves_of, tr
 
 # Leaving out rows pays from this many on, and needs at most this many paths at every executor.
 MIN_SAVED = 100_000
-MAX_GUARD = 200_000
+MAX_GUARD = 100_000
 
 
 def weight_column(field: Column) -> Column:

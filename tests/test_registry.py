@@ -11,11 +11,12 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
-import __spark_entry__ as registry
+import __spark_entry__ as entry
 from check import TABLES, normal
+from scriptorium.catalog import registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = registry.queries(), registry.oracle_sql()
+QUERIES, SQL = registry.QUERIES, registry.SQL
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +29,8 @@ def duck():
 
 def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -44,4 +47,4 @@ def test_query(spark, duck, name):
 
 
 def test_entry(spark):
-    assert registry.entry(spark).count() == 20
+    assert entry.entry(spark).count() == 20

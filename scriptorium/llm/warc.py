@@ -50,7 +50,9 @@ def _identity(key: Column) -> Column:
 def captures(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, html plus ``key`` (unique), ``digest``, ``refers_to`` (key of the response, null if it is one)."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
+    rows = pages.select(
+        "page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("_size")
+    )
     # copies of an id are told apart by a number; ids as a rule are unique, so these groups are small
     number = F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url"))
     own = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
@@ -58,7 +60,7 @@ def captures(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
         "key", F.when((F.col("_copy") == 1) & F.col("page_id").isNotNull(), own).otherwise(F.concat(own, F.lit("~"), F.col("_copy")))
     )
     # narrow: the newest capture of each payload that occurs more than once
-    large = rows.filter(F.octet_length("html") >= min_revisit).select("page_id", "key", "digest")
+    large = rows.filter(F.col("_size") >= min_revisit).select("page_id", "key", "digest")
     newest = (
         large.groupBy("digest")
         .agg(F.max(F.struct(F.col("page_id"), -F.length("key"), F.col("key"))).alias("m"), F.count("*").alias("n"))

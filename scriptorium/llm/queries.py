@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import decontaminate, html, langid, mixing, omh, tokens, urls, warc
+from scriptorium.llm import decontaminate, groupjoin, html, langid, mixing, omh, tokens, urls, warc
 from scriptorium.llm.base import read
 
 
@@ -38,6 +38,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(spark, read(spark, sf_dir, "pages"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groupjoin.report(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read(spark, sf_dir, "documents"))
 
@@ -52,7 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_language,
         op7_url_filter,
         op8_warc,
+        op9_jaccard_join,
         op10_mixing,
     )
 }
-SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL, "op8_warc": warc.SQL, "op9_jaccard_join": groupjoin.SQL, "op10_mixing": mixing.SQL}

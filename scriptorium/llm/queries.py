@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import decontaminate, groupjoin, html, langid, mixing, omh, tokens, urls, warc
+from scriptorium.llm import decontaminate, groupjoin, html, langid, mixing, omh, pii, tokens, urls, warc
 from scriptorium.llm.base import read
 
 
@@ -18,6 +18,10 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.report(read(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts,
         op2_order_minhash,
+        op3_personal_data,
         op4_decontaminate,
         op5_html_text,
         op6_language,

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from scriptorium.llm import decontaminate, groupjoin, html, langid, mixing, omh, pii, tokens, urls, warc
 from scriptorium.llm.base import read
 
@@ -64,5 +65,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_jaccard_join,
         op10_mixing,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL, "op8_warc": warc.SQL, "op9_jaccard_join": groupjoin.SQL, "op10_mixing": mixing.SQL}

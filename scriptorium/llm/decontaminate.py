@@ -258,10 +258,13 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
 
 @F.arrow_udf(StringType())
 def _cut(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-    """Texts without the words of the given spans (and what stands between those words)."""
+    """Texts without the words of the given spans and what stands between those words; null where there is no span."""
     out = []
     for raw, a, b in zip(texts, starts, ends, strict=True):
         raw = raw.as_py()
+        if raw is None or not len(a.as_py()):
+            out.append(None)  # keeps its text
+            continue
         words = [m.span() for m in _WORDS.finditer(raw)]
         keep, at = [], 0
         for s, e in sorted(zip(a.as_py(), b.as_py(), strict=True)):
@@ -293,7 +296,7 @@ def remove(
     )
     spans = kept.withColumn("_spans", long_enough)
     clean = _cut(F.encode("text", "utf-8"), F.col("_spans")["a"], F.col("_spans")["b"])
-    return spans.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))).select(docs.columns)
+    return spans.withColumn("text", F.coalesce(clean, F.col("text"))).select(docs.columns)
 
 
 SQL = r"""

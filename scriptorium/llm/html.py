@@ -4,7 +4,7 @@ A page is read once into a sequence of words and tags. Words have the score of t
 their name and class; a linear scan finds the contiguous region with the largest sum, which is the main content. From
 that region parts that are never content (scripts, forms, adverts, comments of readers, …) are left out.
 
-The scores are log-likelihood ratios learned from labelled pages: pages whose author marked the content with an
+The scores are log-odds of lying inside, learned from labelled pages: pages whose author marked the content with an
 ``article`` or ``main`` element (or ``itemprop=articleBody``). Words in elements seen more inside than outside score
 positive, tags score negative, more so the rarer they are inside. At most about ``sample_pages`` pages are used for that.
 Elements never seen keep fixed prior scores, so pages can also be read without any labelled page.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 5_000
-MAX_SCORE = 4.0
+MAX_SCORE, MIN_TAG, NEVER_SCORE = 4.0, -0.25, -0.2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
@@ -128,10 +128,12 @@ def sequence(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
 
 
 def _counted(page: str) -> tuple[Counter, Counter]:
-    """Words and tags by name, inside and outside the marked article."""
+    """Words and tags by name, inside and outside the marked article, where they can be content at all."""
     inner: Counter = Counter()
     outer: Counter = Counter()
-    for kind, name, text, _, inside in sequence(page):
+    for kind, name, text, never, inside in sequence(page):
+        if never:
+            continue
         side = inner if inside else outer
         if kind == "word":
             if n := len(text.split()):
@@ -175,15 +177,12 @@ def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float
         .collect()
     )
     scores: dict[str, float] = {}
-    for kind in ("word ", "tag "):
-        rows = [r for r in counts if r["feature"].startswith(kind)]
-        inner, outer = (sum(r[c] for r in rows) + len(rows) + 1 for c in ("inner", "outer"))
-        for r in rows:
-            ratio = math.log((r["inner"] + 1) / inner) - math.log((r["outer"] + 1) / outer)
-            if kind == "word ":
-                scores[r["feature"]] = max(-MAX_SCORE, min(MAX_SCORE, ratio))
-            else:
-                scores[r["feature"]] = max(-MAX_SCORE, min(-0.25, ratio - 1.0))
+    for r in counts:
+        odds = math.log((r["inner"] + 1) / (r["outer"] + 1))
+        if r["feature"].startswith("word "):
+            scores[r["feature"]] = max(-MAX_SCORE, min(MAX_SCORE, odds))
+        else:
+            scores[r["feature"]] = max(-MAX_SCORE, min(MIN_TAG, odds - MAX_SCORE / 2))
     return scores
 
 
@@ -198,9 +197,10 @@ def extract(page: str | None, scores: dict[str, float]) -> str:
     for kind, name, text, never, _ in sequence(page):
         if kind == "word":
             n = len(text.split())
-            score = -1.0 * n if never else n * scores.get("word " + name, scores.get("word " + name.split(".")[0], 1.0))
+            # what is left out anyway should not part an article
+            score = NEVER_SCORE * n if never else n * scores.get("word " + name, scores.get("word " + name.split(".")[0], 1.0))
         else:
-            score = scores.get("tag " + name, -0.5) / (1 if kind == "tag" else 2)
+            score = NEVER_SCORE if never else scores.get("tag " + name, -0.5) / (1 if kind == "tag" else 2)
         if total <= 0 and score > 0:
             total, start = 0.0, len(parts)
         total += score

@@ -131,16 +131,20 @@ def report(docs: DataFrame, k: int = K, l: int = L, m: int = M) -> DataFrame:
     """
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     order = saved(following(texts), "omh-next")
+    # the same rows on both sides, so that the texts' exchange is made once and used twice
+    named = texts.filter("doc_id is not null")
     needs = order.select(F.col("next_id").alias("id"), F.col("doc_id").alias("to"), F.floor(F.col("n") / 4).cast("int").alias("need"))
     sent = (
-        texts.join(needs, F.col("doc_id") == F.col("id"))
+        named.join(needs, F.col("doc_id") == F.col("id"))
         .groupBy("to")
         .agg(F.min(F.expr("substring(text, 1, need)")).alias("begin"))
     )
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("begin", F.lit("")), F.lit(1), cut))
-    both = texts.join(sent, F.col("doc_id") == F.col("to"), "left")
+    both = named.join(sent, F.col("doc_id") == F.col("to"), "left").unionByName(
+        texts.filter("doc_id is null"), allowMissingColumns=True
+    )
     printed = saved(
         both.select(
             "doc_id",

@@ -8,9 +8,9 @@ the prefix index once.
 1. A first scan finds shingles that occur in many documents; they come last in the order, so that a passage shared by
    very many documents does not fill the index. The order only steers cost; any order gives the same links.
 2. A second scan writes size, class, group, prefix and a bitmap of each document.
-3. In the index, groups that share a shingle are neighbours by size. Neighbouring groups, and the members of a group, are
-   filtered as pairs by size, position and bitmap bounds; the rest is verified on the sets. That is linear in the index,
-   and links most of each component.
+3. Among the groups that share a shingle, neighbours by size, pairs with the group of most documents (in two more rounds:
+   of most links), and the members of a group are filtered as pairs by size, position and bitmap bounds; the rest is
+   verified on the sets. That is linear in the index, and links most of each component.
 4. Groups that share a shingle but are not yet in one component are expanded to their members, filtered and verified
    pair by pair. Pairs inside a component need no proof, as they can change no result. So no link between components
    is lost, and a large group of near copies costs no all-pairs work.
@@ -25,6 +25,7 @@ repeated rows are copies; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +41,11 @@ from scriptorium.llm.components import components
 SIZE = 5
 PERCENT = 80
 #: Shingles seen this often (in parts of the data where they occur twice or more) come last in the order …
-FREQUENT = 32
-#: … but no more than this many shingles, the most frequent ones.
-MAX_FREQUENT = 500_000
+FREQUENT = 4
+#: … but no more than this many shingles, the most frequent ones: 24 MB of hashes and counts in a task.
+MAX_FREQUENT = 2_000_000
+#: Rounds of pairs with the most linked group, before all pairs that are left.
+STAR_ROUNDS = 2
 #: Bits of the filter on document ids.
 FILTER_BITS = 1 << 26
 
@@ -134,26 +137,47 @@ def frequent_shingles(docs: DataFrame, size: int, frequent: int, most: int) -> t
     rows = counted.filter(F.col("n") >= max(frequent, total // most)).toArrow()
     found = np.asarray(rows["s"].combine_chunks(), np.int64).view(np.uint64)
     order = np.argsort(found)
-    return found[order], np.asarray(rows["n"].combine_chunks(), np.int64)[order]
-
-
-def _bits(found: np.ndarray) -> np.ndarray:
-    """Bitmap of a set with about as many bits as it has elements (64 at least, 4,096 at most), as 64-bit words."""
-    width = 1 << min(12, max(6, int(len(found)).bit_length()))
+    times = np.minimum(np.asarray(rows["n"].combine_chunks(), np.int64), 2**31 - 1).astype(np.int32)
+    return found[order], times[order]
+
+
+class Frequent:
+    """Look-up of frequent shingles: a small bit table first, then the sorted hashes."""
+
+    def __init__(self, hashes: np.ndarray, times: np.ndarray):
+        self.hashes, self.times = hashes, times
+        self.maybe = np.zeros(1 << 24, np.bool_)
+        self.maybe[hashes >> np.uint64(40)] = True
+
+    def rare_first(self, found: np.ndarray) -> np.ndarray:
+        """The hashes of a set in the global order: those that are not frequent, then by count."""
+        common = self.maybe[found >> np.uint64(40)]
+        if not common.any():
+            return found
+        some = found[common]
+        at = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
+        hit = self.hashes[at] == some
+        common[np.flatnonzero(common)[~hit]] = False
+        at = at[hit]
+        return np.concatenate([found[~common], self.hashes[at[np.lexsort((at, self.times[at]))]]])
+
+
+def _bits(found: np.ndarray, times: int) -> np.ndarray:
+    """Bitmap of a set with about ``times`` bits for each element (64 at least, 4,096 ``times`` at most), in 64-bit words."""
+    width = times << min(12, max(6, int(len(found)).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(found >> np.uint64(20)) & np.uint64(width - 1)] = 1
     return np.packbits(bits).view(np.int64)
 
 
 def profiles(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT, most: int = MAX_FREQUENT) -> DataFrame:
-    """One row per document: doc_id, id_hash, n, class, group, prefix, bits. Sizes of 0 have no class."""
+    """One row per document: doc_id, id_hash, n, class, group, prefix, bits, wide. Sizes of 0 have no class."""
     last = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size, frequent, most))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(size)
-        common, times = last.value
+        shingle, frequent = Shingler(size), Frequent(*last.value)
         for batch in batches:
-            sizes, classes, groups, prefixes, bitmaps = [], [], [], [], []
+            sizes, classes, groups, prefixes, bitmaps, wider = [], [], [], [], [], []
             for raw in batch.column(0):
                 found = shingle(raw.as_py())
                 n = len(found)
@@ -163,20 +187,15 @@ def profiles(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent
                     groups.append(None)
                     prefixes.append(None)
                     bitmaps.append(None)
+                    wider.append(None)
                     continue
                 length = n - int(needed(n, percent)) + 1
-                first = found
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    is_common = common[at] == found
-                    if is_common.any():
-                        later = at[is_common]
-                        first = np.concatenate([found[~is_common], common[later[np.lexsort((later, times[later]))]]])
-                prefix = first[:length]
+                prefix = frequent.rare_first(found)[:length]
                 classes.append(_key(found.tobytes()))
                 groups.append(int.from_bytes(_key(prefix.tobytes() + n.to_bytes(8, "little"))[:8], "little", signed=True))
                 prefixes.append(prefix.view(np.int64))
-                bitmaps.append(_bits(found))
+                bitmaps.append(_bits(found, 1))
+                wider.append(_bits(found, 8))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(1),
@@ -186,14 +205,15 @@ def profiles(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent
                     pa.array(groups, pa.int64()),
                     pa.array(prefixes, pa.list_(pa.int64())),
                     pa.array(bitmaps, pa.list_(pa.int64())),
+                    pa.array(wider, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "id_hash", "n", "class", "group", "prefix", "bits"],
+                names=["doc_id", "id_hash", "n", "class", "group", "prefix", "bits", "wide"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(F.encode("text", "utf-8").alias("raw"), "doc_id", F.xxhash64("doc_id").alias("id_hash")).mapInArrow(
         profile,
-        f"doc_id {kind}, id_hash long, n long, class binary, group long, prefix array<long>, bits array<long>",
+        f"doc_id {kind}, id_hash long, n long, class binary, group long, prefix array<long>, bits array<long>, wide array<long>",
     )
 
 
@@ -209,9 +229,13 @@ def _place_fits(n1: str, p1: str, n2: str, p2: str, percent: int):
 
 
 def _bits_fit(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose bitmaps allow the overlap they need."""
-    one = sketches.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    two = sketches.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    """Pairs (a, b) of classes whose bitmaps allow the overlap they need: first the small ones, then the wide ones."""
+    return _fit(_fit(pairs, sketches, "bits", percent), sketches, "wide", percent)
+
+
+def _fit(pairs: DataFrame, sketches: DataFrame, bits: str, percent: int) -> DataFrame:
+    one = sketches.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col(bits).alias("bits_a"))
+    two = sketches.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col(bits).alias("bits_b"))
     both = pairs.join(one, "a").join(two, "b").filter(_size_fits("n_a", "n_b", percent))
     # sizes within the threshold differ by one doubling at most: the wider bitmap is folded to the narrower
     width = F.least(F.size("bits_a"), F.size("bits_b"))
@@ -236,8 +260,8 @@ def _overlap(one: pa.Array, two: pa.Array) -> pa.Array:
     return pa.array([len(np.intersect1d(sets(a), sets(b), assume_unique=True)) for a, b in zip(one, two, strict=True)], pa.int64())
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are links. ``owners`` has a document's id_hash for each class."""
+def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of classes, and those that are links. ``owners`` has a document's id_hash for each class."""
     pairs = saved(pairs, "join-pairs")
     named = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     bit = F.pmod("id_hash", F.lit(FILTER_BITS))
@@ -272,7 +296,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, size: int, p
     both = pairs.join(one, "a").join(two, "b")
     sizes = (F.octet_length("set_a") + F.octet_length("set_b")) / 8
     common = both.withColumn("common", _overlap("set_a", "set_b")).withColumn("sizes", sizes)
-    return saved(common.filter(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).select("a", "b"), "join-links")
+    is_link = F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent
+    return pairs, saved(common.filter(is_link).select("a", "b"), "join-links")
 
 
 def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -281,11 +306,11 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     filled = rows.filter("n > 0")
     classes = saved(
         filled.groupBy("class").agg(
-            F.first("n").alias("n"), F.first("group").alias("group"), F.min("id_hash").alias("id_hash"), F.first("bits").alias("bits")
+            F.first("n").alias("n"), F.first("group").alias("group"), F.min("id_hash").alias("id_hash"), F.first("bits").alias("bits"), F.first("wide").alias("wide")
         ),
         "join-classes",
     )
-    sketches, owners = classes.select("class", "n", "bits"), classes.select("class", "id_hash")
+    sketches, owners = classes.select("class", "n", "bits", "wide"), classes.select("class", "id_hash")
     groups = filled.groupBy("group").agg(
         F.first("n").alias("n"), F.min("class").alias("lead"), F.first("prefix").alias("prefix")
     )
@@ -304,21 +329,58 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     ).select(F.least("lead", "before_lead").alias("a"), F.greatest("lead", "before_lead").alias("b"))
     leads = classes.groupBy("group").agg(F.min("class").alias("lead"), F.count("*").alias("of")).filter("of > 1")
     members = classes.join(leads, "group").filter("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b"))
-    first = _verified(
-        _bits_fit(neighbours.unionByName(members).distinct(), sketches, percent), docs, owners, size, percent
+
+    tested = links = None
+    placed = classes.select("class", "group", F.col("class").alias("component"))
+    weights = filled.groupBy("class").agg(F.count("*").alias("weight"))
+    for step in range(STAR_ROUNDS + 2):
+        if step == 0:
+            pairs = neighbours.unionByName(members).unionByName(_stars(index, placed, weights, percent)).distinct()
+        elif step <= STAR_ROUNDS:
+            weights = saved(
+                links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("weight")),
+                "join-weights",
+            )
+            pairs = _stars(index, placed, weights, percent)
+        else:
+            pairs = _across(index, placed, percent)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        more_tested, more = _verified(_bits_fit(pairs, sketches, percent), docs, owners, size, percent)
+        tested = more_tested if tested is None else tested.unionByName(more_tested)
+        links = more if links is None else links.unionByName(more)
+        if step == 0 or not more.isEmpty():
+            joined = components(links)
+            placed = saved(
+                classes.select("class", "group")
+                .join(joined, F.col("class") == F.col("node"), "left")
+                .select("class", "group", F.coalesce("component", "class").alias("component")),
+                "join-placed",
+            )
+    return rows.select("doc_id", "n", "class").join(placed.select("class", "component"), "class", "left").select(
+        "doc_id", "n", "class", "component"
     )
-    joined = saved(components(first), "join-first")
-    placed = saved(
-        classes.select("class", "group")
-        .join(joined, F.col("class") == F.col("node"), "left")
-        .select("class", "group", F.coalesce("component", "class").alias("component")),
-        "join-placed",
+
+
+def _stars(index: DataFrame, placed: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each group's lead with the lead of most weight among those that share an index shingle with it.
+
+    Near copies often link to the text they were made from and not to each other; that text has most copies or links.
+    """
+    entries = (
+        index.select("shingle", "n", "place", F.col("lead").alias("class"))
+        .join(placed.select("class", "component"), "class")
+        .join(weights, "class", "left")
+        .select("shingle", F.coalesce("weight", F.lit(0)).alias("w"), "class", "n", "place", "component")
+    )
+    center = entries.groupBy(F.col("shingle").alias("s")).agg(F.max(F.struct("w", "class", "n", "place", "component")).alias("top"))
+    return (
+        entries.join(center.select("s", *[F.col(f"top.{c}").alias(f"top_{c}") for c in ("class", "n", "place", "component")]), F.col("shingle") == F.col("s"))
+        .filter("component <> top_component")
+        .filter(_size_fits("n", "top_n", percent) & _place_fits("n", "place", "top_n", "top_place", percent))
+        .select(F.least("class", "top_class").alias("a"), F.greatest("class", "top_class").alias("b"))
+        .distinct()
     )
-    more = _verified(_bits_fit(_across(index, placed, percent), sketches, percent), docs, owners, size, percent)
-    final = saved(components(first.unionByName(more)), "join-final")
-    return rows.select("doc_id", "n", "class").join(
-        final.select(F.col("node").alias("class"), "component"), "class", "left"
-    ).select("doc_id", "n", "class", F.coalesce("component", "class").alias("component"))
 
 
 def _across(index: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
@@ -332,15 +394,18 @@ def _across(index: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     entries = saved(
         entries.join(mixed.filter("low <> high").select("shingle"), "shingle", "left_semi"), "join-mixed"
     )
-    sides = entries.select("shingle", "component").distinct()
-    meet = sides.select("shingle", F.col("component").alias("c1")).join(
-        sides.select("shingle", F.col("component").alias("c2")), "shingle"
-    ).filter("c1 < c2")
-    one = entries.select("shingle", *[F.col(c).alias(c[0] + "1") for c in ("component", "group", "n", "place")])
-    two = entries.select("shingle", *[F.col(c).alias(c[0] + "2") for c in ("component", "group", "n", "place")])
+    # sizes that fit are at most one band apart
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
+    fields = ("component", "group", "n", "place")
+    one = entries.select("shingle", band.alias("band"), *[F.col(c).alias(c[0] + "1") for c in fields])
+    two = entries.select(
+        "shingle", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(c).alias(c[0] + "2") for c in fields]
+    )
+    meet = one.select("shingle", "band", "c1").distinct().join(two.select("shingle", "band", "c2").distinct(), ["shingle", "band"])
     pairs = (
-        meet.join(one, ["shingle", "c1"])
-        .join(two, ["shingle", "c2"])
+        meet.filter("c1 < c2")
+        .join(one, ["shingle", "band", "c1"])
+        .join(two, ["shingle", "band", "c2"])
         .filter(_size_fits("n1", "n2", percent) & _place_fits("n1", "p1", "n2", "p2", percent))
         .select("g1", "c1", "g2", "c2")
         .distinct()

@@ -51,7 +51,9 @@ FILTER_BITS = 1 << 26
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_CACHE = 1_000_000
+_CACHE = 200_000
+#: Documents handled at a time, and hashes counted at a time, in a task.
+_ROWS, _HASHES = 1000, 1 << 21
 
 
 class _Words(dict):
@@ -89,6 +91,12 @@ def _key(data: bytes) -> bytes:
     return xxhash.xxh3_128_digest(data)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(first, _ROWS)
+
+
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap of a set of size n with any partner: ceil(t n)."""
     return (n * percent + 99) // 100
@@ -112,7 +120,7 @@ def frequent_shingles(docs: DataFrame, size: int, frequent: int, most: int) -> t
             at = times >= 2
             return pa.RecordBatch.from_arrays([pa.array(found[at].view(np.int64)), pa.array(times[at])], names=["s", "n"])
 
-        for batch in batches:
+        for batch in _parts(batches):
             for raw in batch.column(0):
                 found = shingle(raw.as_py())
                 key = _key(found.tobytes())
@@ -121,7 +129,7 @@ def frequent_shingles(docs: DataFrame, size: int, frequent: int, most: int) -> t
                 seen.add(key)
                 held.append(found)
                 n += len(found)
-                if n >= 1 << 22:
+                if n >= _HASHES:
                     yield report()
                     held, n = [], 0
         if held:
@@ -176,7 +184,7 @@ def profiles(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, frequent = Shingler(size), Frequent(*last.value)
-        for batch in batches:
+        for batch in _parts(batches):
             sizes, classes, groups, prefixes, bitmaps, wider = [], [], [], [], [], []
             for raw in batch.column(0):
                 found = shingle(raw.as_py())

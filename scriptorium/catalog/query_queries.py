@@ -17,6 +17,7 @@ from scriptorium.operators.query import (
     all_of,
     any_of,
     but_not,
+    describe,
     phrase,
     prefix,
     tag,
@@ -474,7 +475,7 @@ def title_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     "src13_json_export",
     _top(
         FLAGSHIP_LEAVES, FLAGSHIP_MATCH, FLAGSHIP_GATES, 20,
-        "CAST(to_json({'query': 'ing|ti -ther', 'fts5': '(ing OR ti) NOT ther', 'limit': 20, 'hits': list({"
+        "CAST(to_json({'query': 'ing|ti -ther', 'fts5': 'but_not(any_of(word(''ing''), word(''ti'')), word(''ther''))', 'limit': 20, 'hits': list({"
         "'rank': rank, 'score': round(score, 3) + 0.0, 'path': path, 'abs_path': '/c/' || path, 'title': title, "
         "'ext': docs.ext, 'url': url, 'snippet': snip.snippet, 'tags': names} ORDER BY rank)}) AS VARCHAR) AS json",
         more=_snippet_cte(["ing", "ti"], 20)
@@ -486,4 +487,4 @@ def title_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search(indexed(spark, sf_dir), FLAGSHIP, root="/c")
-    return to_envelope(hits, "ing|ti -ther", str(FLAGSHIP), 20)
+    return to_envelope(hits, "ing|ti -ther", describe(FLAGSHIP), 20)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,9 @@ from scriptorium.functions.headers import md_title, title_of, txt_title, txt_url
 from scriptorium.functions.names import base_name, extension, folder_of, is_hidden, name_warning, stem_of
 from scriptorium.functions.text import tokens
 from scriptorium.operators.postings import corpus_stats, document_lengths, postings, token_rows
-from scriptorium.plans.corpus import shard_count, planned_bytes, write_documents
+from scriptorium.plans.corpus import shard_count, listed_bytes, write_documents
 from scriptorium.session import shared_dir
-from scriptorium.sources.files import oversized, scan_files
+from scriptorium.sources.files import oversized, read_files, scan_files
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,18 +36,36 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}"
 
 
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    """Every text, in files of at most 500 documents below a folder for each source."""
+    root = f"{_scratch(spark, 'files')}-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("_source"), "text")
+    docs.write.option("maxRecordsPerFile", 500).partitionBy("_source").text(root)
+    return root
+
+
+@query(
+    "src6_read_files",
+    "SELECT '_source=' || source AS folder, CAST(sum(length(text) + 1) AS BIGINT) AS chars, "
+    "CAST(0 AS BIGINT) AS failed FROM documents GROUP BY source",
+)
+def src6_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts read back from files."""
+    root = _written(spark, sf_dir)
+    read = read_files(spark, root, scan_files(spark, root))
+    return read.groupBy(folder_of(F.col("path")).alias("folder")).agg(
+        F.sum(F.length("body")).cast("bigint").alias("chars"), F.count_if(F.col("message").isNotNull()).alias("failed")
+    )
+
+
 @query(
     "src1_scan_files",
-    "SELECT 'source=' || source AS folder, 'txt' AS ext, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes "
+    "SELECT '_source=' || source AS folder, 'txt' AS ext, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes "
     "FROM documents GROUP BY source",
 )
 def src1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every text below one folder per source, then list the folder tree."""
-    root = _scratch(spark, "files") + "/" + sf_dir.strip("/").replace("/", "-")
-    table(spark, sf_dir, "documents").select("source", "text").write.mode("overwrite").option(
-        "maxRecordsPerFile", 100_000
-    ).partitionBy("source").text(root)
-    files = scan_files(spark, root)
+    files = scan_files(spark, _written(spark, sf_dir))
     return files.groupBy(folder_of(F.col("path")).alias("folder"), "ext").agg(
         F.sum("size").alias("bytes")
     )
@@ -271,7 +291,7 @@ def src12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the document table and read one extension back; the filter prunes directories."""
     docs = corpus_view(spark, sf_dir)
     path = _scratch(spark, "sink") + "/" + sf_dir.strip("/").replace("/", "-")
-    write_documents(docs, path, shard_count(planned_bytes(docs)))
+    write_documents(docs, path, shard_count(listed_bytes(docs)))
     return (
         spark.read.parquet(path)
         .filter(F.col("ext") == "md")

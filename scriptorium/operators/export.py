@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: order of the columns of a hit.
+# The columns of a hit in order, and the envelope's keys (``fts5`` holds a query's text form).
 HIT_COLUMNS = ("rank", "score", "path", "abs_path", "title", "ext", "url", "snippet", "tags")
 
 

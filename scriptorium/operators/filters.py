@@ -92,7 +92,3 @@ def keep_tagged(rows: DataFrame, document_tags: DataFrame, tree: Node) -> DataFr
     )
     joined = rows.join(flags, "path", "left" if untagged_ok else "inner")
     return joined.filter(test).select(*rows.columns)
-
-
-def canonical_key(name: Column) -> Column:
-    return ascii_key(name)

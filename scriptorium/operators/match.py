@@ -13,10 +13,6 @@ from scriptorium.functions.text import WEIGHTS
 from scriptorium.operators.postings import shard_of
 from scriptorium.operators.query import AllOf, ButNot, Leaf, Node, leaves_of, truth
 
-# Leaving out rows pays from this many on, and needs at most this many paths at every executor.
-MIN_SAVED = 100_000
-MAX_GUARD = 100_000
-
 
 def weight_column(field: Column) -> Column:
     out = F.lit(0.0)
@@ -69,7 +65,7 @@ def _required(node: Node) -> list[Leaf]:
 
 
 def choose_guard(tree: Node, counts: dict[str, dict]) -> Guard | None:
-    """The rarest required word, if much more common rows can be left out by it.
+    """The rarest required word, if rows of commoner ones can be left out by it.
 
     Frequencies stay exact: words have theirs from the vocabulary, a phrase that contains the guard only
     occurs beside it, and all other leaves keep every row.
@@ -89,18 +85,16 @@ def choose_guard(tree: Node, counts: dict[str, dict]) -> Guard | None:
     ]
     free = tuple(leaf for leaf in distinct_leaves(tree) if leaf not in bound)
     kept = {t for leaf in free for t in exact_tokens(leaf)} | {guard}
-    saved = sum(rows(t) for t in {t for leaf in bound for t in exact_tokens(leaf)} - kept)
-    worth = saved >= MIN_SAVED and saved > 2 * rows(guard) and rows(guard) <= MAX_GUARD
-    return Guard(guard, free) if worth else None
+    left_out = {t for leaf in bound for t in exact_tokens(leaf)} - kept
+    return Guard(guard, free) if left_out else None
 
 
 def _beside(rows: DataFrame, post: DataFrame, guard: Guard, shards: int | None) -> DataFrame:
-    """Drop rows of bound leaves in documents without the guard, before anything is shuffled."""
+    """Drop rows of bound leaves in documents without the guard. How the join runs is left to adaptive execution."""
     word = post.filter((F.col("term") == guard.word) & F.col("lead"))
     if shards:
         word = word.filter(F.col("shard") == shard_of(guard.word, shards))
-    # At most MAX_GUARD paths, by the vocabulary's count.
-    word = F.broadcast(word.select("path", F.lit(True).alias("_beside")))
+    word = word.select("path", F.lit(True).alias("_beside"))
     keep = F.col("_beside").isNotNull()
     for leaf in guard.free:
         for k, token in enumerate(leaf.tokens):
@@ -115,12 +109,20 @@ def leaf_rows(post: DataFrame, leaves: list[Leaf], shards: int | None = None) ->
     for leaf in leaves:
         exact.update(leaf.tokens[:-1])
         (starts if leaf.is_prefix else exact).add(leaf.tokens[-1])
-    tests = [F.col("term").isin(sorted(exact))] if exact else []
-    tests += [F.startswith(F.col("term"), F.lit(p)) for p in sorted(starts)]
-    rows = post.filter(reduce(Column.__or__, tests))
-    if shards and all(len(p) > 1 for p in starts):
-        rows = rows.filter(F.col("shard").isin(sorted({shard_of(t, shards) for t in exact | starts})))
-    return rows
+    term = F.col("term")
+    short = sorted(p for p in starts if len(p) == 1) if shards else []
+    pruned = exact | starts.difference(short)
+    tests = [term.isin(sorted(exact))] if exact else []
+    tests += [F.startswith(term, F.lit(p)) for p in sorted(starts.difference(short))]
+    rows = post.filter(reduce(Column.__or__, tests, F.lit(False)))
+    if shards:
+        # a directory holds the terms with the same first two characters
+        rows = rows.filter(F.col("shard").isin(sorted({shard_of(t, shards) for t in pruned})))
+    if not short:
+        return rows
+    # a prefix of one character is in any directory; the rest keeps its own, pruned scan
+    rest = post.filter(reduce(Column.__or__, [F.startswith(term, F.lit(p)) for p in short]))
+    return rows.unionByName(rest.filter(~reduce(Column.__or__, tests))) if tests else rest
 
 
 def _weighted_count(leaf: Leaf) -> Column:

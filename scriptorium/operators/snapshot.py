@@ -38,6 +38,13 @@ def with_status(changes: DataFrame, *status: str) -> DataFrame:
     return changes.filter(F.col("status").isin(*status)).select("path")
 
 
+def with_failures(changes: DataFrame, failed: DataFrame) -> DataFrame:
+    """Files that could not be read count as errors; their stored rows stay."""
+    lost = failed.select("path", F.lit(True).alias("_failed"))
+    status = F.when(F.col("_failed").isNotNull(), "error").otherwise(F.col("status"))
+    return changes.join(lost, "path", "left").select("path", "ext", status.alias("status"))
+
+
 def run_stats(changes: DataFrame) -> DataFrame:
     """All counters of a run in one pass."""
 
@@ -60,11 +67,11 @@ def run_stats(changes: DataFrame) -> DataFrame:
     )
 
 
-def change_list(changes: DataFrame) -> DataFrame:
+def change_list(changes: DataFrame, shown: int = SHOWN) -> DataFrame:
     """The first changes a run would make: upserts, then prunes, each in path order."""
     kind = F.when(F.col("status") == "upsert", 0).otherwise(1)
     planned = changes.filter(F.col("status").isin("upsert", "pruned"))
-    return planned.select("status", "path", kind.alias("_kind")).orderBy("_kind", "path").limit(SHOWN).select(
+    return planned.select("status", "path", kind.alias("_kind")).orderBy("_kind", "path").limit(shown).select(
         "status", "path"
     )
 

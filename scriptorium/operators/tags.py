@@ -74,13 +74,23 @@ def create_tags(tags: DataFrame, names: DataFrame, now: Column | None = None) ->
 
 
 def delete_tags(tags: DataFrame, document_tags: DataFrame, names: DataFrame) -> tuple[Change, DataFrame]:
-    """``deleted`` or ``missing`` per name, and the assignments left after the cascade."""
-    found = lookup(names, tags)
+    """``deleted`` or ``missing`` per name, and the assignments left after the cascade.
+
+    Of names with the same key the first in ``seq`` order deletes (input order, or the smallest spelling without
+    one); the others find nothing left.
+    """
+    order = F.col("seq") if "seq" in names.columns else F.col("name")
+    keyed = with_key(names.withColumn("_o", order))
+    first = keyed.groupBy("name_key").agg(F.min(F.struct("_o", "name")).alias("_first"))
+    found = keyed.join(first, "name_key").join(
+        tags.select("name_key", F.col("name").alias("stored")), "name_key", "left"
+    )
+    acts = F.col("stored").isNotNull() & (F.struct("_o", "name") == F.col("_first"))
     outcome = found.select(
-        F.coalesce("stored", "name").alias("name"),
-        F.when(F.col("stored").isNull(), "missing").otherwise("deleted").alias("outcome"),
+        F.when(acts, F.col("stored")).otherwise(F.col("name")).alias("name"),
+        F.when(acts, "deleted").otherwise("missing").alias("outcome"),
     )
-    gone = found.select("name_key").distinct()
+    gone = first.select("name_key")
     return (
         Change(tags.join(gone, "name_key", "left_anti").select(*tags.columns), outcome),
         document_tags.join(gone, "name_key", "left_anti").select(*document_tags.columns),

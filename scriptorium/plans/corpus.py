@@ -16,10 +16,9 @@ from scriptorium.operators.postings import (
     term_counts,
 )
 
-# One directory per this many bytes of text, within the bounds below.
+# One directory per this many bytes of text, and at least so many directories.
 BYTES_PER_SHARD = 2 * 1024**3
-MIN_SHARDS, MAX_SHARDS = 8, 4096
-UNKNOWN_SIZE = 2**60
+MIN_SHARDS = 8
 MIN_FILE, MAX_FILE = 1 * 1024**2, 256 * 1024**2
 
 
@@ -61,14 +60,8 @@ def listed_bytes(listing: DataFrame) -> int:
     return listing.agg(F.sum("size").alias("b")).first()["b"] or 0
 
 
-def planned_bytes(documents: DataFrame) -> int:
-    """Size of the input as the planner sees it, so that no text is read just to choose a layout."""
-    size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < UNKNOWN_SIZE else listed_bytes(documents)
-
-
 def shard_count(total: int) -> int:
-    return max(MIN_SHARDS, min(MAX_SHARDS, -(-total // BYTES_PER_SHARD)))
+    return max(MIN_SHARDS, -(-total // BYTES_PER_SHARD))
 
 
 @contextmanager
@@ -116,7 +109,7 @@ def write_terms(post: DataFrame, path: str) -> None:
 def write_corpus(documents: DataFrame, root: str, shards: int | None = None) -> int:
     """Write documents, postings and statistics below ``root``; returns the shard count used."""
     spark = documents.sparkSession
-    total = planned_bytes(documents)
+    total = listed_bytes(documents)
     count = shards or shard_count(total)
     with file_size(spark, total):
         write_documents(documents, f"{root}/documents", count)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +25,14 @@ from scriptorium.plans.corpus import (
     write_terms,
 )
 from scriptorium.plans.search import search
-from scriptorium.sources.files import empty_documents, read_files, scan_files
+from scriptorium.sources.files import documents_of, failures, normal_root, oversized, read_files, scan_files
 
 RUN_COLUMNS = (
     "walked", "txt", "md", "unchanged", "upserted", "pruned", "unreadable", "kept", "never_indexed", "errors",
 )
+RUN_SCHEMA = (
+    "run_at timestamp, corpus_root string, " + ", ".join(f"{c} bigint" for c in RUN_COLUMNS) + ", last_run_stats string"
+)
 TABLES = ("documents", "postings", "stats", "tags", "document_tags", "terms")
 
 
@@ -55,8 +59,8 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 class Index:
     """A corpus index below ``location``.
 
-    Every change writes the new tables to fresh folders and then appends one row to the ``state`` log, so
-    readers always see a complete version and a failed run leaves the last one in place.
+    Every change writes the new tables to fresh folders and then one version file that names them, so readers
+    always see a complete version and a failed run leaves the last one in place.
     """
 
     def __init__(self, spark: SparkSession, location: str):
@@ -65,20 +69,49 @@ class Index:
 
     # -- state -----------------------------------------------------------------------------------
 
+    def _states(self):
+        """Names of the version files, and the Hadoop calls to use them with."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.location}/state")
+        store = folder.getFileSystem(conf)
+        names = [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
+        return sorted(n for n in names if n.endswith(".json") and not n.startswith(("_", "."))), folder, store, jvm
+
     def _state(self) -> dict | None:
-        path = f"{self.location}/state"
-        probe = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        files = probe.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(probe):
+        names, folder, store, jvm = self._states()
+        if not names:
             return None
-        rows = self.spark.read.schema("version bigint, state string").parquet(path)
-        last = rows.agg(F.max_by("state", "version").alias("s"), F.max("version").alias("v")).first()
-        return None if last["s"] is None else {**json.loads(last["s"]), "version": last["v"]}
+        stream = store.open(jvm.org.apache.hadoop.fs.Path(folder, names[-1]))
+        try:
+            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def _commit(self, state: dict) -> None:
-        version = state.pop("version", 0) + 1
-        row = self.spark.createDataFrame([(version, json.dumps(state))], "version bigint, state string")
-        row.coalesce(1).write.mode("append").parquet(f"{self.location}/state")
+    def _commit(self, state: dict, run: dict | None = None) -> None:
+        """Write the next version: one file with all table places and, after an update, the run's counters.
+
+        The file gets its name in one step that fails if another writer has made that version.
+        """
+        _, folder, store, jvm = self._states()
+        state = {**state, "version": state.get("version", 0) + 1, "run": run}
+        path = jvm.org.apache.hadoop.fs.Path
+        draft, final = path(folder, f".{uuid.uuid4().hex}"), path(folder, f"v{state['version']:012d}.json")
+        stream = store.create(draft, False)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            folder.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()
+        )
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.NONE
+        try:
+            context.rename(draft, final, options)
+        except Py4JJavaError as error:
+            store.delete(draft, False)
+            if "FileAlreadyExists" not in str(error.java_exception):
+                raise
+            raise RuntimeError(f"version {state['version']} was written by another writer; run again") from error
 
     def _require(self) -> dict:
         state = self._state()
@@ -97,7 +130,13 @@ class Index:
         return Corpus(*[self._read(state, n) for n in TABLES], state["shards"])
 
     def runs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.location}/runs")
+        """One row for each update, oldest first."""
+        rows = self.spark.read.schema(f"version bigint, run struct<{RUN_SCHEMA}>").json(f"{self.location}/state")
+        return rows.filter("run is not null").orderBy("version").select("run.*")
+
+    def errors(self) -> DataFrame:
+        """``path, message`` of every file that the last update could not take."""
+        return self._read(self._require(), "errors")
 
     # -- documents -------------------------------------------------------------------------------
 
@@ -106,6 +145,7 @@ class Index:
 
         ``snapshot`` replaces the listing, for instance to mark files as unreadable.
         """
+        root = normal_root(root)
         state = self._state()
         snap.check_root(state and state["root"], root, full)
         listing_path = self._fresh("listing")
@@ -114,66 +154,64 @@ class Index:
         stored = self._read(state, "documents").drop("shard") if state else None
         if stored is None:
             stored = self.spark.createDataFrame([], "path string, size bigint, mtime timestamp")
-        changes_path = self._fresh("changes")
         base = stored.filter(F.lit(False)) if full else stored
-        snap.diff(listing, base, full).write.parquet(changes_path)
-        changes = self.spark.read.parquet(changes_path)
+        changes = self._saved("changes", snap.diff(listing, base, full))
         touched = changes.filter(F.col("status").isin("upsert", "pruned"))
+        failed = None
         if full or state is None or not touched.isEmpty():
-            state = self._rewrite(state, root, listing, changes, full or state is None)
+            wanted = listing.join(snap.with_status(changes, "upsert"), "path", "left_semi")
+            read = self._saved("read", read_files(self.spark, root, wanted))
+            failed = failures(read)
+            changes = self._saved("changes", snap.with_failures(changes, failed))
+            state = self._rewrite(state, root, listing, changes, documents_of(read), full or state is None)
+        errors = oversized(listing.join(snap.with_status(changes, "error"), "path", "left_semi"))
+        errors = errors if failed is None else errors.unionByName(failed)
+        state["tables"] = {**state["tables"], "errors": self._fresh("errors")}
+        errors.dropDuplicates(["path"]).write.parquet(state["tables"]["errors"])
         state["root"] = root
-        self._commit(state)
-        run_row(snap.run_stats(changes), root).write.mode("append").parquet(f"{self.location}/runs")
-        return read_runs(self.spark, f"{self.location}/runs")
+        run = run_row(snap.run_stats(changes), root).first().asDict()
+        self._commit(state, {**run, "run_at": run["run_at"].isoformat()})
+        return self.spark.createDataFrame([tuple(run.values())], RUN_SCHEMA)
+
+    def _saved(self, name: str, frame: DataFrame) -> DataFrame:
+        path = self._fresh(name)
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
 
     def _rewrite(
-        self, state: dict | None, root: str, listing: DataFrame, changes: DataFrame, whole: bool
+        self, state: dict | None, root: str, listing: DataFrame, changes: DataFrame, changed: DataFrame, whole: bool
     ) -> dict:
         paths = {n: self._fresh(n) for n in TABLES}
         total = listed_bytes(listing)
-        if whole:
-            documents = read_files(self.spark, root)
-            unreadable = listing.filter(~F.col("readable"))
-            if not unreadable.isEmpty():
-                documents = documents.join(unreadable.select("path"), "path", "left_anti")
-            documents = documents.unionByName(empty_documents(listing))
-            shards = shard_count(total)
-            with file_size(self.spark, total):
-                write_documents(documents, paths["documents"], shards)
+        shards = shard_count(total) if whole else state["shards"]
+        with file_size(self.spark, total):
+            if whole:
+                write_documents(changed, paths["documents"], shards)
                 stored = self.spark.read.parquet(paths["documents"])
                 write_postings(postings(stored), paths["postings"], shards)
-        else:
-            shards = state["shards"]
-            wanted = snap.with_status(changes, "upsert")
-            changed = read_files(self.spark, root, wanted).unionByName(
-                empty_documents(listing.join(wanted, "path", "left_semi"))
-            )
-            staged = self._fresh("staged")
-            changed.write.parquet(staged)
-            changed = self.spark.read.parquet(staged)
-            old = self._read(state, "documents").drop("shard")
-            touched = snap.with_status(changes, "upsert", "pruned")
-            kept = self._read(state, "postings").drop("shard")
-            with file_size(self.spark, total):
+            else:
+                changed = self._saved("staged", changed)
+                old = self._read(state, "documents").drop("shard")
+                touched = snap.with_status(changes, "upsert", "pruned")
+                kept = self._read(state, "postings").drop("shard")
                 write_documents(snap.carry_over(old, changes, changed), paths["documents"], shards)
                 write_postings(update_postings(kept, touched, changed), paths["postings"], shards)
-            stored = self.spark.read.parquet(paths["documents"])
+        stored = self.spark.read.parquet(paths["documents"])
         corpus_stats(stored).coalesce(1).write.parquet(paths["stats"])
         write_terms(self.spark.read.parquet(paths["postings"]), paths["terms"])
         if state:
-            tags, assigned = self._read(state, "tags"), self._read(state, "document_tags")
-        else:
-            tags, assigned = empty_tags(self.spark)
-        tag_ops.drop_orphans(assigned, stored).write.parquet(paths["document_tags"])
-        if state:
+            assigned = self._read(state, "document_tags")
             paths["tags"] = state["tables"]["tags"]
         else:
+            tags, assigned = empty_tags(self.spark)
             tags.write.parquet(paths["tags"])
+        tag_ops.drop_orphans(assigned, stored).write.parquet(paths["document_tags"])
         version = {"version": state["version"]} if state else {}
         return {"tables": paths, "shards": shards, "root": root, **version}
 
     def plan(self, root: str, *, full: bool = False) -> tuple[DataFrame, DataFrame]:
         """Dry run: the counters and the first changes; nothing is written."""
+        root = normal_root(root)
         state = self._state()
         snap.check_root(state and state["root"], root, full)
         stored = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.decode import MAX_FILE_BYTES
 from scriptorium.functions.headers import title_of, url_of
 from scriptorium.functions.names import base_name, extension, folder_of, is_hidden, stem_of
 from scriptorium.functions.text import FIELDS, token_count, unify_newlines
@@ -49,7 +50,7 @@ def documents_from_table(
     mtime: Column,
     indexed_at: Column | None = None,
 ) -> DataFrame:
-    """Treat each table row as one file. Rows whose path is not indexable are left out."""
+    """Treat each table row as one file. Rows whose path is not indexable or whose text is too large are left out."""
     body = unify_newlines(F.coalesce(text, F.lit("")))
     rows = spread(table, path).select(
         path.alias("path"),
@@ -58,5 +59,6 @@ def documents_from_table(
         extension(base_name(path)).alias("ext"),
         body.alias("body"),
     )
-    kept = rows.filter(F.col("ext").isNotNull() & ~is_hidden(F.col("path")))
+    small = F.coalesce(F.col("size") <= MAX_FILE_BYTES, F.lit(True))
+    kept = rows.filter(F.col("ext").isNotNull() & ~is_hidden(F.col("path")) & small)
     return build_documents(kept, indexed_at)

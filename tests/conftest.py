@@ -27,20 +27,23 @@ def spark():
     yield s
 
 
+#: Ten files to index, two of them below three folders, and four that are left out.
 FILES = {
-    "Ships/Harbour-talk.txt": "Title: Harbour talk\nURL: https://example.org/harbour\n\n"
-    "The naïve pilot spoke of wreck salvage. Later, wreck salvage again: harbour lights.\n",
-    "Ships/Harbour-talk.md": "# Harbour talk, notes\n\nA pilot describes the harbour without any accent.\n",
-    "Ships/Lagoon-interview.txt": "Title: Lagoon interview\n\nA lagoon is not a harbo. Only marsh and reed.\n",
-    "Stars/nebula-seminar.txt": "Title: Nebula seminar\n\nplasma and dust between stars\n",
-    "Faith/Abbey-letters.md": "* list first\n\n## Letters from the abbey\n\nink and vellum\n",
-    "Weight-title.txt": "Title: weightword\n\nnothing here\n",
-    "Weight-body.txt": "Title: other\n\nweightword in the body\n",
-    "Odd #Name'.txt": "single-token-xyz has no header\n",
-    "skip-me.pdf": "weightword",
-    ".hidden/inside.txt": "weightword",
-    "__pycache__/inside.txt": "weightword",
-    "Ships/.dot.txt": "weightword",
+    "garden/beds/2021/asparagus.md": "# Asparagus bed\n\nTrench dug in March, compost below. Crème fraîche goes well with it.\n",
+    "garden/beds/2022/beans.txt": "Title: Runner beans\nURL: https://example.org/beans\n\n"
+    "Sown late. Slugs came, copper tape helped: more copper tape in June.\n",
+    "garden/pests.md": "Slugs and aphids\n\nCopper around the pots, tape on the rims.\n",
+    "garden/_drafts/pond.txt": "A pond needs liner, stones and patience.\n",
+    "kitchen/Soups/leek.txt": "title: Leek soup\n\nLeeks, potatoes, stock and saffron.\n",
+    "kitchen/Soups/saffron.md": "- shopping\n\n## Saffron broth\n\nnothing else in it\n",
+    "kitchen/bread.TXT": "flour-water-salt, no header\n",
+    "_inbox.txt": "unsorted: copper kettle\n",
+    "empty.md": "",
+    "notes/a b (c) & d.md": "half-done list\n",
+    "kitchen/photo.jpg": "copper",
+    ".trash/old.txt": "copper",
+    "garden/__pycache__/x.md": "copper",
+    "notes/.draft.md": "copper",
 }
 
 
@@ -63,9 +66,9 @@ def fixed(spark, tmp_path_factory) -> Index:
     base = tmp_path_factory.mktemp("fixed")
     index = Index(spark, str(base / "index"))
     index.update(str(write_tree(base / "corpus", FILES)))
-    index.create_tags(["ships", "stars"])
-    index.apply_tag("ships", under="Ships")
-    index.apply_tag("stars", ["Stars/nebula-seminar.txt"])
+    index.create_tags(["outdoors", "cooking"])
+    index.apply_tag("outdoors", under="Garden")
+    index.apply_tag("cooking", ["kitchen/Soups/leek.txt", "kitchen/Soups/saffron.md"])
     return index
 
 

@@ -27,46 +27,46 @@ def test_life_of_an_index(spark, corpus, index):
     """First run, no-op, one change, one removal, rebuild: counters, searches and tags."""
     root = str(corpus)
     first = counters(index.runs())
-    assert (first["walked"], first["upserted"], first["errors"], first["txt"], first["md"]) == (8, 8, 0, 6, 2)
-    assert index.corpus().documents.count() == 8
+    assert (first["walked"], first["upserted"], first["errors"], first["txt"], first["md"]) == (10, 10, 0, 5, 5)
+    assert index.corpus().documents.count() == 10
 
-    index.create_tags(["ships", "stars"])
-    index.apply_tag("ships", ["Ships/Harbour-talk.txt"])
-    index.apply_tag("stars", ["Stars/nebula-seminar.txt"])
-    version = index._state()["tables"]["documents"]
+    index.create_tags(["wet", "hot"])
+    index.apply_tag("wet", ["garden/_drafts/pond.txt", "kitchen/Soups/leek.txt"])
+    index.apply_tag("hot", ["kitchen/Soups/leek.txt"])
+    tables = index._state()["tables"]
     again = counters(index.update(root))
-    assert (again["unchanged"], again["upserted"], again["pruned"]) == (8, 0, 0)
-    assert index._state()["tables"]["documents"] == version
+    assert (again["unchanged"], again["upserted"], again["pruned"]) == (10, 0, 0)
+    assert index._state()["tables"]["documents"] == tables["documents"]
 
-    target = corpus / "Ships/Harbour-talk.txt"
-    target.write_text(target.read_text(encoding="utf-8") + "\nextraword here\n", encoding="utf-8")
+    target = corpus / "garden/_drafts/pond.txt"
+    target.write_text(target.read_text(encoding="utf-8") + "\nwaterlilies too\n", encoding="utf-8")
     changed = counters(index.update(root))
-    assert (changed["unchanged"], changed["upserted"]) == (7, 1)
-    assert paths(index.search("extraword")) == ["Ships/Harbour-talk.txt"]
-    assert paths(index.search("naive")) == ["Ships/Harbour-talk.txt"]
+    assert (changed["unchanged"], changed["upserted"]) == (9, 1)
+    assert paths(index.search("waterlilies")) == paths(index.search("liner")) == ["garden/_drafts/pond.txt"]
 
-    (corpus / "Stars/nebula-seminar.txt").unlink()
+    (corpus / "kitchen/Soups/leek.txt").unlink()
     stats, listed = index.plan(root)
     assert counters(stats)["pruned"] == 1
-    assert [tuple(r) for r in listed.collect()] == [("pruned", "Stars/nebula-seminar.txt")]
-    assert index.corpus().documents.count() == 8
+    assert [tuple(r) for r in listed.collect()] == [("pruned", "kitchen/Soups/leek.txt")]
+    assert index.corpus().documents.count() == 10
     assert counters(index.update(root))["pruned"] == 1
-    assert paths(index.search("plasma")) == []
-    assert {r["name"]: r["n"] for r in index.list_tags().collect()} == {"ships": 1, "stars": 0}
+    assert paths(index.search("potatoes")) == []
+    assert {r["name"]: r["n"] for r in index.list_tags().collect()} == {"wet": 1, "hot": 0}
 
     rebuilt = counters(index.update(root, full=True))
-    assert (rebuilt["upserted"], rebuilt["unchanged"]) == (7, 0)
-    assert [r["name"] for r in index.show_tags("Ships/Harbour-talk.txt").collect()] == ["ships"]
+    assert (rebuilt["upserted"], rebuilt["unchanged"]) == (9, 0)
+    assert [r["name"] for r in index.show_tags("garden/_drafts/pond.txt").collect()] == ["wet"]
     stats = index.corpus().stats.first()
     lengths = index.corpus().documents.agg(F.count("*"), F.sum("dl")).first()
     assert tuple(stats) == tuple(lengths)
     direct = index.corpus().postings.agg(F.sum(F.size("positions"))).first()[0]
     assert direct == lengths[1]
+    assert [r["upserted"] for r in index.runs().collect()] == [10, 0, 1, 0, 9]
 
 
 def test_incremental_equals_rebuild(spark, corpus, index, tmp_path):
-    write_tree(corpus, {"Ships/new.md": "# New\n\nwreck salvage", "Weight-body.txt": "changed altogether now"})
-    (corpus / "Odd #Name'.txt").unlink()
+    write_tree(corpus, {"garden/new.md": "# New\n\ncopper tape", "_inbox.txt": "changed altogether now"})
+    (corpus / "notes/a b (c) & d.md").unlink()
     index.update(str(corpus))
     other = Index(spark, str(tmp_path / "other"))
     other.update(str(corpus))
@@ -74,31 +74,65 @@ def test_incremental_equals_rebuild(spark, corpus, index, tmp_path):
         a = getattr(index.corpus(), name).drop("indexed_at", "shard")
         b = getattr(other.corpus(), name).drop("indexed_at", "shard").select(*a.columns)
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
-    assert paths(index.search(phrase("wreck salvage"))) == paths(other.search(phrase("wreck salvage")))
+    assert paths(index.search(phrase("copper tape"))) == paths(other.search(phrase("copper tape")))
 
 
 def test_unreadable_files_keep_their_row(spark, corpus, index):
-    listing = scan_files(spark, str(corpus)).withColumn("readable", F.lit(False))
     write_tree(corpus, {"late.txt": "never read"})
-    more = scan_files(spark, str(corpus)).withColumn("readable", F.lit(False))
-    stats = counters(index.update(str(corpus), snapshot=more))
-    assert (stats["unreadable"], stats["kept"], stats["never_indexed"], stats["upserted"]) == (9, 8, 1, 0)
-    assert listing.count() == 8
-    assert paths(index.search("naive")) == ["Ships/Harbour-talk.txt"]
+    listing = scan_files(spark, str(corpus)).withColumn("readable", F.lit(False))
+    stats = counters(index.update(str(corpus), snapshot=listing))
+    assert (stats["unreadable"], stats["kept"], stats["never_indexed"], stats["upserted"]) == (11, 10, 1, 0)
+    assert paths(index.search("fraiche")) == ["garden/beds/2021/asparagus.md"]
+
+
+def test_a_full_run_reads_the_given_listing_only(spark, corpus, index):
+    listing = scan_files(spark, str(corpus)).filter(F.col("path").startswith("kitchen/"))
+    assert counters(index.update(str(corpus), full=True, snapshot=listing))["upserted"] == 3
+    assert index.corpus().documents.count() == 3 and paths(index.search("copper")) == []
+
+
+def test_files_that_vanish_or_cannot_be_read_are_reported(spark, corpus, index):
+    write_tree(corpus, {"garden/pests.md": "changed, then gone", "gone.txt": "new, then gone", "big.txt": b"x" * (8 * 1024**2 + 1)})
+    listing = scan_files(spark, str(corpus)).cache()
+    assert listing.count() == 12
+    (corpus / "garden/pests.md").unlink()
+    (corpus / "gone.txt").unlink()
+    (corpus / "gone.txt").mkdir()
+    write_tree(corpus, {"_inbox.txt": "rewritten"})
+    stats = counters(index.update(str(corpus), snapshot=listing.withColumn("size", F.col("size") + (F.col("path") == "_inbox.txt").cast("int"))))
+    assert (stats["errors"], stats["upserted"], stats["unchanged"]) == (3, 1, 8)
+    failed = {r["path"]: r["message"] for r in index.errors().collect()}
+    assert set(failed) == {"garden/pests.md", "gone.txt", "big.txt"} and failed["big.txt"] == "ValueError: too large"
+    assert failed["garden/pests.md"].startswith("FileNotFoundError")
+    # the old row stays, and the next run tries again
+    assert paths(index.search("aphids")) == ["garden/pests.md"] and paths(index.search("rewritten")) == ["_inbox.txt"]
+    assert counters(index.update(str(corpus)))["pruned"] == 1
+    with pytest.raises(FileNotFoundError):
+        scan_files(spark, str(corpus / "nowhere"))
+
+
+def test_two_writers_do_not_lose_an_update(spark, corpus, index):
+    other = Index(spark, index.location)
+    stale = other._state()
+    index.create_tags(["first"])
+    with pytest.raises(RuntimeError, match="another writer"):
+        other._commit(stale)
+    assert [r["name"] for r in index.list_tags().collect()] == ["first"]
 
 
 def test_moved_root_needs_a_rebuild(index, corpus, tmp_path):
+    assert counters(index.update(f"file://{corpus}/"))["unchanged"] == 10
     moved = tmp_path / "moved"
     os.rename(corpus, moved)
     with pytest.raises(ValueError, match="rebuild"):
         index.update(str(moved))
-    assert counters(index.update(str(moved), full=True))["upserted"] == 8
+    assert counters(index.update(str(moved), full=True))["upserted"] == 10
 
 
 def test_plan_without_index_writes_nothing(spark, corpus, tmp_path):
     place = tmp_path / "none"
     stats, listed = Index(spark, str(place)).plan(str(corpus))
-    assert counters(stats)["upserted"] == 8 and listed.count() == 8
+    assert counters(stats)["upserted"] == 10 and listed.count() == 10
     assert not place.exists()
     with pytest.raises(ValueError, match="empty"):
         Index(spark, str(place)).search("x")
@@ -142,34 +176,31 @@ def test_odd_files(spark, tmp_path):
 
 
 def test_tag_life(index):
-    assert [tuple(r) for r in index.create_tags(["Ufo", "été"]).orderBy("name").collect()] == [
-        ("Ufo", "created"), ("été", "created")
-    ]
-    again = index.create_tags(["UFO", "neu", "NEU", "ÉTÉ"]).collect()
-    assert sorted(tuple(r) for r in again) == [
-        ("Ufo", "exists"), ("neu", "created"), ("neu", "exists"), ("ÉTÉ", "created")
-    ]
-    for bad in ("", " x", "-x", "a b", "x" * 65, "a.b"):
+    made = index.create_tags(["Wet", "süß"]).collect()
+    assert sorted(tuple(r) for r in made) == [("Wet", "created"), ("süß", "created")]
+    again = index.create_tags(["WET", "new", "NEW", "SÜß"]).collect()
+    assert sorted(tuple(r) for r in again) == [("SÜß", "created"), ("Wet", "exists"), ("new", "created"), ("new", "exists")]
+    for bad in ("", "x ", "-x", "a/b", "y" * 65, "a,b"):
         with pytest.raises(ValueError):
             index.create_tags([bad])
-    out = index.apply_tag("ufo", ["Weight-body.txt"], under="SHIPS").collect()
-    assert {r["outcome"] for r in out} == {"tagged"} and len(out) == 4
-    out = {r["path"]: r["outcome"] for r in index.apply_tag("UFO", ["weight-BODY.txt", "Weight-title.txt"]).collect()}
-    assert out == {"Weight-body.txt": "already", "Weight-title.txt": "tagged"}
-    out = {r["path"]: r["outcome"] for r in index.remove_tag("ufo", ["Weight-body.txt", "Stars/nebula-seminar.txt"]).collect()}
-    assert out == {"Weight-body.txt": "untagged", "Stars/nebula-seminar.txt": "absent"}
-    absolute = index._state()["root"] + "/Weight-title.txt"
-    assert [r["name"] for r in index.show_tags(absolute).collect()] == ["Ufo"]
-    assert {r["name"]: r["n"] for r in index.list_tags().collect()} == {"neu": 0, "Ufo": 4, "été": 0, "ÉTÉ": 0}
+    out = index.apply_tag("wet", ["_inbox.txt"], under="GARDEN/beds").collect()
+    assert {r["outcome"] for r in out} == {"tagged"} and len(out) == 3
+    out = {r["path"]: r["outcome"] for r in index.apply_tag("WET", ["_INBOX.txt", "empty.md"]).collect()}
+    assert out == {"_inbox.txt": "already", "empty.md": "tagged"}
+    out = {r["path"]: r["outcome"] for r in index.remove_tag("wet", ["_inbox.txt", "garden/pests.md"]).collect()}
+    assert out == {"_inbox.txt": "untagged", "garden/pests.md": "absent"}
+    absolute = index._state()["root"] + "/empty.md"
+    assert [r["name"] for r in index.show_tags(absolute).collect()] == ["Wet"]
+    assert {r["name"]: r["n"] for r in index.list_tags().collect()} == {"new": 0, "Wet": 3, "süß": 0, "SÜß": 0}
     for call in (
-        lambda: index.apply_tag("nope", ["Weight-body.txt"]),
-        lambda: index.apply_tag("ufo", ["missing.txt"]),
-        lambda: index.apply_tag("ufo", []),
-        lambda: index.apply_tag("ufo", under="nowhere"),
+        lambda: index.apply_tag("unheard", ["_inbox.txt"]),
+        lambda: index.apply_tag("wet", ["missing.txt"]),
+        lambda: index.apply_tag("wet", []),
+        lambda: index.apply_tag("wet", under="nowhere"),
     ):
         with pytest.raises(ValueError):
             call()
-    gone = {r["name"]: r["outcome"] for r in index.delete_tags(["UFO", "never"]).collect()}
-    assert gone == {"Ufo": "deleted", "never": "missing"}
+    gone = sorted(tuple(r) for r in index.delete_tags(["WET", "never", "wet"]).collect())
+    assert gone == [("Wet", "deleted"), ("never", "missing"), ("wet", "missing")]
     assert index.corpus().document_tags.isEmpty()
     assert tag_key("ÉA") == "Éa"

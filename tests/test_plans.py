@@ -26,23 +26,23 @@ def corpus(fixed):
 
 
 def test_terms_reach_the_scan_and_prune_directories(corpus):
-    plan = planned(score_matches(corpus, all_of("harbour", prefix("lag"))))
+    plan = planned(score_matches(corpus, all_of("copper", prefix("sla"))))
     scans = [line for line in plan.splitlines() if "FileScan parquet [term" in line]
     assert scans
     for line in scans:
         assert re.search(r"PartitionFilters: \[shard#\d+ IN|PartitionFilters: \[\(shard#\d+ = ", line), line
-        assert "PushedFilters: [Or(" in line and "StringStartsWith(term,lag)" in line
+        assert "PushedFilters: [Or(" in line and "StringStartsWith(term,sla)" in line
 
 
 def test_one_shuffle_on_the_path_shared_with_the_statistics(corpus):
-    plan = executed(score_matches(corpus, any_of(phrase("wreck salvage"), "harbour")))
+    plan = executed(score_matches(corpus, any_of(phrase("copper tape"), "slugs")))
     assert "ReusedExchange" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "body#" not in plan
 
 
 def test_only_partitions_with_hits_are_read_for_bodies(corpus):
-    plan = executed(search(corpus, any_of("harbour", "plasma")))
+    plan = executed(search(corpus, any_of("copper", "saffron")))
     bodies = [x for x in plan.splitlines() if "FileScan parquet" in x and "body#" in x]
     assert bodies and all("dynamicpruningexpression" in x for x in bodies)
     assert re.search(r"ReusedExchange \[.*rank#", plan)
@@ -50,11 +50,18 @@ def test_only_partitions_with_hits_are_read_for_bodies(corpus):
 
 
 def test_tag_only_search_reads_no_bodies(corpus):
-    plan = executed(search(corpus, tag("ships")))
+    plan = executed(search(corpus, tag("outdoors")))
     assert not re.search(r"FileScan parquet \[[^\]]*body#", plan)
 
 
 def test_common_rows_are_dropped_before_the_shuffle(corpus):
-    guard = match.Guard("naive", ())
-    plan = planned(match.candidates(corpus.postings, all_of("harbour", "naive"), corpus.shards, guard))
+    guard = match.Guard("june", ())
+    plan = planned(match.candidates(corpus.postings, all_of("copper", "june"), corpus.shards, guard))
     assert plan.index("Exchange hashpartitioning(path") < plan.index("BroadcastHashJoin")
+
+
+def test_a_short_prefix_leaves_words_pruned(corpus):
+    plan = planned(score_matches(corpus, all_of("copper", prefix("t"))))
+    scans = [line for line in plan.splitlines() if "FileScan parquet [term" in line]
+    words = [line for line in scans if "StartsWith(term" not in line.split("DataFilters")[1].split("Format")[0]]
+    assert words and all(re.search(r"PartitionFilters: \[.*shard#\d+ (IN|=)", line) for line in words)

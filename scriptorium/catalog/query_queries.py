@@ -344,44 +344,51 @@ def weighted_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per benchmark item: one of two phrases of it, and a word or a prefix, but not 'que'."""
+    """One query per benchmark item: one of all its three-word phrases, and its first word or the prefix of its last,
+    but not 'que'."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("t"))
 
-    def clause(slot: int, alt: int, kind: str, value: Column, negated: bool = False) -> Column:
+    def clause(slot: int, alt: int | Column, kind: str, value: Column, negated: bool = False) -> Column:
         return F.struct(
             F.lit(slot).alias("slot"),
-            F.lit(alt).alias("alt"),
+            F.lit(alt).cast("int").alias("alt"),
             F.lit(kind).alias("kind"),
             value.alias("value"),
             F.lit(None).cast("string").alias("field"),
             F.lit(negated).alias("negated"),
         )
 
-    made = F.array(
-        clause(0, 0, "phrase", F.array_join(F.slice("t", 1, 3), " ")),
-        clause(0, 1, "phrase", F.array_join(F.slice("t", 4, 2), "-")),
-        clause(1, 0, "word", F.get("t", F.lit(0))),
-        clause(1, 1, "prefix", F.substring(F.get("t", F.lit(6)), 1, 3)),
-        clause(2, 0, "word", F.lit("que"), True),
+    phrases = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("t") - 1) / 3).cast("int")),
+        lambda k: clause(0, k, "phrase", F.array_join(F.slice("t", 3 * k + 1, F.lit(3)), " ")),
+    )
+    made = F.concat(
+        phrases,
+        F.array(
+            clause(1, 0, "word", F.get("t", F.lit(0))),
+            clause(1, 1, "prefix", F.substring(F.element_at("t", -1), 1, 3)),
+            clause(2, 0, "word", F.lit("que"), True),
+        ),
     )
     return items.select("query_id", F.explode(made).alias("c")).select("query_id", "c.*")
 
 
 _BATCH = f"""WITH {sql.BASE},
 items AS (SELECT item_id AS query_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+') AS t FROM benchmark),
-p0 AS (SELECT query_id, a.path, CAST(sum(a.w) AS DOUBLE) AS f FROM items JOIN tok a ON a.term = t[1]
-  JOIN tok b ON b.path = a.path AND b.field = a.field AND b.pos = a.pos + 1 AND b.term = t[2]
-  JOIN tok c ON c.path = a.path AND c.field = a.field AND c.pos = a.pos + 2 AND c.term = t[3] GROUP BY ALL),
-p1 AS (SELECT query_id, a.path, CAST(sum(a.w) AS DOUBLE) AS f FROM items JOIN tok a ON a.term = t[4]
-  JOIN tok b ON b.path = a.path AND b.field = a.field AND b.pos = a.pos + 1 AND b.term = t[5] GROUP BY ALL),
+threes AS (SELECT query_id, k AS s, t[3 * k + 1] AS t1, t[3 * k + 2] AS t2, t[3 * k + 3] AS t3
+  FROM (SELECT query_id, t, unnest(range((len(t) + 2) // 3)) AS k FROM items)),
+p0 AS (SELECT s, query_id, a.path, CAST(sum(a.w) AS DOUBLE) AS f FROM threes JOIN tok a ON a.term = t1
+  LEFT JOIN tok b ON b.path = a.path AND b.field = a.field AND b.pos = a.pos + 1 AND b.term = t2
+  LEFT JOIN tok c ON c.path = a.path AND c.field = a.field AND c.pos = a.pos + 2 AND c.term = t3
+  WHERE (t2 IS NULL OR b.term IS NOT NULL) AND (t3 IS NULL OR c.term IS NOT NULL) GROUP BY ALL),
 p2 AS (SELECT query_id, path, CAST(sum(w) AS DOUBLE) AS f FROM items JOIN tok ON term = t[1] GROUP BY ALL),
-p3 AS (SELECT query_id, path, CAST(sum(w) AS DOUBLE) AS f FROM items JOIN tok ON starts_with(term, left(t[7], 3)) GROUP BY ALL),
-parts AS (SELECT 0 AS s, * FROM p0 UNION ALL SELECT 1, * FROM p1 UNION ALL SELECT 2, * FROM p2 UNION ALL SELECT 3, * FROM p3),
+p3 AS (SELECT query_id, path, CAST(sum(w) AS DOUBLE) AS f FROM items JOIN tok ON starts_with(term, left(t[-1], 3)) GROUP BY ALL),
+parts AS (FROM p0 UNION ALL SELECT 1000, * FROM p2 UNION ALL SELECT 1001, * FROM p3),
 counts AS (SELECT s, query_id, count(*) AS n FROM parts GROUP BY ALL),
 terms AS (SELECT s, query_id, path, f, ln((n_docs - n + 0.5) / (n + 0.5)) AS raw, dl, n_docs, n_tokens
   FROM parts JOIN counts USING (s, query_id) JOIN lens USING (path), stats),
-sums AS (SELECT query_id, path, max(s <= 1) AS a, max(s >= 2) AS b,
+sums AS (SELECT query_id, path, max(s < 1000) AS a, max(s >= 1000) AS b,
   sum((CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / (n_tokens / n_docs)))) AS total
   FROM terms GROUP BY ALL),
 scored AS (SELECT query_id, path, 0 - total AS score FROM sums

@@ -88,50 +88,70 @@ def _saved(frame: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _prefix_hits(corpus: Corpus, prefixes: DataFrame) -> list[DataFrame]:
+    """Posting rows of single-token prefixes, one frame for each prefix length.
+
+    A prefix is compared with the head of each term, so it stays one row however many terms it covers.
+    """
+    prefixes = _saved(prefixes.select("leaf", "column", F.get("toks", F.lit(0)).alias("tok")))
+    # As many lengths as the clauses hold.
+    lengths = sorted(r["n"] for r in prefixes.select(F.length("tok").alias("n")).distinct().collect())
+    found = []
+    for n in lengths:
+        wanted, by = prefixes.filter(F.length("tok") == n), ["tok"]
+        post = corpus.postings.filter(F.length("term") >= n).withColumn("tok", F.substring("term", 1, n))
+        if corpus.shards and n > 1:
+            wanted, by = wanted.withColumn("shard", shard_column(F.col("tok"), corpus.shards)), ["shard", "tok"]
+        found.append(post.join(wanted, by))
+    return found
+
+
 def leaf_hits(corpus: Corpus, leaves: DataFrame) -> DataFrame:
     """``leaf, path, ext, dl, f`` for every document that holds a leaf."""
     by = ["term"]
-    terms = _leaf_terms(leaves, corpus.terms)
+    open_end = F.col("is_prefix") & (F.size("toks") == 1)
+    terms = _leaf_terms(leaves.filter(~open_end), corpus.terms)
     if corpus.shards:
         terms = terms.withColumn("shard", shard_column(F.col("term"), corpus.shards))
         by = ["shard", "term"]
     terms = _saved(terms)
+    in_field = F.col("column").isNull() | (F.col("column") == F.col("field"))
+    singles = [corpus.postings.join(terms.filter("m = 1").select("leaf", "column", *by), by)]
+    weight = weight_column(F.col("field"))
+    found = [
+        rows.filter(in_field).select("leaf", "path", "ext", "dl", (weight * F.size("positions")).alias("w"))
+        for rows in [*singles, *_prefix_hits(corpus, leaves.filter(open_end))]
+    ]
+    several = terms.filter("m > 1")
     rarest = (
-        terms.groupBy("leaf", "m", "off")
+        several.groupBy("leaf", "m", "off")
         .agg(F.sum("n").alias("n"))
         .groupBy("leaf", "m")
         .agg(F.count("*").alias("offsets"), F.min_by("off", F.struct("n", "off")).alias("off"))
         .filter(F.col("offsets") == F.col("m"))
         .select("leaf", "off")
     )
-    anchor = terms.join(rarest, ["leaf", "off"]).drop("n")
-    placed = corpus.postings.join(anchor, by).filter(
-        F.col("column").isNull() | (F.col("column") == F.col("field"))
-    )
-    starts = placed.select(
+    anchor = several.join(rarest, ["leaf", "off"]).drop("n")
+    starts = corpus.postings.join(anchor, by).filter(in_field).select(
         "leaf", "m", F.col("off").alias("anchor"), "path", "ext", "dl", "field",
         F.explode(F.transform("positions", lambda p: p - F.col("off"))).alias("start"),
     )
-    single = starts.filter(F.col("m") == 1).drop("m", "anchor")
-    later = terms.filter(F.col("m") > 1)
-    beside = corpus.postings.join(later.select(*by).distinct(), by, "left_semi").select(
+    beside = corpus.postings.join(several.select(*by).distinct(), by, "left_semi").select(
         "term", "path", "field", "positions"
     )
     others = (
-        starts.filter(F.col("m") > 1)
-        .join(later.select("leaf", "off", "term"), "leaf")
+        starts.join(several.select("leaf", "off", "term"), "leaf")
         .filter(F.col("off") != F.col("anchor"))
         .join(beside, ["term", "path", "field"])
         .filter(F.array_contains("positions", F.col("start") + F.col("off")))
     )
-    several = (
+    complete = (
         others.groupBy("leaf", "m", "path", "ext", "dl", "field", "start")
         .agg(F.count("*").alias("found"))
         .filter(F.col("found") == F.col("m") - 1)
-        .drop("m", "found")
     )
-    found = single.unionByName(several)
-    return found.groupBy("leaf", "path", "ext", "dl").agg(F.sum(weight_column(F.col("field"))).alias("f"))
+    found.append(complete.select("leaf", "path", "ext", "dl", weight.alias("w")))
+    return reduce(DataFrame.unionByName, found).groupBy("leaf", "path", "ext", "dl").agg(F.sum("w").alias("f"))
 
 
 def score_many(

@@ -8,7 +8,7 @@ the prefix index once.
 1. A first scan finds shingles that occur in many documents; they come last in the order, so that a passage shared by
    very many documents does not fill the index. The order only steers cost; any order gives the same links.
 2. A second scan writes size, class, group, prefix and a bitmap of each document.
-3. Among the groups that share a shingle, neighbours by size, pairs with the group of most documents (in two more rounds:
+3. Among the groups that share a shingle, neighbours by size, pairs with the group of most documents (in one more round:
    of most links), and the members of a group are filtered as pairs by size, position and bitmap bounds; the rest is
    verified on the sets. That is linear in the index, and links most of each component.
 4. Groups that share a shingle but are not yet in one component are expanded to their members, filtered and verified
@@ -45,9 +45,9 @@ FREQUENT = 4
 #: … but no more than this many shingles, the most frequent ones: 24 MB of hashes and counts in a task.
 MAX_FREQUENT = 2_000_000
 #: Rounds of pairs with the most linked group, before all pairs that are left.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 #: Bits of the filter on document ids.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 24
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -157,17 +157,19 @@ class Frequent:
         self.maybe = np.zeros(1 << 24, np.bool_)
         self.maybe[hashes >> np.uint64(40)] = True
 
-    def rare_first(self, found: np.ndarray) -> np.ndarray:
-        """The hashes of a set in the global order: those that are not frequent, then by count."""
+    def rare_first(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of a set in the global order, and their counts: first those that are not frequent (count 0)."""
         common = self.maybe[found >> np.uint64(40)]
         if not common.any():
-            return found
+            return found, np.zeros(len(found), np.int32)
         some = found[common]
         at = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
         hit = self.hashes[at] == some
         common[np.flatnonzero(common)[~hit]] = False
         at = at[hit]
-        return np.concatenate([found[~common], self.hashes[at[np.lexsort((at, self.times[at]))]]])
+        at = at[np.lexsort((at, self.times[at]))]
+        rare = found[~common]
+        return np.concatenate([rare, self.hashes[at]]), np.concatenate([np.zeros(len(rare), np.int32), self.times[at]])
 
 
 def _bits(found: np.ndarray, times: int) -> np.ndarray:
@@ -179,26 +181,26 @@ def _bits(found: np.ndarray, times: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT, most: int = MAX_FREQUENT) -> DataFrame:
-    """One row per document: doc_id, id_hash, n, class, group, prefix, bits, wide. Sizes of 0 have no class."""
+    """One row per document: doc_id, id_hash, n, class, group, prefix, the prefix's last
+    place in the order (times, last), bits, wide. Sizes of 0 have no class."""
     last = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size, frequent, most))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, frequent = Shingler(size), Frequent(*last.value)
         for batch in _parts(batches):
-            sizes, classes, groups, prefixes, bitmaps, wider = [], [], [], [], [], []
+            sizes, classes, groups, prefixes, times, lasts, bitmaps, wider = [], [], [], [], [], [], [], []
             for raw in batch.column(0):
                 found = shingle(raw.as_py())
                 n = len(found)
                 sizes.append(n)
                 if not n:
-                    classes.append(None)
-                    groups.append(None)
-                    prefixes.append(None)
-                    bitmaps.append(None)
-                    wider.append(None)
+                    for column in (classes, groups, prefixes, times, lasts, bitmaps, wider):
+                        column.append(None)
                     continue
                 length = n - int(needed(n, percent)) + 1
-                prefix = frequent.rare_first(found)[:length]
+                prefix, counts = (x[:length] for x in frequent.rare_first(found))
+                times.append(int(counts[-1]))
+                lasts.append(int(prefix[-1]) - (1 << 63))
                 classes.append(_key(found.tobytes()))
                 groups.append(int.from_bytes(_key(prefix.tobytes() + n.to_bytes(8, "little"))[:8], "little", signed=True))
                 prefixes.append(prefix.view(np.int64))
@@ -212,16 +214,18 @@ def profiles(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent
                     pa.array(classes, pa.binary()),
                     pa.array(groups, pa.int64()),
                     pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(times, pa.int64()),
+                    pa.array(lasts, pa.int64()),
                     pa.array(bitmaps, pa.list_(pa.int64())),
                     pa.array(wider, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "id_hash", "n", "class", "group", "prefix", "bits", "wide"],
+                names=["doc_id", "id_hash", "n", "class", "group", "prefix", "times", "last", "bits", "wide"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(F.encode("text", "utf-8").alias("raw"), "doc_id", F.xxhash64("doc_id").alias("id_hash")).mapInArrow(
         profile,
-        f"doc_id {kind}, id_hash long, n long, class binary, group long, prefix array<long>, bits array<long>, wide array<long>",
+        f"doc_id {kind}, id_hash long, n long, class binary, group long, prefix array<long>, times long, last long, bits array<long>, wide array<long>",
     )
 
 
@@ -271,33 +275,28 @@ def _overlap(one: pa.Array, two: pa.Array) -> pa.Array:
 def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The pairs (a, b) of classes, and those that are links. ``owners`` has a document's id_hash for each class."""
     pairs = saved(pairs, "join-pairs")
+    if pairs.isEmpty():
+        return pairs, pairs
     named = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    bit = F.pmod("id_hash", F.lit(FILTER_BITS))
-    rows = (
-        owners.join(named, "class")
-        .groupBy(F.floor(bit / 64).cast("int").alias("word"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(id_hash, {FILTER_BITS}), 64) as int))")).alias("bits"))
-        .toArrow()
-    )
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    table[np.asarray(rows["word"].combine_chunks())] = np.asarray(rows["bits"].combine_chunks(), np.int64)
-    chosen = docs.sparkSession.sparkContext.broadcast(table)
+    bit = F.pmod("id_hash", F.lit(FILTER_BITS)).cast("int")
+    byte, mask = F.floor(bit / 8).cast("int"), F.expr(f"shiftleft(1, cast(pmod(id_hash, {FILTER_BITS}) as int) % 8)")
+    rows = owners.join(named, "class").groupBy(byte.alias("byte")).agg(F.bit_or(mask).alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    table[np.asarray(rows["byte"].combine_chunks())] = np.asarray(rows["bits"].combine_chunks())
+    chosen = docs.sparkSession.createDataFrame([(bytearray(table.tobytes()),)], "b binary").select("b").scalar()
+    found = F.conv(F.hex(F.substring(chosen, byte + 1, F.lit(1))), 16, 10).cast("int")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
-        for batch in batches:
-            at = np.asarray(batch.column(1), np.int64) % FILTER_BITS
-            wanted = np.flatnonzero((chosen.value[at // 64] >> (at % 64)) & 1)
-            for first in range(0, len(wanted), 500):
-                sets = [shingle(batch.column(0)[int(i)].as_py()) for i in wanted[first : first + 500]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_key(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["class", "members"],
-                )
-
-    made = docs.select(F.encode("text", "utf-8").alias("raw"), F.xxhash64("doc_id").alias("id_hash")).mapInArrow(
-        make, "class binary, members binary"
-    )
+        for batch in _parts(batches):
+            sets = [shingle(raw.as_py()) for raw in batch.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_key(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["class", "members"],
+            )
+
+    texts = docs.select(F.encode("text", "utf-8").alias("raw"), F.xxhash64("doc_id").alias("id_hash"))
+    made = texts.filter(found.bitwiseAND(mask) != 0).select("raw").mapInArrow(make, "class binary, members binary")
     sets = saved(made.join(named, "class").groupBy("class").agg(F.first("members").alias("members")), "join-sets")
     one = sets.select(F.col("class").alias("a"), F.col("members").alias("set_a"))
     two = sets.select(F.col("class").alias("b"), F.col("members").alias("set_b"))
@@ -338,6 +337,17 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     leads = classes.groupBy("group").agg(F.min("class").alias("lead"), F.count("*").alias("of")).filter("of > 1")
     members = classes.join(leads, "group").filter("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b"))
 
+    # shingles of a prefix that are not in the index are in no prefix of a group of fitting size
+    bounds = saved(
+        index.groupBy("group").agg(F.count("*").alias("indexed")).join(
+            filled.groupBy("group").agg(F.first("n").alias("n"), F.first("times").alias("times"), F.first("last").alias("last")), "group"
+        ).select(
+            "group",
+            F.struct("times", "last").alias("end"),
+            (F.floor((F.col("n") * percent + 99) / 100) - 1 + F.col("indexed")).alias("possible"),
+        ),
+        "join-bounds",
+    )
     tested = links = None
     placed = classes.select("class", "group", F.col("class").alias("component"))
     weights = filled.groupBy("class").agg(F.count("*").alias("weight"))
@@ -351,7 +361,7 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
             )
             pairs = _stars(index, placed, weights, percent)
         else:
-            pairs = _across(index, placed, percent)
+            pairs = _across(index, placed, bounds, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         more_tested, more = _verified(_bits_fit(pairs, sketches, percent), docs, owners, size, percent)
@@ -391,8 +401,13 @@ def _stars(index: DataFrame, placed: DataFrame, weights: DataFrame, percent: int
     )
 
 
-def _across(index: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that share an index shingle, or a group, and fit in size and place."""
+def _across(index: DataFrame, placed: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes in different components that share an index shingle, or a group, and fit in size and place.
+
+    Of two sets, take the one whose prefix ends first in the global order: what it shares with the other within its
+    prefix lies in both prefixes, so it shares at most its indexed prefix shingles and what follows its prefix. For near
+    copies that differ in their own rare shingles this bound leaves few pairs.
+    """
     inside = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     torn = placed.join(inside.filter("low <> high").select("group"), "group", "left_semi")
     entries = index.select("shingle", "group", "n", "place").join(
@@ -400,21 +415,26 @@ def _across(index: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     )
     mixed = entries.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     entries = saved(
-        entries.join(mixed.filter("low <> high").select("shingle"), "shingle", "left_semi"), "join-mixed"
+        entries.join(mixed.filter("low <> high").select("shingle"), "shingle", "left_semi").join(bounds, "group"), "join-mixed"
     )
     # sizes that fit are at most one band apart
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
-    fields = ("component", "group", "n", "place")
-    one = entries.select("shingle", band.alias("band"), *[F.col(c).alias(c[0] + "1") for c in fields])
+    fields = ("component", "group", "n", "place", "end", "possible")
+    named = {"component": "c", "group": "g", "n": "n", "place": "p", "end": "e", "possible": "m"}
+    one = entries.select("shingle", band.alias("band"), *[F.col(c).alias(named[c] + "1") for c in fields])
     two = entries.select(
-        "shingle", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(c).alias(c[0] + "2") for c in fields]
+        "shingle", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(c).alias(named[c] + "2") for c in fields]
     )
     meet = one.select("shingle", "band", "c1").distinct().join(two.select("shingle", "band", "c2").distinct(), ["shingle", "band"])
     pairs = (
         meet.filter("c1 < c2")
         .join(one, ["shingle", "band", "c1"])
         .join(two, ["shingle", "band", "c2"])
-        .filter(_size_fits("n1", "n2", percent) & _place_fits("n1", "p1", "n2", "p2", percent))
+        .filter(
+            _size_fits("n1", "n2", percent)
+            & _place_fits("n1", "p1", "n2", "p2", percent)
+            & (F.when(F.col("e1") <= F.col("e2"), F.col("m1")).otherwise(F.col("m2")) * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
+        )
         .select("g1", "c1", "g2", "c2")
         .distinct()
     )

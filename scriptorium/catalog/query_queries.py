@@ -164,6 +164,9 @@ matching(
     "m0",
     ["true"],
 )
+matching(
+    "prd18_no_token_and", any_of("ing", all_of("the", phrase("..."))), [leaf(["ing"])], "m0", ["true"]
+)
 matching("prd18_no_token_not", but_not("ing", phrase("...")), [leaf(["ing"])], "m0", ["true"])
 matching("rnk1_bm25", any_of("ing", "la", "und"), [leaf([t]) for t in ("ing", "la", "und")], "m0 OR m1 OR m2", ["true"] * 3)
 

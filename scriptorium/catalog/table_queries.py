@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.catalog import sql
 from scriptorium.catalog.inputs import (
+    doc_path,
     corpus_view,
     indexed,
     labelled,
@@ -82,6 +83,19 @@ def mnt1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diff(spark, sf_dir)
 
 
+@query(
+    "mnt1_same_size_other_time",
+    f"SELECT {sql.PATH} AS path, CASE WHEN lang = 'de' THEN 'upsert' ELSE 'unchanged' END AS status FROM documents",
+)
+def mnt1_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """German documents keep their size and get another time."""
+    docs = table(spark, sf_dir, "documents").select(doc_path().alias("path"), "lang")
+    stored = corpus_view(spark, sf_dir)
+    later = F.col("mtime") + F.expr("make_dt_interval(0, 0, 0, CASE WHEN lang = 'de' THEN 1 ELSE 0 END)")
+    files = snapshot(stored).withColumn("readable", F.lit(True)).join(docs, "path").withColumn("mtime", later)
+    return snap.diff(files.drop("lang"), stored).select("path", "status")
+
+
 @query(
     "mnt2_upsert",
     f"{PLAIN} SELECT path, size, title, md5(body) AS digest FROM old WHERE path NOT IN "
@@ -285,6 +299,21 @@ def tag3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_ops.delete_tags(tags, assigned, _new_names(spark, sf_dir))[0].outcome
 
 
+@query(
+    "tag3_delete_repeated",
+    "WITH langs AS (SELECT DISTINCT lang FROM documents) SELECT upper(lang) AS name, 'deleted' AS outcome FROM langs "
+    "UNION ALL SELECT lang, 'missing' FROM langs",
+)
+def tag3_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language tag deleted twice, in two spellings: the second finds nothing left."""
+    tags, assigned = tag_tables(spark, sf_dir)
+    langs = table(spark, sf_dir, "documents").select("lang").distinct()
+    twice = langs.select(F.upper("lang").alias("name"), F.lit(1).alias("seq")).unionByName(
+        langs.select(F.col("lang").alias("name"), F.lit(2).alias("seq"))
+    )
+    return tag_ops.delete_tags(tags, assigned, twice)[0].outcome
+
+
 @query(
     "tag3_cascade",
     f"WITH {sql.TAGS}, {NEW_NAMES} SELECT path, name_key FROM document_tags WHERE name_key NOT IN (SELECT lower(name) FROM names)",

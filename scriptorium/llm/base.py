@@ -23,11 +23,23 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's own switch for dropping a query's shuffle files as soon as it has ended.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(frame: DataFrame, label: str) -> DataFrame:
-    """``frame`` written to a shared folder and read again: later plans start here, also after lost executors."""
+    """``frame`` written to a shared folder and read again: later plans start here, also after lost executors.
+
+    The shuffle files behind it have no further use and are dropped at once.
+    """
     spark = frame.sparkSession
     path = folder(spark, label)
-    frame.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 

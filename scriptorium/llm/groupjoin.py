@@ -234,9 +234,9 @@ def _size_fits(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def _place_fits(n1: str, p1: str, n2: str, p2: str, percent: int):
-    """Overlap is at most what lies up to the shared shingle plus what follows it, in either set."""
-    most = F.least(p1, p2) + 1 + F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) - 1
+def _place_fits(n1: str, p1: str, n2: str, p2: str, percent: int, k1: str | None = None, k2: str | None = None):
+    """Overlap is at most what lies before the shared shingle (k of it, if known, can be shared), it, and what follows."""
+    most = F.least(k1 or p1, k2 or p2) + 1 + F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) - 1
     return most * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent
 
 
@@ -410,7 +410,9 @@ def _across(index: DataFrame, placed: DataFrame, bounds: DataFrame, percent: int
     """
     inside = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     torn = placed.join(inside.filter("low <> high").select("group"), "group", "left_semi")
-    entries = index.select("shingle", "group", "n", "place").join(
+    # shared shingles up to a place are in both prefixes, hence indexed: their number counts, not the place
+    before = F.row_number().over(Window.partitionBy("group").orderBy("place")) - 1
+    entries = index.select("shingle", "group", "n", "place", before.alias("known")).join(
         placed.select("group", "component").distinct(), "group"
     )
     mixed = entries.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -419,8 +421,8 @@ def _across(index: DataFrame, placed: DataFrame, bounds: DataFrame, percent: int
     )
     # sizes that fit are at most one band apart
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
-    fields = ("component", "group", "n", "place", "end", "possible")
-    named = {"component": "c", "group": "g", "n": "n", "place": "p", "end": "e", "possible": "m"}
+    named = {"component": "c", "group": "g", "n": "n", "place": "p", "known": "k", "end": "e", "possible": "m"}
+    fields = tuple(named)
     one = entries.select("shingle", band.alias("band"), *[F.col(c).alias(named[c] + "1") for c in fields])
     two = entries.select(
         "shingle", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(c).alias(named[c] + "2") for c in fields]
@@ -432,7 +434,7 @@ def _across(index: DataFrame, placed: DataFrame, bounds: DataFrame, percent: int
         .join(two, ["shingle", "band", "c2"])
         .filter(
             _size_fits("n1", "n2", percent)
-            & _place_fits("n1", "p1", "n2", "p2", percent)
+            & _place_fits("n1", "p1", "n2", "p2", percent, "k1", "k2")
             & (F.when(F.col("e1") <= F.col("e2"), F.col("m1")).otherwise(F.col("m2")) * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
         )
         .select("g1", "c1", "g2", "c2")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from scriptorium.operators import snapshot as snap
 from scriptorium.operators import tags as tag_ops
 from scriptorium.operators.filters import in_subtree
 from scriptorium.operators.postings import postings, update_postings
-from scriptorium.plans.index import read_runs, run_row
+from scriptorium.plans.index import Index, read_runs, run_row
 from scriptorium.session import shared_dir
 
 QUERIES: dict = {}
@@ -137,6 +139,22 @@ def mnt5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.select("path", "size", F.md5("body").alias("digest"))
 
 
+@query(
+    "mnt2_index_update",
+    "SELECT '_source=' || source AS folder, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY source",
+)
+def mnt2_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index over files: a first run without the Spanish documents, then an update that finds theirs."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("_source"), "text", "lang")
+    root = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    spanish = F.coalesce(F.col("lang") == "es", F.lit(False))
+    index = Index(spark, f"{root}-index")
+    for part in (docs.filter(~spanish), docs.filter(spanish)):
+        part.drop("lang").write.mode("append").option("maxRecordsPerFile", 500).partitionBy("_source").text(root)
+        index.update(root)
+    return index.corpus().documents.groupBy("folder").agg(F.sum(F.length("body")).cast("bigint").alias("chars"))
+
+
 @query(
     "mnt6_dry_run",
     f"{SCALED} SELECT status, path FROM changes WHERE status IN ('upsert', 'pruned') "

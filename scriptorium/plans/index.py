@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators import snapshot as snap
 from scriptorium.operators import tags as tag_ops
 from scriptorium.plans.batch import search_many
-from scriptorium.operators.filters import tag_key
+from scriptorium.operators.filters import MAX_LIMIT, tag_key
 from scriptorium.operators.postings import corpus_stats, postings, update_postings
 from scriptorium.plans.corpus import (
     Corpus,
@@ -261,7 +261,7 @@ class Index:
             raise ValueError(f"tag not found: {name}")
         given = self.spark.createDataFrame([(p,) for p in paths], "given string") if paths else None
         return key, tag_ops.select_paths(
-            self._read(state, "documents"), given, under, state["root"], few=True
+            self._read(state, "documents"), given, under, state["root"], few=len(paths) <= MAX_LIMIT
         )
 
     def apply_tag(self, name: str, paths: list[str] = (), *, under: str | None = None) -> DataFrame:

@@ -29,7 +29,9 @@ HASHES = 3
 MIN_SHARE = 1e-5
 SAMPLE_DOCS = 20_000
 #: Texts are handled in pieces of about this many characters, so memory does not depend on the batch.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Rows handed to the model at a time.
+ROWS = 1000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS: list[np.ndarray] = []
@@ -152,7 +154,7 @@ def learn(
         rows = rows.filter(spread < share[F.col("l")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             languages = np.array(batch.column(1).to_pylist(), object)
             texts = batch.column(0).to_pylist()
             for language in sorted(set(languages)):
@@ -178,8 +180,15 @@ def _identified(docs: DataFrame, model: Model) -> DataFrame:
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            names, scores = shared.value.predict(batch.to_pylist())
-            yield pa.StructArray.from_arrays([pa.array(names), pa.array(scores)], names=["lang_pred", "score"])
+            names: list[str] = []
+            scores: list[float] = []
+            for first in range(0, len(batch), ROWS):
+                some = shared.value.predict(batch.slice(first, ROWS).to_pylist())
+                names += some[0]
+                scores += some[1]
+            yield pa.StructArray.from_arrays(
+                [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"]
+            )
 
     return docs.withColumn("_language", predict("text"))
 

@@ -51,9 +51,9 @@ FILTER_BITS = 1 << 24
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_CACHE = 200_000
+_CACHE = 100_000
 #: Documents handled at a time, and hashes counted at a time, in a task.
-_ROWS, _HASHES = 1000, 1 << 21
+_ROWS, _HASHES = 1000, 1 << 20
 
 
 class _Words(dict):
@@ -427,10 +427,15 @@ def _across(index: DataFrame, placed: DataFrame, bounds: DataFrame, percent: int
     two = entries.select(
         "shingle", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(c).alias(named[c] + "2") for c in fields]
     )
-    meet = one.select("shingle", "band", "c1").distinct().join(two.select("shingle", "band", "c2").distinct(), ["shingle", "band"])
+    # what any entry of a component can share at most, and its smallest size, rule out most pairs of components
+    most = lambda side: one_or_two[side].groupBy("shingle", "band", f"c{side}").agg(
+        F.max(F.expr(f"k{side} + n{side} - p{side}")).alias(f"r{side}"), F.min(f"n{side}").alias(f"s{side}")
+    )
+    one_or_two = {1: one, 2: two}
+    able = F.least("r1", "r2") * (100 + percent) >= (F.col("s1") + F.col("s2")) * percent
+    meet = most(1).join(most(2), ["shingle", "band"]).filter(F.col("c1") < F.col("c2")).filter(able).select("shingle", "band", "c1", "c2")
     pairs = (
-        meet.filter("c1 < c2")
-        .join(one, ["shingle", "band", "c1"])
+        meet.join(one, ["shingle", "band", "c1"])
         .join(two, ["shingle", "band", "c2"])
         .filter(
             _size_fits("n1", "n2", percent)

@@ -26,7 +26,6 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 WINDOW = 10
 BLOCK_WORDS = 500_000
 MAX_COVERAGE = 0.5
-MIN_SPAN = 10
 
 _WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _FOLD = bytes(
@@ -280,23 +279,18 @@ def remove(
     docs: DataFrame,
     items: DataFrame,
     window: int = WINDOW,
-    min_span: int = MIN_SPAN,
     max_coverage: float = MAX_COVERAGE,
 ) -> DataFrame:
     """Documents without benchmark passages, columns unchanged.
 
-    Spans of at least ``min_span`` words are cut from the text; a document of which more than ``max_coverage`` of the
-    words are hits is left out as a whole. Items shorter than ``min_span`` words are found but not cut.
+    Every span found, a run of windows or a whole item shorter than a window, is cut from the text; a document of which
+    more than ``max_coverage`` of the words are hits is left out as a whole.
     """
     found = F.col("_found")
     marked = find(docs, items, window).withColumn("_hits", hit_words(found))
     kept = marked.filter(F.col("_hits") <= found["n_words"] * F.lit(max_coverage))
-    long_enough = F.filter(
-        F.arrays_zip(found["starts"].alias("a"), found["ends"].alias("b")), lambda s: s["b"] - s["a"] >= min_span
-    )
-    spans = kept.withColumn("_spans", long_enough)
-    clean = _cut(F.encode("text", "utf-8"), F.col("_spans")["a"], F.col("_spans")["b"])
-    return spans.withColumn("text", F.coalesce(clean, F.col("text"))).select(docs.columns)
+    clean = _cut(F.encode("text", "utf-8"), found["starts"], found["ends"])
+    return kept.withColumn("text", F.coalesce(clean, F.col("text"))).select(docs.columns)
 
 
 SQL = r"""

@@ -93,6 +93,18 @@ def test_decontamination_removes_spans(spark):
     assert decontaminate.remove(d, b.limit(0)).count() == 4
 
 
+def test_decontamination_removes_short_items(spark):
+    words = [f"w{i}" for i in range(60)]
+    for size in range(1, 10):
+        item = [f"q{i}" for i in range(size)]
+        texts = [" ".join([*words, *item, *words]), " ".join([*item, *words, "x,", *item[:-1], *words, *item]), " ".join(words)]
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        b = spark.createDataFrame([(1, " ".join(item).upper())], "item_id long, text string")
+        kept = {r["doc_id"]: r["text"].split() for r in decontaminate.remove(d, b).collect()}
+        assert kept == {0: words * 2, 1: [*words, "x,", *item[:-1], *words], 2: words}
+        assert not any(r["contaminated"] for r in decontaminate.report(decontaminate.remove(d, b), b).collect())
+
+
 def test_decontamination_of_odd_rows(spark):
     b = spark.createDataFrame([(1, odd.ROWS[0][1]), (None, "x"), (3, None), (4, "")], "item_id long, text string")
     rows = decontaminate.report(odd.documents(spark), b).collect()

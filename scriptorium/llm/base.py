@@ -43,6 +43,11 @@ def saved(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def row_key() -> Column:
+    """128 bits that stand for a row's ``doc_id`` and ``text``, as two longs; only copies of a row share them."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "doc_id", "text").alias("b"))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from scriptorium.llm.base import saved
+from scriptorium.llm.base import WORD, row_key, saved
 from scriptorium.llm.components import components
 
 SIZE = 5
@@ -474,14 +474,19 @@ def report(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, that with the smallest id, and all without words. Columns unchanged.
+    """One row of each component, that with the smallest id, and all rows without words. Columns unchanged.
 
-    Rows with null ids are kept only where their component has no other document.
+    Rows with null ids are kept only where their component has no other document; of a component's rows with the same id
+    it is one row of the text with the smallest key.
     """
-    found = report(docs, size, percent)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return chosen.dropDuplicates(["doc_id"])
+    named = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), row_key().alias("key"))
+    found = linked(docs.select(named.alias("doc_id"), "text"), size, percent)
+    first = found.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("first"))
+    chosen = first.select(F.col("first.key").alias("_key"))
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    # copies of a row are in one component, so a key stands for one chosen row
+    kept = docs.filter(worded).withColumn("_key", row_key()).join(chosen, "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.select(docs.columns).unionByName(docs.filter(~worded))
 
 
 SQL = r"""

@@ -253,6 +253,16 @@ def test_join_of_odd_rows(spark):
     assert groupjoin.report(odd.no_documents(spark)).count() == 0
 
 
+def test_one_row_of_each_component_stays_for_null_and_repeated_ids(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (5, text("c")), (5, text("d")), (5, text("d")), (6, text("e")), (None, text("e") + " x")]
+    rows += [(7, text("f")), (7, text("g") + " x"), (3, text("g")), (8, ""), (8, " "), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = [(None, text("a")), (None, text("b")), (5, text("c")), (5, text("d")), (6, text("e")), (7, text("f")), (3, text("g")), *rows[-4:]]
+    kept = groupjoin.keep_one(docs)
+    assert kept.columns == docs.columns and Counter(map(tuple, kept.collect())) == Counter(expected)
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 130)]

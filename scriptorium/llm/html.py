@@ -194,13 +194,16 @@ def extract(page: str | None, scores: dict[str, float]) -> str:
     best = total = 0.0
     first = start = 0
     last = -1
+    skipped = False
     for kind, name, text, never, _ in sequence(page):
-        if kind == "word":
-            n = len(text.split())
-            # what is left out anyway should not part an article
-            score = NEVER_SCORE * n if never else n * scores.get("word " + name, scores.get("word " + name.split(".")[0], 1.0))
+        # what is left out anyway should not part an article, however long it is: it costs as much as one tag
+        if never:
+            score = 0.0 if skipped else NEVER_SCORE
+        elif kind == "word":
+            score = len(text.split()) * scores.get("word " + name, scores.get("word " + name.split(".")[0], 1.0))
         else:
-            score = NEVER_SCORE if never else scores.get("tag " + name, -0.5) / (1 if kind == "tag" else 2)
+            score = scores.get("tag " + name, -0.5) / (1 if kind == "tag" else 2)
+        skipped = never
         if total <= 0 and score > 0:
             total, start = 0.0, len(parts)
         total += score

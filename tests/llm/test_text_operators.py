@@ -162,6 +162,14 @@ def test_main_text_of_marked_and_plain_pages(spark):
     assert html.extract(PAGE % ("div", "div"), {}) == TEXT
 
 
+def test_long_excluded_parts_do_not_part_an_article():
+    one, two = (" ".join(f"{w}{i}" for i in range(100)) for w in ("first", "second"))
+    for open_, close in (("script", "script"), ("style", "style"), ('div class="ad"', "div"), ('p class="notice"', "p")):
+        page = f"<body><nav>menu one</nav><article><p>{one}</p><{open_}>{'var x = 1; ' * 1500}</{close}><p>{two}</p></article></body>"
+        for scores in ({}, {"word p": html.MAX_SCORE}):
+            assert html.extract(page, scores) == f"{one} {two}"
+
+
 def test_main_text_equals_the_articles(spark):
     import html as entities
 

@@ -1,20 +1,24 @@
 """Personal data by rules, and by bootstrapped contextual extraction.
 
 Rules find e-mail and IP addresses, card and phone numbers. The valid finds are seeds: the words around them induce
-lexical patterns (two words before; the word before and after; the word before). All identifier-like tokens of the
-corpus are instances in a graph with these patterns. Seeds count 1 for their kind; tokens that look like a kind and
-fail its check count 0; the rest starts at 0 and is scored in rounds:
+lexical patterns (two words before; the word before and after; the word before). Seeds and all tokens of 6 to 128
+characters with a digit or an at sign are instances in a graph with these patterns. Seeds count 1 for their kind; tokens
+that look like a kind and fail its check count 0; the rest starts at 0 and is scored in rounds:
 
 * a pattern's confidence for a kind is the sum of its instances' scores over their number plus one, if at least
   ``min_support`` of that sum are there;
 * an instance's score is the chance that one of its patterns of confidence ``min_pattern`` or more is right
   (1 minus the product of the complements).
 
+All other tokens, of any length and with or without digits, are instances too where they stand in the slot of a pattern
+that came out confident. They are scored in the same way in a second graph, in which a pattern's number counts the
+distinct tokens of both: a slot that ordinary words fill as well gives them no confidence.
+
 Instances that end at ``min_score`` or more are new identifiers, and all their occurrences become spans. Known spans
 stay; new ones never overlap them.
 
-All steps are column expressions, counts and joins on the graph; texts are read once, are never shuffled and leave only
-their spans and candidates. A pattern with very many instances is pre-aggregated and is a skewed key that adaptive
+All steps are column expressions, counts and joins on the graph; texts are read once for spans and candidates, once for
+the other tokens and once more for the places of those found; they are never shuffled. A pattern with very many instances is pre-aggregated and is a skewed key that adaptive
 execution splits. Regular expressions cannot backtrack over more than one token, so very long texts stay linear.
 
 Defined cases: null and empty texts have no spans; repeated rows get the same spans; several matches that overlap across
@@ -26,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.base import once, saved
+from scriptorium.llm.base import once, row_key, saved
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
@@ -44,6 +48,8 @@ _UNIT = (
     + r"|(?<!\S)[0-9](?:[\x20-]?[0-9]){11,18}+(?![0-9A-Za-z])"
     + r"|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 )
+#: Any token: a unit, or what else stands between blanks and such units.
+_TOKEN = _UNIT + r"|(?:(?!\+[0-9][\x20().0-9-]+[0-9])\S)++"
 ROUNDS, MIN_SUPPORT, MIN_PATTERN, MIN_SCORE = 3, 3.0, 0.5, 0.8
 _BLOCK = 256
 _CONTEXT = 64
@@ -136,6 +142,28 @@ def _word(text: Column) -> Column:
     return F.when(F.coalesce(F.length(plain), F.lit(0)) > 0, plain).otherwise("^")
 
 
+def _core(token: Column) -> Column:
+    """A token without the signs around it."""
+    return F.regexp_replace(F.regexp_replace(token, "^[^A-Za-z0-9+]++", ""), "(?<![^A-Za-z0-9])[^A-Za-z0-9]++$", "")
+
+
+def _lead(token: Column) -> Column:
+    return F.regexp_extract(token, "^[^A-Za-z0-9+]*+", 0)
+
+
+def _label(value: Column) -> Column:
+    label = F.lit(None).cast("string")
+    for kind in reversed(KINDS):
+        looks = value.rlike(_WHOLE[kind])
+        label = F.when(looks & valid(kind, value), kind).otherwise(F.when(label.isNull() & looks, "none").otherwise(label))
+    return label
+
+
+def _alike(value: Column, label: Column) -> Column:
+    """Whether a token is an instance by its form: a seed, or of usual length with a digit or an at sign."""
+    return F.coalesce(label.isin(*KINDS), F.lit(False)) | (F.length(value).between(6, 128) & (label.isNotNull() | value.rlike("[0-9@]")))
+
+
 def units(text: Column) -> Column:
     """Identifier-like tokens: (start, end, value, label, patterns).
 
@@ -143,15 +171,9 @@ def units(text: Column) -> Column:
     """
 
     def unit(m: Column) -> Column:
-        lead = F.regexp_extract(m["found"], "^[^A-Za-z0-9+]*+", 0)
-        core = F.regexp_replace(F.regexp_replace(m["found"], "^[^A-Za-z0-9+]++", ""), "(?<![^A-Za-z0-9])[^A-Za-z0-9]++$", "")
-        start = m["start"] + F.length(lead)
+        start = m["start"] + F.length(_lead(m["found"]))
 
         def described(value: Column) -> Column:
-            label = F.lit(None).cast("string")
-            for kind in reversed(KINDS):
-                looks = value.rlike(_WHOLE[kind])
-                label = F.when(looks & valid(kind, value), kind).otherwise(F.when(label.isNull() & looks, "none").otherwise(label))
             before = F.split(F.trim(F.regexp_replace(F.right(m["before"], F.lit(_CONTEXT)), r"\s", " ")), " +")
             after = F.split(F.ltrim(F.regexp_replace(F.left(m["after"], F.lit(_CONTEXT)), r"\s", " ")), " +")
             one, two = F.get(before, F.size(before) - 1), F.get(before, F.size(before) - 2)
@@ -164,39 +186,32 @@ def units(text: Column) -> Column:
                 start.alias("start"),
                 (start + F.length(value)).alias("end"),
                 F.lower(value).alias("value"),
-                label.alias("label"),
+                _label(value).alias("label"),
                 patterns.alias("patterns"),
             )
 
-        return once(core, described)
+        return once(_core(m["found"]), described)
 
     found = F.transform(_matches(text, _UNIT), unit)
-    useful = F.filter(found, lambda u: (F.length(u["value"]).between(6, 128)) & (u["label"].isNotNull() | u["value"].rlike("[0-9@]")))
+    useful = F.filter(found, lambda u: _alike(u["value"], u["label"]))
     return F.when(text.rlike("[0-9@]"), useful).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,label:string,patterns:array<string>>>"))
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, base, units) of every document, written to the shared folder: all that later steps need."""
+    """(row, doc_id, base, units) of every document, written to the shared folder; copies of a row share ``row``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", text.alias("text")).select(
-        F.uuid().alias("row"), "doc_id", base_spans(F.col("text")).alias("base"), units(F.col("text")).alias("units")
+    found = docs.select(row_key().alias("row"), "doc_id", text.alias("text")).select(
+        "row", "doc_id", base_spans(F.col("text")).alias("base"), units(F.col("text")).alias("units")
     )
     return saved(found, "pii-located")
 
 
-def discovered(rows: DataFrame, rounds: int = ROUNDS, min_support: float = MIN_SUPPORT, min_pattern: float = MIN_PATTERN, min_score: float = MIN_SCORE) -> DataFrame:
-    """(value, kind): new identifiers found by the patterns of the seeds in ``located`` rows."""
-    instances = rows.select(F.explode("units").alias("u")).select("u.value", "u.label", F.explode("u.patterns").alias("pattern"))
-    edges = saved(instances.groupBy("pattern", "value").agg(F.max("label").alias("label")), "pii-edges")
-    fixed = saved(
-        edges.filter("label is not null")
-        .groupBy("pattern")
-        .agg(*[F.count_if(F.col("label") == k).cast("double").alias(f"fixed_{k}") for k in KINDS], F.count("*").alias("fixed")),
-        "pii-fixed",
-    )
-    # a pattern without enough seeds can gain support by new instances only beside patterns that have it
-    open_edges = saved(edges.filter("label is null").select("pattern", "value"), "pii-open")
-    scores = None
+def _scored(open_edges: DataFrame, fixed: DataFrame, rounds: int, min_support: float, min_pattern: float) -> tuple[DataFrame, DataFrame]:
+    """Scores of the values of ``open_edges``, and the confident patterns of the last round.
+
+    ``fixed`` has the sums and the number of the instances of a pattern that keep their scores.
+    """
+    scores = confident = None
     for _ in range(rounds):
         scored = open_edges if scores is None else open_edges.join(scores, "value", "left")
         sums = scored.groupBy("pattern").agg(
@@ -204,48 +219,136 @@ def discovered(rows: DataFrame, rounds: int = ROUNDS, min_support: float = MIN_S
                 (F.lit(0.0) if scores is None else F.coalesce(F.sum(k), F.lit(0.0))).alias(f"new_{k}")
                 for k in KINDS
             ],
-            F.count("*").alias("new"),
+            F.count("*").cast("double").alias("new"),
+        )
+        both = sums.join(fixed, "pattern", "full").na.fill(0)
+        total = {k: F.col(f"fixed_{k}") + F.col(f"new_{k}") for k in KINDS}
+        confident = saved(
+            both.select(
+                "pattern",
+                *[total[k].alias(f"fixed_{k}") for k in KINDS],
+                (F.col("fixed") + F.col("new")).alias("fixed"),
+                *[
+                    F.when(total[k] >= min_support, total[k] / (F.col("fixed") + F.col("new") + 1)).otherwise(0.0).alias(f"p_{k}")
+                    for k in KINDS
+                ],
+            ).filter(F.greatest(*[F.col(f"p_{k}") for k in KINDS]) >= min_pattern),
+            "pii-confident",
         )
-        both = sums.join(fixed, "pattern", "left").na.fill(0)
-        confident = both.select(
-            "pattern",
-            *[
-                F.when(
-                    F.col(f"fixed_{k}") + F.col(f"new_{k}") >= min_support,
-                    (F.col(f"fixed_{k}") + F.col(f"new_{k}")) / (F.col("fixed") + F.col("new") + 1),
-                )
-                .otherwise(0.0)
-                .alias(f"p_{k}")
-                for k in KINDS
-            ],
-        ).filter(F.greatest(*[F.col(f"p_{k}") for k in KINDS]) >= min_pattern)
         chance = lambda k: F.when(F.col(f"p_{k}") >= min_pattern, F.log1p(-F.least(F.col(f"p_{k}"), F.lit(0.999999)))).otherwise(0.0)
         scores = saved(
             open_edges.join(confident, "pattern").groupBy("value").agg(*[(1 - F.exp(F.sum(chance(k)))).alias(k) for k in KINDS]),
             "pii-scores",
         )
+    return scores, confident.drop(*[f"p_{k}" for k in KINDS])
+
+
+def _chosen(scores: DataFrame, min_score: float) -> DataFrame:
     best = F.greatest(*[F.col(k) for k in KINDS])
     kind = F.coalesce(*[F.when(F.col(k) == best, k) for k in KINDS])
     return scores.filter(best >= min_score).select("value", kind.alias("kind"))
 
 
-def _added(rows: DataFrame, found: DataFrame) -> DataFrame:
+def _in_slots(docs: DataFrame, confident: DataFrame) -> DataFrame:
+    """(pattern, value): tokens that are no instances by their form, in the slots of confident patterns."""
+    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(_TOKEN), F.lit(0))
+    none = F.array(F.lit(None).cast("string"))
+    shifted = docs.select(words.alias("w")).select(
+        F.inline(
+            F.arrays_zip(
+                F.col("w").alias("token"),
+                F.concat(none, "w").alias("one"),
+                F.concat(none, none, "w").alias("two"),
+                F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))).alias("after"),
+            )
+        )
+    )
+    # a unit ends a context
+    plain = lambda c: F.when(~F.col(c).rlike("[0-9@]"), _word(F.right(c, F.lit(_CONTEXT)))).otherwise("^")
+    after = F.when(~F.col("after").rlike("[0-9@]"), _word(F.left("after", F.lit(_CONTEXT)))).otherwise("^")
+    lead = shifted.filter("token is not null").select("token", plain("one").alias("one"), "two", after.alias("after"))
+    # most tokens follow a word that no pattern has
+    rest = F.substr("pattern", F.lit(3))
+    known = confident.select(
+        F.when(F.col("pattern").startswith("2|"), F.substring_index(rest, " ", -1)).otherwise(F.substring_index(rest, " ", 1)).alias("one")
+    ).distinct()
+    near = lead.join(known, "one", "left_semi").withColumn("two", F.when(F.col("one") == "^", "^").otherwise(plain("two")))
+    patterns = F.array(
+        F.concat(F.lit("2|"), "two", F.lit(" "), "one"), F.concat(F.lit("b|"), "one", F.lit(" _ "), "after"), F.concat(F.lit("1|"), "one")
+    )
+    placed = near.select("token", F.explode(patterns).alias("pattern")).join(confident.select("pattern"), "pattern", "left_semi")
+    value = placed.select("pattern", _core(F.col("token")).alias("core")).groupBy("pattern", "core").count()
+    labelled = value.filter("core <> ''").select("pattern", F.lower("core").alias("value"), _label(F.col("core")).alias("label"))
+    return labelled.filter(~_alike(F.col("value"), F.col("label"))).groupBy("pattern", "value").agg(F.max("label").alias("label"))
+
+
+def discovered(
+    rows: DataFrame,
+    rounds: int = ROUNDS,
+    min_support: float = MIN_SUPPORT,
+    min_pattern: float = MIN_PATTERN,
+    min_score: float = MIN_SCORE,
+    docs: DataFrame | None = None,
+) -> DataFrame:
+    """(value, kind): new identifiers found by the patterns of the seeds in ``located`` rows.
+
+    Tokens that are no instances by their form are looked up in ``docs``, the documents of these rows.
+    """
+    instances = rows.select(F.explode("units").alias("u")).select("u.value", "u.label", F.explode("u.patterns").alias("pattern"))
+    edges = saved(instances.groupBy("pattern", "value").agg(F.max("label").alias("label")), "pii-edges")
+    fixed = lambda some: saved(
+        some.filter("label is not null")
+        .groupBy("pattern")
+        .agg(*[F.count_if(F.col("label") == k).cast("double").alias(f"fixed_{k}") for k in KINDS], F.count("*").cast("double").alias("fixed")),
+        "pii-fixed",
+    )
+    # a pattern without enough seeds can gain support by new instances only beside patterns that have it
+    open_edges = saved(edges.filter("label is null").select("pattern", "value"), "pii-open")
+    scores, confident = _scored(open_edges, fixed(edges), rounds, min_support, min_pattern)
+    found = _chosen(scores, min_score)
+    if docs is None or confident.isEmpty():
+        return found
+    others = saved(_in_slots(docs, confident), "pii-slots")
+    sums = confident.unionByName(fixed(others)).groupBy("pattern").agg(*[F.sum(c).alias(c) for c in confident.columns[1:]])
+    more, _ = _scored(others.filter("label is null").select("pattern", "value"), sums, rounds, min_support, min_pattern)
+    return found.unionByName(_chosen(more, min_score))
+
+
+def _occurrences(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, start, end, kind): where the tokens in ``found`` stand that are no instances by their form."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    tokens = docs.select(row_key().alias("row"), F.explode(_matches(text, _TOKEN)).alias("m"))
+    placed = tokens.select("row", F.col("m.start").alias("at"), F.col("m.found").alias("token")).withColumn("core", _core(F.col("token")))
+    start = (F.col("at") + F.length(_lead(F.col("token")))).alias("start")
+    return (
+        placed.withColumn("value", F.lower("core"))
+        .join(found, "value")
+        .filter(~_alike(F.col("value"), _label(F.col("core"))))
+        .select("row", start, F.length("core").alias("size"), "kind")
+        .select("row", "start", (F.col("start") + F.col("size")).alias("end"), "kind")
+    )
+
+
+def _added(rows: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     """(row, added): spans of new identifiers, none of which overlaps a span of the rules."""
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     candidates = rows.select("row", "base", F.explode(F.filter("units", lambda u: u["label"].isNull())).alias("u"))
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("u.end")) & (F.col("u.start") < b["end"]))
+    spans = candidates.select("row", "base", "u.start", "u.end", "u.value").join(found, "value").select("row", "base", "start", "end", "kind")
+    others = found.filter(~_alike(F.col("value"), F.lit(None).cast("string")))
+    if not others.isEmpty():
+        placed = _occurrences(docs, others).distinct()
+        spans = spans.unionByName(placed.join(rows.select("row", "base"), "row").select("row", "base", "start", "end", "kind"))
+    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
     return (
-        candidates.filter(free)
-        .select("row", "u.start", "u.end", "u.value")
-        .join(found, "value")
+        spans.filter(free)
         .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct("start", order.alias("order"), "end", "kind"))).alias("added"))
+        .agg(F.sort_array(F.collect_set(F.struct("start", order.alias("order"), "end", "kind"))).alias("added"))
     )
 
 
 def report(docs: DataFrame) -> DataFrame:
     rows = located(docs)
-    added = _added(rows, discovered(rows)).withColumnRenamed("row", "r")
+    added = _added(rows, saved(discovered(rows, docs=docs), "pii-found"), docs).withColumnRenamed("row", "r")
     none = F.array().cast(_SPANS)
     found = rows.select("row", "doc_id", "base").join(added, F.col("row") == F.col("r"), "left")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -277,7 +380,7 @@ def redact(docs: DataFrame) -> DataFrame:
     New identifiers are looked up by document id; where an id repeats, its rows share those whose places fit the text.
     """
     rows = located(docs)
-    found = saved(discovered(rows), "pii-found")
+    found = saved(discovered(rows, docs=docs), "pii-found")
     text = F.col("text")
     spans = F.when(text.rlike("[0-9@]"), base_spans(text))
     if found.isEmpty():
@@ -285,7 +388,7 @@ def redact(docs: DataFrame) -> DataFrame:
             "text", F.when(F.size("_spans") > 0, redacted(text, F.col("_spans"))).otherwise(text)
         ).drop("_spans")
     added = (
-        _added(rows, found)
+        _added(rows, found, docs)
         .join(rows.select("row", "doc_id"), "row")
         .groupBy(F.col("doc_id").alias("_id"))
         .agg(F.array_distinct(F.flatten(F.collect_list("added"))).alias("_added"))

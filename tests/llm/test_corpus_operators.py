@@ -157,6 +157,31 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert clean[3] == "please write to contact mail: [EMAIL] today"
 
 
+def test_contexts_discover_identifiers_of_any_form(spark):
+    long = "jane[at]" + "corp" * 40 + ".example"
+    found = ["jane[at]corp.example", "j[at]c", "k-7", long]
+    texts = [f"please write to contact mail: user{i}@host{i}.example.com today" for i in range(30)]
+    texts += [f"please write to contact mail: {value} today, and again {value} now" for value in found]
+    texts += [f"please call the w{c}x office or read the notes of room {c} today" for c in "abcdefghijklm"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.report(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    for i, value in enumerate(found, 30):
+        at = [texts[i].index(value), texts[i].rindex(value)]
+        assert rows[i]["spans"] == ",".join(f"email:{a}:{a + len(value)}" for a in at) and rows[i]["n_discovered"] == 2
+        assert clean[i] == "please write to contact mail: [EMAIL] today, and again [EMAIL] now"
+    assert all(not rows[i]["spans"] and clean[i] == texts[i] for i in range(34, len(texts)))
+    assert all(rows[i]["spans"] == _base(texts[i]) for i in range(30))
+
+
+def test_short_and_long_seeds_teach_contexts(spark):
+    seeds = [f"{c}@b.c" for c in "abc"] + [c * 130 + "@host.example.com" for c in "abc"]
+    texts = [f"the box of {seed} here" for seed in seeds] + ["the box of jane[at]corp-77 here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.report(docs).collect()}
+    assert rows[6]["spans"] == "email:11:26" and rows[6]["n_discovered"] == 1
+
+
 def test_personal_data_of_odd_rows(spark):
     docs = odd.documents(spark).withColumn("text", F.concat("text", F.lit(" +1 (555) 010-9999, 4111 1111 1111 1111")))
     rows = pii.report(docs).collect()

@@ -377,7 +377,7 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """Documents with personal data replaced in their texts; all rows and columns stay.
 
-    New identifiers are looked up by document id; where an id repeats, its rows share those whose places fit the text.
+    New identifiers are looked up by a key of id and text, so rows that share an id get the spans of their own texts.
     """
     rows = located(docs)
     found = saved(discovered(rows, docs=docs), "pii-found")
@@ -387,15 +387,9 @@ def redact(docs: DataFrame) -> DataFrame:
         return docs.withColumn("_spans", spans).withColumn(
             "text", F.when(F.size("_spans") > 0, redacted(text, F.col("_spans"))).otherwise(text)
         ).drop("_spans")
-    added = (
-        _added(rows, found, docs)
-        .join(rows.select("row", "doc_id"), "row")
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.array_distinct(F.flatten(F.collect_list("added"))).alias("_added"))
-    )
-    joined = docs.join(added, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    fits = F.filter("_added", lambda s: s["end"] <= F.length("text"))
-    every = F.sort_array(F.concat(F.coalesce(spans, F.array().cast(_SPANS)), F.coalesce(fits, F.array().cast(_SPANS))))
+    added = _added(rows, found, docs).select(F.col("row").alias("_row"), F.col("added").alias("_added"))
+    joined = docs.withColumn("_row", row_key()).join(added, "_row", "left")
+    every = F.sort_array(F.concat(F.coalesce(spans, F.array().cast(_SPANS)), F.coalesce("_added", F.array().cast(_SPANS))))
     return joined.withColumn("_spans", every).withColumn(
         "text", F.when(F.size("_spans") > 0, redacted(text, F.col("_spans"))).otherwise(text)
     ).select(docs.columns)

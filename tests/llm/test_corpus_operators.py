@@ -182,6 +182,17 @@ def test_short_and_long_seeds_teach_contexts(spark):
     assert rows[6]["spans"] == "email:11:26" and rows[6]["n_discovered"] == 1
 
 
+def test_rows_of_one_id_get_their_own_spans(spark):
+    texts = [f"please write to contact mail: user{i}@host{i}.example.com today" for i in range(12)]
+    rows = list(enumerate(texts))
+    other = "these are quite other words, long enough to reach any place of that text"
+    for i in (50, None):
+        rows += [(i, "please write to contact mail: jane[at]corp-77 today"), (i, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    clean = Counter((r["doc_id"], r["text"]) for r in pii.redact(docs).filter("doc_id is null or doc_id = 50").collect())
+    assert clean == Counter((i, t) for i in (50, None) for t in ("please write to contact mail: [EMAIL] today", other))
+
+
 def test_personal_data_of_odd_rows(spark):
     docs = odd.documents(spark).withColumn("text", F.concat("text", F.lit(" +1 (555) 010-9999, 4111 1111 1111 1111")))
     rows = pii.report(docs).collect()

@@ -15,6 +15,8 @@ the prefix index once.
    pair by pair. Pairs inside a component need no proof, as they can change no result. So no link between components
    is lost, and a large group of near copies costs no all-pairs work.
 
+The result is components, not links: it holds no list of linked pairs and no number of links.
+
 Sets are made again from the texts for those classes that a surviving pair names (found by a bit filter of fixed size
 over document ids, then by a join), so whole texts are never shuffled.
 

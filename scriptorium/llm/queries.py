@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from scriptorium.llm import decontaminate, groupjoin, html, langid, mixing, omh, pii, tokens, urls, warc
+from scriptorium.llm import (
+    decontaminate,
+    groupjoin,
+    html,
+    langid,
+    middle,
+    mixing,
+    omh,
+    pii,
+    tokens,
+    toxicity,
+    urls,
+    vectors,
+    warc,
+)
 from scriptorium.llm.base import read
 
 
@@ -51,6 +65,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.report(read(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.report(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,6 +90,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc,
         op9_jaccard_join,
         op10_mixing,
+        op11_toxicity,
+        op12_fill_in_middle,
+        op13_vector_codes,
     )
 } | {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL, "op8_warc": warc.SQL, "op9_jaccard_join": groupjoin.SQL, "op10_mixing": mixing.SQL}
+SQL: dict[str, str] = {
+    "op4_decontaminate": decontaminate.SQL,
+    "op8_warc": warc.SQL,
+    "op9_jaccard_join": groupjoin.SQL,
+    "op10_mixing": mixing.SQL,
+    "op12_fill_in_middle": middle.SQL,
+    "op13_vector_codes": vectors.SQL,
+}

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import ascii_key
 from scriptorium.operators.tags import with_key
-from scriptorium.plans.corpus import Corpus, write_corpus
+from scriptorium.plans.corpus import Corpus, read_corpus, write_assigned, write_corpus
 from scriptorium.session import shared_dir
-from scriptorium.sources.documents import documents_from_table
+from scriptorium.sources.documents import documents_from_table, rows_from_table
 
 EPOCH = 1_704_067_200
 _BUILT: dict[tuple[str, str], tuple[str, int]] = {}
@@ -38,6 +38,12 @@ def corpus_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files, not yet read into documents."""
+    rows = rows_from_table(table(spark, sf_dir, "documents"), doc_path(), F.col("text"), stamp(F.col("doc_id")))
+    return rows.filter(F.col("body").isNotNull())
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("path", doc_path())
@@ -75,14 +81,13 @@ def indexed(spark: SparkSession, sf_dir: str) -> Corpus:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
         root = f"{shared_dir(spark)}/index-{key[0]}-{len(_BUILT)}"
-        shards = write_corpus(corpus_view(spark, sf_dir), root)
+        shards = write_corpus(corpus_rows(spark, sf_dir), root)
         tags, assigned = tag_tables(spark, sf_dir)
         tags.write.mode("overwrite").parquet(f"{root}/tags")
-        assigned.write.mode("overwrite").parquet(f"{root}/document_tags")
+        write_assigned(assigned, root, shards)
         _BUILT[key] = (root, shards)
     root, shards = _BUILT[key]
-    tables = ("documents", "postings", "stats", "tags", "document_tags", "terms")
-    return Corpus(*[spark.read.parquet(f"{root}/{name}") for name in tables], shards)
+    return read_corpus(spark, root, spark.read.parquet(f"{root}/tags"), shards)
 
 
 def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.bitmaps import EVERY, NONE, changed, constant, has_bit, word_of
 from scriptorium.functions.text import ascii_key
 from scriptorium.operators.query import Everything, Node, Tagged, leaves_of, truth
 
@@ -58,6 +59,47 @@ def require_known(tags: DataFrame, names: list[str]) -> None:
         raise ValueError(f"tag not found: {', '.join(missing)}")
 
 
+def _tag_words(bits: DataFrame, tree: Node) -> DataFrame:
+    """``segment, _word, _match``: the tree evaluated bit by bit on the words of its tags' bitmaps, which alone are read.
+
+    A bitmap word holds 64 neighbouring documents. A tag's words are a log: changes are applied in their order.
+    """
+    named = sorted({tag_key(n.name) for n in leaves_of(tree) if isinstance(n, Tagged)})
+    log = F.sort_array(F.collect_list(F.struct("seq", "name_key", "added", "bits")))
+    words = bits.filter(F.col("name_key").isin(named)).groupBy("segment", F.col("word").alias("_word")).agg(log.alias("_log"))
+
+    def word(node: Node) -> Column:
+        if isinstance(node, Everything):
+            return constant(EVERY)
+        key = tag_key(node.name)
+        return F.aggregate(F.filter("_log", lambda c: c["name_key"] == key), constant(NONE), changed)
+
+    match = truth(tree, word, lambda cs: reduce(Column.bitwiseAND, cs), lambda cs: reduce(Column.bitwiseOR, cs), F.bitwise_not)
+    return words.select("segment", "_word", match.alias("_match"))
+
+
+def _untagged_ok(tree: Node) -> bool:
+    """Whether a document without any of the named tags satisfies the tree."""
+    return truth(tree, lambda n: isinstance(n, Everything), all, any, lambda b: not b)
+
+
+def with_mark(rows: DataFrame, bits: DataFrame, tree: Node, name: str) -> DataFrame:
+    """``rows`` (with ``segment, ord``) plus whether their tags satisfy the tree."""
+    placed = rows.withColumn("_word", word_of(F.col("ord"))).join(_tag_words(bits, tree), ["segment", "_word"], "left")
+    empty = constant(EVERY if _untagged_ok(tree) else NONE)
+    return placed.select(*rows.columns, has_bit(F.coalesce("_match", empty), F.col("ord")).alias(name))
+
+
+def keep_marked(rows: DataFrame, bits: DataFrame, tree: Node) -> DataFrame:
+    """Rows (with ``segment, ord``) whose tags satisfy the tree, by bitmaps."""
+    if not any(isinstance(leaf, Tagged) for leaf in leaves_of(tree)):
+        return rows
+    if _untagged_ok(tree):
+        return with_mark(rows, bits, tree, "_kept").filter("_kept").select(*rows.columns)
+    placed = rows.withColumn("_word", word_of(F.col("ord"))).join(_tag_words(bits, tree), ["segment", "_word"])
+    return placed.filter(has_bit(F.col("_match"), F.col("ord"))).select(*rows.columns)
+
+
 def keep_tagged(rows: DataFrame, document_tags: DataFrame, tree: Node) -> DataFrame:
     """Rows whose tags satisfy the tree.
 
@@ -76,7 +118,7 @@ def keep_tagged(rows: DataFrame, document_tags: DataFrame, tree: Node) -> DataFr
         .groupBy("path")
         .agg(*[F.max(F.col("name_key") == k).alias(c) for k, c in column_of.items()])
     )
-    untagged_ok = truth(tree, lambda n: isinstance(n, Everything), all, any, lambda b: not b)
+    untagged_ok = _untagged_ok(tree)
 
     def flag(node: Node) -> Column:
         if isinstance(node, Everything):

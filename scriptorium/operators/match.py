@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.bm25 import term_score
 from scriptorium.functions.text import WEIGHTS
-from scriptorium.operators.postings import shard_of
+from scriptorium.operators.postings import PLACE, shard_of
 from scriptorium.operators.query import AllOf, ButNot, Leaf, Node, leaves_of, truth
 
 
+def place_of(rows: DataFrame) -> list[str]:
+    return [c for c in PLACE if c in rows.columns]
+
+
 def weight_column(field: Column) -> Column:
     out = F.lit(0.0)
     for name, weight in WEIGHTS.items():
@@ -40,7 +44,11 @@ class Guard:
 def word_counts(terms: DataFrame, leaves: list[Leaf]) -> dict[str, dict]:
     """Vocabulary rows of the exact words in a query; as many rows as the query has words."""
     words = sorted({t for leaf in leaves for t in exact_tokens(leaf)})
-    rows = terms.filter(F.col("term").isin(words)).collect() if words else []
+    if not words:
+        return {}
+    # the vocabulary is a log of signed counts
+    counts = [F.sum(c).alias(c) for c in terms.columns if c == "n" or c.startswith("n_")]
+    rows = terms.filter(F.col("term").isin(words)).groupBy("term").agg(*counts).collect()
     return {r["term"]: r.asDict() for r in rows}
 
 
@@ -155,13 +163,14 @@ def _phrase_count(leaf: Leaf) -> Column:
 def candidates(
     post: DataFrame, tree: Node, shards: int | None = None, guard: Guard | None = None
 ) -> DataFrame:
-    """``path, ext, dl`` and one weighted frequency ``f<i>`` per distinct leaf.
+    """``path, ext, dl``, the document's place where it has one, and one weighted frequency ``f<i>`` per distinct leaf.
 
     Documents without any leaf are absent: a legal query needs a positive leaf.
     """
     leaves = distinct_leaves(tree)
+    keys = ["path", "ext", "dl", *place_of(post)]
     if not leaves:
-        return post.filter(F.lit(False)).select("path", "ext", "dl").distinct()
+        return post.filter(F.lit(False)).select(*keys).distinct()
     aggregates, phrase_tests = [], []
     for i, leaf in enumerate(leaves):
         if len(leaf.tokens) == 1:
@@ -178,11 +187,9 @@ def candidates(
     rows = leaf_rows(post, leaves, shards)
     if guard is not None:
         rows = _beside(rows, post, guard, shards)
-    grouped = rows.groupBy("path", "ext", "dl").agg(*aggregates)
+    grouped = rows.groupBy(*keys).agg(*aggregates)
     return grouped.select(
-        "path",
-        "ext",
-        "dl",
+        *keys,
         *[
             F.col(f"f{i}") if len(leaf.tokens) == 1 else _phrase_count(leaf).alias(f"f{i}")
             for i, leaf in enumerate(leaves)
@@ -236,7 +243,7 @@ def score(
     """
     leaves = distinct_leaves(tree)
     if not leaves:
-        none = cand.select("path", "ext", F.lit(0.0).alias("score"))
+        none = cand.select("path", "ext", *place_of(cand), F.lit(0.0).alias("score"))
         return none.withColumn("active", F.array().cast("array<boolean>")) if with_active else none
     known = known or {}
     totals = stats.agg(
@@ -262,7 +269,7 @@ def score(
         )
         total = total + F.when(gate, part).otherwise(F.lit(0.0))
         active[i] = active[i] | gate
-    columns = [F.col("path"), F.col("ext"), (F.lit(0.0) - total).alias("score")]
+    columns = ["path", "ext", *place_of(cand), (F.lit(0.0) - total).alias("score")]
     if with_active:
         columns.append(F.array(*active).alias("active"))
     return hits.select(*columns)

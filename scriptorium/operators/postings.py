@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import FIELDS, tokens
 
 
+#: A document's change and its number in it; see :mod:`scriptorium.plans.segments`.
+PLACE = ("segment", "ord")
+
+
 def postings(documents: DataFrame) -> DataFrame:
     """One row per (term, document, field) with the sorted token positions.
 
     ``lead`` marks the first row of each (term, document), so documents can be counted without grouping.
 
     Grouping happens inside each document row, so nothing is shuffled here and the rows that a writer
-    later shuffles are already combined. ``dl`` rides along so that scoring never joins for it.
+    later shuffles are already combined. ``dl`` rides along so that scoring never joins for it, and so does a document's
+    place in the index (``segment, ord``), where it has one.
     """
+    place = [c for c in PLACE if c in documents.columns]
 
     def occurrences(name: str) -> Column:
         return F.transform(
@@ -28,7 +34,7 @@ def postings(documents: DataFrame) -> DataFrame:
         )
 
     sorted_docs = documents.select(
-        "path", "ext", "dl", F.sort_array(F.concat(*[occurrences(f) for f in FIELDS])).alias("occ")
+        "path", "ext", "dl", *place, F.sort_array(F.concat(*[occurrences(f) for f in FIELDS])).alias("occ")
     )
 
     def is_first(i: Column) -> Column:
@@ -51,8 +57,8 @@ def postings(documents: DataFrame) -> DataFrame:
             F.transform(run, lambda o: o["pos"]).alias("positions"),
         )
 
-    grouped = bounded.select("path", "ext", "dl", F.explode(F.transform("first", group)).alias("g"))
-    return grouped.select("g.term", "path", "ext", "g.field", "dl", "g.lead", "g.positions")
+    grouped = bounded.select("path", "ext", "dl", *place, F.explode(F.transform("first", group)).alias("g"))
+    return grouped.select("g.term", "path", "ext", "g.field", "dl", "g.lead", "g.positions", *place)
 
 
 def token_rows(post: DataFrame) -> DataFrame:
@@ -94,6 +100,11 @@ def path_shard(path: Column, shards: int) -> Column:
     return F.pmod(F.crc32(F.encode(path, "UTF-8")), F.lit(shards)).cast("int")
 
 
+def path_shard_of(path: str, shards: int) -> int:
+    """Driver-side twin of :func:`path_shard`."""
+    return zlib.crc32(path.encode("utf-8", "surrogatepass")) % shards
+
+
 def update_postings(stored: DataFrame, touched: DataFrame, changed: DataFrame) -> DataFrame:
     """Drop the postings of every touched path and add those of the changed documents."""
     kept = stored.join(touched.select("path"), "path", "left_anti")

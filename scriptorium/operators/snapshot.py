@@ -14,23 +14,43 @@ SHOWN = 20
 def diff(snapshot: DataFrame, stored: DataFrame, full: bool = False) -> DataFrame:
     """``path, ext, status`` for every listed or stored path.
 
-    ``unchanged`` (same size and time), ``upsert``, ``error`` (too large; a stored row stays),
-    ``kept`` and ``never_indexed`` (listed but not readable), ``pruned`` (no longer listed).
-    ``full`` ignores the fingerprints.
+    ``unchanged`` (same size and time, or same size and digest where the listing has digests), ``upsert``, ``error``
+    (too large, or listed with a message; a stored row stays), ``kept`` and ``never_indexed`` (listed but not readable),
+    ``pruned`` (no longer listed). ``full`` ignores the fingerprints.
     """
-    new = snapshot.select("path", "ext", "size", "mtime", "readable", F.lit(True).alias("_listed"))
+
+    def column(frame: DataFrame, name: str) -> Column:
+        return F.col(name) if name in frame.columns else F.lit(None).cast("string")
+
+    new = snapshot.select(
+        "path",
+        "ext",
+        "size",
+        "mtime",
+        "readable",
+        column(snapshot, "digest").alias("digest"),
+        column(snapshot, "message").alias("_message"),
+        F.lit(True).alias("_listed"),
+    )
     old = stored.select(
-        "path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.lit(True).alias("_stored")
+        "path",
+        F.col("size").alias("_size"),
+        F.col("mtime").alias("_mtime"),
+        column(stored, "digest").alias("_digest"),
+        F.lit(True).alias("_stored"),
     )
     both = new.join(old, "path", "full_outer")
     known = F.col("_stored").isNotNull()
-    same = known & (F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime"))
+    by_time = F.col("mtime") == F.col("_mtime")
+    alike = F.when(F.col("digest").isNull(), by_time).otherwise(F.col("digest").eqNullSafe(F.col("_digest")))
+    same = known & (F.col("size") == F.col("_size")) & alike
     status = F.when(F.col("_listed").isNull(), "pruned").when(
         ~F.col("readable"), F.when(known, "kept").otherwise("never_indexed")
     )
     if not full:
         status = status.when(same, "unchanged")
-    status = status.when(F.col("size") > MAX_FILE_BYTES, "error").otherwise("upsert")
+    failed = (F.col("size") > MAX_FILE_BYTES) | F.col("_message").isNotNull()
+    status = status.when(failed, "error").otherwise("upsert")
     return both.select("path", "ext", status.alias("status"))
 
 

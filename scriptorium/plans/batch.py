@@ -66,15 +66,20 @@ def _leaf_terms(leaves: DataFrame, terms: DataFrame) -> DataFrame:
     )
     open_end = F.col("is_prefix") & (F.col("off") == F.col("m") - 1)
     columns = ("leaf", "m", "column", "off", "term", "n")
+
+    def summed(found: DataFrame) -> DataFrame:
+        """The vocabulary is a log of signed counts; only the words of the leaves are summed up."""
+        return found.groupBy(*columns[:-1]).agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
+
     exact = spread.filter(~open_end).withColumnRenamed("tok", "term").join(terms, "term").select(*columns)
     starts = spread.filter(open_end)
     # As many lengths as the clauses hold; each term is cut to those only.
     lengths = [r["n"] for r in starts.select(F.length("tok").alias("n")).distinct().collect()]
     if not lengths:
-        return exact
+        return summed(exact)
     cuts = F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in sorted(lengths)])
     heads = terms.select("term", "n", F.explode(cuts).alias("tok"))
-    return exact.unionByName(starts.join(heads, "tok").select(*columns))
+    return summed(exact.unionByName(starts.join(heads, "tok").select(*columns)))
 
 
 def _saved(frame: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from scriptorium.operators.postings import (
     shard_column,
     term_counts,
 )
+from scriptorium.plans import segments
+from scriptorium.sources.documents import build_documents
 
 # One directory per this many bytes of text, and at least so many directories.
 BYTES_PER_SHARD = 2 * 1024**3
@@ -31,6 +33,10 @@ class Corpus:
     document_tags: DataFrame
     terms: DataFrame
     shards: int | None = None
+    #: Tag bitmaps over (segment, ord); without them tags are looked up by path.
+    bits: DataFrame | None = None
+    #: All document rows on disk, dead ones included, for hits that are known to be live.
+    stored: DataFrame | None = None
 
 
 def empty_tags(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -77,15 +83,21 @@ def file_size(spark: SparkSession, total: int):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def write_documents(documents: DataFrame, path: str, shards: int) -> None:
+def write_documents(documents: DataFrame, path: str, shards: int, segment: int = 1) -> None:
     """Partitioned by extension and by a hash of the path, sorted by path inside each file.
 
-    The rebalance lets adaptive execution split directories that are too large for one task.
+    Rows that are not built yet (path, size, mtime, ext, body) are built behind the shuffle, where they are spread. The
+    rebalance lets adaptive execution split directories that are too large for one task. Rows without a place get
+    their segment and a number in it.
     """
-    placed = documents.withColumn("shard", path_shard(F.col("path"), shards))
-    placed.hint("rebalance", "ext", "shard").sortWithinPartitions("ext", "shard", "path").write.mode(
-        "overwrite"
-    ).partitionBy("ext", "shard").parquet(path)
+    shard = path_shard(F.col("path"), shards)
+    placed = documents.withColumn("shard", shard).hint("rebalance", "ext", "shard")
+    if "dl" not in placed.columns:
+        placed = build_documents(placed).withColumn("shard", shard)
+    placed = placed.sortWithinPartitions("ext", "shard", "path")
+    if "ord" not in placed.columns:
+        placed = placed.withColumns({"segment": F.lit(segment), "ord": F.monotonically_increasing_id()})
+    placed.write.mode("overwrite").partitionBy("ext", "shard").parquet(path)
 
 
 def write_postings(post: DataFrame, path: str, shards: int) -> None:
@@ -107,14 +119,35 @@ def write_terms(post: DataFrame, path: str) -> None:
 
 
 def write_corpus(documents: DataFrame, root: str, shards: int | None = None) -> int:
-    """Write documents, postings and statistics below ``root``; returns the shard count used."""
+    """Write documents, postings and statistics below ``root`` as one part; returns the shard count used."""
     spark = documents.sparkSession
     total = listed_bytes(documents)
     count = shards or shard_count(total)
+    places = {n: f"{root}/{n}/part=0" for n in ("documents", "postings", "stats", "terms")}
     with file_size(spark, total):
-        write_documents(documents, f"{root}/documents", count)
-        stored = spark.read.parquet(f"{root}/documents")
-        write_postings(postings(stored), f"{root}/postings", count)
-    corpus_stats(stored).coalesce(1).write.mode("overwrite").parquet(f"{root}/stats")
-    write_terms(spark.read.parquet(f"{root}/postings"), f"{root}/terms")
+        write_documents(documents, places["documents"], count)
+        stored = segments.read(spark, "documents", [places["documents"]])
+        write_postings(postings(stored), places["postings"], count)
+    corpus_stats(stored).coalesce(1).write.mode("overwrite").parquet(places["stats"])
+    write_terms(segments.read(spark, "postings", [places["postings"]]), places["terms"])
     return count
+
+
+def write_assigned(assigned: DataFrame, root: str, shards: int) -> None:
+    """Tag assignments of a corpus that :func:`write_corpus` has written, by path and as bitmaps."""
+    spark = assigned.sparkSession
+    segments.write_assignments(assigned.withColumn("seq", F.lit(1)), f"{root}/assigned/part=0", shards)
+    stored = segments.read(spark, "documents", [f"{root}/documents/part=0"])
+    places = assigned.join(stored.select("path", "segment", "ord"), "path")
+    segments.write_bits(segments.bitmap_rows(places, 1), f"{root}/bits/part=0")
+
+
+def read_corpus(spark: SparkSession, root: str, tags: DataFrame, shards: int) -> Corpus:
+    """What :func:`write_corpus` and :func:`write_assigned` have written."""
+
+    def part(name: str) -> DataFrame:
+        return segments.read(spark, name, [f"{root}/{name}/part=0"])
+
+    return Corpus(
+        part("documents"), part("postings"), part("stats"), tags, part("assigned"), part("terms"), shards, part("bits")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from scriptorium.functions.snippet import add_snippet
@@ -11,6 +11,7 @@ from scriptorium.operators.filters import (
     check_limit,
     has_extension,
     in_subtree,
+    keep_marked,
     keep_tagged,
     require_known,
 )
@@ -19,10 +20,11 @@ from scriptorium.operators.match import (
     choose_guard,
     distinct_leaves,
     known_frequency,
+    place_of,
     score,
     word_counts,
 )
-from scriptorium.operators.postings import path_shard
+from scriptorium.operators.postings import path_shard_of
 from scriptorium.operators.query import Node, Tagged, all_of, separate, word
 from scriptorium.operators.rank import absolute_path, snippet_or_title, top_k
 from scriptorium.operators.tags import tags_of
@@ -56,7 +58,11 @@ def filtered(
         rows = rows.filter(has_extension(F.col("ext"), ext))
     if under is not None:
         rows = rows.filter(in_subtree(F.col("path"), under))
-    return rows if tags is None else keep_tagged(rows, corpus.document_tags, tags)
+    if tags is None:
+        return rows
+    if corpus.bits is not None:
+        return keep_marked(rows, corpus.bits, tags)
+    return keep_tagged(rows, corpus.document_tags, tags)
 
 
 def score_matches(
@@ -68,10 +74,10 @@ def score_matches(
     under: str | None = None,
     with_active: bool = False,
 ) -> DataFrame:
-    """Every match with its score: ``path, ext, score``. No document body is read."""
+    """Every match with its score: ``path, ext, score``, and its place in the index. No document body is read."""
     text, tags = split_query(corpus, query, require_tags)
     if text is None:
-        rows = corpus.documents.select("path", "ext", F.lit(0.0).alias("score"))
+        rows = corpus.documents.select("path", "ext", *place_of(corpus.documents), F.lit(0.0).alias("score"))
         if with_active:
             rows = rows.withColumn("active", F.array().cast("array<boolean>"))
     else:
@@ -87,6 +93,17 @@ def score_matches(
     return filtered(rows, corpus, tags, ext, under)
 
 
+def placed_rows(table: DataFrame, hits: list[Row], shards: int | None) -> DataFrame:
+    """Rows of ``table`` with the paths of ``hits``, found by the table's own layout."""
+    paths = sorted({h["path"] for h in hits})
+    rows = table.filter(F.col("path").isin(paths))
+    if "ext" in table.columns:
+        rows = rows.filter(F.col("ext").isin(sorted({h["ext"] for h in hits})))
+    if shards and "shard" in table.columns:
+        rows = rows.filter(F.col("shard").isin(sorted({path_shard_of(p, shards) for p in paths})))
+    return rows
+
+
 def search(
     corpus: Corpus,
     query: Node | str | None = None,
@@ -100,8 +117,9 @@ def search(
 ) -> DataFrame:
     """Ranked hits: ``rank, score, path, abs_path, title, ext, url, snippet, tags``.
 
-    The top-k is found on paths and scores alone. Its rows (never more than ``limit``) are then joined to
-    the documents; where those are partitioned by shard only the partitions holding a hit are read.
+    The top-k is found on paths and scores alone, and its rows (never more than ``limit``) come to the driver. Bodies
+    and tags are then asked for by these paths as constants: they prune directories, and in files sorted by path the
+    row groups and pages, so that what is read depends on the number of hits.
     """
     check_limit(limit)
     text, _ = split_query(corpus, query) if query is not None else (None, None)
@@ -110,23 +128,19 @@ def search(
         corpus, query, require_tags=require_tags, ext=ext, under=under, with_active=marked
     )
     best = top_k(scored, limit)
-    keys = ["path"]
-    assigned = corpus.document_tags
-    if corpus.shards and "shard" in corpus.documents.columns:
-        shard = path_shard(F.col("path"), corpus.shards)
-        best, assigned = best.withColumn("shard", shard), assigned.withColumn("shard", shard)
-        keys.append("shard")
-    best = F.broadcast(best)
-    columns = [*best.columns]
+    spark = best.sparkSession
+    hits = best.collect()
+    best = spark.createDataFrame(hits, best.schema)
     wanted = ["title", "url", "body"] if marked else ["title", "url"]
-    rows = corpus.documents.select(*keys, *wanted).join(best, keys)
+    keys = ["path", *(["segment"] if "segment" in best.columns else [])]
+    rows = placed_rows(corpus.documents if corpus.stored is None else corpus.stored, hits, corpus.shards).select(*keys, *wanted)
+    rows = rows.join(F.broadcast(best), keys)
     if marked:
         rows = add_snippet(rows, distinct_leaves(text))
         rows = rows.withColumn("snippet", snippet_or_title(F.col("snippet"), F.col("title")))
     else:
         rows = rows.withColumn("snippet", F.lit(""))
-    # The same keys and all hit columns keep this broadcast identical to the one above, so it is reused.
-    tagged = tags_of(assigned.join(best, keys), corpus.tags, columns).select("path", "tags")
+    tagged = tags_of(placed_rows(corpus.document_tags, hits, corpus.shards), corpus.tags, ["path"])
     out = rows.join(tagged, "path", "left")
     return out.orderBy("rank").select(
         "rank",

@@ -27,20 +27,59 @@ def build_documents(rows: DataFrame, indexed_at: Column | None = None) -> DataFr
         url_of(F.col("body"), F.col("ext")).alias("url"),
         "body",
         (F.current_timestamp() if indexed_at is None else indexed_at).alias("indexed_at"),
+        *[c for c in ("digest",) if c in rows.columns],
     )
     length = sum((token_count(F.col(f)) for f in FIELDS[1:]), token_count(F.col(FIELDS[0])))
     return titled.withColumn("dl", length.cast("bigint"))
 
 
 def spread(rows: DataFrame, key: Column) -> DataFrame:
-    """Distribute an input that is too small to be split into a task per core.
+    """Deal rows out to a task per core, and to more where their bytes ask for it.
 
-    Never shuffles more than one read split per core; larger inputs are left as they were read.
+    For plans that build documents without writing them: a table in one row group is read by one task.
     """
     spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
     size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return rows.repartition(cores, key) if size < cores * SPLIT_BYTES else rows
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, size // SPLIT_BYTES), key)
+
+
+def rows_from_table(table: DataFrame, path: Column, text: Column, mtime: Column) -> DataFrame:
+    """Each table row as one file: ``path, size, mtime, ext, body, digest``. Paths that are not indexable are left out.
+
+    Texts above the size guard have their size and no body.
+    """
+    size = F.octet_length(text).cast("bigint")
+    small = F.coalesce(size <= MAX_FILE_BYTES, F.lit(True))
+    rows = table.select(
+        path.alias("path"),
+        F.coalesce(size, F.lit(0).cast("bigint")).alias("size"),
+        mtime.cast("timestamp").alias("mtime"),
+        extension(base_name(path)).alias("ext"),
+        F.when(small, unify_newlines(F.coalesce(text, F.lit("")))).alias("body"),
+        F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"),
+    )
+    return rows.filter(F.col("path").isNotNull() & F.col("ext").isNotNull() & ~is_hidden(F.col("path")))
+
+
+# Fixed value: the message for rows of a table that name the same file.
+REPEATED = "ValueError: repeated path"
+
+
+def listing_of(rows: DataFrame) -> DataFrame:
+    """The listing of :func:`rows_from_table`: one row per path. A path of several rows has a message."""
+    one = rows.groupBy("path").agg(
+        *[F.max(c).alias(c) for c in ("size", "mtime", "ext", "digest")], F.count("*").alias("_n")
+    )
+    return one.select(
+        "path",
+        "size",
+        "mtime",
+        "ext",
+        F.lit(None).cast("string").alias("warning"),
+        F.lit(True).alias("readable"),
+        "digest",
+        F.when(F.col("_n") > 1, REPEATED).alias("message"),
+    )
 
 
 def documents_from_table(
@@ -50,15 +89,7 @@ def documents_from_table(
     mtime: Column,
     indexed_at: Column | None = None,
 ) -> DataFrame:
-    """Treat each table row as one file. Rows whose path is not indexable or whose text is too large are left out."""
-    body = unify_newlines(F.coalesce(text, F.lit("")))
-    rows = spread(table, path).select(
-        path.alias("path"),
-        F.octet_length(text).cast("bigint").alias("size"),
-        mtime.cast("timestamp").alias("mtime"),
-        extension(base_name(path)).alias("ext"),
-        body.alias("body"),
-    )
-    small = F.coalesce(F.col("size") <= MAX_FILE_BYTES, F.lit(True))
-    kept = rows.filter(F.col("ext").isNotNull() & ~is_hidden(F.col("path")) & small)
-    return build_documents(kept, indexed_at)
+    """Document rows of a table whose rows are taken as files. An index reports texts above the size guard; here they
+    are left out."""
+    rows = rows_from_table(spread(table, path), path, text, mtime)
+    return build_documents(rows.filter(F.col("body").isNotNull()).drop("digest"), indexed_at)

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from scriptorium.functions.decode import MAX_FILE_BYTES, decode_text
 from scriptorium.functions.names import base_name, extension, is_hidden, name_warning
 from scriptorium.session import shared_dir
-from scriptorium.sources.documents import build_documents
 
 # Fixed value: the message for a file above the size guard.
 TOO_LARGE = "ValueError: too large"
@@ -157,9 +156,9 @@ def read_files(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
     )
 
 
-def documents_of(read: DataFrame) -> DataFrame:
-    """Document rows of the files that could be read."""
-    return build_documents(read.filter("message is null").select("path", "size", "mtime", "ext", "body"))
+def rows_of(read: DataFrame) -> DataFrame:
+    """The files that could be read, to be built into documents."""
+    return read.filter("message is null").select("path", "size", "mtime", "ext", "body")
 
 
 def failures(read: DataFrame) -> DataFrame:
@@ -168,7 +167,7 @@ def failures(read: DataFrame) -> DataFrame:
 
 
 def oversized(snapshot: DataFrame) -> DataFrame:
-    """Files the size guard turns away, with the message recorded for each."""
-    return snapshot.filter(F.col("readable") & (F.col("size") > MAX_FILE_BYTES)).select(
-        "path", F.lit(TOO_LARGE).alias("message")
-    )
+    """Files the size guard turns away, and those listed with a message of their own."""
+    own = F.col("message") if "message" in snapshot.columns else F.lit(None).cast("string")
+    message = F.coalesce(own, F.when(F.col("size") > MAX_FILE_BYTES, TOO_LARGE))
+    return snapshot.filter("readable").select("path", message.alias("message")).filter("message is not null")

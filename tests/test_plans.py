@@ -41,14 +41,27 @@ def test_one_shuffle_on_the_path_shared_with_the_statistics(corpus):
     assert "body#" not in plan
 
 
-def test_only_partitions_with_hits_are_read_for_bodies(corpus):
+def test_only_rows_of_hits_are_read_for_bodies(corpus):
     plan = executed(search(corpus, any_of("copper", "saffron")))
     bodies = [x for x in plan.splitlines() if "FileScan parquet" in x and "body#" in x]
-    assert bodies and all("dynamicpruningexpression" in x for x in bodies)
-    assert re.search(r"ReusedExchange \[.*rank#", plan)
+    assert bodies and all(re.search(r"PartitionFilters: \[.*ext#.*shard#", x) for x in bodies)
+    assert all(re.search(r"PushedFilters: \[.*In\(path, \[", x) for x in bodies)
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_tags_of_hits_are_read_by_their_paths(corpus):
+    plan = executed(search(corpus, any_of("copper", "saffron"), snippets=False))
+    tags = [x for x in plan.splitlines() if "FileScan parquet" in x and "name_key#" in x and "path#" in x]
+    assert tags and all(re.search(r"PartitionFilters: \[.*shard#", x) and "In(path, [" in x for x in tags)
+
+
+def test_a_tag_predicate_reads_the_bitmaps_of_its_tags(corpus):
+    plan = planned(score_matches(corpus, all_of("copper", tag("outdoors"), tag("Cooking"))))
+    scans = [x for x in plan.splitlines() if "FileScan parquet" in x and "name_key#" in x]
+    assert scans and all("bits#" in x and "path#" not in x for x in scans)
+    assert all("In(name_key, [cooking,outdoors])" in x for x in scans)
+
+
 def test_tag_only_search_reads_no_bodies(corpus):
     plan = executed(search(corpus, tag("outdoors")))
     assert not re.search(r"FileScan parquet \[[^\]]*body#", plan)

@@ -12,7 +12,7 @@ from scriptorium.session import shared_dir
 from scriptorium.sources.documents import documents_from_table, rows_from_table
 
 EPOCH = 1_704_067_200
-_BUILT: dict[tuple[str, str], tuple[str, int]] = {}
+_BUILT: dict[tuple[str, str], tuple] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,13 +81,13 @@ def indexed(spark: SparkSession, sf_dir: str) -> Corpus:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
         root = f"{shared_dir(spark)}/index-{key[0]}-{len(_BUILT)}"
-        shards = write_corpus(corpus_rows(spark, sf_dir), root)
+        shards, ranges = write_corpus(corpus_rows(spark, sf_dir), root)
         tags, assigned = tag_tables(spark, sf_dir)
         tags.write.mode("overwrite").parquet(f"{root}/tags")
         write_assigned(assigned, root, shards)
-        _BUILT[key] = (root, shards)
-    root, shards = _BUILT[key]
-    return read_corpus(spark, root, spark.read.parquet(f"{root}/tags"), shards)
+        _BUILT[key] = (root, shards, ranges)
+    root, shards, ranges = _BUILT[key]
+    return read_corpus(spark, root, spark.read.parquet(f"{root}/tags"), shards, ranges)
 
 
 def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

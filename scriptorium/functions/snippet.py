@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.decode import MAX_FILE_BYTES
 from scriptorium.functions.text import RAW_TOKEN, tokens
 from scriptorium.operators.query import Leaf
 
@@ -21,6 +22,18 @@ FIRST_HIT, REPEAT_HIT = 1000, 1
 _NO_HITS = "CAST(array() AS array<struct<off:int,leaf:int,last:int>>)"
 
 
+# Steps of a binary search over the tokens of the largest document.
+_STEPS = MAX_FILE_BYTES.bit_length()
+
+
+def _count(array: str, field: str, test: str, value: str) -> str:
+    """How many leading elements of a sorted array have ``field test value``, by binary search."""
+    middle = "CAST((s.lo + s.hi) DIV 2 AS int)"
+    after, before = f"named_struct('lo', {middle} + 1, 'hi', s.hi)", f"named_struct('lo', s.lo, 'hi', {middle})"
+    return f"""aggregate(sequence(1, {_STEPS}), named_struct('lo', 0, 'hi', size({array})), (s, i) -> if(s.lo >= s.hi, s,
+        if(get({array}, {middle}){field} {test} {value}, {after}, {before})), s -> s.lo)"""
+
+
 def _leaf_hits(leaf: Leaf, number: int) -> str:
     """Where a leaf starts in ``_terms``, as ``(off, leaf, last)`` structs; empty unless it counts."""
     tests = []
@@ -38,17 +51,16 @@ def _pool(leaves: int) -> str:
     """Candidate windows with the hits inside, in the order they compete.
 
     One starts at each hit, one at the sentence of each hit that does not begin it. Hits are sorted and at
-    most ``leaves`` share an offset, so a window's hits are a short slice.
+    most ``leaves`` share an offset, so a window's hits are a short slice, found by binary search.
     """
+    before, until = _count("_hits", ".off", "<", "s0"), _count("_hits", ".off", "<=", "s0")
     at_hits = f"""transform(_hits, (x, k) -> named_struct(
         'inside', filter(slice(_hits, greatest(k + 2 - {leaves}, 1), {leaves * (WINDOW + 1)}),
                          h -> h.off >= x.off AND h.off < x.off + {WINDOW}),
         'bonus', 0, 'nth', 2 * k, 'at', x.off))"""
-    at_sentences = f"""transform(_sentences, s -> named_struct(
-        'inside', filter(slice(_hits, size(filter(_hits, h -> h.off < s)) + 1, {leaves * WINDOW}),
-                         h -> h.off < s + {WINDOW}),
-        'bonus', if(s = 0, {FIRST_SENTENCE}, {SENTENCE}), 'nth', 2 * size(filter(_hits, h -> h.off <= s)) + 1,
-        'at', s))"""
+    at_sentences = f"""transform(_sentences, s0 -> named_struct(
+        'inside', filter(slice(_hits, {before} + 1, {leaves * WINDOW}), h -> h.off < s0 + {WINDOW}),
+        'bonus', if(s0 = 0, {FIRST_SENTENCE}, {SENTENCE}), 'nth', 2 * {until} + 1, 'at', s0))"""
     return f"concat({at_hits}, if(size(_terms) > {WINDOW}, {at_sentences}, slice({at_sentences}, 1, 0)))"
 
 
@@ -95,7 +107,7 @@ def add_snippet(rows: DataFrame, leaves: list[Leaf], body: str = "body", out: st
             ),
         }
     )
-    sentence = "nullif(array_max(filter(_starts, s -> s <= x.off)), x.off)"
+    sentence = f"nullif(get(_starts, {_count('_starts', '', '<=', 'x.off')} - 1), x.off)"
     base = base.withColumn(
         "_sentences", F.expr(f"array_compact(array_distinct(transform(_hits, x -> {sentence})))")
     )
@@ -103,11 +115,10 @@ def add_snippet(rows: DataFrame, leaves: list[Leaf], body: str = "body", out: st
     base = base.withColumn("_b", F.expr(_best_start()))
     # A match that begins before the window stays unmarked up to the end of its merged run.
     muted = """if(exists(_hits, h -> h.off < _b AND h.last >= _b),
-        array_min(filter(_places, p -> p >= _b AND NOT exists(_hits, h -> h.off <= p AND h.last > p))), -1)"""
-    base = base.withColumns(
-        {"_muted": F.expr(muted), "_e": F.expr(f"least(_b + {WINDOW}, size(_terms))")}
-    )
+        coalesce(array_min(filter(slice(_places, _b + 1, _e - _b), p -> NOT exists(_hits, h -> h.off <= p AND h.last > p))), _e), -1)"""
+    base = base.withColumn("_e", F.expr(f"least(_b + {WINDOW}, size(_terms))"))
+    base = base.withColumn("_muted", F.expr(muted))
     text = f"""concat(if(_b > 0, '{CUT}', ''),
-        array_join(transform(filter(_places, p -> p >= _b AND p < _e), p -> {_piece()}), ''),
+        array_join(transform(slice(_places, _b + 1, _e - _b), p -> {_piece()}), ''),
         if(_e < size(_terms), '{CUT}', element_at(_gaps, -1)))"""
     return base.select(*keep, F.expr(text).alias(out))

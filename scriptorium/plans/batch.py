@@ -3,26 +3,36 @@
 A clause table describes each query as required slots of alternatives plus excluded slots. Work is driven
 by the rarest part at both levels: a phrase by its rarest token, a query by its rarest required slot.
 Very common tokens and leaves are then only looked up for documents that are candidates already.
+
+The best ``limit`` matches are found in two phases. The part of a score that the driving slot gives is known for each
+candidate; what its other slots can add at most is known for each block of neighbouring documents, from the highest part
+of each leaf in the block. The candidates with the highest bounds are scored first, and of the others only those whose
+bound reaches the ``limit``-th of these scores.
 """
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.bm25 import term_score
 from scriptorium.functions.text import tokens
-from scriptorium.operators.filters import has_extension, in_subtree
-from scriptorium.operators.match import weight_column
+from scriptorium.operators.filters import check_limit, has_extension, in_subtree
+from scriptorium.operators.match import place_of, weight_column
 from scriptorium.operators.postings import shard_column
 from scriptorium.operators.query import FIELD_NAMES
 from scriptorium.operators.rank import top_k_per_query
 from scriptorium.plans.corpus import Corpus
 from scriptorium.session import shared_dir
 
+#: Documents of a block, as a power of two, and candidates that are scored first, for each row asked for.
+BLOCK_LOG2, FIRST = 12, 2
+
+
 def _check(clauses: DataFrame) -> None:
     """Reject malformed clauses; looks at the clause table only."""
     known = F.col("field").isNull() | F.lower("field").isin(*FIELD_NAMES)
@@ -112,8 +122,8 @@ def _prefix_hits(corpus: Corpus, prefixes: DataFrame) -> list[DataFrame]:
 
 
 def leaf_hits(corpus: Corpus, leaves: DataFrame) -> DataFrame:
-    """``leaf, path, ext, dl, f`` for every document that holds a leaf."""
-    by = ["term"]
+    """``leaf, path, ext, dl, f``, and the place, for every document that holds a leaf."""
+    by, keys = ["term"], ["leaf", "path", "ext", "dl", *place_of(corpus.postings)]
     open_end = F.col("is_prefix") & (F.size("toks") == 1)
     terms = _leaf_terms(leaves.filter(~open_end), corpus.terms)
     if corpus.shards:
@@ -124,7 +134,7 @@ def leaf_hits(corpus: Corpus, leaves: DataFrame) -> DataFrame:
     singles = [corpus.postings.join(terms.filter("m = 1").select("leaf", "column", *by), by)]
     weight = weight_column(F.col("field"))
     found = [
-        rows.filter(in_field).select("leaf", "path", "ext", "dl", (weight * F.size("positions")).alias("w"))
+        rows.filter(in_field).select(*keys, (weight * F.size("positions")).alias("w"))
         for rows in [*singles, *_prefix_hits(corpus, leaves.filter(open_end))]
     ]
     several = terms.filter("m > 1")
@@ -138,7 +148,7 @@ def leaf_hits(corpus: Corpus, leaves: DataFrame) -> DataFrame:
     )
     anchor = several.join(rarest, ["leaf", "off"]).drop("n")
     starts = corpus.postings.join(anchor, by).filter(in_field).select(
-        "leaf", "m", F.col("off").alias("anchor"), "path", "ext", "dl", "field",
+        *keys, "m", F.col("off").alias("anchor"), "field",
         F.explode(F.transform("positions", lambda p: p - F.col("off"))).alias("start"),
     )
     beside = corpus.postings.join(several.select(*by).distinct(), by, "left_semi").select(
@@ -151,23 +161,39 @@ def leaf_hits(corpus: Corpus, leaves: DataFrame) -> DataFrame:
         .filter(F.array_contains("positions", F.col("start") + F.col("off")))
     )
     complete = (
-        others.groupBy("leaf", "m", "path", "ext", "dl", "field", "start")
+        others.groupBy(*keys, "m", "field", "start")
         .agg(F.count("*").alias("found"))
         .filter(F.col("found") == F.col("m") - 1)
     )
-    found.append(complete.select("leaf", "path", "ext", "dl", weight.alias("w")))
-    return reduce(DataFrame.unionByName, found).groupBy("leaf", "path", "ext", "dl").agg(F.sum("w").alias("f"))
+    found.append(complete.select(*keys, weight.alias("w")))
+    return reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.sum("w").alias("f"))
 
 
-def score_many(
-    corpus: Corpus, clauses: DataFrame, *, ext: str | None = None, under: str | None = None
-) -> DataFrame:
-    """Every match of every query: ``query_id, path, ext, score``."""
+def block_of(rows: DataFrame) -> Column:
+    """A document's block of neighbours in the index; documents without a place are one block."""
+    if not place_of(rows):
+        return F.lit("")
+    return F.concat_ws(":", "segment", F.shiftright("ord", BLOCK_LOG2))
+
+
+@dataclass(frozen=True)
+class _Plan:
+    """Intermediate tables of a batch, all written to the shared folder."""
+
+    #: query_id, slot, alt, negated, leaf, required, driving
+    clauses: DataFrame
+    #: leaf, path, part: what a leaf adds to the score of a document
+    hits: DataFrame
+    #: query_id, required, slot, alt, path, ext, block, part of the driving slots
+    driven: DataFrame
+
+
+def _planned(corpus: Corpus, clauses: DataFrame, ext: str | None, under: str | None) -> _Plan:
     _check(clauses)
-    prepared = _prepared(clauses)
+    prepared = _saved(_prepared(clauses))
     leaves = prepared.filter(F.col("leaf").isNotNull()).select("leaf", "toks", "is_prefix", "column").distinct()
-    hits = _saved(leaf_hits(corpus, leaves))
-    counts = hits.groupBy("leaf").agg(F.count("*").alias("n_with"))
+    found = _saved(leaf_hits(corpus, leaves))
+    counts = _saved(found.groupBy("leaf").agg(F.count("*").alias("n_with")))
     counted = prepared.join(counts, "leaf", "left").select(
         "query_id", "slot", "alt", "negated", "leaf", F.coalesce("n_with", F.lit(0)).alias("n_with")
     )
@@ -176,33 +202,83 @@ def score_many(
         .groupBy("query_id", "slot")
         .agg(F.sum("n_with").alias("n"))
         .groupBy("query_id")
-        .agg(F.min_by("slot", F.struct("n", "slot")).alias("slot"), F.count("*").alias("required"))
+        .agg(F.min_by("slot", F.struct("n", "slot")).alias("drive"), F.count("*").alias("required"))
+    )
+    driving = ~F.col("negated") & (F.col("slot") == F.col("drive"))
+    known = _saved(
+        counted.join(slots, "query_id")
+        .filter("leaf is not null")
+        .select("query_id", "slot", "alt", "negated", "leaf", "required", driving.alias("driving"))
     )
-    driving = counted.filter(~F.col("negated")).join(slots, ["query_id", "slot"])
-    cand = driving.join(hits, "leaf").select("query_id", "required", "path", "ext", "dl").distinct()
-    looked_up = cand.join(counted, "query_id").join(hits.select("leaf", "path", "f"), ["leaf", "path"])
     totals = corpus.stats.agg(
         F.struct(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens")).alias("c")
     ).scalar()
-    part = term_score(
-        F.col("f"), F.col("dl"), F.col("n_with"), F.col("_total.docs"), F.col("_total.tokens")
-    )
-    kept = F.when(~F.col("negated"), F.struct("slot", "alt", part.alias("part")))
+    part = term_score(F.col("f"), F.col("dl"), F.col("n_with"), F.col("_total.docs"), F.col("_total.tokens"))
+    hits = found.join(counts, "leaf").withColumn("_total", totals).withColumn("part", part)
+    # filters stand beside the match: they change no statistics
+    wanted = hits
+    if ext is not None:
+        wanted = wanted.filter(has_extension(F.col("ext"), ext))
+    if under is not None:
+        wanted = wanted.filter(in_subtree(F.col("path"), under))
+    driven = known.filter("driving").join(wanted, "leaf")
+    columns = ("query_id", "required", "slot", "alt", "path", "ext", "block", "part")
+    return _Plan(known, hits, _saved(driven.withColumn("block", block_of(wanted)).select(*columns)))
+
+
+def _judged(plan: _Plan, chosen: DataFrame | None = None) -> DataFrame:
+    """``query_id, path, ext, score`` of the candidates that match: all of them, or the ``chosen`` (query_id, path)."""
+    driven = plan.driven
+    if chosen is not None:
+        driven = driven.join(chosen, ["query_id", "path"], "left_semi")
+    others = plan.clauses.filter(~F.col("driving")).select("query_id", "slot", "alt", "negated", "leaf")
+    cand = driven.select("query_id", "required", "path", "ext").distinct()
+    beside = cand.join(others, "query_id").join(plan.hits.select("leaf", "path", "part"), ["leaf", "path"])
+    columns = ("query_id", "required", "path", "ext", "slot", "alt", "negated", "part")
+    rows = driven.withColumn("negated", F.lit(False)).select(*columns).unionByName(beside.select(*columns))
+    kept = F.when(~F.col("negated"), F.struct("slot", "alt", "part"))
     # One row per clause of the query: the list is as short as the query.
-    judged = looked_up.withColumn("_total", totals).groupBy("query_id", "path", "ext", "required").agg(
+    judged = rows.groupBy("query_id", "path", "ext", "required").agg(
         F.sort_array(F.collect_list(kept)).alias("parts"), F.max("negated").alias("excluded")
     )
     satisfied = F.size(F.array_distinct(F.transform("parts", lambda p: p["slot"])))
     total: Column = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["part"])
     matched = judged.filter(~F.col("excluded") & (satisfied == F.col("required")))
-    scored = matched.select("query_id", "path", "ext", (F.lit(0.0) - total).alias("score"))
-    if ext is not None:
-        scored = scored.filter(has_extension(F.col("ext"), ext))
-    if under is not None:
-        scored = scored.filter(in_subtree(F.col("path"), under))
-    return scored
+    return matched.select("query_id", "path", "ext", (F.lit(0.0) - total).alias("score"))
 
 
-def search_many(corpus: Corpus, clauses: DataFrame, limit: int, **options) -> DataFrame:
+def score_many(
+    corpus: Corpus, clauses: DataFrame, *, ext: str | None = None, under: str | None = None
+) -> DataFrame:
+    """Every match of every query: ``query_id, path, ext, score``."""
+    return _judged(_planned(corpus, clauses, ext, under))
+
+
+def _bounded(plan: _Plan) -> DataFrame:
+    """``query_id, path, upper``: what a candidate's score can come to, where every slot can be met in its block."""
+    tops = plan.hits.groupBy("leaf", block_of(plan.hits).alias("block")).agg(F.max("part").alias("top"))
+    others = plan.clauses.filter(~F.col("driving") & ~F.col("negated")).select("query_id", "slot", "leaf")
+    rest = others.join(tops, "leaf").groupBy("query_id", "block").agg(
+        F.sum("top").alias("rest"), F.count_distinct("slot").alias("met")
+    )
+    partial = plan.driven.groupBy("query_id", "required", "path", "block").agg(F.sum("part").alias("partial"))
+    able = F.coalesce("met", F.lit(0)) >= F.col("required") - 1
+    upper = F.col("partial") + F.coalesce("rest", F.lit(0.0))
+    return partial.join(rest, ["query_id", "block"], "left").filter(able).select("query_id", "path", upper.alias("upper"))
+
+
+def search_many(
+    corpus: Corpus, clauses: DataFrame, limit: int, *, ext: str | None = None, under: str | None = None
+) -> DataFrame:
     """The best ``limit`` matches per query, ranked."""
-    return top_k_per_query(score_many(corpus, clauses, **options), limit)
+    plan = _planned(corpus, clauses, ext, under)
+    bounded = _saved(_bounded(plan))
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "path"))
+    best = bounded.withColumn("nth", order).filter(F.col("nth") <= FIRST * check_limit(limit))
+    best = _saved(best.select("query_id", "path"))
+    first = _saved(_judged(plan, best))
+    reached = top_k_per_query(first, limit).filter(F.col("rank") == limit).select("query_id", (-F.col("score")).alias("reached"))
+    # sums in another order differ in the last digits
+    able = F.col("reached").isNull() | (F.col("upper") * (1 + 1e-9) >= F.col("reached"))
+    left = bounded.join(best, ["query_id", "path"], "left_anti").join(reached, "query_id", "left").filter(able)
+    return top_k_per_query(first.unionByName(_judged(plan, left.select("query_id", "path"))), limit)

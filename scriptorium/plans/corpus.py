@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from scriptorium.operators.postings import (
     term_counts,
 )
 from scriptorium.plans import segments
+from scriptorium.plans.ordered import Ranges, write_ordered
 from scriptorium.sources.documents import build_documents
 
 # One directory per this many bytes of text, and at least so many directories.
@@ -37,6 +39,10 @@ class Corpus:
     bits: DataFrame | None = None
     #: All document rows on disk, dead ones included, for hits that are known to be live.
     stored: DataFrame | None = None
+    #: Where the ranges of the vocabulary begin, for each of its parts.
+    term_ranges: dict[str, Ranges] | None = None
+    #: The live rows ``path, ext, segment, ord`` of a subtree, read from its ranges alone.
+    beneath: Callable[[str], DataFrame] | None = None
 
 
 def empty_tags(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -113,13 +119,14 @@ def write_postings(post: DataFrame, path: str, shards: int) -> None:
     ).partitionBy("shard").parquet(path)
 
 
-def write_terms(post: DataFrame, path: str) -> None:
-    """The vocabulary in term order, so that looking up a few words reads a few pages."""
-    term_counts(post).sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+def write_terms(post: DataFrame, path: str) -> Ranges:
+    """The vocabulary in term order, so that a word is looked up in one range."""
+    return write_ordered(term_counts(post), "term", path)
 
 
-def write_corpus(documents: DataFrame, root: str, shards: int | None = None) -> int:
-    """Write documents, postings and statistics below ``root`` as one part; returns the shard count used."""
+def write_corpus(documents: DataFrame, root: str, shards: int | None = None) -> tuple[int, Ranges]:
+    """Write documents, postings and statistics below ``root`` as one part; returns the shard count used and where the
+    ranges of the vocabulary begin."""
     spark = documents.sparkSession
     total = listed_bytes(documents)
     count = shards or shard_count(total)
@@ -129,8 +136,7 @@ def write_corpus(documents: DataFrame, root: str, shards: int | None = None) ->
         stored = segments.read(spark, "documents", [places["documents"]])
         write_postings(postings(stored), places["postings"], count)
     corpus_stats(stored).coalesce(1).write.mode("overwrite").parquet(places["stats"])
-    write_terms(segments.read(spark, "postings", [places["postings"]]), places["terms"])
-    return count
+    return count, write_terms(segments.read(spark, "postings", [places["postings"]]), places["terms"])
 
 
 def write_assigned(assigned: DataFrame, root: str, shards: int) -> None:
@@ -142,12 +148,20 @@ def write_assigned(assigned: DataFrame, root: str, shards: int) -> None:
     segments.write_bits(segments.bitmap_rows(places, 1), f"{root}/bits/part=0")
 
 
-def read_corpus(spark: SparkSession, root: str, tags: DataFrame, shards: int) -> Corpus:
+def read_corpus(spark: SparkSession, root: str, tags: DataFrame, shards: int, ranges: Ranges) -> Corpus:
     """What :func:`write_corpus` and :func:`write_assigned` have written."""
 
     def part(name: str) -> DataFrame:
         return segments.read(spark, name, [f"{root}/{name}/part=0"])
 
     return Corpus(
-        part("documents"), part("postings"), part("stats"), tags, part("assigned"), part("terms"), shards, part("bits")
+        part("documents"),
+        part("postings"),
+        part("stats"),
+        tags,
+        part("assigned"),
+        part("terms"),
+        shards,
+        part("bits"),
+        term_ranges={"0": ranges},
     )

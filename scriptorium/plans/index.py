@@ -9,10 +9,10 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import FIELDS, ascii_key
+from scriptorium.functions.text import FIELDS, ascii_key, strip
 from scriptorium.operators import snapshot as snap
 from scriptorium.operators import tags as tag_ops
-from scriptorium.operators.filters import MAX_LIMIT, tag_key, with_mark
+from scriptorium.operators.filters import MAX_LIMIT, subtree_prefix, tag_key, with_mark
 from scriptorium.operators.postings import corpus_stats, path_shard, path_shard_of, postings
 from scriptorium.operators.query import Tagged
 from scriptorium.plans import segments
@@ -26,6 +26,7 @@ from scriptorium.plans.corpus import (
     write_documents,
     write_postings,
 )
+from scriptorium.plans.ordered import Interval, Ranges, beneath, within, write_ordered
 from scriptorium.plans.search import search
 from scriptorium.sources.documents import listing_of, rows_from_table
 from scriptorium.sources.files import failures, normal_root, oversized, read_files, rows_of, scan_files
@@ -169,8 +170,28 @@ class Index:
             state["shards"],
             segments.not_dropped(self._part(state, "bits"), self._log(state, "dropped")),
             self._part(state, "documents"),
+            self._ranges(state, "terms"),
+            lambda under: self._located(state, beneath(subtree_prefix(under))),
         )
 
+    def _ranges(self, state: dict, name: str) -> dict[str, Ranges]:
+        return {p.rsplit("=", 1)[-1]: state["order"][p] for p in state["tables"][name]}
+
+    def _located(self, state: dict, intervals: list[Interval]) -> DataFrame:
+        """Live rows ``path, ext, segment, ord`` whose folded path may lie in an interval."""
+        rows = within(self._part(state, "paths"), self._ranges(state, "paths"), intervals)
+        return segments.live(rows, self._log(state, "tombstones"))
+
+    def _near(self, state: dict, paths: list[str], under: str | None) -> DataFrame:
+        """Live rows among which the named documents and those of the subtree are."""
+        intervals = beneath(subtree_prefix(under)) if under is not None else []
+        raw = self.spark.createDataFrame([(p,) for p in paths], "given string").select(strip(F.col("given")).alias("given"))
+        base = state["root"].rstrip("/") + "/"
+        below = F.substring("given", F.lit(len(base) + 1), F.length("given"))
+        for r in raw.select(F.lower("given"), F.when(F.startswith("given", F.lit(base)), F.lower(below))).collect():
+            intervals += [(key, key) for key in r if key is not None]
+        return self._located(state, intervals)
+
     def runs(self) -> DataFrame:
         """One row for each update, oldest first."""
         rows = self.spark.read.schema(f"version bigint, run struct<{RUN_SCHEMA}>").json(f"{self.location}/state")
@@ -246,9 +267,9 @@ class Index:
             write_postings(postings(stored), places["postings"], shards)
         return stored, segments.read(self.spark, "postings", [places["postings"]]), places
 
-    def _write_terms(self, terms: DataFrame) -> str:
-        place = self._fresh("terms")
-        terms.sortWithinPartitions("term").write.parquet(place)
+    def _write_ordered(self, order: dict, name: str, rows: DataFrame, key: str) -> str:
+        place = self._fresh(name)
+        order[place] = write_ordered(rows, key, place)
         return place
 
     def _write_small(self, name: str, rows: DataFrame) -> str:
@@ -272,7 +293,9 @@ class Index:
         shards, seq = shard_count(total), version + 1
         stored, post, places = self._write_part(changed, total, shards, seq)
         tables = {name: [] for name in segments.SCHEMAS} | {n: [p] for n, p in places.items()}
-        tables["terms"] = [self._write_terms(segments.signed_terms(post, None))]
+        order: dict[str, Ranges] = {}
+        tables["terms"] = [self._write_ordered(order, "terms", segments.signed_terms(post, None), "term")]
+        tables["paths"] = [self._write_ordered(order, "paths", segments.path_keys(stored), "key")]
         tables["stats"] = [self._write_small("stats", corpus_stats(stored))]
         if state:
             tables["tags"] = state["tables"]["tags"]
@@ -284,13 +307,14 @@ class Index:
         else:
             tables["tags"] = self._fresh("tags")
             empty_tags(self.spark)[0].write.parquet(tables["tags"])
-        return {"tables": tables, "shards": shards, "sizes": [self._size(tables["stats"][0])], **({"version": version} if state else {})}
+        state = {"version": version} if state else {}
+        return {**state, "tables": tables, "order": order, "shards": shards, "sizes": [self._size(tables["stats"][0])]}
 
     def _appended(self, state: dict, changes: DataFrame, changed: DataFrame, total: int) -> dict:
         """One part for the changed documents, and what it does to the others as rows of the logs."""
         seq, shards = state["version"] + 1, state["shards"]
         tables = {n: list(p) if isinstance(p, list) else p for n, p in state["tables"].items()}
-        sizes = list(state["sizes"])
+        sizes, order = list(state["sizes"]), dict(state["order"])
         touched = changes.filter(F.col("status").isin("upsert", "pruned"))
         gone = touched.select("path", "status", path_shard(F.col("path"), shards).alias("shard"))
         fields = ("path", "ext", "dl", *FIELDS, "status")
@@ -302,12 +326,13 @@ class Index:
             for name, place in places.items():
                 tables[name].append(place)
             sizes.append(new)
+            tables["paths"].append(self._write_ordered(order, "paths", segments.path_keys(stored), "key"))
         if dead:
             rows = removed.select("path", F.lit(seq).alias("before"))
             tables["tombstones"].append(self._write_small("tombstones", rows))
         if new or dead:
             terms = segments.signed_terms(post, postings(removed) if dead else None)
-            tables["terms"].append(self._write_terms(terms))
+            tables["terms"].append(self._write_ordered(order, "terms", terms, "term"))
             less = corpus_stats(removed).select(*[(-F.col(c)).alias(c) for c in ("n_docs", "n_tokens")])
             stats = corpus_stats(stored).unionByName(less) if new else less
             tables["stats"].append(self._write_small("stats", segments.summed_stats(stats)))
@@ -323,7 +348,7 @@ class Index:
                 upserts = gone.filter("status = 'upsert'").select("path", "shard")
                 again = self._assignments(state).join(upserts, ["path", "shard"], "left_semi")
                 tables["bits"].append(self._write_marks(state, again, stored, seq))
-        return {**state, "tables": tables, "sizes": sizes}
+        return {**state, "tables": tables, "sizes": sizes, "order": order}
 
     def plan(self, source: str | DataFrame, *, full: bool = False, root: str | None = None) -> tuple[DataFrame, DataFrame]:
         """Dry run: the counters and the first changes; nothing is written."""
@@ -359,7 +384,11 @@ class Index:
             state["sizes"] = [n for i, n in enumerate(state["sizes"]) if i not in chosen] + [count]
         if below is None:
             seq = state["version"] + 1
-            tables["terms"] = [self._write_terms(segments.summed_terms(self._part(state, "terms")))]
+            order: dict[str, Ranges] = {}
+            tables["terms"] = [self._write_ordered(order, "terms", segments.summed_terms(self._part(state, "terms")), "term")]
+            paths = segments.live(self._part(state, "paths"), dead).drop("part", "range")
+            tables["paths"] = [self._write_ordered(order, "paths", paths, "key")]
+            state["order"] = order
             tables["stats"] = [self._write_small("stats", segments.summed_stats(self._part(state, "stats")))]
             place = self._fresh("assigned")
             segments.write_assignments(self._assignments(state).withColumn("seq", F.lit(seq)), place, state["shards"])
@@ -432,7 +461,7 @@ class Index:
         if self._catalog(state).filter(F.col("name_key") == key).isEmpty():
             raise ValueError(f"tag not found: {name}")
         given = self.spark.createDataFrame([(p,) for p in paths], "given string") if paths else None
-        documents = self._documents(state)
+        documents = self._near(state, paths, under)
         chosen = tag_ops.select_paths(documents, given, under, state["root"], few=len(paths) <= MAX_LIMIT)
         bits = segments.not_dropped(self._part(state, "bits"), self._log(state, "dropped"))
         placed = documents.select("path", "segment", "ord").join(chosen, "path", "left_semi")
@@ -465,7 +494,7 @@ class Index:
     def show_tags(self, path: str) -> DataFrame:
         state = self._require()
         given = self.spark.createDataFrame([(path,)], "given string")
-        found = tag_ops.select_paths(self._documents(state), given, None, state["root"], few=True).first()["path"]
+        found = tag_ops.select_paths(self._near(state, [path], None), given, None, state["root"], few=True).first()["path"]
         rows = self._assignments(state).filter(F.col("shard") == path_shard_of(found, state["shards"]))
         return tag_ops.show_tags(self._catalog(state), rows, found)
 

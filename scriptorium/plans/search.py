@@ -19,6 +19,7 @@ from scriptorium.operators.match import (
     candidates,
     choose_guard,
     distinct_leaves,
+    exact_tokens,
     known_frequency,
     place_of,
     score,
@@ -29,6 +30,7 @@ from scriptorium.operators.query import Node, Tagged, all_of, separate, word
 from scriptorium.operators.rank import absolute_path, snippet_or_title, top_k
 from scriptorium.operators.tags import tags_of
 from scriptorium.plans.corpus import Corpus
+from scriptorium.plans.ordered import within
 
 
 def split_query(
@@ -77,14 +79,20 @@ def score_matches(
     """Every match with its score: ``path, ext, score``, and its place in the index. No document body is read."""
     text, tags = split_query(corpus, query, require_tags)
     if text is None:
-        rows = corpus.documents.select("path", "ext", *place_of(corpus.documents), F.lit(0.0).alias("score"))
+        below = under is not None and corpus.beneath is not None
+        rows = corpus.beneath(under) if below else corpus.documents
+        rows = rows.select("path", "ext", *place_of(rows), F.lit(0.0).alias("score"))
         if with_active:
             rows = rows.withColumn("active", F.array().cast("array<boolean>"))
     else:
         known, guard = {}, None
         if corpus.shards:
             leaves = distinct_leaves(text)
-            counts = word_counts(corpus.terms, leaves)
+            terms = corpus.terms
+            if corpus.term_ranges is not None:
+                words = sorted({t for leaf in leaves for t in exact_tokens(leaf)})
+                terms = within(terms, corpus.term_ranges, [(w, w) for w in words])
+            counts = word_counts(terms, leaves)
             guard = choose_guard(text, counts)
             known = {leaf: known_frequency(leaf, counts) for leaf in leaves}
             known = {leaf: n for leaf, n in known.items() if n is not None}

@@ -4,7 +4,7 @@ A change of the corpus writes one new part (documents and postings of the change
 appends to four logs:
 
 * tombstones ``(path, before)``: rows of ``path`` that came in with a segment below ``before`` are dead;
-* terms and statistics with a sign: counts of the new rows, less those of the rows that died;
+* terms (in order, see :mod:`scriptorium.plans.ordered`, as are paths) and statistics with a sign: counts of the new rows, less those of the rows that died;
 * assignments and their removals, each with the sequence number of the change;
 * tag bitmaps: one 64-bit word per tag and 64 neighbouring documents, set or cleared by a change.
 
@@ -30,8 +30,9 @@ SCHEMAS = {
     "body string, indexed_at timestamp, dl bigint, digest string, segment int, ord bigint, part string, ext string, shard int",
     "postings": "term string, path string, ext string, field string, dl bigint, lead boolean, positions array<int>, "
     "segment int, ord bigint, part string, shard int",
+    "paths": "key string, path string, ext string, segment int, ord bigint, part string, range int",
     "tombstones": "path string, before int, part string",
-    "terms": "term string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", part string",
+    "terms": "term string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", part string, range int",
     "stats": "n_docs bigint, n_tokens bigint, part string",
     "assigned": "path string, name_key string, seq int, part string, shard int",
     "unassigned": "path string, name_key string, seq int, part string, shard int",
@@ -57,6 +58,11 @@ def live(rows: DataFrame, tombstones: DataFrame | None) -> DataFrame:
     return rows.join(dead, covers, "left_anti")
 
 
+def path_keys(documents: DataFrame) -> DataFrame:
+    """Documents by their path in lower case, for subtrees and for paths in another spelling."""
+    return documents.select(F.lower("path").alias("key"), "path", "ext", "segment", "ord")
+
+
 def signed_terms(added: DataFrame | None, removed: DataFrame | None) -> DataFrame:
     """Counts of added postings less those of removed ones; terms that keep their counts are left out."""
     signed = [

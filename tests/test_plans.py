@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.operators import match
 from scriptorium.operators.query import all_of, any_of, phrase, prefix, tag
+from scriptorium.plans import ordered
 from scriptorium.plans.search import score_matches, search
 
 
@@ -78,3 +80,26 @@ def test_a_short_prefix_leaves_words_pruned(corpus):
     scans = [line for line in plan.splitlines() if "FileScan parquet [term" in line]
     words = [line for line in scans if "StartsWith(term" not in line.split("DataFilters")[1].split("Format")[0]]
     assert words and all(re.search(r"PartitionFilters: \[.*shard#\d+ (IN|=)", line) for line in words)
+
+
+def test_words_and_subtrees_are_found_in_ranges(spark, corpus, tmp_path):
+    """A vocabulary and paths in several ranges: a look-up reads the directories that can hold it."""
+    words = spark.range(1000).selectExpr("lpad(cast(id as string), 4, '0') as term", "id as n").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = ordered.write_ordered(words, "term", str(tmp_path / "part=a"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranges) > 2 and [f for _, f in ranges] == sorted(f for _, f in ranges)
+    table = spark.read.schema("term string, n bigint, part string, range int").option("basePath", str(tmp_path)).parquet(
+        str(tmp_path / "part=a")
+    )
+    for low, high in (("0000", "0000"), ("0500", "0500"), ("0998", "2"), ("00", "01"), ("/", "/"), ("0250", "0750")):
+        found = ordered.within(table, {"a": ranges}, [(low, high)])
+        wanted = [r["n"] for r in words.filter(F.col("term").between(low, high)).collect()]
+        assert sorted(r["n"] for r in found.filter(F.col("term").between(low, high)).collect()) == sorted(wanted)
+    assert len(ordered.met(ranges, [("0500", "0500")])) <= 2 < len(ranges)
+    scan = planned(ordered.within(table, {"a": ranges}, [("0500", "0500")]))
+    assert re.search(r"PartitionFilters: \[.*range#\d+", scan)
+    assert "range#" in planned(corpus.beneath("garden/beds")) and "body#" not in planned(corpus.beneath("garden"))
+    assert sorted(r["path"] for r in corpus.beneath("GARDEN/beds").collect() if r["path"].startswith("garden/beds/"))[0].endswith("asparagus.md")

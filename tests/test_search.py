@@ -2,14 +2,20 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 import pytest
 from conftest import paths, write_tree
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import brute
+from scriptorium.functions.snippet import add_snippet
 from scriptorium.operators import match
 from scriptorium.operators.export import to_envelope
 from scriptorium.operators.query import all_of, any_of, but_not, phrase, prefix, tag, word
+from scriptorium.operators.rank import top_k_per_query
+from scriptorium.plans import batch
 from scriptorium.plans.batch import score_many, search_many
 from scriptorium.plans.corpus import in_memory, write_postings, write_terms
 from scriptorium.plans.index import Index
@@ -244,6 +250,49 @@ def test_batch_equals_single_searches(spark):
         assert ordered[r["rank"] - 1][0] == pytest.approx(r["score"], abs=1e-9)
 
 
+def test_a_long_body_full_of_hits(spark):
+    """The time a snippet takes grows with the body, not with its square."""
+    took = {}
+    for n in (20_000, 160_000):
+        body = "other. " * 5 + "hit it. hit " * n + "it hit"
+        rows = spark.createDataFrame([(body, [True, True])], "body string, active array<boolean>")
+        start = time.perf_counter()
+        out = add_snippet(rows, [word("hit"), phrase("it hit")]).first()["snippet"]
+        took[n] = time.perf_counter() - start
+        assert out.startswith("…") and out.count(">>") >= 1 and out.endswith("…")
+    assert took[160_000] < 30 * max(took[20_000], 0.5)
+
+
+@pytest.mark.parametrize("limit", [1, 4])
+def test_best_by_bounds_equal_the_best_of_all(spark, monkeypatch, limit):
+    """Small blocks and few first candidates, so that bounds decide; equal documents tie."""
+    monkeypatch.setattr(batch, "BLOCK_LOG2", 2)
+    monkeypatch.setattr(batch, "FIRST", 1)
+    rng = random.Random(9)
+    numbered = F.row_number().over(Window.orderBy("path")).cast("bigint")
+    documents = corpus_of(spark, random_docs(rng, 60)).documents.withColumns({"segment": F.lit(1), "ord": numbered})
+    corpus = in_memory(documents)
+    rows = []
+    for q in range(8):
+        for slot in range(1 + q % 3):
+            for alt in range(3):
+                leaf = random_leaf(rng)
+                rows.append((q, slot, alt, leaf.kind, leaf.value, {"stem": "path"}.get(leaf.column, leaf.column), False))
+        if q % 2:
+            leaf = random_leaf(rng)
+            rows.append((q, 9, 0, leaf.kind, leaf.value, None, True))
+    clauses = spark.createDataFrame(
+        rows, "query_id bigint, slot int, alt int, kind string, value string, field string, negated boolean"
+    )
+    columns = ("query_id", "rank", "path", "score")
+    whole = top_k_per_query(score_many(corpus, clauses), limit).select(*columns)
+    assert sorted(map(tuple, search_many(corpus, clauses, limit).select(*columns).collect())) == sorted(map(tuple, whole.collect()))
+    plan = batch._planned(corpus, clauses, None, None)
+    upper = {(r["query_id"], r["path"]): r["upper"] for r in batch._bounded(plan).collect()}
+    for r in score_many(corpus, clauses).collect():
+        assert upper[r["query_id"], r["path"]] >= -r["score"] - 1e-9
+
+
 def test_batch_rejects(spark, fixed):
     schema = "query_id bigint, slot int, alt int, kind string, value string, field string, negated boolean"
     for row in [(1, 0, 0, "word", "a", None, True), (1, 0, 0, "near", "a", None, False), (1, 0, 0, "word", "a", "tag", False)]:

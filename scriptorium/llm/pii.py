@@ -48,8 +48,8 @@ _UNIT = (
     + r"|(?<!\S)[0-9](?:[\x20-]?[0-9]){11,18}+(?![0-9A-Za-z])"
     + r"|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 )
-#: Any token: a unit, or what else stands between blanks and such units.
-_TOKEN = _UNIT + r"|(?:(?!\+[0-9][\x20().0-9-]+[0-9])\S)++"
+#: Any token: a unit, or what else stands between blanks and such units. Most have no sign of a unit and are taken at once.
+_TOKEN = r"[^\s0-9@+]++(?!\S)|" + _UNIT + r"|(?:[^\s+]++|(?!" + PATTERNS["phone"] + r")\+)++"
 ROUNDS, MIN_SUPPORT, MIN_PATTERN, MIN_SCORE = 3, 3.0, 0.5, 0.8
 _BLOCK = 256
 _CONTEXT = 64
@@ -253,8 +253,9 @@ def _in_slots(docs: DataFrame, confident: DataFrame) -> DataFrame:
     """(pattern, value): tokens that are no instances by their form, in the slots of confident patterns."""
     words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(_TOKEN), F.lit(0))
     none = F.array(F.lit(None).cast("string"))
+    # outer, as a plain one looks at the tokens twice: once for rows without any
     shifted = docs.select(words.alias("w")).select(
-        F.inline(
+        F.inline_outer(
             F.arrays_zip(
                 F.col("w").alias("token"),
                 F.concat(none, "w").alias("one"),
@@ -263,21 +264,28 @@ def _in_slots(docs: DataFrame, confident: DataFrame) -> DataFrame:
             )
         )
     )
-    # a unit ends a context
-    plain = lambda c: F.when(~F.col(c).rlike("[0-9@]"), _word(F.right(c, F.lit(_CONTEXT)))).otherwise("^")
-    after = F.when(~F.col("after").rlike("[0-9@]"), _word(F.left("after", F.lit(_CONTEXT)))).otherwise("^")
-    lead = shifted.filter("token is not null").select("token", plain("one").alias("one"), "two", after.alias("after"))
+
+    def plain(c: str, cut) -> Column:
+        """The word at this place; a unit, which has a digit or an at sign, ends a context."""
+        word = _word(cut(c, F.lit(_CONTEXT)))
+        unit = word.contains("0") | word.contains("@") | ((F.length(c) > _CONTEXT) & F.col(c).rlike("[0-9@]"))
+        return F.when(unit, "^").otherwise(word)
+
+    lead = shifted.filter("token is not null").select("token", plain("one", F.right).alias("one"), "two", "after")
     # most tokens follow a word that no pattern has
     rest = F.substr("pattern", F.lit(3))
     known = confident.select(
         F.when(F.col("pattern").startswith("2|"), F.substring_index(rest, " ", -1)).otherwise(F.substring_index(rest, " ", 1)).alias("one")
     ).distinct()
-    near = lead.join(known, "one", "left_semi").withColumn("two", F.when(F.col("one") == "^", "^").otherwise(plain("two")))
+    near = lead.join(known, "one", "left_semi").withColumns(
+        {"two": F.when(F.col("one") == "^", "^").otherwise(plain("two", F.right)), "after": plain("after", F.left)}
+    )
     patterns = F.array(
         F.concat(F.lit("2|"), "two", F.lit(" "), "one"), F.concat(F.lit("b|"), "one", F.lit(" _ "), "after"), F.concat(F.lit("1|"), "one")
     )
     placed = near.select("token", F.explode(patterns).alias("pattern")).join(confident.select("pattern"), "pattern", "left_semi")
-    value = placed.select("pattern", _core(F.col("token")).alias("core")).groupBy("pattern", "core").count()
+    # written, as the tests of the values would otherwise move in front of the joins, to every token
+    value = saved(placed.select("pattern", _core(F.col("token")).alias("core")).distinct(), "pii-slot-values")
     labelled = value.filter("core <> ''").select("pattern", F.lower("core").alias("value"), _label(F.col("core")).alias("label"))
     return labelled.filter(~_alike(F.col("value"), F.col("label"))).groupBy("pattern", "value").agg(F.max("label").alias("label"))
 
@@ -317,15 +325,15 @@ def discovered(
 def _occurrences(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(row, start, end, kind): where the tokens in ``found`` stand that are no instances by their form."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = docs.select(row_key().alias("row"), F.explode(_matches(text, _TOKEN)).alias("m"))
+    tokens = docs.select(row_key().alias("row"), F.explode_outer(_matches(text, _TOKEN)).alias("m")).filter("m is not null")
     placed = tokens.select("row", F.col("m.start").alias("at"), F.col("m.found").alias("token")).withColumn("core", _core(F.col("token")))
     start = (F.col("at") + F.length(_lead(F.col("token")))).alias("start")
+    met = placed.withColumn("value", F.lower("core")).join(found, "value").select("row", start, "core", "value", "kind")
+    # written, for the same reason as above
     return (
-        placed.withColumn("value", F.lower("core"))
-        .join(found, "value")
+        saved(met, "pii-places")
         .filter(~_alike(F.col("value"), _label(F.col("core"))))
-        .select("row", start, F.length("core").alias("size"), "kind")
-        .select("row", "start", (F.col("start") + F.col("size")).alias("end"), "kind")
+        .select("row", "start", (F.col("start") + F.length("core")).alias("end"), "kind")
     )
 
 

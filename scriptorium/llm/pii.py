@@ -30,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.bitmaps import NONE, bit_of, has_bit, word_of
 from scriptorium.llm.base import once, row_key, saved
 
 KINDS = ("email", "ip", "card", "phone")
@@ -52,6 +53,8 @@ _UNIT = (
 _TOKEN = r"[^\s0-9@+]++(?!\S)|" + _UNIT + r"|(?:[^\s+]++|(?!" + PATTERNS["phone"] + r")\+)++"
 ROUNDS, MIN_SUPPORT, MIN_PATTERN, MIN_SCORE = 3, 3.0, 0.5, 0.8
 _BLOCK = 256
+#: Bits of the table that tells most words before a token from those of patterns.
+_BITS = 1 << 18
 _CONTEXT = 64
 
 
@@ -249,6 +252,16 @@ def _chosen(scores: DataFrame, min_score: float) -> DataFrame:
     return scores.filter(best >= min_score).select("value", kind.alias("kind"))
 
 
+def _maybe(known: DataFrame, name: str) -> Column:
+    """Whether a value may be among the ``known`` ones, by a bit table of fixed size; a join has to follow."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(_BITS))
+    words = known.select(slot(name).alias("slot")).groupBy(word_of(F.col("slot")).alias("word")).agg(F.bit_or(bit_of(F.col("slot"))).alias("bits"))
+    table = dict(words.collect())
+    row = [table.get(i, NONE) for i in range(_BITS // 64)]
+    bits = known.sparkSession.createDataFrame([(row,)], "bits array<bigint>").select("bits").scalar()
+    return has_bit(F.get(bits, word_of(slot(name)).cast("int")), slot(name))
+
+
 def _in_slots(docs: DataFrame, confident: DataFrame) -> DataFrame:
     """(pattern, value): tokens that are no instances by their form, in the slots of confident patterns."""
     words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(_TOKEN), F.lit(0))
@@ -276,8 +289,8 @@ def _in_slots(docs: DataFrame, confident: DataFrame) -> DataFrame:
     rest = F.substr("pattern", F.lit(3))
     known = confident.select(
         F.when(F.col("pattern").startswith("2|"), F.substring_index(rest, " ", -1)).otherwise(F.substring_index(rest, " ", 1)).alias("one")
-    ).distinct()
-    near = lead.join(known, "one", "left_semi").withColumns(
+    )
+    near = lead.filter(_maybe(known, "one")).withColumns(
         {"two": F.when(F.col("one") == "^", "^").otherwise(plain("two", F.right)), "after": plain("after", F.left)}
     )
     patterns = F.array(

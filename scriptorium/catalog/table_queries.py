@@ -24,8 +24,12 @@ from scriptorium.operators import snapshot as snap
 from scriptorium.operators import tags as tag_ops
 from scriptorium.operators.filters import in_subtree
 from scriptorium.operators.postings import postings, update_postings
+from scriptorium.operators.query import tag
 from scriptorium.plans.index import Index, read_runs, run_row
+from scriptorium.plans.search import score_matches
+from scriptorium.plans.segments import summed_terms
 from scriptorium.session import shared_dir
+from scriptorium.sources.documents import listing_of, rows_from_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -206,11 +210,49 @@ def mnt9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_runs(spark, path).select("corpus_root", "last_run_stats")
 
 
-@query(
-    "mnt11_postings_upkeep",
+def _as_table(docs: DataFrame) -> DataFrame:
+    return docs.select("path", F.col("body").alias("text"))
+
+
+def _indexed_twice(spark: SparkSession, sf_dir: str, tagged: str | None = None) -> Index:
+    """An index over the stored documents, some of them tagged, brought in line with the present listing."""
+    stored, listed, _ = _states(spark, sf_dir)
+    index = Index(spark, f"{shared_dir(spark)}/upkeep-{uuid.uuid4().hex}")
+    index.update(_as_table(stored))
+    if tagged:
+        index.create_tags(["marked"])
+        index.apply_tag("marked", under=tagged)
+    rows = rows_from_table(_as_table(listed), F.col("path"), F.col("text"), F.lit(None))
+    listing = listing_of(rows).withColumn("readable", ~F.startswith("path", F.lit("src7/")))
+    index.update(_as_table(listed), snapshot=listing)
+    return index
+
+
+UPKEEP = (
     f"{PLAIN}, {CARRIED}, {sql.fields_cte('carried')}, {sql.TOK} "
-    "SELECT term, count(DISTINCT path) AS n_docs, count(*) AS n_hits, CAST(sum(pos) AS BIGINT) AS pos_sum FROM tok GROUP BY term",
+    "SELECT term, count(DISTINCT path) AS n_docs, count(*) AS n_hits, CAST(sum(pos) AS BIGINT) AS pos_sum FROM tok GROUP BY term"
 )
+
+
+@query("mnt11_index_upkeep", UPKEEP)
+def mnt11_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings and vocabulary of an index after an update: parts, tombstones and signed counts."""
+    corpus = _indexed_twice(spark, sf_dir).corpus()
+    sums = corpus.postings.groupBy("term").agg(
+        F.sum(F.size("positions")).alias("n_hits"),
+        F.sum(F.aggregate("positions", F.lit(0).cast("bigint"), lambda a, p: a + p)).alias("pos_sum"),
+    )
+    return summed_terms(corpus.terms).select("term", "n_docs").join(sums, "term", "full")
+
+
+@query("jn6_index_orphans", f"WITH {STATES} SELECT path FROM old WHERE folder = 'src1' AND path IN (SELECT path FROM new)")
+def orphans_of_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tag over a subtree, after its documents changed or went: found by its bitmap."""
+    index = _indexed_twice(spark, sf_dir, "src1")
+    return score_matches(index.corpus(), tag("marked")).select("path")
+
+
+@query("mnt11_postings_upkeep", UPKEEP)
 def mnt11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only touched documents are tokenised again; the rest of the postings is carried over."""
     stored, listed, files = _states(spark, sf_dir)

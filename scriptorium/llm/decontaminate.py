@@ -6,7 +6,7 @@ longest suffix that occurs in some item. Where that length reaches ``window``, t
 an item with fewer words is a window as a whole. The scan is linear in the document.
 
 The benchmark is a stated query set: it is handled in blocks of about ``block_words`` words (a bound on what is
-collected and broadcast at a time), and every document passes every block. A key or source that holds many
+collected at a time; the automata of all blocks are broadcast for one plan), and every document passes every block. A key or source that holds many
 documents does not matter, as nothing is shuffled.
 
 Defined cases: null or empty texts have no words and no hits; items with null id, null text or no words are ignored;

@@ -478,8 +478,8 @@ def report(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row of each component, that with the smallest id, and all rows without words. Columns unchanged.
 
-    Rows with null ids are kept only where their component has no other document; of a component's rows with the same id
-    it is one row of the text with the smallest key.
+    Ids come before nulls: of a component with null ids only, one row stays. Of a component's rows with the same id it is
+    one row of the text with the smallest key.
     """
     named = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), row_key().alias("key"))
     found = linked(docs.select(named.alias("doc_id"), "text"), size, percent)

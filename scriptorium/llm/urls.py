@@ -8,8 +8,8 @@ calibrated on labelled URLs that were held out (crc32 of the URL modulo 3 is 1):
 seen as normal distributions, are the same number of deviations away from it.
 
 All steps are column expressions, joins and counts. A URL is cut into grams (a character with the ``order`` before
-it); equal grams are scored once; grams and contexts are spread by their own hash, and none belongs to more than about
-one in forty of the rows, since each occurs about once in a URL. Nothing is collected but the six calibration figures.
+it); equal grams are scored once; grams and contexts are spread by their own hash. The empty context is one key that a row
+of every distinct gram meets; adaptive execution splits it. Nothing is collected but the six calibration figures.
 
 Defined cases: null URLs and URLs without ``://`` have empty host and path and fit no rule; where one class has no
 training URL, or nothing is held out, the threshold is 0 and unseen things score 0, which means allow; equal URLs get

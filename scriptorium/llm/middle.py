@@ -30,7 +30,7 @@ PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 UNIT = "[A-Za-z]+|[^A-Za-z]"
 #: Texts rearranged, of 100; of those, the ones with the suffix first.
 RATE, SPM_RATE = 90, 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _RESULT = "n long, form string, prefix_chars long, middle_chars long, output string"
 _TYPE = pa.struct(

@@ -2,14 +2,17 @@
 
 A page is read once into a sequence of words and tags. Words have the score of the element around them, tags that of
 their name and class; a linear scan finds the contiguous region with the largest sum, which is the main content. From
-that region parts that are never content (scripts, forms, adverts, comments of readers, …) are left out.
+that region parts that are never content (scripts, forms, adverts, comments of readers, …) are left out. These are
+told by their element, or by a class, id or role that is such a name as a whole (``sidebar``, ``site-footer``, but not
+``has-sidebar`` or ``post-header``); an element so named stays if it holds all marked articles of the page, or nearly all
+words of a page without any.
 
 The scores are log-odds of lying inside, learned from labelled pages: pages whose author marked the content with an
 ``article`` or ``main`` element (or ``itemprop=articleBody``). Words in elements seen more inside than outside score
 positive, tags score negative, more so the rarer they are inside. At most about ``sample_pages`` pages are used for that.
 Elements never seen keep fixed prior scores, so pages can also be read without any labelled page.
 
-White space inside a block becomes one blank, blocks are joined by one blank; inline tags do not break a block.
+White space inside a block, no-break spaces too, becomes one blank, blocks are joined by one blank; inline tags do not break a block.
 
 Defined cases: null, empty and text-free pages give an empty text; a page without a positive word gives an empty text;
 unclosed or cut markup is read as far as it goes; of equal regions the first is taken, as long as possible.
@@ -36,7 +39,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_BLANK = re.compile(r"[ \t\n\r\f\v]+")
+_BLANK = re.compile(r"\s+")
 
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +59,13 @@ NEVER_NAMES = set(
     "reply replies share sharing social related recommended newsletter subscribe signup login popup modal widget "
     "complementary contentinfo search".split()
 )
+#: Words that leave such a name what it is: ``site-footer``, ``comment-list``.
+QUALIFIERS = set("site page main top bottom left right global primary secondary list section box block bar area slot unit".split())
+#: What readers and advertisers wrote is never content, however much of a page it is.
+READERS = set("comment comments disqus reply replies".split())
+ADVERTS = set("ad ads advert advertisement adverts sponsor sponsored promo promotion".split())
+#: A named part with more than this share of the words is the content of a page without a marked article.
+MOST = 0.9
 ARTICLE = {"article", "main"}
 #: These end an open paragraph.
 ENDS_P = set(
@@ -64,67 +74,147 @@ ENDS_P = set(
 )
 
 
-def _names(attributes: str) -> tuple[set[str], bool]:
-    """Name words of class, id and role; whether the element is marked as article body."""
+def _never_name(token: str) -> str:
+    """The word by which a class, id or role names a part that is never content, else an empty string."""
+    words = [w for w in re.split(r"[-_]+", token) if w]
+    named = [w for w in words if w in NEVER_NAMES]
+    return named[0] if named and all(w in NEVER_NAMES or w in QUALIFIERS for w in words) else ""
+
+
+def _names(attributes: str) -> tuple[set[str], set[str], bool]:
+    """Name words of class, id and role; those that name a part that is never content; whether it is an article body."""
     words: set[str] = set()
+    never: set[str] = set()
     body = False
     if "=" in attributes:
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             value = a or b or c
             if key.lower() in ("class", "id", "role"):
-                words |= {w for w in re.split(r"[^a-zA-Z]+", value.lower()) if w}
+                value = value.lower()
+                words |= {w for w in re.split(r"[^a-zA-Z]+", value) if w}
+                never |= {w for token in value.split() if (w := _never_name(token))}
             body |= key.lower() == "itemprop" and value == "articleBody"
-    return words, body
+    return words, never, body
+
+
+class _Named:
+    """Elements whose name says that they are no content; decided when the whole page is known."""
+
+    def __init__(self) -> None:
+        self.parent: list[int] = []
+        self.names: list[set[str]] = []
+        self.articles: list[int] = []
+        self.all_articles = 0
+
+    def add(self, parent: int, names: set[str]) -> int:
+        self.parent.append(parent)
+        self.names.append(names)
+        self.articles.append(0)
+        return len(self.parent) - 1
 
+    def article(self, around: int) -> None:
+        self.all_articles += 1
+        if around >= 0:
+            self.articles[around] += 1
 
-def sequence(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
+    def left_out(self, words: list[int], all_words: int) -> list[bool]:
+        """Whether each one is left out; ``words`` are those directly below each. Parents come before children."""
+        articles = list(self.articles)
+        for i in range(len(self.parent) - 1, -1, -1):
+            if (up := self.parent[i]) >= 0:
+                words[up] += words[i]
+                articles[up] += articles[i]
+        out: list[bool] = []
+        for i, up in enumerate(self.parent):
+            if self.names[i] & READERS:
+                stays = False
+            elif self.all_articles:
+                stays = articles[i] == self.all_articles
+            else:
+                stays = not self.names[i] & ADVERTS and words[i] > MOST * all_words
+            out.append(not stays or (up >= 0 and out[up]))
+        return out
+
+
+#: Open elements that the start of one of these closes.
+_SAME = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+    "option": {"option"}, **dict.fromkeys(ENDS_P, {"p"}),
+}
+
+
+def sequence(page: str) -> list[tuple[str, str, str, bool, bool]]:
     """(kind, name, text, never, inside) for each tag and text run.
 
     ``kind`` is word, tag or end; ``name`` the element's name, with its first class word; ``never``: below an element
     that cannot be content; ``inside``: below an element marked as the article.
     """
-    stack: list[tuple[str, str, bool, bool, str]] = []  # element, name, never, inside, name of the block around
+    # element, name, never by an element, inside, name of the block around, named element around, nearest non-inline place
+    stack: list[tuple[str, str, bool, bool, str, int, int]] = []
+    opened: Counter = Counter()  # open elements by name: a stray closing tag costs no walk
+    runs: list[tuple[str, str, str, bool, bool, int]] = []
+    named = _Named()
+    root = ("", "", False, False, "", -1, -1)
     at, end = 0, len(page)
+
+    def close(depth: int) -> None:
+        for entry in stack[depth:]:
+            opened[entry[0]] -= 1
+        del stack[depth:]
+
     while at < end:
         m = _TOKEN.match(page, at)
         at = m.end()
         token = m[0]
-        never, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+        top = stack[-1] if stack else root
         closing, element, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not element:
-            if token[:2] in ("<!", "<?"):
-                continue
-            yield "word", stack[-1][4] if stack else "", token, never, inside
+            if token[:2] not in ("<!", "<?"):
+                runs.append(("word", top[4], token, top[2], top[3], top[5]))
             continue
         element = element.lower()
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == element), -1)
-            if depth >= 0:
+            if opened[element]:
+                depth = len(stack) - 1
+                while stack[depth][0] != element:
+                    depth -= 1
                 name = stack[depth][1]
-                del stack[depth:]
-                never, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-                yield "end", name, element, never, inside
+                close(depth)
+                top = stack[-1] if stack else root
+                runs.append(("end", name, element, top[2], top[3], top[5]))
             continue
-        words, body = _names(rest)
+        words, never, body = _names(rest)
         name = ".".join([element, *sorted(words)[:1]])
-        if element in ENDS_P or element in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            same = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in same.get(element, {"p"}):
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-            never, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-        out = never or element in NEVER or (bool(words & NEVER_NAMES) and element not in ("html", "body", *ARTICLE))
-        yield "tag", name, element, out, inside
+        if (same := _SAME.get(element)) and top[6] >= 0 and stack[top[6]][0] in same:
+            close(top[6])
+            top = stack[-1] if stack else root
+        hard = top[2] or element in NEVER
+        around = top[5]
+        if never and not hard and element not in ("html", "body", *ARTICLE):
+            around = named.add(around, never)
+        marks = element in ARTICLE or body
+        if marks and not hard:
+            named.article(around)
+        runs.append(("tag", name, element, hard, top[3], around))
         if element in VOID or rest.endswith("/") and element not in ARTICLE:
             continue
         if element in RAW:
-            close = re.compile(rf"</{re.escape(element)}", re.I).search(page, at)
-            at = close.start() if close else end
-        block = (stack[-1][4] if stack else "") if element in INLINE else name
-        stack.append((element, name, out, inside or element in ARTICLE or body, block))
+            closer = re.compile(rf"</{re.escape(element)}", re.I).search(page, at)
+            at = closer.start() if closer else end
+        inline = element in INLINE
+        stack.append((element, name, hard, top[3] or marks, top[4] if inline else name, around, top[6] if inline else len(stack)))
+        opened[element] += 1
+    if not named.parent:
+        return [run[:5] for run in runs]
+    total, below = 0, [0] * len(named.parent)
+    for kind, _, text, hard, _, around in runs:
+        if kind == "word" and not hard:
+            n = len(text.split())
+            total += n
+            if around >= 0:
+                below[around] += n
+    out = named.left_out(below, total)
+    return [(kind, name, text, hard or (around >= 0 and out[around]), inside) for kind, name, text, hard, inside, around in runs]
 
 
 def _counted(page: str) -> tuple[Counter, Counter]:
@@ -217,7 +307,7 @@ def extract(page: str | None, scores: dict[str, float]) -> str:
                 text.append(html.unescape(value))
         elif value not in INLINE:
             text.append(" ")
-    return _BLANK.sub(" ", "".join(text)).strip(" ")
+    return _BLANK.sub(" ", "".join(text)).strip()
 
 
 def main_text(pages: DataFrame, scores: dict[str, float] | None = None) -> DataFrame:

@@ -170,6 +170,73 @@ def test_long_excluded_parts_do_not_part_an_article():
             assert html.extract(page, scores) == f"{one} {two}"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content no-sidebar"><p>{0}</p></div>',
+        '<div class="wrap has-sidebar"><article><p>{0}</p></article></div>',
+        '<div id="sidebar"><article><p>{0}</p></article></div>',
+        '<div class="widget"><p>{0}</p></div>',
+        '<article><p class="post-header">{0}</p></article><div class="site-footer">about us</div>',
+        '<article><p class="search-results">{0}</p><ul class="comment-list"><li>I like it a lot</li></ul></article>',
+        '<main><p>{0}</p></main><div class="sidebar"><p>see also these</p></div>',
+        '<p>{0}</p><div class="comments">' + "<p>reader says a lot</p>" * 400 + "</div>",
+    ],
+)
+def test_named_parts(page):
+    text = " ".join(f"word{i}" for i in range(40))
+    assert html.extract(page.format(text), {}) == text
+
+
+def test_white_space_and_pages_of_adverts_only():
+    assert html.extract("<p>one&nbsp;&#8195;two\u00a0 three&nbsp;</p>", {}) == "one two three"
+    assert html.extract('<div class="ad">buy now</div>', {}) == ""
+
+
+def test_stray_closing_tags_cost_no_walk():
+    import time
+
+    page = "<div>" * 20_000 + "<p>some text</p>" + "</span>x" * 20_000 + "<b>" * 20_000 + "<hr>" * 20_000
+    start = time.time()
+    assert html.extract(page, {"tag div": -0.25}).startswith("some text")
+    assert time.time() - start < 3
+
+
+def test_region_has_the_largest_sum():
+    """Against all contiguous regions."""
+    draw = random.Random(5)
+    names = ["p", "div", "b", "nav", "li", 'div class="ad"', "span", "article"]
+    for _ in range(300):
+        page = "".join(
+            draw.choice([f"<{(n := draw.choice(names))}>", f"</{n.split()[0]}>", f"w{i} " * draw.randint(1, 4)]) for i in range(draw.randint(1, 25))
+        )
+        scores = {f"word {n}": draw.choice([-2.0, 0.5, 3.0]) for n in ("p", "div", "li", "")} | {f"tag {n}": -draw.random() * 4 for n in ("p", "div", "li", "b")}
+        values, skipped = [], False
+        runs = html.sequence(page)
+        for kind, name, text, never, _ in runs:
+            if never:
+                values.append(0.0 if skipped else html.NEVER_SCORE)
+            elif kind == "word":
+                values.append(len(text.split()) * scores.get("word " + name, scores.get("word " + name.split(".")[0], 1.0)))
+            else:
+                values.append(scores.get("tag " + name, -0.5) / (1 if kind == "tag" else 2))
+            skipped = never
+        regions = {
+            (i, j): sum(values[i : j + 1]) for i in range(len(values)) for j in range(i, len(values)) if sum(values[i : j + 1]) > 1e-9
+        }
+        best = max(regions.values(), default=0.0)
+
+        def shown(i, j):
+            parts = [
+                "" if kind == "word" and never else text if kind == "word" else " " if text not in html.INLINE else ""
+                for kind, _, text, never, _ in runs[i : j + 1]
+            ]
+            return " ".join("".join(parts).split())
+
+        equal = {shown(i, j) for (i, j), total in regions.items() if total > best - 1e-9} or {""}
+        assert html.extract(page, scores) in equal, page
+
+
 def test_main_text_equals_the_articles(spark):
     import html as entities
 

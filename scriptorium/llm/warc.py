@@ -7,7 +7,8 @@ segment number, the last of which states the total length.
 
 Writing: records are rows of a text table whose line end is the two empty lines that close a WARC record, so Spark's
 own writer with its commit protocol makes the files (``.gz``), and a lost executor leaves no half file behind. A file
-holds at most ``FILE_RECORDS`` records.
+holds at most ``FILE_RECORDS`` records and about ``FILE_BYTES`` bytes before compression. Texts are cut into chunks and
+segments in one pass each, so a record costs time in proportion to its length.
 
 Reading: every file is unpacked as a stream and cut by ``Content-Length``, one record at a time. Records without
 segments are complete; segments are grouped by origin, ordered by number and joined, and a record is complete if its
@@ -15,7 +16,8 @@ segments are numbered without a gap and their length is the stated total. Only t
 A group is one record, so its size is that of a capture.
 
 Defined cases: a null payload is empty; equal payloads below ``min_revisit`` bytes are all responses; repeated rows and
-null ids are kept as records of their own (a revisit refers to the largest id, the first in row order if it repeats);
+null ids are kept as records of their own (of equal payloads one of those with the largest id is the response, a null
+id being smaller than any other);
 an incomplete or damaged record is returned with ``complete`` false and no payload; an empty table gives no records.
 """
 
@@ -26,7 +28,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -36,6 +38,7 @@ SEGMENT_BYTES = 16 << 10
 CHUNK_CHARS = 4096
 MIN_REVISIT = 1000
 FILE_RECORDS = 20_000
+FILE_BYTES = 512 << 20
 DATE = "2024-01-01T00:00:00Z"
 _ID = "<urn:capture:{}>"
 _PIECE = 1 << 20
@@ -48,49 +51,73 @@ def _identity(key: Column) -> Column:
 
 
 def captures(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html plus ``key`` (unique), ``digest``, ``refers_to`` (key of the response, null if it is one)."""
+    """page_id, url, html plus ``key`` (unique), ``digest``, ``refers_to`` (key of the response, null if it is one).
+
+    The key of a page whose id no other has is the id; other rows get a key made of their values, so it is the same when a
+    task runs again. Equal rows meet as one row with a count, counted before the shuffle, and are numbered when they are
+    taken apart: no group gathers the rows of one id, or those without.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(
-        "page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("_size")
-    )
-    # copies of an id are told apart by a number; ids as a rule are unique, so these groups are small
-    number = F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url"))
     own = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    rows = rows.withColumn("_copy", number).withColumn(
-        "key", F.when((F.col("_copy") == 1) & F.col("page_id").isNotNull(), own).otherwise(F.concat(own, F.lit("~"), F.col("_copy")))
+    # spelt in letters, so that an id is the only number in a key
+    values = F.sha1(F.concat("digest", F.coalesce(F.concat(F.lit("+"), "url"), F.lit("-"))).cast("binary"))
+    rows = (
+        pages.select("page_id", "url", html.alias("html"))
+        .withColumn("digest", F.sha1(F.col("html").cast("binary")))
+        .withColumn("_row", F.concat_ws("~", own, F.translate(values, "0123456789", "ghijklmnop")))
+    )
+    # narrow: keys, and the newest capture of each payload that occurs more than once
+    repeated = pages.filter("page_id is not null").groupBy(F.col("page_id").alias("p")).count().filter("count > 1").select("p")
+    narrow = rows.select("page_id", "_row", "digest", (F.octet_length("html") >= min_revisit).alias("_large"))
+    narrow = narrow.join(repeated, F.col("page_id") == F.col("p"), "left").select(
+        "page_id", "_row", "digest", "_large", (F.col("page_id").isNotNull() & F.col("p").isNull()).alias("_plain")
     )
-    # narrow: the newest capture of each payload that occurs more than once
-    large = rows.filter(F.col("_size") >= min_revisit).select("page_id", "key", "digest")
     newest = (
-        large.groupBy("digest")
-        .agg(F.max(F.struct(F.col("page_id"), -F.length("key"), F.col("key"))).alias("m"), F.count("*").alias("n"))
+        narrow.filter("_large")
+        .groupBy("digest")
+        .agg(F.max(F.struct("page_id", "_row", "_plain")).alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
-        .select(F.col("digest").alias("d"), F.col("m.key").alias("first"))
+        .select(F.col("digest").alias("d"), "first")
+    )
+    known = (
+        narrow.join(newest, F.col("_large") & (F.col("digest") == F.col("d")), "left")
+        .groupBy(F.col("_row").alias("r"))
+        .agg(F.any_value("_plain").alias("_plain"), F.any_value("first").alias("first"))
     )
-    revisits = (
-        large.join(newest, F.col("digest") == F.col("d"))
-        .filter("key != first")
-        .groupBy(F.col("page_id").alias("p"))
-        .agg(F.collect_list(F.struct("key", "first")).alias("firsts"))
+    # joined on the key by which the rows are placed already
+    distinct = rows.groupBy("_row").agg(
+        F.count("*").alias("_n"), *[F.any_value(c).alias(c) for c in ("page_id", "url", "html", "digest")]
     )
-    # joined on the id alone, by which the rows are placed already
-    first = F.filter("firsts", lambda f: f["key"] == F.col("key"))
-    return rows.join(revisits, F.col("page_id") == F.col("p"), "left").select(
-        "page_id", "url", "html", "key", "digest", F.get(first, F.lit(0))["first"].alias("refers_to")
+    copies = distinct.join(known, F.col("_row") == F.col("r")).select(
+        "page_id", "url", "html", "_row", "digest", "_plain", "first", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy")
     )
 
+    def key(row: Column, plain: Column, copy: Column) -> Column:
+        return F.when(plain, F.substring_index(row, "~", 1)).otherwise(F.concat(row, F.lit("~"), copy.cast("string")))
+
+    response = (F.col("_row") == F.col("first._row")) & (F.col("_copy") == 1)
+    return copies.select(
+        "page_id",
+        "url",
+        "html",
+        key(F.col("_row"), F.col("_plain"), F.col("_copy")).alias("key"),
+        "digest",
+        F.when(F.col("first").isNotNull() & ~response, key(F.col("first._row"), F.col("first._plain"), F.lit(1))).alias("refers_to"),
+    )
+
+
+def _cut(text: Column, chars: int) -> Column:
+    """Pieces of ``chars`` characters, the last one shorter, in one pass; none of an empty text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))
+
 
 def _chunked(html: Column) -> Column:
     """The text in chunks of at most ``CHUNK_CHARS`` characters, framed for chunked transfer."""
-    starts = F.when(
-        F.length(html) > 0, F.sequence(F.lit(1), F.length(html), F.lit(CHUNK_CHARS))
-    ).otherwise(F.array().cast("array<int>"))
 
-    def framed(start: Column) -> Column:
-        part = F.substring(html, start, F.lit(CHUNK_CHARS))
+    def framed(part: Column) -> Column:
         return F.concat(F.lower(F.hex(F.octet_length(part))), F.lit("\r\n"), part, F.lit("\r\n"))
 
-    return F.concat(F.array_join(F.transform(starts, framed), ""), F.lit("0\r\n\r\n"))
+    return F.concat(F.array_join(F.transform(_cut(html, CHUNK_CHARS), framed), ""), F.lit("0\r\n\r\n"))
 
 
 def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, min_revisit: int = MIN_REVISIT) -> None:
@@ -106,11 +133,13 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, min_r
     # cut between characters: a segment takes as many characters as fit if all took four bytes
     step = max(1, segment_bytes // 4)
     split = F.col("size") > segment_bytes
-    pieces = F.when(split, F.sequence(F.lit(1), F.length("block"), F.lit(step))).otherwise(F.array(F.lit(1)))
-    parts = rows.withColumn("_split", split).select(
-        "*", F.size(pieces).alias("_of"), F.posexplode(pieces).alias("_at", "_start")
+    pieces = F.when(split, _cut(F.col("block"), step)).otherwise(F.array("block"))
+    # the page and its block stay behind: only a record's fields are copied to its pieces
+    rows = rows.select("key", "url", "digest", "refers_to", "size", split.alias("_split"), pieces.alias("_pieces"))
+    parts = rows.select(
+        "key", "url", "digest", "refers_to", "size", "_split", F.size("_pieces").alias("_of"), F.posexplode("_pieces").alias("_at", "_part")
     )
-    part = F.when(F.col("_split"), F.substring(F.col("block"), F.col("_start"), F.lit(step))).otherwise(F.col("block"))
+    part = F.col("_part")
     first, last = F.col("_at") == 0, F.col("_at") + 1 == F.col("_of")
     own = F.when(first, F.col("key")).otherwise(F.concat("key", F.lit("/"), (F.col("_at") + 1).cast("string")))
     kind = F.when(~first, "continuation").when(F.col("refers_to").isNull(), "response").otherwise("revisit")
@@ -133,7 +162,7 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, min_r
         F.lit("\r\n"),
     )
     parts.select(F.concat(header, part).alias("value")).write.options(
-        lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=FILE_RECORDS
+        lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=max(1, min(FILE_RECORDS, FILE_BYTES // segment_bytes))
     ).text(path)
 
 
@@ -241,9 +270,11 @@ def dechunk(body: bytes) -> bytes | None:
 
 @F.arrow_udf(StructType([StructField("payload", BinaryType()), StructField("stated", LongType())]))
 def _payload(blocks: pa.Array) -> pa.Array:
+    """Payload and stated length of records, each given as the list of its segments' blocks in order."""
     payloads, stated = [], []
     for block in blocks:
-        block = block.as_py()
+        segments = block.as_py()
+        block = None if segments is None else b"".join(segments)
         head, gap, body = (block or b"").partition(b"\r\n\r\n")
         fields = {k.strip().lower(): v.strip() for k, v in _FIELD.findall(head + b"\r\n")}
         size = fields.get(b"x-payload-length", fields.get(b"content-length", b""))
@@ -265,7 +296,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     found = files.mapInArrow(_parse, _RECORD)
     whole = found.filter("segment is null and origin is null").select(
-        "id", "type", "refers_to", "digest", "block", F.lit(True).alias("joined")
+        "id", "type", "refers_to", "digest", F.array("block").alias("blocks"), F.lit(True).alias("joined")
     )
     segments = (
         found.filter("segment is not null or origin is not null")
@@ -273,22 +304,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         .agg(
             F.max(F.when(F.col("segment") == 1, F.struct("type", "refers_to", "digest"))).alias("first"),
             F.max("total").alias("total"),
-            F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
+            F.sort_array(F.collect_list(F.struct("segment", F.octet_length("block").alias("n"), "block"))).alias("parts"),
         )
     )
     numbers = F.transform("parts", lambda p: p["segment"])
-    block = F.aggregate("parts", F.lit(b""), lambda joined, p: F.concat(joined, p["block"]))
-    size = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p["block"]))
+    size = F.aggregate(F.col("parts.n"), F.lit(0).cast("long"), lambda total, n: total + n)
     fits = (numbers == F.sequence(F.lit(1), F.size("parts"))) & (size == F.col("total"))
     together = segments.select(
         "id",
         "first.type",
         "first.refers_to",
         "first.digest",
-        F.when(fits, block).alias("block"),
+        F.when(fits, F.col("parts.block")).alias("blocks"),
         F.coalesce(fits, F.lit(False)).alias("joined"),
     )
-    named = whole.unionByName(together).withColumn("_p", _payload("block"))
+    named = whole.unionByName(together).withColumn("_p", _payload("blocks"))
     revisit = F.col("type") == "revisit"
     payload = F.when(~revisit, F.col("_p.payload"))
     bare = F.regexp_replace("digest", "^sha1:", "")
@@ -306,7 +336,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def page_of(identity: Column) -> Column:
     """The page id in a record id."""
-    return F.regexp_extract(identity, r"^<urn:capture:(-?[0-9]+)(?:~[0-9]+)?>$", 1).try_cast("long")
+    return F.regexp_extract(identity, r"^<urn:capture:(-?[0-9]+)(?:~[a-p]+~[0-9]+)?>$", 1).try_cast("long")
 
 
 def report(spark: SparkSession, pages: DataFrame) -> DataFrame:

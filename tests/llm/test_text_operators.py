@@ -269,6 +269,38 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.report(spark, odd.no_pages(spark)).count() == 0
 
 
+def test_warc_of_null_and_repeated_ids(spark):
+    """Every row comes back, and of equal payloads all but one of the largest id are revisits."""
+    body = "é" * 600
+    rows = [(i, u, h) for i, u, h in [(None, None, body), (None, "-", body), (None, None, body), (3, "a", body), (9, "b", body), (9, "c", body)]]
+    rows += [(None, "u", "short"), (None, "u", "short"), (9, "d", "other"), (4, "e", "x" * 5000), (None, "z", "y" * 2000), (None, "z", "y" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = Counter(tuple(r) for r in warc.report(spark, pages).collect())
+    digest = {h: hashlib.sha1(h.encode()).hexdigest() for _, _, h in rows}
+    want = Counter()
+    for h in digest:
+        same = [i for i, _, x in rows if x == h]
+        size = len(h.encode())
+        first = max((i for i in same if i is not None), default=None)
+        for k, i in enumerate(sorted(same, key=lambda i: (i is not None, i), reverse=True)):
+            revisit = size >= 1000 and k > 0
+            want[(i, size, digest[h], "revisit" if revisit else "response", first if revisit else None)] += 1
+    assert found == want
+
+
+def test_warc_of_a_long_page_takes_linear_time(spark, tmp_path):
+    import time
+
+    pages = spark.createDataFrame([(1, "u", "0123456é" * (3 << 20)), (2, "v", "short")], "page_id long, url string, html string")
+    pages = pages.repartition(1)
+    start = time.time()
+    warc.write(pages, str(tmp_path / "long"))
+    found = {r["id"]: r for r in warc.read(spark, str(tmp_path / "long")).select("id", "complete", "payload_bytes").collect()}
+    assert found["<urn:capture:1>"]["complete"] and found["<urn:capture:1>"]["payload_bytes"] == 9 * (3 << 20)
+    assert time.time() - start < 40
+    print("seconds", time.time() - start)
+
+
 def test_warc_reader_takes_other_archives(spark, tmp_path):
     import gzip
 

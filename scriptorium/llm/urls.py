@@ -8,8 +8,9 @@ calibrated on labelled URLs that were held out (crc32 of the URL modulo 3 is 1):
 seen as normal distributions, are the same number of deviations away from it.
 
 All steps are column expressions, joins and counts. A URL is cut into grams (a character with the ``order`` before
-it); equal grams are scored once; grams and contexts are spread by their own hash. The empty context is one key that a row
-of every distinct gram meets; adaptive execution splits it. Nothing is collected but the six calibration figures.
+it); equal grams are scored once; grams and contexts are spread by their own hash. Contexts of no or one character, which many
+grams share, are repeated ``SALTS`` times (at most ``SALTS`` rows for each character there is), and a gram meets the copy that its hash
+names, so no key takes more than about one row in 32 of those. Nothing is collected but the six calibration figures.
 
 Defined cases: null URLs and URLs without ``://`` have empty host and path and fit no rule; where one class has no
 training URL, or nothing is held out, the threshold is 0 and unseen things score 0, which means allow; equal URLs get
@@ -28,6 +29,8 @@ from scriptorium.llm.base import saved
 ORDER = 4
 MIN_CONTEXT = 2
 ALPHABET = 256.0
+#: Copies of contexts and of their characters up to this length, for the joins.
+SALTS, SALTED = 32, 1
 #: (verdict, host, path) of the production filter
 RULES = (
     ("allow", "org", "/"),
@@ -108,20 +111,27 @@ def _mixed(levels: Column, n: str, total: str, kinds: str, min_context: int) ->
 
 def gram_scores(grams: DataFrame, model: DataFrame, order: int = ORDER, min_context: int = MIN_CONTEXT) -> DataFrame:
     """(gram, score) for distinct grams: log ratio of the two models."""
-    contexts = model.groupBy(F.col("context").alias("c")).agg(
-        F.sum("a").alias("total_a"),
-        F.sum("r").alias("total_r"),
-        F.count_if(F.col("a") > 0).alias("kinds_a"),
-        F.count_if(F.col("r") > 0).alias("kinds_r"),
+    short = F.length("context") <= SALTED
+    copies = F.explode(F.sequence(F.lit(0), F.when(short, F.lit(SALTS - 1)).otherwise(F.lit(0)))).alias("salt")
+    contexts = (
+        model.groupBy("context")
+        .agg(
+            F.sum("a").alias("total_a"),
+            F.sum("r").alias("total_r"),
+            F.count_if(F.col("a") > 0).alias("kinds_a"),
+            F.count_if(F.col("r") > 0).alias("kinds_r"),
+        )
+        .select("*", copies)
     )
     levels = grams.select("gram", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k")).select(
         "gram",
         "k",
         F.substring(F.col("gram"), F.lit(order + 1) - F.col("k"), F.col("k")).alias("context"),
         F.substring(F.col("gram"), F.lit(order + 1), F.lit(1)).alias("char"),
+        F.when(F.col("k") <= SALTED, F.pmod(F.xxhash64("gram"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)).alias("salt"),
     )
-    seen = levels.join(contexts, F.col("context") == F.col("c")).drop("c")
-    seen = seen.join(model, ["context", "char"], "left")
+    seen = levels.join(contexts, ["context", "salt"])
+    seen = seen.join(model.select("*", copies), ["context", "char", "salt"], "left")
     fields = ["k", "a", "r", "total_a", "total_r", "kinds_a", "kinds_r"]
     # at most order + 1 rows for each gram
     by_gram = seen.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("levels"))

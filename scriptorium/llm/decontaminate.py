@@ -5,11 +5,13 @@ word sequence that occurs inside an item; a document's words are streamed throug
 longest suffix that occurs in some item. Where that length reaches ``window``, the last ``window`` words are a hit;
 an item with fewer words is a window as a whole. The scan is linear in the document.
 
-The benchmark is a stated query set: it is handled in blocks of about ``block_words`` words (a bound on what is
-collected at a time; the automata of all blocks are broadcast for one plan), and every document passes every block. A key or source that holds many
-documents does not matter, as nothing is shuffled.
+The benchmark is a stated query set: it is handled in blocks of about ``block_words`` words, and every document passes
+every block. A benchmark of one block is part of the plan that reads the documents, and nothing is shuffled. With more,
+each block is a job of its own: its automaton alone is broadcast, the hits of each distinct text that has any are written to the
+shared folder, the broadcast is dropped, and at the end the hits of all blocks are merged and looked up by the text's digest.
 
-Defined cases: null or empty texts have no words and no hits; items with null id, null text or no words are ignored;
+Defined cases: null or empty texts have no words and no hits; items with null text or no words are ignored; those with
+null id are windows like any other, but are in no list or number of items;
 repeated items give the same windows; an empty benchmark contaminates nothing; repeated rows are judged alike.
 """
 
@@ -17,17 +19,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from scriptorium.llm.base import saved
+
 WINDOW = 10
 BLOCK_WORDS = 500_000
 MAX_COVERAGE = 0.5
 
 _WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: The same words in a text of characters.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else (b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256)
 )
@@ -168,20 +175,19 @@ class Automaton:
         return starts, ends, list(items)
 
 
-def _blocks(spark: SparkSession, items: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items, about ``block_words`` words at a time."""
-    rows = items.select(F.col("item_id").cast("string").alias("item"), F.encode("text", "utf-8").alias("raw")).dropna()
+def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """The items, about ``block_words`` words at a time; always at least one block."""
+    rows = items.select(F.col("item_id").cast("string").alias("item"), F.encode("text", "utf-8").alias("raw")).dropna(subset=["raw"])
     total = rows.agg(F.sum(F.length("raw"))).first()[0] or 0
     blocks = int(total // (block_words * 6)) + 1
     for k in range(blocks):
         found = rows.filter(F.pmod(F.xxhash64("item", "raw"), F.lit(blocks)) == k).collect()
-        block = sorted((r["item"], words_of(bytes(r["raw"]))) for r in found)
-        if block := [(item, words) for item, words in block if words]:
-            yield block
+        block = sorted(((r["item"], words_of(bytes(r["raw"]))) for r in found), key=lambda r: (r[0] is None, r[0] or "", r[1]))
+        yield [(item, words) for item, words in block if words]
 
 
-def _finder(spark: SparkSession, block: list[tuple[str, list[bytes]]], window: int):
-    automaton = spark.sparkContext.broadcast(Automaton(block, window))
+def _finder(automaton):
+    """The hits of a broadcast automaton as a function of the encoded text."""
 
     @F.arrow_udf(_FOUND)
     def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -202,7 +208,7 @@ def _finder(spark: SparkSession, block: list[tuple[str, list[bytes]]], window: i
                 counts.append(len(words))
                 starts.append(s)
                 ends.append(e)
-                items.append(found)
+                items.append([item for item in found if item is not None])
             yield pa.StructArray.from_arrays(
                 [pa.array(x, f.type) for x, f in zip((counts, starts, ends, items), schema, strict=True)],
                 names=[f.name for f in schema],
@@ -216,23 +222,44 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
 
     Spans of different blocks may overlap; those of one block are merged and in order.
     """
-    spark = docs.sparkSession
-    raw = F.encode("text", "utf-8")
-    parts = [_finder(spark, block, window)(raw) for block in _blocks(spark, items, block_words)]
-    if not parts:
-        parts = [_finder(spark, [], window)(raw)]
-    names = [f"_block{k}" for k in range(len(parts))]
-    out = docs.withColumns(dict(zip(names, parts, strict=True)))
-    join = (lambda field: F.flatten(F.array(*[F.col(n)[field] for n in names]))) if len(names) > 1 else (
-        lambda field: F.col(names[0])[field]
+    context = docs.sparkSession.sparkContext
+    blocks = _blocks(items, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = _finder(context.broadcast(Automaton(first, window)))(F.encode("text", "utf-8"))
+        return docs.withColumn("_found", found).withColumn(
+            "_found", F.col("_found").withField("items", F.sort_array(F.array_distinct("_found.items")))
+        )
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    texts = docs.select("text").filter("text is not null")
+    hits = None
+    for block in chain([first, second], blocks):
+        automaton = context.broadcast(Automaton(block, window))
+        found = texts.select(digest.alias("_text"), _finder(automaton)(F.encode("text", "utf-8")).alias("h"))
+        rows = found.filter(F.size("h.starts") > 0).groupBy("_text").agg(F.any_value("h").alias("h"))
+        part = saved(rows, "benchmark-hits")
+        automaton.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+    # one row of a text for each block
+    merged = hits.groupBy("_text").agg(F.collect_list("h").alias("h")).select(
+        "_text",
+        *[F.flatten(f"h.{f}").alias(f"_{f}") for f in ("starts", "ends", "items")],
     )
-    found = F.struct(
-        F.col(names[0])["n_words"].alias("n_words"),
-        join("starts").alias("starts"),
-        join("ends").alias("ends"),
-        F.sort_array(F.array_distinct(join("items"))).alias("items"),
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    keyed = docs.withColumn("_digest", digest)
+    return (
+        keyed.join(merged, F.col("_digest") == F.col("_text"), "left")
+        .withColumn(
+            "_found",
+            F.struct(
+                F.coalesce(F.size(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))), F.lit(0)).cast("long").alias("n_words"),
+                F.coalesce("_starts", none("bigint")).alias("starts"),
+                F.coalesce("_ends", none("bigint")).alias("ends"),
+                F.sort_array(F.array_distinct(F.coalesce("_items", none("string")))).alias("items"),
+            ),
+        )
+        .drop("_digest", "_text", "_starts", "_ends", "_items")
     )
-    return out.withColumn("_found", found).drop(*names)
 
 
 def hit_words(found: Column) -> Column:
@@ -298,7 +325,7 @@ WITH di AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABC
               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
 bi AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
-       WHERE item_id IS NOT NULL AND text IS NOT NULL),
+       WHERE text IS NOT NULL),
 iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS size,
               array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win
        FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM bi WHERE len(w) > 0)),
@@ -307,7 +334,7 @@ dw AS (SELECT r, i, size, array_to_string(w[i : i + size - 1], ' ') AS win
              FROM di, (SELECT DISTINCT size FROM iw) WHERE len(w) >= size)),
 h AS (SELECT DISTINCT r, i, dw.size, item_id FROM dw JOIN iw ON dw.size = iw.size AND dw.win = iw.win),
 hw AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + size)) AS p FROM h) GROUP BY r),
-it AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+it AS (SELECT r, count(item) AS n, string_agg(item, ',' ORDER BY item) AS items
        FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM h) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hw.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(hw.n, 0) > 0 AS contaminated

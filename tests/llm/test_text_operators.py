@@ -105,6 +105,24 @@ def test_decontamination_removes_short_items(spark):
         assert not any(r["contaminated"] for r in decontaminate.report(decontaminate.remove(d, b), b).collect())
 
 
+def test_items_without_an_id_are_windows(spark):
+    b = spark.createDataFrame([(None, "one two three"), (2, "five six"), (None, "two three")], "item_id long, text string")
+    for block in (decontaminate.BLOCK_WORDS, 1):
+        d = odd.documents(spark)
+        found = decontaminate.find(d, b, block_words=block)
+        rows = found.select("doc_id", "n", decontaminate.hit_words(decontaminate.F.col("_found")).alias("h"), "_found.items", "_found.n_words")
+        got = sorted(map(str, rows.collect()))
+        assert len(got) == len(odd.ROWS)
+        if block == 1:
+            assert got == one
+        one = got
+    r = decontaminate.report(d, b).filter("doc_id = 1").first()
+    assert (r["n_hit"], r["n_items"], r["contaminated"]) == (5, 1, True)
+    assert r["items_sha256"] == hashlib.sha256(b"2").hexdigest()
+    cut = {r["doc_id"]: r["text"] for r in decontaminate.remove(d, b, max_coverage=1.0).collect()}
+    assert cut[1].split() == ["four", "seven"]
+
+
 def test_decontamination_of_odd_rows(spark):
     b = spark.createDataFrame([(1, odd.ROWS[0][1]), (None, "x"), (3, None), (4, "")], "item_id long, text string")
     rows = decontaminate.report(odd.documents(spark), b).collect()
@@ -378,6 +396,14 @@ def test_url_scores_equal_brute_force(spark):
     assert scores[tested[1]] < scores[tested[0]]
 
 
+def test_url_grams_meet_no_common_context_as_one_key(spark):
+    """A gram's row at a context that many share is dealt by the gram, so no key holds more than its share."""
+    grams = spark.range(4000).selectExpr("concat('abc', cast(id as string), 'z') AS gram").selectExpr("substring(gram, 1, 5) AS gram").distinct()
+    model = urls.train(spark.createDataFrame([("http://abc.org/z", True), ("http://abd.com/y", False)], "url string, accepted boolean"))
+    plan = urls.gram_scores(grams, model)._jdf.queryExecution().analyzed().toString()
+    assert "salt" in plan and urls.gram_scores(grams, model).count() == grams.count()
+
+
 def test_url_filter_of_odd_rows(spark):
     rows = urls.judge(odd.pages(spark)).collect()
     assert len(rows) == 8 and {r["verdict"] for r in rows} <= {"allow", "block"}

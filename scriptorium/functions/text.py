@@ -84,6 +84,16 @@ def tokens(c: Column) -> Column:
     return F.when(is_ascii(c), plain).otherwise(full)
 
 
+def separated(c: Column) -> Column:
+    """The text with its tokens as runs of ASCII letters and digits (of any case) and of bytes from 0x80 on.
+
+    Other ASCII characters separate tokens and are kept. Text that is ASCII already is not touched; a text of stray
+    bytes is as long in bytes as in characters too, so validity is asked for.
+    """
+    other = F.regexp_replace(fold(c), r"[^\x00-\x7F\p{L}\p{N}\p{Co}]", " ")
+    return F.when(is_ascii(c) & F.is_valid_utf8(c), c).otherwise(other)
+
+
 def token_count(c: Column) -> Column:
     """Same number as ``size(tokens(c))`` without building the array."""
     return F.when(is_ascii(c), F.regexp_count(c, F.lit("[A-Za-z0-9]+"))).otherwise(

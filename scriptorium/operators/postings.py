@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from scriptorium.functions.text import FIELDS, tokens
+from scriptorium.functions.text import FIELDS, separated
 
 
 #: A document's change and its number in it; see :mod:`scriptorium.plans.segments`.
 PLACE = ("segment", "ord")
+#: Bytes of text whose tokens are grouped at a time.
+SLICE_BYTES = 4 * 1024**2
+#: Bytes of tokens in separated texts, folded; zero for all others.
+_TOKEN_BYTES = np.zeros(256, np.uint8)
+for _low, _high, _shift in ((0x30, 0x39, 0), (0x41, 0x5A, 32), (0x61, 0x7A, 0), (0x80, 0xFF, 0)):
+    _TOKEN_BYTES[_low : _high + 1] = np.arange(_low, _high + 1) + _shift
 
 
 def postings(documents: DataFrame) -> DataFrame:
@@ -21,44 +30,82 @@ def postings(documents: DataFrame) -> DataFrame:
 
     Grouping happens inside each document row, so nothing is shuffled here and the rows that a writer
     later shuffles are already combined. ``dl`` rides along so that scoring never joins for it, and so does a document's
-    place in the index (``segment, ord``), where it has one.
+    place in the index (``segment, ord``), where it has one. Tokens are cut and grouped many documents at a time, as arrays.
     """
-    place = [c for c in PLACE if c in documents.columns]
-
-    def occurrences(name: str) -> Column:
-        return F.transform(
-            tokens(F.col(name)),
-            lambda t, i: F.struct(
-                t.alias("term"), F.lit(name).alias("field"), i.cast("int").alias("pos")
-            ),
-        )
-
-    sorted_docs = documents.select(
-        "path", "ext", "dl", *place, F.sort_array(F.concat(*[occurrences(f) for f in FIELDS])).alias("occ")
+    keys = ["path", "ext", "dl", *[c for c in PLACE if c in documents.columns]]
+    whole = documents.dropna(subset=list(FIELDS))
+    texts = whole.select(*keys, *[separated(F.col(f)).alias(f"_{f}") for f in FIELDS])
+    made = StructType(
+        [StructField("term", StringType()), *texts.schema.fields[:2], StructField("field", StringType())]
+        + [texts.schema["dl"], StructField("lead", BooleanType()), StructField("positions", ArrayType(IntegerType(), False))]
+        + texts.schema.fields[3 : len(keys)]
     )
-
-    def is_first(i: Column) -> Column:
-        here, before = F.get(F.col("occ"), i), F.get(F.col("occ"), i - 1)
-        return (i == 0) | (here["term"] != before["term"]) | (here["field"] != before["field"])
-
-    bounded = sorted_docs.withColumn(
-        "first", F.filter(F.transform("occ", lambda o, i: i), is_first)
-    )
-
-    def group(start: Column, k: Column) -> Column:
-        stop = F.coalesce(F.get(F.col("first"), k + 1), F.size("occ"))
-        run = F.slice(F.col("occ"), start + 1, stop - start)
-        head = F.get(F.col("occ"), start)
-        before = F.get(F.col("occ"), start - 1)
-        return F.struct(
-            head["term"].alias("term"),
-            head["field"].alias("field"),
-            ((start == 0) | (head["term"] != before["term"])).alias("lead"),
-            F.transform(run, lambda o: o["pos"]).alias("positions"),
-        )
-
-    grouped = bounded.select("path", "ext", "dl", *place, F.explode(F.transform("first", group)).alias("g"))
-    return grouped.select("g.term", "path", "ext", "g.field", "dl", "g.lead", "g.positions", *place)
+    return texts.mapInArrow(_grouped, made)
+
+
+def _bytes_of(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in one array, and where each text begins and ends in it."""
+    raw = texts.cast(pa.large_binary())
+    _, offsets, data = raw.buffers()
+    ends = np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    held = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
+    return held, ends - ends[0]
+
+
+def _cut(texts) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All tokens of some separated texts, the number of each token's text and its position in it."""
+    data, ends = _bytes_of(texts)
+    folded = _TOKEN_BYTES[data]
+    inside = folded != 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    # a text never continues the last token of the text before
+    heads = ends[:-1][ends[:-1] < ends[1:]]
+    first[heads] = inside[heads]
+    starts = np.flatnonzero(first)
+    kept = folded[inside]
+    offsets = np.append(np.cumsum(inside)[starts] - 1, len(kept)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(kept))
+    bounds = np.searchsorted(starts, ends)
+    counts = np.diff(bounds)
+    return words, np.repeat(np.arange(len(texts)), counts), np.arange(len(starts)) - np.repeat(bounds[:-1], counts)
+
+
+def _slices(batch: pa.RecordBatch, texts: list[str]):
+    """Runs of neighbouring rows with about ``SLICE_BYTES`` of text each, one row at least."""
+    sizes = sum(np.diff(_bytes_of(batch.column(name))[1]) for name in texts)
+    numbers = np.cumsum(sizes) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(edges[:-1], edges[1:]):
+        if high > low:
+            yield batch.slice(low, high - low)
+
+
+def _grouped(batches):
+    """Posting rows of documents whose separated texts are the columns ``_<field>``."""
+    # ``lead`` goes to the first field by name
+    fields = sorted(FIELDS)
+    for batch in batches:
+        for part in _slices(batch, [f"_{f}" for f in fields]):
+            cut = [_cut(part.column(f"_{f}")) for f in fields]
+            codes = pa.concat_arrays([words for words, _, _ in cut]).dictionary_encode()
+            field = np.repeat(np.arange(len(fields)), [len(words) for words, _, _ in cut])
+            pair = np.concatenate([doc for _, doc, _ in cut]) * max(len(codes.dictionary), 1) + codes.indices.to_numpy()
+            # stable: fields stay in order within a pair of document and term, and positions within a field
+            order = np.argsort(pair, kind="stable")
+            pair, field = pair[order], field[order]
+            lead = np.append(True, pair[1:] != pair[:-1])[: len(pair)]
+            starts = np.flatnonzero(lead | np.append(True, field[1:] != field[:-1])[: len(pair)])
+            offsets = np.append(starts, len(pair)).astype(np.int32)
+            positions = np.concatenate([pos for _, _, pos in cut])[order].astype(np.int32)
+            doc, code = np.divmod(pair[starts], max(len(codes.dictionary), 1))
+            column = {name: part.column(name).take(pa.array(doc)) for name in part.schema.names if not name.startswith("_")}
+            column["term"] = codes.dictionary.take(pa.array(code))
+            column["field"] = pa.array(fields).take(pa.array(field[starts]))
+            column["lead"] = pa.array(lead[starts])
+            column["positions"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(positions))
+            names = ["term", "path", "ext", "field", "dl", "lead", "positions", *[c for c in PLACE if c in column]]
+            yield pa.RecordBatch.from_arrays([column[n] for n in names], names)
 
 
 def token_rows(post: DataFrame) -> DataFrame:

@@ -23,7 +23,11 @@ from scriptorium.sources.documents import build_documents
 # One directory per this many bytes of text, and at least so many directories.
 BYTES_PER_SHARD = 2 * 1024**3
 MIN_SHARDS = 8
-MIN_FILE, MAX_FILE = 1 * 1024**2, 256 * 1024**2
+# Bounds of a task's share in a write, and shares per core. A task sorts its share, some ten times as large, in memory.
+MIN_FILE, MAX_FILE = 1 * 1024**2, 64 * 1024**2
+SHARES_PER_CORE = 2
+# What a task reads while an index is written; tokenising makes several times as much of it.
+MAX_READ = 32 * 1024**2
 
 
 @dataclass(frozen=True)
@@ -77,16 +81,28 @@ def shard_count(total: int) -> int:
 
 
 @contextmanager
-def file_size(spark: SparkSession, total: int):
-    """Size that adaptive execution aims at for each written file: one per core, within bounds."""
-    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = spark.conf.get(name, None)
-    share = total // spark.sparkContext.defaultParallelism
-    spark.conf.set(name, str(max(MIN_FILE, min(MAX_FILE, share))))
+def settings(spark: SparkSession, values: dict[str, object]):
+    """Session settings that hold inside the block."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+@contextmanager
+def file_size(spark: SparkSession, total: int):
+    """Size that adaptive execution aims at for each written file: a few per core, within bounds."""
+    share = total // (SHARES_PER_CORE * spark.sparkContext.defaultParallelism)
+    sizes = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": max(MIN_FILE, min(MAX_FILE, share)),
+        "spark.sql.files.maxPartitionBytes": MAX_READ,
+    }
+    with settings(spark, sizes):
+        yield
 
 
 def write_documents(documents: DataFrame, path: str, shards: int, segment: int = 1) -> None:
@@ -110,13 +126,14 @@ def write_postings(post: DataFrame, path: str, shards: int) -> None:
     """Partitioned by the first characters of the term, sorted by term: a term reads a few pages.
 
     A directory that many terms share, or one that a single very common term fills, is split by
-    adaptive execution into as many sorted files as its size asks for.
+    adaptive execution into as many sorted files as its size asks for. A task keeps a file open for each of its
+    directories: sorted by the term first, rows compare by its first bytes.
     """
     if "shard" not in post.columns:
         post = post.withColumn("shard", shard_column(F.col("term"), shards))
-    post.hint("rebalance", "shard").sortWithinPartitions("shard", "term", "path", "field").write.mode(
-        "overwrite"
-    ).partitionBy("shard").parquet(path)
+    placed = post.hint("rebalance", "shard").sortWithinPartitions("term", "path", "field")
+    with settings(post.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": shards}):
+        placed.write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def write_terms(post: DataFrame, path: str) -> Ranges:

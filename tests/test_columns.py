@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 import unicodedata
 
 import pytest
@@ -135,3 +136,15 @@ def test_driver_and_column_tokens_agree(spark):
     for r in frame.select("v", text.tokens(F.col("v")).alias("t"), text.token_count(F.col("v")).alias("n")).collect():
         assert r["t"] == text.query_tokens(r["v"]), ascii(r["v"])
         assert len(r["t"]) == r["n"], ascii(r["v"])
+
+
+def test_separated_texts_hold_the_same_tokens(spark):
+    chars = ["a", "Z", "9", "é", "É", "\u0301", "ß", "İ", "ς", "\u212a", "٣", "½", "中", "\U00010400", "😀", "\u00a0", "\x00", " ", "-", "_"]
+    pick = random.Random(3)
+    texts = ["", " ", "\u0301a", "a-\u0301b", *("".join(pick.choices(chars, k=pick.randrange(1, 30))) for _ in range(300))]
+    stray = [b"Ab\x80c \xbf1", b"\xc3\xa9\xc0 x", b"\xff"]
+    raw = [(t.encode(),) for t in texts] + [(t,) for t in stray]
+    frame = spark.createDataFrame(raw, "b binary").select(F.col("b").cast("string").alias("v"))
+    rows = frame.select(text.tokens(F.col("v")).alias("t"), text.separated(F.col("v")).alias("s")).collect()
+    for row in rows:
+        assert re.findall("[a-z0-9\x80-\U0010ffff]+", row["s"].lower()) == row["t"]

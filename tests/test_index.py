@@ -6,8 +6,12 @@ import pytest
 from conftest import paths, write_tree
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import FIELDS, query_tokens, separated
+from scriptorium.operators import postings as module
 from scriptorium.operators.filters import tag_key
+from scriptorium.operators.postings import postings
 from scriptorium.operators.query import phrase
+from scriptorium.plans.corpus import file_size
 from scriptorium.plans.index import Index
 from scriptorium.sources.files import oversized, scan_files
 
@@ -206,3 +210,40 @@ def test_tag_life(index):
     assert gone == [("Wet", "deleted"), ("never", "missing"), ("wet", "missing")]
     assert index.corpus().document_tags.isEmpty()
     assert tag_key("ÉA") == "Éa"
+
+
+def test_a_writing_task_has_a_small_share_however_large_the_index(spark):
+    """A task sorts its share of the postings in memory."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name, None)
+    shares = []
+    for total in (2 * 1024**3, 200 * 1024**3):
+        with file_size(spark, total):
+            shares.append(int(spark.conf.get(name)))
+    assert max(shares) <= 64 * 1024**2
+    assert spark.conf.get(name, None) == before
+
+
+def test_postings_of_long_and_short_documents_in_slices(spark, monkeypatch):
+    rows = [("a.md", "md", 1, "t", "", "a", "b a B c-a"), ("b.md", "md", 2, "", "x", "b", ""), ("c.md", "md", 3, "a a", "c", "c", "c " * 5000)]
+    rows += [("d.md", "md", 4, None, "", "d", "a"), ("e.md", "md", 5, "É", "e/é", "e", "e\u0301 e")]
+    docs = spark.createDataFrame(rows, "path string, ext string, dl long, title string, folder string, stem string, body string")
+    # rows as small as a slice can be
+    batches = [r for r in docs.dropna().select("path", "ext", "dl", *[separated(F.col(f)).alias(f"_{f}") for f in FIELDS]).toArrow().to_batches()]
+    monkeypatch.setattr(module, "SLICE_BYTES", 3)
+    small = sorted((tuple(r.values()) for b in module._grouped(iter(batches)) for r in b.to_pylist()), key=str)
+    whole = sorted((tuple(r) for r in postings(docs).collect()), key=str)
+    assert small == whole
+    expected = []
+    for path, ext, dl, *texts in rows:
+        if None in texts:
+            continue
+        seen = set()
+        for field, value in sorted(zip(("title", "folder", "stem", "body"), texts)):
+            places = {}
+            for n, token in enumerate(query_tokens(value)):
+                places.setdefault(token, []).append(n)
+            for token, found in places.items():
+                expected.append((token, path, ext, field, dl, token not in seen, found))
+            seen |= set(places)
+    assert whole == sorted(expected, key=str)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
@@ -90,7 +91,12 @@ def _grouped(batches):
             cut = [_cut(part.column(f"_{f}")) for f in fields]
             codes = pa.concat_arrays([words for words, _, _ in cut]).dictionary_encode()
             field = np.repeat(np.arange(len(fields)), [len(words) for words, _, _ in cut])
-            pair = np.concatenate([doc for _, doc, _ in cut]) * max(len(codes.dictionary), 1) + codes.indices.to_numpy()
+            by_term = pc.array_sort_indices(codes.dictionary)
+            rank = np.empty(len(by_term), np.int64)
+            rank[by_term.to_numpy()] = np.arange(len(by_term))
+            # Document by document, so that a shuffle packs their paths well, and each in order of the terms, as runs for the
+            # writer's sort.
+            pair = np.concatenate([doc for _, doc, _ in cut]) * max(len(rank), 1) + rank[codes.indices.to_numpy()]
             # stable: fields stay in order within a pair of document and term, and positions within a field
             order = np.argsort(pair, kind="stable")
             pair, field = pair[order], field[order]
@@ -98,9 +104,9 @@ def _grouped(batches):
             starts = np.flatnonzero(lead | np.append(True, field[1:] != field[:-1])[: len(pair)])
             offsets = np.append(starts, len(pair)).astype(np.int32)
             positions = np.concatenate([pos for _, _, pos in cut])[order].astype(np.int32)
-            doc, code = np.divmod(pair[starts], max(len(codes.dictionary), 1))
+            doc, term = np.divmod(pair[starts], max(len(rank), 1))
             column = {name: part.column(name).take(pa.array(doc)) for name in part.schema.names if not name.startswith("_")}
-            column["term"] = codes.dictionary.take(pa.array(code))
+            column["term"] = codes.dictionary.take(by_term).take(pa.array(term))
             column["field"] = pa.array(fields).take(pa.array(field[starts]))
             column["lead"] = pa.array(lead[starts])
             column["positions"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(positions))

@@ -432,3 +432,31 @@ def test_pipeline_stages_take_odd_and_no_rows(spark, tmp_path):
             docs = groupjoin.saved(stage(spark, docs, str(tmp_path)), "test")
             assert docs.columns == odd.documents(spark).columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() <= docs.count()
+
+
+def test_personal_data_tests_a_token_by_the_word_before_it_once(spark, monkeypatch):
+    monkeypatch.setattr(pii, "saved", lambda frame, label: frame)
+    docs = spark.createDataFrame([(1, "call Anna at noon")], "doc_id long, text string")
+    confident = spark.createDataFrame([("1|call",)], "pattern string")
+    found = pii._in_slots(docs, confident)
+    assert [tuple(r) for r in found.select("pattern", "value").collect()] == [("1|call", "anna")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line and "xxhash64" in line]
+    assert filters and all(line.count("translate(") == 1 for line in filters)
+
+
+def test_personal_data_tokens_by_single_characters_are_those_by_ranges(spark):
+    unit = (
+        pii.PATTERNS["phone"]
+        + r"|(?<!\S)[0-9](?:[\x20-]?[0-9]){11,18}+(?![0-9A-Za-z])"
+        + r"|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+    )
+    token = r"[^\s0-9@+]++(?!\S)|" + unit + r"|(?:[^\s+]++|(?!" + pii.PATTERNS["phone"] + r")\+)++"
+    every = "".join(f"{a}{chr(c)}{b} " for c in range(0x3000) for a, b in (("", ""), ("x", "y"), ("7", "+")))
+    text = every + "a+b +1 (234) 567-8901 4111 1111 1111 1111 4111 1111 1111 1111x ++ +x a@b.c "
+    docs = spark.createDataFrame([(text,)], "t string")
+    for old, new in ((unit, pii._UNIT), (token, pii._TOKEN)):
+        assert docs.filter(F.regexp_extract_all("t", F.lit(old), F.lit(0)) == F.regexp_extract_all("t", F.lit(new), F.lit(0))).count() == 1
+    words = docs.select(F.explode(F.split("t", " ")).alias("w"))
+    old = F.regexp_replace(F.regexp_replace("w", "^[^A-Za-z0-9+]++", ""), "(?<![^A-Za-z0-9])[^A-Za-z0-9]++$", "")
+    assert words.filter(~pii._core(F.col("w")).eqNullSafe(old)).count() == 0

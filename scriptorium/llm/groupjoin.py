@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from scriptorium.llm.base import WORD, row_key, saved
+from scriptorium.llm import base
+from scriptorium.llm.base import WORD, row_key
 from scriptorium.llm.components import components
 
 SIZE = 5
@@ -56,6 +57,21 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CACHE = 100_000
 #: Documents handled at a time, and hashes counted at a time, in a task.
 _ROWS, _HASHES = 1000, 1 << 20
+#: Bounds of what a task hands to Python at once: pairs carry two whole sets, which for long texts are large.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": _ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": 8 * 1024**2}
+
+
+def saved(frame: DataFrame, label: str) -> DataFrame:
+    """:func:`base.saved`, with small batches between Spark and Python while the frame is made."""
+    conf = frame.sparkSession.conf
+    before = {name: conf.get(name) for name in _BATCHES}
+    for name, value in _BATCHES.items():
+        conf.set(name, str(value))
+    try:
+        return base.saved(frame, label)
+    finally:
+        for name, value in before.items():
+            conf.set(name, value)
 
 
 class _Words(dict):

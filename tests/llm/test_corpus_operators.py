@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import odd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -460,3 +461,16 @@ def test_personal_data_tokens_by_single_characters_are_those_by_ranges(spark):
     words = docs.select(F.explode(F.split("t", " ")).alias("w"))
     old = F.regexp_replace(F.regexp_replace("w", "^[^A-Za-z0-9+]++", ""), "(?<![^A-Za-z0-9])[^A-Za-z0-9]++$", "")
     assert words.filter(~pii._core(F.col("w")).eqNullSafe(old)).count() == 0
+
+
+def test_join_hands_python_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    rows = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), F.when(F.col("id") < 4000, 1).otherwise(20_000)).alias("t"))
+    before = {name: spark.conf.get(name) for name in groupjoin._BATCHES}
+    seen = groupjoin.saved(rows.mapInArrow(sizes, "n long, bytes long"), "sizes").collect()
+    assert sum(r["n"] for r in seen) == 6000
+    assert max(r["n"] for r in seen) <= 1000 and max(r["bytes"] for r in seen) < 12 * 1024**2
+    assert {name: spark.conf.get(name) for name in before} == before

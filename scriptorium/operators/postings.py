@@ -9,13 +9,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, ByteType, IntegerType, StringType, StructField, StructType
 
 from scriptorium.functions.text import FIELDS, separated
 
 
 #: A document's change and its number in it; see :mod:`scriptorium.plans.segments`.
 PLACE = ("segment", "ord")
+#: What all rows of a block share.
+_OF_BLOCK = ("term", "ext")
 #: Bytes of text whose tokens are grouped at a time.
 SLICE_BYTES = 4 * 1024**2
 #: Bytes of tokens in separated texts, folded; zero for all others.
@@ -33,6 +35,31 @@ def postings(documents: DataFrame) -> DataFrame:
     later shuffles are already combined. ``dl`` rides along so that scoring never joins for it, and so does a document's
     place in the index (``segment, ord``), where it has one. Tokens are cut and grouped many documents at a time, as arrays.
     """
+    texts, made = _texts(documents)
+    return texts.mapInArrow(_rows_by_document, made)
+
+
+def posting_blocks(documents: DataFrame) -> DataFrame:
+    """The rows of :func:`postings`, those of a term in a slice of neighbouring documents (of one extension) as one row:
+    ``term, ext, rows``.
+
+    A writer shuffles and sorts these, far fewer than rows, and unpacks them in place. A slice bounds a block.
+    """
+    texts, made = _texts(documents)
+    rows = [f if f.name != "field" else StructField("field", ByteType()) for f in made.fields if f.name not in _OF_BLOCK]
+    return texts.mapInArrow(
+        _blocks_by_term, StructType([*[made[name] for name in _OF_BLOCK], StructField("rows", ArrayType(StructType(rows), False))])
+    )
+
+
+def unpacked(blocks: DataFrame) -> DataFrame:
+    """Posting rows of blocks, in the order of the blocks and of the rows in them."""
+    rows = blocks.select(*[c for c in blocks.columns if c != "rows"], F.inline("rows"))
+    return rows.withColumn("field", F.get(F.array(*[F.lit(f) for f in sorted(FIELDS)]), F.col("field").cast("int")))
+
+
+def _texts(documents: DataFrame) -> tuple[DataFrame, StructType]:
+    """What tokenising reads of documents, and the columns of posting rows."""
     keys = ["path", "ext", "dl", *[c for c in PLACE if c in documents.columns]]
     whole = documents.dropna(subset=list(FIELDS))
     texts = whole.select(*keys, *[separated(F.col(f)).alias(f"_{f}") for f in FIELDS])
@@ -41,7 +68,7 @@ def postings(documents: DataFrame) -> DataFrame:
         + [texts.schema["dl"], StructField("lead", BooleanType()), StructField("positions", ArrayType(IntegerType(), False))]
         + texts.schema.fields[3 : len(keys)]
     )
-    return texts.mapInArrow(_grouped, made)
+    return texts, made
 
 
 def _bytes_of(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -82,8 +109,9 @@ def _slices(batch: pa.RecordBatch, texts: list[str]):
             yield batch.slice(low, high - low)
 
 
-def _grouped(batches):
-    """Posting rows of documents whose separated texts are the columns ``_<field>``."""
+def _grouped(batches, by_term: bool):
+    """Posting rows of documents whose separated texts are the columns ``_<field>``, slice by slice, with the number of
+    each row's term: in order of document, term and field, or of term, document and field."""
     # ``lead`` goes to the first field by name
     fields = sorted(FIELDS)
     for batch in batches:
@@ -91,12 +119,11 @@ def _grouped(batches):
             cut = [_cut(part.column(f"_{f}")) for f in fields]
             codes = pa.concat_arrays([words for words, _, _ in cut]).dictionary_encode()
             field = np.repeat(np.arange(len(fields)), [len(words) for words, _, _ in cut])
-            by_term = pc.array_sort_indices(codes.dictionary)
-            rank = np.empty(len(by_term), np.int64)
-            rank[by_term.to_numpy()] = np.arange(len(by_term))
-            # Document by document, so that a shuffle packs their paths well, and each in order of the terms, as runs for the
-            # writer's sort.
-            pair = np.concatenate([doc for _, doc, _ in cut]) * max(len(rank), 1) + rank[codes.indices.to_numpy()]
+            sorted_terms = pc.array_sort_indices(codes.dictionary)
+            rank = np.empty(len(sorted_terms), np.int64)
+            rank[sorted_terms.to_numpy()] = np.arange(len(sorted_terms))
+            doc, term = np.concatenate([doc for _, doc, _ in cut]), rank[codes.indices.to_numpy()]
+            pair = term * part.num_rows + doc if by_term else doc * max(len(rank), 1) + term
             # stable: fields stay in order within a pair of document and term, and positions within a field
             order = np.argsort(pair, kind="stable")
             pair, field = pair[order], field[order]
@@ -104,14 +131,42 @@ def _grouped(batches):
             starts = np.flatnonzero(lead | np.append(True, field[1:] != field[:-1])[: len(pair)])
             offsets = np.append(starts, len(pair)).astype(np.int32)
             positions = np.concatenate([pos for _, _, pos in cut])[order].astype(np.int32)
-            doc, term = np.divmod(pair[starts], max(len(rank), 1))
+            doc, term = doc[order][starts], term[order][starts]
             column = {name: part.column(name).take(pa.array(doc)) for name in part.schema.names if not name.startswith("_")}
-            column["term"] = codes.dictionary.take(by_term).take(pa.array(term))
+            column["term"] = codes.dictionary.take(sorted_terms).take(pa.array(term))
             column["field"] = pa.array(fields).take(pa.array(field[starts]))
             column["lead"] = pa.array(lead[starts])
             column["positions"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(positions))
             names = ["term", "path", "ext", "field", "dl", "lead", "positions", *[c for c in PLACE if c in column]]
-            yield pa.RecordBatch.from_arrays([column[n] for n in names], names)
+            yield pa.RecordBatch.from_arrays([column[n] for n in names], names), term
+
+
+def _rows_by_document(batches):
+    # Document by document, so that a shuffle packs their paths well.
+    for rows, _ in _grouped(batches, False):
+        yield rows
+
+
+def _blocks_by_term(batches):
+    number = pa.array(sorted(FIELDS))
+    for rows, term in _grouped(_same_extension(batches), True):
+        starts = np.flatnonzero(np.append(True, term[1:] != term[:-1])[: len(term)])
+        ends = pa.array(np.append(starts, len(term)).astype(np.int32))
+        first = pa.array(starts)
+        inner = {name: rows.column(name) for name in rows.schema.names if name not in _OF_BLOCK}
+        inner["field"] = pc.index_in(inner["field"], number).cast(pa.int8())
+        packed = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(list(inner.values()), list(inner)))
+        yield pa.RecordBatch.from_arrays([*[rows.column(name).take(first) for name in _OF_BLOCK], packed], [*_OF_BLOCK, "rows"])
+
+
+def _same_extension(batches):
+    """Runs of neighbouring rows with the same extension."""
+    for batch in batches:
+        codes = batch.column("ext").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), batch.num_rows]
+        for low, high in zip(edges[:-1], edges[1:]):
+            if high > low:
+                yield batch.slice(low, high - low)
 
 
 def token_rows(post: DataFrame) -> DataFrame:

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from scriptorium.operators.postings import (
     corpus_stats,
     path_shard,
+    posting_blocks,
     postings,
     shard_column,
     term_counts,
+    unpacked,
 )
 from scriptorium.plans import segments
 from scriptorium.plans.ordered import Ranges, write_ordered
@@ -127,11 +129,16 @@ def write_postings(post: DataFrame, path: str, shards: int) -> None:
 
     A directory that many terms share, or one that a single very common term fills, is split by
     adaptive execution into as many sorted files as its size asks for. A task keeps a file open for each of its
-    directories: sorted by the term first, rows compare by its first bytes.
+    directories: sorted by the term first, rows compare by its first bytes. Blocks (see
+    :func:`scriptorium.operators.postings.posting_blocks`) are unpacked behind the sort.
     """
     if "shard" not in post.columns:
         post = post.withColumn("shard", shard_column(F.col("term"), shards))
-    placed = post.hint("rebalance", "shard").sortWithinPartitions("term", "path", "field")
+    placed = post.hint("rebalance", "shard")
+    if "rows" in post.columns:
+        placed = unpacked(placed.sortWithinPartitions("term", F.col("rows")[0]["path"]))
+    else:
+        placed = placed.sortWithinPartitions("term", "path", "field")
     with settings(post.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": shards}):
         placed.write.mode("overwrite").partitionBy("shard").parquet(path)
 
@@ -151,7 +158,7 @@ def write_corpus(documents: DataFrame, root: str, shards: int | None = None) ->
     with file_size(spark, total):
         write_documents(documents, places["documents"], count)
         stored = segments.read(spark, "documents", [places["documents"]])
-        write_postings(postings(stored), places["postings"], count)
+        write_postings(posting_blocks(stored), places["postings"], count)
     corpus_stats(stored).coalesce(1).write.mode("overwrite").parquet(places["stats"])
     return count, write_terms(segments.read(spark, "postings", [places["postings"]]), places["terms"])
 

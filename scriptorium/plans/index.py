@@ -13,7 +13,7 @@ from scriptorium.functions.text import FIELDS, ascii_key, strip
 from scriptorium.operators import snapshot as snap
 from scriptorium.operators import tags as tag_ops
 from scriptorium.operators.filters import MAX_LIMIT, subtree_prefix, tag_key, with_mark
-from scriptorium.operators.postings import corpus_stats, path_shard, path_shard_of, postings
+from scriptorium.operators.postings import corpus_stats, path_shard, path_shard_of, posting_blocks, postings
 from scriptorium.operators.query import Tagged
 from scriptorium.plans import segments
 from scriptorium.plans.batch import search_many
@@ -264,7 +264,7 @@ class Index:
         with file_size(self.spark, total):
             write_documents(changed, places["documents"], shards, segment)
             stored = segments.read(self.spark, "documents", [places["documents"]])
-            write_postings(postings(stored), places["postings"], shards)
+            write_postings(posting_blocks(stored), places["postings"], shards)
         return stored, segments.read(self.spark, "postings", [places["postings"]]), places
 
     def _write_ordered(self, order: dict, name: str, rows: DataFrame, key: str) -> str:

@@ -216,4 +216,5 @@ def path_shard_of(path: str, shards: int) -> int:
 def update_postings(stored: DataFrame, touched: DataFrame, changed: DataFrame) -> DataFrame:
     """Drop the postings of every touched path and add those of the changed documents."""
     kept = stored.join(touched.select("path"), "path", "left_anti")
-    return kept.select(*stored.columns).unionByName(postings(changed).select(*stored.columns))
+    # dealt like what is kept, so that a grouping by term and path that follows finds its rows in place
+    return kept.select(*stored.columns).unionByName(postings(changed).select(*stored.columns).repartition("path"))

@@ -90,6 +90,10 @@ def documents_from_table(
     indexed_at: Column | None = None,
 ) -> DataFrame:
     """Document rows of a table whose rows are taken as files. An index reports texts above the size guard; here they
-    are left out."""
-    rows = rows_from_table(spread(table, path), path, text, mtime)
-    return build_documents(rows.filter(F.col("body").isNotNull()).drop("digest"), indexed_at)
+    are left out.
+
+    Rows are dealt out once they have their path and size: a plan that needs no more of a document moves no text, and a
+    join on the path that follows finds its rows in place.
+    """
+    rows = rows_from_table(table, path, text, mtime).filter(F.col("body").isNotNull()).drop("digest")
+    return build_documents(spread(rows, F.col("path")), indexed_at)

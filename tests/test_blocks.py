@@ -49,3 +49,31 @@ def test_written_blocks_are_in_order_of_the_term(spark, documents, tmp_path):
     for file in (tmp_path / "post").rglob("*.parquet"):
         terms = [r["term"] for r in spark.read.parquet(str(file)).coalesce(1).collect()]
         assert terms == sorted(terms, key=lambda t: t.encode())
+
+
+def dealt(plan) -> list[set[str]]:
+    """Columns of each explicit repartition in an optimised plan."""
+    found, children = [], plan.children()
+    if plan.nodeName() == "RepartitionByExpression":
+        output = plan.output()
+        found.append({output.apply(i).name() for i in range(output.size())})
+    return found + [x for i in range(children.size()) for x in dealt(children.apply(i))]
+
+
+def test_a_diff_moves_no_text(documents):
+    changes = snap.diff(snapshot(documents), documents)
+    moved = dealt(changes._jdf.queryExecution().optimizedPlan())
+    assert len(moved) == 2 and not any({"text", "body"} & columns for columns in moved)
+
+
+def test_counts_after_an_upkeep_find_postings_in_place(spark, documents):
+    touched = spark.createDataFrame([("src1/1.txt",), ("src2/3.txt",)], "path string")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": -1}):
+        rows = update_postings(postings(documents), touched, documents.filter("path = 'src1/1.txt'"))
+        counts = rows.groupBy("term", "path").agg(F.count("*").alias("n"))
+        assert "hashpartitioning(term" not in counts._jdf.queryExecution().executedPlan().toString()
+        found = {(r["term"], r["path"]): r["n"] for r in counts.collect()}
+    expected: dict = {}
+    for term, path, *_ in listed(postings(documents)):
+        expected[term, path] = expected.get((term, path), 0) + 1
+    assert found == {k: n for k, n in expected.items() if k[1] != "src2/3.txt"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,24 @@ def saved(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Bounds of what a task hands to Python at once: by default it is 10,000 rows, however long their texts are, held on both
+#: sides.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 * 1024**2}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Small batches between Spark and Python in the jobs that run inside the block."""
+    before = {name: spark.conf.get(name) for name in BATCHES}
+    for name, value in BATCHES.items():
+        spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def row_key() -> Column:
     """128 bits that stand for a row's ``doc_id`` and ``text``, as two longs; only copies of a row share them."""
     return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "doc_id", "text").alias("b"))

@@ -57,21 +57,13 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CACHE = 100_000
 #: Documents handled at a time, and hashes counted at a time, in a task.
 _ROWS, _HASHES = 1000, 1 << 20
-#: Bounds of what a task hands to Python at once: pairs carry two whole sets, which for long texts are large.
-_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": _ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": 8 * 1024**2}
+_BATCHES = base.BATCHES
 
 
 def saved(frame: DataFrame, label: str) -> DataFrame:
-    """:func:`base.saved`, with small batches between Spark and Python while the frame is made."""
-    conf = frame.sparkSession.conf
-    before = {name: conf.get(name) for name in _BATCHES}
-    for name, value in _BATCHES.items():
-        conf.set(name, str(value))
-    try:
+    """:func:`base.saved`, with small batches between Spark and Python while the frame is made: pairs carry two whole sets."""
+    with base.small_batches(frame.sparkSession):
         return base.saved(frame, label)
-    finally:
-        for name, value in before.items():
-            conf.set(name, value)
 
 
 class _Words(dict):
@@ -434,50 +426,101 @@ def _across(index: DataFrame, placed: DataFrame, bounds: DataFrame, percent: int
         placed.select("group", "component").distinct(), "group"
     )
     mixed = entries.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    entries = saved(
-        entries.join(mixed.filter("low <> high").select("shingle"), "shingle", "left_semi").join(bounds, "group"), "join-mixed"
+    previous = F.lag("shingle").over(Window.partitionBy("group").orderBy("place"))
+    entries = entries.join(mixed.filter("low <> high").select("shingle"), "shingle", "left_semi").join(bounds, "group")
+    entries = saved(entries.withColumn("previous", previous), "join-mixed")
+    pairs = _meeting(entries, percent)
+    torn_sides = torn.select(F.col("group").alias("g1"), F.col("component").alias("c1")).distinct()
+    torn_pairs = (
+        torn_sides.join(torn_sides.select("g1", F.col("c1").alias("c2")), "g1")
+        .filter("c1 < c2")
+        .select("g1", "c1", F.col("g1").alias("g2"), "c2")
     )
+    members = placed.select("group", "component", "class")
+    return (
+        pairs.unionByName(torn_pairs)
+        .distinct()
+        .join(members.select(F.col("group").alias("g1"), F.col("component").alias("c1"), F.col("class").alias("a")), ["g1", "c1"])
+        .join(members.select(F.col("group").alias("g2"), F.col("component").alias("c2"), F.col("class").alias("b")), ["g2", "c2"])
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
+    )
+
+
+def _sides(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Entries with short names, once in their own band of sizes and once in it and those beside it."""
     # sizes that fit are at most one band apart
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
-    named = {"component": "c", "group": "g", "n": "n", "place": "p", "known": "k", "end": "e", "possible": "m"}
+    named = {"component": "c", "group": "g", "n": "n", "place": "p", "known": "k", "end": "e", "possible": "m", "previous": "v"}
     fields = tuple(named)
     one = entries.select("shingle", band.alias("band"), *[F.col(c).alias(named[c] + "1") for c in fields])
     two = entries.select(
         "shingle", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(c).alias(named[c] + "2") for c in fields]
     )
-    # what any entry of a component can share at most, and its smallest size, rule out most pairs of components
-    most = lambda side: one_or_two[side].groupBy("shingle", "band", f"c{side}").agg(
-        F.max(F.expr(f"k{side} + n{side} - p{side}")).alias(f"r{side}"), F.min(f"n{side}").alias(f"s{side}")
+    return one, two
+
+
+def _parted(before_1, before_2):
+    """Two entries of a shingle have no common one right before it."""
+    return ~F.coalesce(before_1 == before_2, F.lit(False))
+
+
+def _held(one: DataFrame, two: DataFrame, percent: int) -> DataFrame:
+    """Entries of components with the components after theirs that may fit them at their shingle.
+
+    What any entry of a component can share at most, and its sizes, rule out most pairs of components. An entry of the
+    first component is then held against these figures of the second: a large component meets many small ones, each
+    of which fits only few of its entries. Entries with the same shingle before them meet there already: a pair is made
+    once for each run of shingles that both have, and at the first of these all bounds hold for a link.
+    """
+
+    def figures(rows: DataFrame, i: int) -> DataFrame:
+        """Of a component's entries: known (K), following (Q), both (R), size (S to T), end (A to B), possible (M) and the
+        previous shingle (V), if it is the same for all."""
+        follow = F.col(f"n{i}") - F.col(f"p{i}")
+        return rows.groupBy("shingle", "band", f"c{i}").agg(
+            F.max(f"k{i}").alias(f"K{i}_"), F.max(follow).alias(f"Q{i}_"), F.max(F.col(f"k{i}") + follow).alias(f"R{i}_"),
+            F.min(f"n{i}").alias(f"S{i}_"), F.max(f"n{i}").alias(f"T{i}_"),
+            F.min(f"e{i}").alias(f"A{i}_"), F.max(f"e{i}").alias(f"B{i}_"), F.max(f"m{i}").alias(f"M{i}_"),
+            F.when((F.min(f"v{i}") == F.max(f"v{i}")) & (F.count(f"v{i}") == F.count("*")), F.min(f"v{i}")).alias(f"V{i}_"),
+        )
+
+    def able(known, follow, both, low, high, first, last, possible, before):
+        """Some entry with the figures given can fit some entry of the second component."""
+        shared = F.least(F.least(known, "K2_") + F.least(follow, "Q2_"), both, "R2_")
+        bound = F.greatest(F.when(first <= F.col("B2_"), possible).otherwise(0), F.when(last > F.col("A2_"), F.col("M2_")).otherwise(0))
+        sizes = (high * 100 >= F.col("S2_") * percent) & (F.col("T2_") * 100 >= low * percent)
+        return sizes & (F.least(shared, bound) * (100 + percent) >= (low + F.col("S2_")) * percent) & _parted(before, F.col("V2_"))
+
+    col = F.col
+    meet = (
+        figures(one, 1)
+        .join(figures(two, 2), ["shingle", "band"])
+        .filter(col("c1") < col("c2"))
+        .filter(able(col("K1_"), col("Q1_"), col("R1_"), col("S1_"), col("T1_"), col("A1_"), col("B1_"), col("M1_"), col("V1_")))
+        .select("shingle", "band", "c1", "c2", "K2_", "Q2_", "R2_", "S2_", "T2_", "A2_", "B2_", "M2_", "V2_")
     )
-    one_or_two = {1: one, 2: two}
-    able = F.least("r1", "r2") * (100 + percent) >= (F.col("s1") + F.col("s2")) * percent
-    meet = most(1).join(most(2), ["shingle", "band"]).filter(F.col("c1") < F.col("c2")).filter(able).select("shingle", "band", "c1", "c2")
-    pairs = (
-        meet.join(one, ["shingle", "band", "c1"])
+    follow = col("n1") - col("p1")
+    return meet.join(one, ["shingle", "band", "c1"]).filter(
+        able(col("k1"), follow, col("k1") + follow, col("n1"), col("n1"), col("e1"), col("e1"), col("m1"), col("v1"))
+    ).select(*one.columns, "c2")
+
+
+def _meeting(entries: DataFrame, percent: int) -> DataFrame:
+    """(g1, c1, g2, c2): groups of different components with entries of one shingle that fit in size, place and bounds."""
+    one, two = _sides(entries, percent)
+    return (
+        _held(one, two, percent)
         .join(two, ["shingle", "band", "c2"])
         .filter(
             _size_fits("n1", "n2", percent)
             & _place_fits("n1", "p1", "n2", "p2", percent, "k1", "k2")
+            & _parted(F.col("v1"), F.col("v2"))
             & (F.when(F.col("e1") <= F.col("e2"), F.col("m1")).otherwise(F.col("m2")) * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
         )
         .select("g1", "c1", "g2", "c2")
         .distinct()
     )
-    torn_sides = torn.select(F.col("group").alias("g1"), F.col("component").alias("c1")).distinct()
-    torn_pairs = (
-        torn_sides.join(torn_sides.select("g1", F.col("c1").alias("c2")), "g1")
-        .filter("c1 < c2")
-        .select("g1", "c1", F.col("g1").alias("g2"), "c2")
-    )
-    members = placed.select("group", "component", "class")
-    return (
-        pairs.unionByName(torn_pairs)
-        .distinct()
-        .join(members.select(F.col("group").alias("g1"), F.col("component").alias("c1"), F.col("class").alias("a")), ["g1", "c1"])
-        .join(members.select(F.col("group").alias("g2"), F.col("component").alias("c2"), F.col("class").alias("b")), ["g2", "c2"])
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
 
 
 def report(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

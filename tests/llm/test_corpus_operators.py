@@ -474,3 +474,45 @@ def test_join_hands_python_small_batches(spark):
     assert sum(r["n"] for r in seen) == 6000
     assert max(r["n"] for r in seen) <= 1000 and max(r["bytes"] for r in seen) < 12 * 1024**2
     assert {name: spark.conf.get(name) for name in before} == before
+
+
+def test_large_component_meets_small_ones_in_few_rows(spark):
+    """Entries that cannot fit and shingles that follow a common one add no rows; the pairs that fit are all found."""
+    schema = "shingle long, component long, group long, n long, place long, known long, end struct<times: long, last: long>, possible long, previous long"
+
+    def entries(groups, places):
+        found = []
+        for group, (component, first) in groups.items():
+            for i in range(5):
+                found.append((100 + i, component, group, 100, first + i, i, (0, 200), 99, 99 + i if i else places.get(group)))
+        return spark.createDataFrame(found, schema)
+
+    large = {g: (1, 0 if g < 3 else 30) for g in range(40)}
+    small = {g: (g, 0) for g in range(1000, 1030)}
+    rows = entries(large | small, {})
+    one, two = groupjoin._sides(rows, 80)
+    held = groupjoin._held(one, two, 80)
+    # the three that fit, and of the small ones each with those after it
+    assert held.count() == 3 * 30 + 30 * 29 // 2
+    pairs = {(r["g1"], r["g2"]) for r in groupjoin._meeting(rows, 80).collect()}
+    assert pairs == {(a, b) for a in [0, 1, 2, *small] for b in small if a < b}
+    # a shingle before theirs that only some have does not hide a pair
+    apart = entries({0: (1, 0), 1000: (2, 0), 1001: (3, 0)}, {0: 7, 1000: 8})
+    assert {(r["g1"], r["g2"]) for r in groupjoin._meeting(apart, 80).collect()} == {(0, 1000), (0, 1001), (1000, 1001)}
+
+
+def test_join_of_copies_around_a_common_passage_equals_brute_force(spark):
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts = {}
+    for i in range(90):
+        words, own = list(passage), rng.choice([1, 3, 6, 9, 14])
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(60)] = f"x{rng.randint(0, 5)}"
+        at = rng.choice([0, 60])
+        words[at:at] = [f"o{rng.randint(0, 10**6)}" for _ in range(own)]
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    expected = _components(texts)
+    assert 3 < len(set(expected.values())) < 88
+    assert {r["doc_id"]: r["component_id"] for r in groupjoin.report(docs).collect()} == expected

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.base import saved, small_batches
+
 GRAMS = (3, 4)
 SLOTS_LOG2 = 20
 HASHES = 3
@@ -169,8 +171,9 @@ def learn(
     total = counted.groupBy("l").agg(F.sum("n").alias("total"))
     kept = counted.join(total, "l").filter(F.col("n") >= F.col("total") * F.lit(min_share))
     grams = {l: [] for l in sizes_by}
-    for r in kept.select("l", "gram").toLocalIterator():
-        grams[r["l"]].append(r["gram"])
+    with small_batches(labelled.sparkSession):
+        for r in kept.select("l", "gram").toLocalIterator():
+            grams[r["l"]].append(r["gram"])
     return Model({l: np.array(g, np.int64).view(np.uint64) for l, g in grams.items()}, sizes=sizes)
 
 
@@ -219,8 +222,14 @@ MIN_SCORE = 0.15
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Documents whose language is known; ``und`` and what no language explains goes. Columns unchanged."""
+    """Documents whose language is known; ``und`` and what no language explains goes. Columns unchanged.
+
+    The result is written here and read again, as the size of a batch is fixed by the job that makes it: whole rows wait
+    beside it for its answer.
+    """
     model = learn(docs.filter(~held_out()))
-    return _identified(docs, model).filter(
+    kept = _identified(docs, model).filter(
         (F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= min_score)
     ).select(docs.columns)
+    with small_batches(docs.sparkSession):
+        return saved(kept, "language")

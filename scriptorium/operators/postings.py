@@ -36,7 +36,7 @@ def postings(documents: DataFrame) -> DataFrame:
     place in the index (``segment, ord``), where it has one. Tokens are cut and grouped many documents at a time, as arrays.
     """
     texts, made = _texts(documents)
-    return texts.mapInArrow(_rows_by_document, made)
+    return texts.mapInArrow(_grouped, made)
 
 
 def posting_blocks(documents: DataFrame) -> DataFrame:
@@ -109,9 +109,15 @@ def _slices(batch: pa.RecordBatch, texts: list[str]):
             yield batch.slice(low, high - low)
 
 
-def _grouped(batches, by_term: bool):
-    """Posting rows of documents whose separated texts are the columns ``_<field>``, slice by slice, with the number of
-    each row's term: in order of document, term and field, or of term, document and field."""
+def _grouped(batches):
+    """Posting rows of documents whose separated texts are the columns ``_<field>``, slice by slice."""
+    # Document by document, so that a shuffle packs their paths well.
+    for rows, _ in _numbered(batches, False):
+        yield rows
+
+
+def _numbered(batches, by_term: bool):
+    """The same with the number of each row's term: in order of document, term and field, or of term, document and field."""
     # ``lead`` goes to the first field by name
     fields = sorted(FIELDS)
     for batch in batches:
@@ -141,15 +147,9 @@ def _grouped(batches, by_term: bool):
             yield pa.RecordBatch.from_arrays([column[n] for n in names], names), term
 
 
-def _rows_by_document(batches):
-    # Document by document, so that a shuffle packs their paths well.
-    for rows, _ in _grouped(batches, False):
-        yield rows
-
-
 def _blocks_by_term(batches):
     number = pa.array(sorted(FIELDS))
-    for rows, term in _grouped(_same_extension(batches), True):
+    for rows, term in _numbered(_same_extension(batches), True):
         starts = np.flatnonzero(np.append(True, term[1:] != term[:-1])[: len(term)])
         ends = pa.array(np.append(starts, len(term)).astype(np.int32))
         first = pa.array(starts)

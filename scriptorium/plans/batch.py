@@ -1,8 +1,9 @@
 """Many searches in one job.
 
-A clause table describes each query as required slots of alternatives plus excluded slots. Work is driven
-by the rarest part at both levels: a phrase by its rarest token, a query by its rarest required slot.
-Very common tokens and leaves are then only looked up for documents that are candidates already.
+A clause table describes each query as required slots of alternatives plus excluded slots. The hits of all leaves are found
+document by document (:mod:`scriptorium.operators.leaves`) and written as one row for each path, so that queries are
+judged without another shuffle. A query is driven by its rarest required slot: its other slots are only looked up for
+documents that are candidates already.
 
 The best ``limit`` matches are found in two phases. The part of a score that the driving slot gives is known for each
 candidate; what its other slots can add at most is known for each block of neighbouring documents, from the highest part
@@ -16,21 +17,28 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from scriptorium.functions.bm25 import term_score
+from scriptorium.functions.bm25 import B, K1, idf, term_score
 from scriptorium.functions.text import tokens
+from scriptorium.operators import leaves as packing
 from scriptorium.operators.filters import check_limit, has_extension, in_subtree
-from scriptorium.operators.match import place_of, weight_column
-from scriptorium.operators.postings import shard_column
+from scriptorium.operators.match import place_of
+from scriptorium.operators.postings import PLACE, path_shard, shard_column
 from scriptorium.operators.query import FIELD_NAMES
 from scriptorium.operators.rank import top_k_per_query
-from scriptorium.plans.corpus import Corpus
+from scriptorium.plans.corpus import Corpus, settings
 from scriptorium.session import shared_dir
 
 #: Documents of a block, as a power of two, and candidates that are scored first, for each row asked for.
 BLOCK_LOG2, FIRST = 12, 2
+#: Rows of clauses that are judged at a time, about.
+JUDGED_ROWS = 1_000_000
 
 
 def _check(clauses: DataFrame) -> None:
@@ -69,6 +77,13 @@ def _prepared(clauses: DataFrame) -> DataFrame:
     return split.withColumn("leaf", F.when(F.size("toks") > 0, key))
 
 
+def _numbered(prepared: DataFrame) -> DataFrame:
+    """The clauses with a number in place of each leaf. The batch's own leaves are few beside the postings."""
+    names = prepared.select("leaf").filter(F.col("leaf").isNotNull()).distinct()
+    names = names.withColumn("_number", F.row_number().over(Window.orderBy("leaf")) - 1)
+    return prepared.join(names, "leaf", "left").drop("leaf").withColumnRenamed("_number", "leaf")
+
+
 def _leaf_terms(leaves: DataFrame, terms: DataFrame) -> DataFrame:
     """``leaf, m, column, off, term, n``: the index terms that may stand at each offset of a leaf."""
     spread = leaves.select(
@@ -122,58 +137,145 @@ def _prefix_hits(corpus: Corpus, prefixes: DataFrame) -> list[DataFrame]:
 
 
 def leaf_hits(corpus: Corpus, leaves: DataFrame) -> DataFrame:
-    """``leaf, path, ext, dl, f``, and the place, for every document that holds a leaf."""
-    by, keys = ["term"], ["leaf", "path", "ext", "dl", *place_of(corpus.postings)]
-    open_end = F.col("is_prefix") & (F.size("toks") == 1)
-    terms = _leaf_terms(leaves.filter(~open_end), corpus.terms)
+    """One row for each path that holds a leaf: ``path, ext`` and lists of equal length ``leaf, f, dl, segment, ord``, one entry
+    for each leaf and copy of the path. Documents without a place have zeros."""
+    single = F.col("is_prefix") & (F.size("toks") == 1)
+    terms = _saved(_leaf_terms(leaves.filter(~single), corpus.terms))
+    number = F.row_number().over(Window.orderBy("term")) - 1
+    codes = terms.groupBy("term").agg(F.max(F.col("m") > 1).alias("whole")).withColumn("code", number)
+    by = ["term"]
     if corpus.shards:
-        terms = terms.withColumn("shard", shard_column(F.col("term"), corpus.shards))
-        by = ["shard", "term"]
-    terms = _saved(terms)
-    in_field = F.col("column").isNull() | (F.col("column") == F.col("field"))
-    singles = [corpus.postings.join(terms.filter("m = 1").select("leaf", "column", *by), by)]
-    weight = weight_column(F.col("field"))
-    found = [
-        rows.filter(in_field).select(*keys, (weight * F.size("positions")).alias("w"))
-        for rows in [*singles, *_prefix_hits(corpus, leaves.filter(open_end))]
-    ]
-    several = terms.filter("m > 1")
-    rarest = (
-        several.groupBy("leaf", "m", "off")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("leaf", "m")
-        .agg(F.count("*").alias("offsets"), F.min_by("off", F.struct("n", "off")).alias("off"))
-        .filter(F.col("offsets") == F.col("m"))
-        .select("leaf", "off")
-    )
-    anchor = several.join(rarest, ["leaf", "off"]).drop("n")
-    starts = corpus.postings.join(anchor, by).filter(in_field).select(
-        *keys, "m", F.col("off").alias("anchor"), "field",
-        F.explode(F.transform("positions", lambda p: p - F.col("off"))).alias("start"),
-    )
-    beside = corpus.postings.join(several.select(*by).distinct(), by, "left_semi").select(
-        "term", "path", "field", "positions"
-    )
-    others = (
-        starts.join(several.select("leaf", "off", "term"), "leaf")
-        .filter(F.col("off") != F.col("anchor"))
-        .join(beside, ["term", "path", "field"])
-        .filter(F.array_contains("positions", F.col("start") + F.col("off")))
-    )
-    complete = (
-        others.groupBy(*keys, "m", "field", "start")
-        .agg(F.count("*").alias("found"))
-        .filter(F.col("found") == F.col("m") - 1)
+        codes, by = codes.withColumn("shard", shard_column(F.col("term"), corpus.shards)), ["shard", "term"]
+    codes = _saved(codes)
+    table = _collected(terms.join(codes.select("term", "code"), "term").select("leaf", "m", "off", "code", "n"))
+    asked = _collected(leaves.select("leaf", "column", single.alias("single")).orderBy("leaf"))
+    fields = pc.fill_null(pc.index_in(asked["column"], pa.array(packing.FIELD_ORDER)), -1).to_numpy().astype(np.int64)
+    prefixes = asked["leaf"].to_numpy()[asked["single"].to_numpy()]
+    known = codes.count()
+    numbers = packing.leaves_of(len(fields), known, fields, prefixes, {c: table[c].to_numpy() for c in table.schema.names})
+
+    total = corpus.stats.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
+    buckets = max(1, -(-total // packing.BUCKET_TOKENS))
+    place = place_of(corpus.postings)
+    places = [(F.col(c) if c in place else F.lit(0)).cast(t).alias(c) for c, t in zip(PLACE, ("int", "bigint"))]
+    named = F.array(*[F.lit(f) for f in packing.FIELD_ORDER])
+    field = (F.array_position(named, F.col("field")) - 1).cast("byte").alias("field")
+
+    def packed(rows: DataFrame, code: Column, *more: str) -> DataFrame:
+        bucket, n = path_shard(F.col("path"), buckets).alias("bucket"), F.size("positions").alias("n")
+        sent = rows.select(bucket, code.cast("int").alias("code"), "path", "ext", "dl", *places, field, n, *more)
+        return sent.mapInArrow(packing.packed, packing.PACK_SCHEMA)
+
+    exact = corpus.postings.join(codes.select("code", "whole", *by), by)
+    runs = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("positions") - 1) / packing.RUN).cast("int")),
+        lambda i: F.slice("positions", i * packing.RUN + 1, F.lit(packing.RUN)),
     )
-    found.append(complete.select(*keys, weight.alias("w")))
-    return reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.sum("w").alias("f"))
+    runs = F.when(F.size("positions") <= packing.RUN, F.array("positions")).otherwise(runs)
+    in_runs = exact.filter("whole").select("*", F.posexplode(runs).alias("run", "held")).drop("positions").withColumnRenamed("held", "positions")
+    blocks = [packed(in_runs, F.col("code"), "run", "positions"), packed(exact.filter(~F.col("whole")), F.col("code"))]
+    in_field = F.col("column").isNull() | (F.col("column") == F.col("field"))
+    for rows in _prefix_hits(corpus, leaves.filter(single)):
+        blocks.append(packed(rows.filter(in_field), F.col("leaf") + known))
+    together = reduce(DataFrame.unionByName, blocks).groupBy("bucket")
+    return together.applyInArrow(lambda group: packing.found(group, numbers), packing.FOUND_SCHEMA)
+
 
+def _collected(frame: DataFrame) -> pa.Table:
+    """A table about the batch's own leaves and clauses, as small as the batch, on the driver."""
+    return frame.toArrow().combine_chunks()
 
-def block_of(rows: DataFrame) -> Column:
+
+def block_of(segment: Column, ord: Column) -> Column:
     """A document's block of neighbours in the index; documents without a place are one block."""
-    if not place_of(rows):
-        return F.lit("")
-    return F.concat_ws(":", "segment", F.shiftright("ord", BLOCK_LOG2))
+    return F.concat_ws(":", segment, F.shiftright(ord, BLOCK_LOG2))
+
+
+@dataclass(frozen=True)
+class _Judge:
+    """The clauses of a batch as arrays, and what turns frequencies into parts of a score."""
+
+    queries: pa.Array
+    required: np.ndarray
+    #: In order of the leaf: leaf, query, slot and alt of the driving clauses.
+    driving: dict[str, np.ndarray]
+    #: In order of the query: the same of all others, whether a clause must match (``adds``) and whether it must not.
+    others: dict[str, np.ndarray]
+    idf: np.ndarray
+    length: float
+
+    def slices(self, batches):
+        """Runs of paths that come to about ``JUDGED_ROWS`` rows of clauses, one path at least."""
+        each = 1 + np.bincount(self.others["query"], minlength=len(self.required))
+        cost = np.bincount(self.driving["leaf"], each[self.driving["query"]], len(self.idf))
+        for batch in batches:
+            leaf = batch.column("leaf")
+            ends = packing._ends(leaf.value_lengths().to_numpy(zero_copy_only=False))
+            sums = packing._ends(1 + cost[leaf.flatten().to_numpy(zero_copy_only=False)])[ends]
+            runs = (sums[1:] // JUDGED_ROWS).astype(np.int64)
+            edges = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(edges[:-1], edges[1:]):
+                if high > low:
+                    yield batch.slice(low, high - low)
+
+    def hits(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, leaf and part of all hits."""
+        leaf, f, dl = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("leaf", "f", "dl"))
+        row = np.repeat(np.arange(batch.num_rows), batch.column("leaf").value_lengths().to_numpy(zero_copy_only=False))
+        part = self.idf[leaf] * (f * (K1 + 1.0)) / (f + K1 * (1.0 - B + B * (dl / self.length)))
+        return row, leaf.astype(np.int64), part
+
+    def driven(self, row: np.ndarray, leaf: np.ndarray):
+        """Candidates, as row and query in one number, with the hit and the driving clause of each."""
+        hit, clause = packing._matches(self.driving["leaf"], leaf)
+        return row[hit] * len(self.required) + self.driving["query"][clause], hit, clause
+
+    def partials(self, batches):
+        """``query_id, required, path, block, partial``: the part of the driving slot for each candidate."""
+        for batch in self.slices(batches):
+            row, leaf, part = self.hits(batch)
+            candidate, hit, _ = self.driven(row, leaf)
+            pair, number = np.unique(candidate, return_inverse=True)
+            partial = np.bincount(number, part[hit], len(pair))
+            row, query = pair // len(self.required), pair % len(self.required)
+            columns = [self.queries.take(pa.array(query)), pa.array(self.required[query])]
+            columns += [batch.column(c).take(pa.array(row)) for c in ("path", "block")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(partial, pa.float64())], ["query_id", "required", "path", "block", "partial"])
+
+    def matches(self, batches):
+        """``query_id, path, ext, score`` of the candidates that match, of those in the list ``only`` where rows have one."""
+        for batch in self.slices(batches):
+            row, leaf, part = self.hits(batch)
+            candidate, hit, clause = self.driven(row, leaf)
+            if "only" in batch.schema.names:
+                only = batch.column("only")
+                allowed = pc.index_in(only.flatten(), self.queries).to_numpy(zero_copy_only=False)
+                allowed = np.repeat(np.arange(batch.num_rows), only.value_lengths().to_numpy(zero_copy_only=False)) * len(self.required) + allowed
+                kept = np.isin(candidate, allowed)
+                candidate, hit, clause = candidate[kept], hit[kept], clause[kept]
+            pair, number = np.unique(candidate, return_inverse=True)
+            # the other clauses of each candidate's query, then the hits of their leaves in its row
+            at, other = packing._matches(self.others["query"], pair % len(self.required))
+            key = row * len(self.idf) + leaf
+            order = np.argsort(key, kind="stable")
+            asked, found = packing._matches(key[order], pair[at] // len(self.required) * len(self.idf) + self.others["leaf"][other])
+            other, more = other[asked], at[asked]
+            excluded = np.bincount(more, self.others["excludes"][other], len(pair)) > 0
+            adds = self.others["adds"][other]
+            number = np.append(number, more[adds])
+            slot = np.append(self.driving["slot"][clause], self.others["slot"][other[adds]])
+            alt = np.append(self.driving["alt"][clause], self.others["alt"][other[adds]])
+            part = np.append(part[hit], part[order[found[adds]]])
+            # added up in this order, whatever the order of the hits
+            by = np.lexsort((part, alt, slot, number))
+            number, slot, part = number[by], slot[by], part[by]
+            met = np.bincount(number, packing._starts([number, slot]), len(pair))
+            total = np.bincount(number, part, len(pair))
+            row, query = pair // len(self.required), pair % len(self.required)
+            good = ~excluded & (met == self.required[query])
+            columns = [self.queries.take(pa.array(query[good]))]
+            columns += [batch.column(c).take(pa.array(row[good])) for c in ("path", "ext")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(0.0 - total[good], pa.float64())], ["query_id", "path", "ext", "score"])
 
 
 @dataclass(frozen=True)
@@ -182,18 +284,46 @@ class _Plan:
 
     #: query_id, slot, alt, negated, leaf, required, driving
     clauses: DataFrame
-    #: leaf, path, part: what a leaf adds to the score of a document
-    hits: DataFrame
-    #: query_id, required, slot, alt, path, ext, block, part of the driving slots
-    driven: DataFrame
+    #: leaf, block, top: the most a leaf adds to the score of a path in the block
+    tops: DataFrame
+    #: path, ext, block, and lists leaf, f, dl: the paths that the filters leave
+    rows: DataFrame
+    judge: _Judge
+
+
+def _judge(corpus: Corpus, clauses: DataFrame, counts: DataFrame, n_leaves: int) -> _Judge:
+    whole = corpus.stats.agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens"))
+    rated = counts.crossJoin(whole).select("leaf", idf(F.col("n_with"), F.col("docs")).alias("idf"))
+    rated, length = _collected(rated), whole.select((F.col("tokens") / F.col("docs")).alias("n")).first()["n"]
+    idfs = np.zeros(max(n_leaves, 1))
+    idfs[rated["leaf"].to_numpy()] = rated["idf"].to_numpy()
+    flags = {"adds": ~F.col("negated"), "excludes": F.col("negated")}
+    numbers = [F.coalesce(F.col(c).cast("bigint"), F.lit(-(2**63))).alias(c) for c in ("leaf", "slot", "alt", "required")]
+    held = clauses.select("query_id", *numbers, "driving", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()])
+    held = _collected(held.filter(F.col("driving").isNotNull()))
+    queries = packing._array(held, "query_id").dictionary_encode()
+    columns = {c: held[c].to_numpy() for c in held.schema.names if c != "query_id"}
+    columns["query"] = queries.indices.to_numpy().astype(np.int64)
+    required = np.zeros(len(queries.dictionary), np.int64)
+    required[columns["query"]] = columns["required"]
+
+    def part(chosen: np.ndarray, by: str) -> dict[str, np.ndarray]:
+        at = np.flatnonzero(chosen)
+        at = at[np.argsort(columns[by][at], kind="stable")]
+        return {c: columns[c][at] for c in ("leaf", "query", "slot", "alt", "adds", "excludes")}
+
+    driving = columns["driving"]
+    return _Judge(queries.dictionary, required, part(driving, "leaf"), part(~driving, "query"), idfs, length or 1.0)
 
 
 def _planned(corpus: Corpus, clauses: DataFrame, ext: str | None, under: str | None) -> _Plan:
     _check(clauses)
-    prepared = _saved(_prepared(clauses))
-    leaves = prepared.filter(F.col("leaf").isNotNull()).select("leaf", "toks", "is_prefix", "column").distinct()
-    found = _saved(leaf_hits(corpus, leaves))
-    counts = _saved(found.groupBy("leaf").agg(F.count("*").alias("n_with")))
+    prepared = _saved(_numbered(_saved(_prepared(clauses))))
+    leaves = _saved(prepared.filter(F.col("leaf").isNotNull()).select("leaf", "toks", "is_prefix", "column").distinct())
+    # rows on their way to be packed are of bounded size, so that their number bounds a batch
+    with settings(clauses.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": 2**31 - 1}):
+        found = _saved(leaf_hits(corpus, leaves))
+    counts = _saved(found.select(F.explode("leaf").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n_with")))
     counted = prepared.join(counts, "leaf", "left").select(
         "query_id", "slot", "alt", "negated", "leaf", F.coalesce("n_with", F.lit(0)).alias("n_with")
     )
@@ -214,37 +344,25 @@ def _planned(corpus: Corpus, clauses: DataFrame, ext: str | None, under: str | N
         F.struct(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens")).alias("c")
     ).scalar()
     part = term_score(F.col("f"), F.col("dl"), F.col("n_with"), F.col("_total.docs"), F.col("_total.tokens"))
-    hits = found.join(counts, "leaf").withColumn("_total", totals).withColumn("part", part)
+    # the copies of a path count as in the block of the first, and add up
+    rows = found.withColumn("block", block_of(F.get("segment", F.lit(0)), F.get("ord", F.lit(0))))
+    hits = rows.select("block", "copies", F.inline(F.arrays_zip("leaf", "f", "dl"))).join(counts, "leaf")
+    tops = hits.withColumn("_total", totals).groupBy("leaf", "block").agg(F.max(part * F.col("copies")).alias("top"))
     # filters stand beside the match: they change no statistics
-    wanted = hits
     if ext is not None:
-        wanted = wanted.filter(has_extension(F.col("ext"), ext))
+        rows = rows.filter(has_extension(F.col("ext"), ext))
     if under is not None:
-        wanted = wanted.filter(in_subtree(F.col("path"), under))
-    driven = known.filter("driving").join(wanted, "leaf")
-    columns = ("query_id", "required", "slot", "alt", "path", "ext", "block", "part")
-    return _Plan(known, hits, _saved(driven.withColumn("block", block_of(wanted)).select(*columns)))
+        rows = rows.filter(in_subtree(F.col("path"), under))
+    return _Plan(known, tops, rows, _judge(corpus, known, counts, leaves.count()))
 
 
 def _judged(plan: _Plan, chosen: DataFrame | None = None) -> DataFrame:
     """``query_id, path, ext, score`` of the candidates that match: all of them, or the ``chosen`` (query_id, path)."""
-    driven = plan.driven
+    rows, judge = plan.rows.select("path", "ext", "leaf", "f", "dl"), plan.judge
     if chosen is not None:
-        driven = driven.join(chosen, ["query_id", "path"], "left_semi")
-    others = plan.clauses.filter(~F.col("driving")).select("query_id", "slot", "alt", "negated", "leaf")
-    cand = driven.select("query_id", "required", "path", "ext").distinct()
-    beside = cand.join(others, "query_id").join(plan.hits.select("leaf", "path", "part"), ["leaf", "path"])
-    columns = ("query_id", "required", "path", "ext", "slot", "alt", "negated", "part")
-    rows = driven.withColumn("negated", F.lit(False)).select(*columns).unionByName(beside.select(*columns))
-    kept = F.when(~F.col("negated"), F.struct("slot", "alt", "part"))
-    # One row per clause of the query: the list is as short as the query.
-    judged = rows.groupBy("query_id", "path", "ext", "required").agg(
-        F.sort_array(F.collect_list(kept)).alias("parts"), F.max("negated").alias("excluded")
-    )
-    satisfied = F.size(F.array_distinct(F.transform("parts", lambda p: p["slot"])))
-    total: Column = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["part"])
-    matched = judged.filter(~F.col("excluded") & (satisfied == F.col("required")))
-    return matched.select("query_id", "path", "ext", (F.lit(0.0) - total).alias("score"))
+        rows = rows.join(chosen.groupBy("path").agg(F.collect_set("query_id").alias("only")), "path")
+    made = StructType([plan.clauses.schema["query_id"], *rows.schema.fields[:2]]).add("score", "double")
+    return rows.mapInArrow(judge.matches, made)
 
 
 def score_many(
@@ -256,15 +374,16 @@ def score_many(
 
 def _bounded(plan: _Plan) -> DataFrame:
     """``query_id, path, upper``: what a candidate's score can come to, where every slot can be met in its block."""
-    tops = plan.hits.groupBy("leaf", block_of(plan.hits).alias("block")).agg(F.max("part").alias("top"))
     others = plan.clauses.filter(~F.col("driving") & ~F.col("negated")).select("query_id", "slot", "leaf")
-    rest = others.join(tops, "leaf").groupBy("query_id", "block").agg(
+    rest = others.join(plan.tops, "leaf").groupBy("query_id", "block").agg(
         F.sum("top").alias("rest"), F.count_distinct("slot").alias("met")
     )
-    partial = plan.driven.groupBy("query_id", "required", "path", "block").agg(F.sum("part").alias("partial"))
+    rows, judge = plan.rows.select("path", "block", "leaf", "f", "dl"), plan.judge
+    made = StructType([plan.clauses.schema["query_id"]]).add("required", "long").add(rows.schema["path"])
+    partial = rows.mapInArrow(judge.partials, made.add("block", "string").add("partial", "double"))
     able = F.coalesce("met", F.lit(0)) >= F.col("required") - 1
     upper = F.col("partial") + F.coalesce("rest", F.lit(0.0))
-    return partial.join(rest, ["query_id", "block"], "left").filter(able).select("query_id", "path", upper.alias("upper"))
+    return partial.join(_saved(rest), ["query_id", "block"], "left").filter(able).select("query_id", "path", upper.alias("upper"))
 
 
 def search_many(
@@ -280,5 +399,5 @@ def search_many(
     reached = top_k_per_query(first, limit).filter(F.col("rank") == limit).select("query_id", (-F.col("score")).alias("reached"))
     # sums in another order differ in the last digits
     able = F.col("reached").isNull() | (F.col("upper") * (1 + 1e-9) >= F.col("reached"))
-    left = bounded.join(best, ["query_id", "path"], "left_anti").join(reached, "query_id", "left").filter(able)
+    left = bounded.join(best, ["query_id", "path"], "left_anti").join(_saved(reached), "query_id", "left").filter(able)
     return top_k_per_query(first.unionByName(_judged(plan, left.select("query_id", "path"))), limit)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import brute
 from scriptorium.functions.snippet import add_snippet
+from scriptorium.operators import leaves as packing
 from scriptorium.operators import match
 from scriptorium.operators.export import to_envelope
 from scriptorium.operators.query import all_of, any_of, but_not, phrase, prefix, tag, word
@@ -293,6 +294,64 @@ def test_best_by_bounds_equal_the_best_of_all(spark, monkeypatch, limit):
         assert upper[r["query_id"], r["path"]] >= -r["score"] - 1e-9
 
 
+CLAUSES = "query_id bigint, slot int, alt int, kind string, value string, field string, negated boolean"
+
+
+def _plan_of(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_moves_postings_once_and_judges_in_place(spark):
+    """Hits of common words, phrases and prefixes meet by document in one shuffle; candidates are judged without any."""
+    corpus = corpus_of(spark, random_docs(random.Random(5), 20))
+    rows = [(1, 0, 0, "phrase", "a b", None, False), (1, 1, 0, "prefix", "a", None, False), (1, 2, 0, "word", "d", None, True)]
+    clauses = spark.createDataFrame(rows, CLAUSES)
+    leaves = [("a b|", ["a", "b"], False, None), ("a*|", ["a"], True, None), ("d|", ["d"], False, None)]
+    leaves = [(n, *leaf[1:]) for n, leaf in enumerate(leaves)]
+    leaves = spark.createDataFrame(leaves, "leaf int, toks array<string>, is_prefix boolean, column string")
+    assert _plan_of(batch.leaf_hits(corpus, leaves)).count("Exchange hashpartitioning") == 1
+    assert "Exchange" not in _plan_of(score_many(corpus, clauses))
+
+
+def test_a_batch_in_small_buckets_and_runs(spark, monkeypatch):
+    """Long lists of positions go in runs, and the documents are dealt over many buckets."""
+    monkeypatch.setattr(packing, "RUN", 2)
+    monkeypatch.setattr(packing, "BUCKET_TOKENS", 30)
+    docs = random_docs(random.Random(12), 30)
+    trees = [all_of(phrase("a b"), prefix("a")), any_of(phrase("a a"), phrase("b a b"), prefix("a a")), but_not("a", phrase("c d"))]
+    rows = []
+    for q, leaves in enumerate([[["a b"], ["a*"]], [["a a", "b a b", "a a*"]], [["a"], ["-c d"]]]):
+        for slot, alts in enumerate(leaves):
+            for alt, value in enumerate(alts):
+                kind = "prefix" if value.endswith("*") else "phrase"
+                rows.append((q, slot, alt, kind, value.strip("-*"), None, value.startswith("-")))
+    got = {(r["query_id"], r["path"]): r["score"] for r in score_many(corpus_of(spark, docs), spark.createDataFrame(rows, CLAUSES)).collect()}
+    expected = {(q, p): s for q, tree in enumerate(trees) for p, s in brute.scores(docs, tree).items()}
+    assert got.keys() == expected.keys() and len(got) > 20
+    for key, s in expected.items():
+        assert got[key] == pytest.approx(s, abs=1e-12)
+
+
+def test_a_batch_over_copies_of_a_path(spark):
+    """The rows that joins on the path gave: copies add up; a place is a phrase's if, in all copies, as many of its other
+    tokens stand beside the rarest one as it has."""
+    columns = "path string, ext string, dl long, title string, folder string, stem string, body string, segment int, ord bigint"
+    bodies = [("p.md", "x y z"), ("p.md", "x q"), ("p.md", "y y"), ("q.md", "x y y"), ("q.md", "x y y"), ("r.md", "x y z")]
+    bodies += [("s.md", "w"), ("t.md", "x y z"), ("t.md", "u y y"), *[(f"{n}.md", "v") for n in range(9)]]
+    rows = [(path, "md", len(body.split()), "", "", "", body, 1, n) for n, (path, body) in enumerate(bodies)]
+    documents = spark.createDataFrame(rows, columns)
+    asked = [(1, 0, 0, "word", "x"), (2, 0, 0, "phrase", "x y"), (3, 0, 0, "phrase", "x y z"), (4, 0, 0, "prefix", "x")]
+    asked += [(5, 0, 0, "word", "x"), (5, 1, 0, "word", "y"), (6, 0, 0, "phrase", "y y"), (7, 0, 0, "prefix", "x y")]
+    clauses = spark.createDataFrame([(*row, None, False) for row in asked], CLAUSES)
+    got = {(r["query_id"], r["path"]): r["score"] for r in score_many(in_memory(documents), clauses).collect()}
+    every = ["p.md", "q.md", "r.md", "t.md"]
+    found = {q: sorted(p for k, p in got if k == q) for q in range(1, 8)}
+    assert found == {1: every, 2: ["r.md"], 3: ["r.md"], 4: every, 5: every, 6: ["t.md"], 7: ["r.md"]}
+    assert got[5, "p.md"] == pytest.approx(-2.033884993783, abs=1e-9)
+    best = {(r["query_id"], r["path"]): r["score"] for r in search_many(in_memory(documents), clauses, 1).collect()}
+    assert best == {key: s for key, s in got.items() if (s, key[1]) == min((t, p) for (q, p), t in got.items() if q == key[0])}
+
+
 def test_batch_rejects(spark, fixed):
     schema = "query_id bigint, slot int, alt int, kind string, value string, field string, negated boolean"
     for row in [(1, 0, 0, "word", "a", None, True), (1, 0, 0, "near", "a", None, False), (1, 0, 0, "word", "a", "tag", False)]:

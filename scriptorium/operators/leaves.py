@@ -29,10 +29,7 @@ BUCKET_TOKENS = 2_000_000
 KEYS = ("path", "ext", "dl", "segment", "ord")
 PACK_SCHEMA = "bucket int, data binary"
 #: One row for each path: its hits, with length and place of the copy that each is in.
-FOUND_SCHEMA = (
-    "path string, ext string, copies int, "
-    "leaf array<int>, f array<double>, dl array<bigint>, segment array<int>, ord array<bigint>"
-)
+FOUND_SCHEMA = "path string, ext string, leaf array<int>, f array<double>, dl array<bigint>, segment array<int>, ord array<bigint>"
 
 
 def packed(batches):
@@ -223,7 +220,6 @@ def found(blocks: pa.Table, leaves: Leaves) -> pa.Table:
     first = np.flatnonzero(_starts([path_of[doc]])) if len(doc) else np.empty(0, np.int64)
     ends, at = np.append(first, len(doc)), pa.array(doc[first])
     columns = {name: _array(document, name).take(at) for name in ("path", "ext")}
-    columns["copies"] = pa.array(np.bincount(path_of)[path_of[doc[first]]].astype(np.int32))
     columns |= {"leaf": _lists(ends, leaf.astype(np.int32)), "f": _lists(ends, f.astype(np.float64))}
     columns |= {name: _lists(ends, _numbers(document, name)[doc]) for name in KEYS[2:]}
     return pa.table(columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 from scriptorium.functions.bm25 import B, K1, idf, term_score
 from scriptorium.functions.text import tokens
@@ -230,17 +230,23 @@ class _Judge:
         hit, clause = packing._matches(self.driving["leaf"], leaf)
         return row[hit] * len(self.required) + self.driving["query"][clause], hit, clause
 
-    def partials(self, batches):
-        """``query_id, required, path, block, partial``: the part of the driving slot for each candidate."""
+    def partials(self, batches, log2: int):
+        """``query_id, required, path, segment, ord, partial``: the part of the driving slot for each candidate and block that it
+        is in, with the first place of the block."""
         for batch in self.slices(batches):
             row, leaf, part = self.hits(batch)
             candidate, hit, _ = self.driven(row, leaf)
-            pair, number = np.unique(candidate, return_inverse=True)
-            partial = np.bincount(number, part[hit], len(pair))
+            segment, place = (batch.column(c).flatten().to_numpy(zero_copy_only=False)[hit] for c in PLACE)
+            keys = [candidate, segment, place >> log2]
+            order = np.lexsort(keys[::-1])
+            keys = [k[order] for k in keys]
+            new = packing._starts(keys)
+            pair, segment, place = (k[new] for k in keys)
+            partial = np.bincount(np.cumsum(new) - 1, part[hit][order], len(pair))
             row, query = pair // len(self.required), pair % len(self.required)
-            columns = [self.queries.take(pa.array(query)), pa.array(self.required[query])]
-            columns += [batch.column(c).take(pa.array(row)) for c in ("path", "block")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(partial, pa.float64())], ["query_id", "required", "path", "block", "partial"])
+            columns = [self.queries.take(pa.array(query)), pa.array(self.required[query]), batch.column("path").take(pa.array(row))]
+            columns += [pa.array(segment), pa.array(place << log2), pa.array(partial, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "required", "path", *PLACE, "partial"])
 
     def matches(self, batches):
         """``query_id, path, ext, score`` of the candidates that match, of those in the list ``only`` where rows have one."""
@@ -284,9 +290,9 @@ class _Plan:
 
     #: query_id, slot, alt, negated, leaf, required, driving
     clauses: DataFrame
-    #: leaf, block, top: the most a leaf adds to the score of a path in the block
+    #: leaf, block, top: the most a leaf adds to the score of a document in the block
     tops: DataFrame
-    #: path, ext, block, and lists leaf, f, dl: the paths that the filters leave
+    #: path, ext, and lists leaf, f, dl, segment, ord: the paths that the filters leave
     rows: DataFrame
     judge: _Judge
 
@@ -344,10 +350,10 @@ def _planned(corpus: Corpus, clauses: DataFrame, ext: str | None, under: str | N
         F.struct(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens")).alias("c")
     ).scalar()
     part = term_score(F.col("f"), F.col("dl"), F.col("n_with"), F.col("_total.docs"), F.col("_total.tokens"))
-    # the copies of a path count as in the block of the first, and add up
-    rows = found.withColumn("block", block_of(F.get("segment", F.lit(0)), F.get("ord", F.lit(0))))
-    hits = rows.select("block", "copies", F.inline(F.arrays_zip("leaf", "f", "dl"))).join(counts, "leaf")
-    tops = hits.withColumn("_total", totals).groupBy("leaf", "block").agg(F.max(part * F.col("copies")).alias("top"))
+    hits = found.select(F.inline(F.arrays_zip("leaf", "f", "dl", *PLACE))).join(counts, "leaf")
+    block = block_of(F.col("segment"), F.col("ord")).alias("block")
+    tops = hits.withColumn("_total", totals).groupBy("leaf", block).agg(F.max(part).alias("top"))
+    rows = found
     # filters stand beside the match: they change no statistics
     if ext is not None:
         rows = rows.filter(has_extension(F.col("ext"), ext))
@@ -378,9 +384,11 @@ def _bounded(plan: _Plan) -> DataFrame:
     rest = others.join(plan.tops, "leaf").groupBy("query_id", "block").agg(
         F.sum("top").alias("rest"), F.count_distinct("slot").alias("met")
     )
-    rows, judge = plan.rows.select("path", "block", "leaf", "f", "dl"), plan.judge
+    rows, judge, log2 = plan.rows.select("path", "leaf", "f", "dl", *PLACE), plan.judge, BLOCK_LOG2
     made = StructType([plan.clauses.schema["query_id"]]).add("required", "long").add(rows.schema["path"])
-    partial = rows.mapInArrow(judge.partials, made.add("block", "string").add("partial", "double"))
+    made = made.add("segment", "integer").add("ord", "long").add("partial", "double")
+    partial = rows.mapInArrow(lambda batches: judge.partials(batches, log2), made)
+    partial = partial.withColumn("block", block_of(F.col("segment"), F.col("ord")))
     able = F.coalesce("met", F.lit(0)) >= F.col("required") - 1
     upper = F.col("partial") + F.coalesce("rest", F.lit(0.0))
     return partial.join(_saved(rest), ["query_id", "block"], "left").filter(able).select("query_id", "path", upper.alias("upper"))
